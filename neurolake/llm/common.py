@@ -52,7 +52,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Smallest reachable id of every node that has an edge.
 
-    ``edges``: columns ``a``, ``b`` (long). Returns ``node``, ``component``. Alternates the large-star and
+    ``edges``: columns ``a``, ``b`` of any type with an order. Returns ``node``, ``component``. Alternates the large-star and
     small-star steps (Kiveris et al., 2014): every round links each node's larger neighbours, then its smaller ones,
     to the smallest neighbour. The edge list never leaves the executors; each round is a written table. Loops
     and repeated edges don't matter; with no edges the result is empty.
@@ -69,7 +69,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.countDistinct("u")).first())
+        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("v").cast("decimal(38,0)")), F.countDistinct("u")).first())
         if now == before and now[0] == now[2]:
             break
         before = now

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import common, mixing, packing, warc
+from neurolake.llm import common, mixing, neardup, packing, warc
 from neurolake.llm.common import table
 
 
@@ -22,9 +22,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op9_mixing)}
-ORACLES = {"op9_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op6_neardup, op9_mixing)}
+ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
