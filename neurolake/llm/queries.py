@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import common, mixing, neardup, packing, warc
+from neurolake.llm import ann, common, embed_dedup, mixing, neardup, packing, warc
 from neurolake.llm.common import table
 
 
@@ -26,9 +26,17 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op6_neardup, op9_mixing)}
+def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
 ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}

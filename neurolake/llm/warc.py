@@ -174,4 +174,6 @@ def read_warc(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")
     begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("begin")
     ranges = files.select("path", "length", begin).select("path", "begin", F.least(F.col("begin") + split_bytes, "length").alias("end"))
-    return ranges.repartition("path", "begin").mapInPandas(_ranges, RECORDS)
+    # a number of its own: adaptive execution would gather these few small rows in one task
+    n = ranges.count()
+    return ranges.repartition(max(n, 1), "path", "begin").mapInPandas(_ranges, RECORDS)
