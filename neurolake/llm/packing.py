@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,55 +18,101 @@ END_ID = 2
 #: Costs in tokens of padding: a window that ends inside a document at a sentence end, one that ends elsewhere, any window.
 SENTENCE_CUT, HARD_CUT, WINDOW = 8, 64, 4
 #: Sentence ends closer than GAP to the last candidate are no candidates; stretches without one get a hard one each STRETCH.
-GAP, STRETCH = 48, 512
+GAP, STRETCH = 24, 512
 #: Tokens that are planned at once; the last window of a block is planned again with the next block.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 1_500_000
 
-# The tokenizer composes characters (NFC), folds white space and lower-cases, then splits with this pattern and encodes each
-# piece on its own; so equal pieces have equal ids, and remembering them is exact. For characters beyond these ranges
-# (combining marks, other scripts, odd spaces, letters with special case rules) the tokenizer gets the text itself.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]*+\Z")
+# The tokenizer composes characters (NFC), folds white space and lower-cases, then splits into pieces that never hold white
+# space and encodes each on its own; so equal stretches between white space have equal ids, and remembering them is exact. For
+# characters beyond these (combining marks, other scripts, odd spaces, letters with special case rules) the tokenizer gets
+# the text itself.
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]")
+
+
+class _Places(dict):
+    """Numbers words as they come; ``new`` has those without ids yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
 
 
 class WordIds:
-    """Ids of a text, by remembered words; exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """Ids of texts, by remembered words; exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places = _Places()
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.begin, self.size, self.stop = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.used = 0
+
+    def _learn(self) -> None:
+        """Give ids to the new words."""
+        words, self.places.new = self.places.new, []
+        for at in range(0, len(words), 1 << 14):
+            some = words[at : at + (1 << 14)]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+            total, first = int(size.sum()), self.places[some[0]]
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while first + len(some) > len(self.begin):
+                self.begin, self.size, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.stop))
+            where = slice(first, first + len(some))
+            self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype="<u4", count=total)
+            self.size[where] = size
+            self.begin[where] = self.used + np.cumsum(size) - size
+            self.stop[where] = [not w[-1].isalnum() and ("." in w or "!" in w or "?" in w) for w in some]
+            self.used += total
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode(text, add_special_tokens=False)
         ends = [i + 1 for i, (a, b) in enumerate(got.offsets) if any(x in text[a:b] for x in ".!?")]
         return np.array(got.ids, dtype="<u4"), np.array(ends, dtype=np.int64)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and after how many of them sentences end."""
-        if "<|" in text or not _PLAIN.match(text):
-            return self._whole(text)
-        words = _SPLIT.findall(text.lower())
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        parts, ends, base = [], [], 0
-        for at in range(0, len(words), 1 << 18):
-            some = words[at : at + (1 << 18)]
-            if new := list({w for w in some if w not in memo}):
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    memo[w] = e.ids
-            got = [memo[w] for w in some]
-            flat = np.array([i for ids in got for i in ids], dtype="<u4")
-            if stops := {w for w in set(some) if not w[0].isalnum() and any(x in w for x in ".!?")}:
-                total = np.cumsum(np.fromiter(map(len, got), dtype=np.int64, count=len(got)))
-                ends.append(base + total[np.fromiter((w in stops for w in some), dtype=bool, count=len(some))])
-            parts.append(flat)
-            base += len(flat)
-        return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), (np.concatenate(ends) if ends else np.zeros(0, np.int64))
+    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids, and after how many of them sentences end."""
+        if len(self.places) > MEMO:
+            self._forget()
+        place = self.places.__getitem__
+        plain = [not ("<|" in t or _OTHER.search(t)) for t in texts]
+        found = [np.fromiter(map(place, w), dtype=np.int64, count=len(w)) if (w := t.lower().split()) and ok else None for t, ok in zip(texts, plain, strict=True)]
+        self._learn()
+        out = []
+        for t, ok, k in zip(texts, plain, found, strict=True):
+            if not ok:
+                out.append(self._whole(t))
+            elif k is None:
+                out.append((np.zeros(0, "<u4"), np.zeros(0, np.int64)))
+            else:
+                size = self.size[k]
+                total = np.cumsum(size)
+                at = np.repeat(self.begin[k] - total + size, size) + np.arange(total[-1])
+                out.append((self.ids[at], total[self.stop[k]]))
+        return out
+
+
+_encoders: dict[str, WordIds] = {}
+
+
+def encoder(path: str) -> WordIds:
+    """One a worker, so that tasks after the first find words remembered."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
 
 
 def candidates(n: int, ends: np.ndarray, skip: int) -> tuple[list[int], list[int]]:
@@ -127,7 +173,7 @@ def plan(at: list[int], cost: list[int], capacity: int = CAPACITY) -> list[int]:
 
 def _packer(path: str, capacity: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, sequence = WordIds(path), TaskContext.get().partitionId() << 33
+        encode, sequence = encoder(path), TaskContext.get().partitionId() << 33
         held: list[tuple] = []  # document, ids, sentence ends, ids that are already out
         size = 0
 
@@ -158,8 +204,8 @@ def _packer(path: str, capacity: int):
             return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
 
         for b in batches:
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                ids, ends = encode(text or "")
+            texts = ["" if t is None else t for t in b["text"]]
+            for doc, (ids, ends) in zip(b["doc_id"], (x for at in range(0, len(texts), 512) for x in encode(texts[at : at + 512])), strict=True):
                 held.append((None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(END_ID)).astype("<u4"), ends, 0))
                 size += len(ids) + 1
                 if size >= BLOCK:
