@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import ann, common, embed_dedup, mixing, neardup, packing, warc
+from neurolake.llm import ann, common, embed_dedup, html_extract, mixing, neardup, packing, warc
 from neurolake.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op5_html_extract, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
 ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
