@@ -17,6 +17,9 @@ EPSILON = 2.2
 QUERY_BITS = 4
 #: Vectors that give every query its first threshold: a bounded sample, those with the smallest hashes.
 SAMPLE = 4096
+#: Vectors are searched in levels, each this many times the one before; a level's k-th best score is the next one's threshold,
+#: so that a query's blocks return about k * WIDEN rows a level, however many blocks there are.
+WIDEN = 16
 SEED = 11
 
 
@@ -65,6 +68,7 @@ def estimates(q, codes, lengths, fits, centre, turn) -> tuple[np.ndarray, np.nda
 
 def search_block(qid, q, floor, vid, x, code, length, fit, centre, turn, k: int) -> tuple[np.ndarray, ...]:
     """The ``k`` best of a block for each query: rows (query, vector, score)."""
+    given = floor
     est, err = estimates(q, code, length, fit, centre, turn)
     own = qid[:, None] == vid[None, :]
     sure = np.where(own, -np.inf, est - err)
@@ -78,7 +82,7 @@ def search_block(qid, q, floor, vid, x, code, length, fit, centre, turn, k: int)
     order = np.lexsort((vid[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    best = rank < k
+    best = (rank < k) & (score >= given[rows])
     return qid[rows[best]], vid[cols[best]], score[best]
 
 
@@ -138,12 +142,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             yield b.assign(floor=floor - 1e-9 * (1 + np.abs(floor)))
 
     kind = rows.schema["embedding"].dataType.simpleString()
-    vectors = rows.mapInPandas(coded, f"vec_id long, embedding {kind}, code binary, length double, fit double")
-    queries = rows.where(F.col("vec_id") % every == 0).mapInPandas(floors, f"vec_id long, embedding {kind}, floor double")
     block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    vectors = vectors.withColumn("cb", block(c_blocks)).withColumn("qb", each(q_blocks))
-    queries = queries.withColumn("qb", block(q_blocks)).withColumn("cb", each(c_blocks))
+    each = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
+    vectors = written(rows.mapInPandas(coded, f"vec_id long, embedding {kind}, code binary, length double, fit double").withColumn("cb", block(c_blocks)), "codes")
+    queries = written(rows.where(F.col("vec_id") % every == 0).mapInPandas(floors, f"vec_id long, embedding {kind}, floor double").withColumn("qb", block(q_blocks)), "queries")
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -157,6 +159,19 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         a, b, s = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
-    found = queries.groupBy("qb", "cb").cogroup(vectors.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, low, reach = None, 0, SAMPLE * WIDEN
+    while low < c_blocks:
+        high = c_blocks if reach >= n else min(c_blocks, max(low + 1, c_blocks * reach // n))
+        xs = vectors.where((F.col("cb") >= low) & (F.col("cb") < high)).withColumn("qb", each(0, q_blocks))
+        qs = queries.withColumn("cb", each(low, high))
+        found = qs.groupBy("qb", "cb").cogroup(xs.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double")
+        found = found if best is None else best.unionByName(found)
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        low, reach = high, reach * WIDEN
+        if low < c_blocks:
+            best = written(best.drop("rank"), "best")
+            kth = best.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("c")).where(F.col("c") == k)
+            queries = queries.join(kth.select(F.col("query_id").alias("vec_id"), "kth"), "vec_id", "left")
+            queries = queries.select("vec_id", "embedding", F.greatest("floor", "kth").alias("floor"), "qb")
+    return best.select("query_id", "rank", "vec_id", "score")
