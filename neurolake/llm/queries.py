@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import ann, common, embed_dedup, html_extract, mixing, neardup, packing, warc
+from neurolake.llm import ann, common, embed_dedup, html_extract, mixing, neardup, packing, toxicity, warc
 from neurolake.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,5 +47,5 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_warc, op5_html_extract, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_warc, op5_html_extract, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
 ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
