@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import ann, common, embed_dedup, html_extract, mixing, neardup, packing, toxicity, warc
+from neurolake.llm import ann, common, embed_dedup, html_extract, lm_score, mixing, neardup, packing, toxicity, warc
 from neurolake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,5 +51,5 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_packing, op4_warc, op5_html_extract, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op4_warc, op5_html_extract, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
 ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
