@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import ann, common, embed_dedup, html_extract, lm_score, mixing, neardup, packing, toxicity, warc
+from neurolake.llm import ann, common, embed_dedup, html_extract, lm_score, mixing, neardup, packing, pii, toxicity, warc
 from neurolake.llm.common import table
 
 
@@ -39,6 +39,14 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -51,5 +59,5 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op4_warc, op5_html_extract, op6_neardup, op8_ann, op9_mixing, op10_embed_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op4_warc, op5_html_extract, op6_neardup, op7_pii, op8_ann, op9_mixing, op10_embed_dedup)}
 ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
