@@ -6,11 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neurolake.cluster import ship
-from neurolake.llm import common, mixing, packing
+from neurolake.llm import common, mixing, neardup, packing, pii, toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the tagger, learnt from the labelled ones of these, scores as toxic."""
+    ship(spark)
+    tagger = toxicity.learn(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, tagger).select(*COLUMNS)
+
+
+def _neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    ship(spark)
+    return neardup.one_of_each(docs).select(*COLUMNS)
+
+
+def _pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the names of its kinds."""
+    ship(spark)
+    return pii.redact(docs).select(*COLUMNS)
+
+
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring the sources to their target shares; a document comes out once for each of its copies."""
     ship(spark)
@@ -26,7 +45,7 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("mix", _mix), ("pack", _pack)]
+STAGES = [("toxicity", _toxic), ("neardup", _neardup), ("pii", _pii), ("mix", _mix), ("pack", _pack)]
 #: Learnt scores, signatures and the tokenizer can't be written in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 

@@ -186,6 +186,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept: of each group its smallest doc_id, with all columns; of rows that repeat a doc_id and text, one."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])
+
+
 #: Every pair, by an inverted index of shingles; for small tables.
 SQL = r"""
 with recursive words as (

@@ -262,6 +262,18 @@ def score_documents(docs: DataFrame, tagger: Tagger) -> DataFrame:
     return rows.mapInPandas(scored, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
 
 
+def without_toxic(docs: DataFrame, tagger: Tagger) -> DataFrame:
+    """The rows of ``docs`` whose texts score below THRESHOLD, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        t = shared.value
+        return texts.map(lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(t, x or "")[1] @ t.blend)))))).astype(float)
+
+    return docs.where(score(F.col("text").cast("string")) < THRESHOLD)
+
+
 def remainder(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(m))
