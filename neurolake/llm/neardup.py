@@ -23,6 +23,8 @@ SAMPLES = BANDS * ROWS
 #: Bits of an odd sketch. At 0.75 the sketch's estimate has a standard error of 0.04; pairs five of these below are dropped.
 BITS = 512
 LEAST_ESTIMATE = 0.56
+#: Further pivots that sets outside a bucket's largest component are paired with, before all pairs across components are.
+AGAIN = 2
 #: The XOR of two sketches has about BITS / 2 * (1 - (1 - 2 / BITS) ^ d) bits when the samples differ in d elements.
 MOST_BITS = math.floor(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - LEAST_ESTIMATE))))
 
@@ -118,6 +120,17 @@ def _near(a: Column, b: Column) -> Column:
     return sizes & (bits <= MOST_BITS)
 
 
+def _sketched(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b: keys) those that sizes and sketches leave, as a written table."""
+    both = pairs.join(side.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(side.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    return written(both.where(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "pairs")
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b: keys) those whose full sets are similar enough. The sets are made again from the texts."""
     pairs = written(pairs, "pairs")
@@ -140,6 +153,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     2. Each set's MinHash samples are cut into BANDS buckets. In a bucket every set is paired with the bucket's smallest one
        only; size and odd sketch drop pairs far below the threshold, the full sets decide the rest. Groups of copies thus cost
        as many pairs as members.
+       Sets that stay outside their bucket's largest component are paired with other members of it, AGAIN times.
     3. Where a bucket still holds sets of several components, all pairs across components are tried likewise, so no link
        between sets that share a bucket is lost; pairs within a component can add nothing.
 
@@ -161,21 +175,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(members.join(pivots, "bucket"), "buckets")
     side = sets.select("key", F.struct("n", "sketch").alias("s"))
     star = members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    star = star.join(side.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-    star = star.join(side.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").where(_near(F.col("sa"), F.col("sb"))).select("a", "b")
-    links = written(_confirmed(star, texts, first), "links")
+    tried = _sketched(star, side)
+    links = _confirmed(tried, texts, first)
     groups = connected_components(links)
 
-    placed = members.select("bucket", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
-    placed = written(placed.withColumn("component", F.coalesce("component", "key")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    rest = placed.join(mixed, "bucket", "left_semi").join(side, "key")
+    def placed() -> DataFrame:
+        own = members.select("bucket", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
+        return written(own.withColumn("component", F.coalesce("component", "key")), "placed")
+
+    for again in range(AGAIN):
+        # what a bucket's first pivot missed meets another member of the bucket's largest component
+        own = placed()
+        sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(again)).alias("h"), "key")).alias("p"))
+        main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component", F.col("p.key").alias("pivot"))).alias("m"), F.count("*").alias("k"))
+        main = main.where("k > 1").select("bucket", F.col("m.component").alias("main"), F.col("m.pivot").alias("b"))
+        pairs = own.join(main, "bucket").where("component != main").select(F.col("key").alias("a"), "b").distinct()
+        pairs = _sketched(pairs.join(_both_ways(tried), ["a", "b"], "left_anti"), side)
+        links = written(links.unionByName(_confirmed(pairs, texts, first)), "links")
+        tried = tried.unionByName(pairs)
+        groups = connected_components(links)
+
+    own = placed()
+    mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+    rest = own.join(mixed, "bucket", "left_semi").join(side, "key")
     left = rest.select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("s").alias("sa"))
     right = rest.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("s").alias("sb"))
     across = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near(F.col("sa"), F.col("sb")))
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(_confirmed(across.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), texts, first), "links")
-    groups = connected_components(links.union(more))
+    more = _confirmed(across.select("a", "b").distinct().join(_both_ways(tried), ["a", "b"], "left_anti"), texts, first)
+    groups = connected_components(links.unionByName(more))
 
     ids = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
     grouped = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
