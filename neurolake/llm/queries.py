@@ -15,7 +15,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+    return lm_score.score_texts(table(spark, sf_dir, "documents"), by_scan=True)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
