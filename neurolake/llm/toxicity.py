@@ -20,7 +20,9 @@ THRESHOLD = 0.7
 #: keeps words of copied passages out.
 RATIO, CONTEXTS, ERRORS = 8.0, 4, 5.0
 #: Bounds of what is learnt from on the driver: labelled words, windows of tokens, documents. Those with the smallest hashes.
-MOST_WORDS, MOST_WINDOWS, MOST_DOCS = 20_000, 30_000, 30_000
+MOST_WORDS, MOST_WINDOWS = 20_000, 30_000
+#: Labelled documents that are learnt from at most, those whose ids have the smallest hashes.
+MOST_DOCS = 20_000
 #: Tokens on each side of a window's middle.
 AROUND = 8
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
@@ -233,8 +235,7 @@ def fit(labelled: DataFrame) -> Tagger:
             x = [features(tagger, t or "")[1] for t in b["text"]]
             yield pd.DataFrame(x, columns=list("abcd")).assign(y=b["toxic"].to_numpy())
 
-    few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS)  # bounded
-    x = few.mapInPandas(described, "a double, b double, c double, d double, y int").toPandas()
+    x = rows.mapInPandas(described, "a double, b double, c double, d double, y int").toPandas()  # at most MOST_DOCS
     blend = _logistic(x[list("abcd")].to_numpy(), x["y"].to_numpy().astype(float))
     return Tagger(tagger.words, tagger.other, tagger.moves, tagger.start, blend)
 
@@ -280,10 +281,11 @@ def remainder(doc_id: Column, m: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Tagger:
-    """The tagger of the rows of ``labels`` whose crc32(doc_id) mod 3 is not 1, with the texts of ``docs``."""
+    """The tagger of at most MOST_DOCS rows of ``labels`` whose crc32(doc_id) mod 3 is not 1, with the texts of ``docs``."""
     known = labels.where(F.col("toxic").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_DOCS)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
