@@ -26,13 +26,20 @@ MOST_DOCS = 20_000
 #: Tokens on each side of a window's middle.
 AROUND = 8
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
+#: Characters of a longer word's beginning.
+BEGINNING = 5
 
 _token = re.compile(r"\w+")
 
 
+def _beginning(word: str) -> str:
+    """What words of a family share: a token of its own for words that aren't known whole."""
+    return word[:BEGINNING] + "*"
+
+
 @dataclass(frozen=True)
 class Tagger:
-    """``words``: emission scores of the toxic state for known tokens; all others share ``other``. ``moves``: transition scores
+    """``words``: emission scores of the toxic state for known tokens and beginnings of tokens; all others share ``other``. ``moves``: transition scores
     of the two states (clean, toxic); ``start``: that of beginning toxic. ``blend``: weights of a document's features."""
 
     words: dict[str, float]
@@ -81,7 +88,8 @@ def tagged(tagger: Tagger, text: str) -> tuple[list[tuple[int, int, float]], flo
     """Known tokens as (start, end, probability of toxic), their expected number of toxic ones, and the number of all tokens."""
     words = tagger.words
     tokens = _token.findall(text.lower())
-    known = [(i, words[w]) for i, w in enumerate(tokens) if w in words]
+    get = words.get
+    known = [(i, e) for i, w in enumerate(tokens) if (e := get(w, get(w[:BEGINNING] + "*"))) is not None]
     if not known:
         return [], 0.0, len(tokens)
     p = marginals(tagger, known, len(tokens))
@@ -93,7 +101,7 @@ def tagged(tagger: Tagger, text: str) -> tuple[list[tuple[int, int, float]], flo
                 spans.append((m.start(), m.end(), float(p[k])))
                 k += 1
     else:  # lower-casing moved offsets
-        spans = [(m.start(), m.end(), 0.0) for m in _token.finditer(text) if m[0].lower() in words]
+        spans = [(m.start(), m.end(), 0.0) for m in _token.finditer(text) if not words.keys().isdisjoint((m[0].lower(), _beginning(m[0].lower())))]
         spans = [(s, e, float(q)) for (s, e, _), q in zip(spans, p, strict=False)]
     return spans, float(p.sum()), len(tokens)
 
@@ -113,6 +121,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 w = ["", *_token.findall((text or "").lower()), ""]
                 seen.update((w[i], w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1))
+                seen.update((_beginning(w[i]), w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1) if len(w[i]) > BEGINNING)
             yield pd.DataFrame(list(seen), columns=["word", "before", "after", "toxic"])
 
     each = rows.select("text", "toxic").mapInPandas(contexts, "word string, before string, after string, toxic int").distinct()
@@ -140,12 +149,13 @@ def _windows(rows: DataFrame, words: set[str]) -> pd.DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, text, y in zip(b["doc_id"], b["text"], b["toxic"], strict=True):
+            for doc, text, label in zip(b["doc_id"], b["text"], b["toxic"], strict=True):
                 w = _token.findall((text or "").lower())
-                hits = [i for i, x in enumerate(w) if x in words]
+                w = [x if x in words else y if (y := _beginning(x)) in words else "-" for x in w]
+                hits = [i for i, x in enumerate(w) if x != "-"]
                 for i in [*hits, *([(int(doc or 0) * 7919) % len(w)] if w else [])]:
                     part = w[max(0, i - AROUND) : i + AROUND + 1]
-                    out.append((" ".join(x if x in words else "-" for x in part), int(y)))
+                    out.append((" ".join(part), int(label)))
             yield pd.DataFrame(out, columns=["tokens", "toxic"])
 
     cuts = rows.select("doc_id", "text", "toxic").mapInPandas(cut, "tokens string, toxic int")
