@@ -131,21 +131,26 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     def floors(batches):
         ids, x = sample.value
         for b in batches:
-            q = stacked(b["embedding"])
-            floor = np.full(len(q), -np.inf)
-            for at in range(0, len(q), 512):
-                s = q[at : at + 512] @ x.T
-                s[b["vec_id"].to_numpy()[at : at + 512, None] == ids[None, :]] = -np.inf
-                if s.shape[1] > k:
-                    floor[at : at + 512] = np.partition(s, -k, axis=1)[:, -k]
-            # rounding may differ from one way of summing to another
-            yield b.assign(floor=floor - 1e-9 * (1 + np.abs(floor)))
+            q, own = stacked(b["embedding"]), b["vec_id"].to_numpy()
+            floor, near, scores = np.full(len(q), -np.inf), [], []
+            for i in range(len(q)):
+                s = np.where(ids == own[i], -np.inf, np.einsum("j,ij->i", q[i], x))
+                top = np.lexsort((ids, -s))[: min(k, int(np.isfinite(s).sum()))]
+                near.append(ids[top])
+                scores.append(s[top])
+                if len(top) == k:
+                    # rounding may differ from one way of summing to another
+                    floor[i] = s[top[-1]] - 1e-9 * (1 + abs(s[top[-1]]))
+            yield b.assign(floor=floor, near=near, scores=scores)
 
     kind = rows.schema["embedding"].dataType.simpleString()
     block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
     each = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
     vectors = written(rows.mapInPandas(coded, f"vec_id long, embedding {kind}, code binary, length double, fit double").withColumn("cb", block(c_blocks)), "codes")
-    queries = written(rows.where(F.col("vec_id") % every == 0).mapInPandas(floors, f"vec_id long, embedding {kind}, floor double").withColumn("qb", block(q_blocks)), "queries")
+    queries = written(rows.where(F.col("vec_id") % every == 0).mapInPandas(floors, f"vec_id long, embedding {kind}, floor double, near array<long>, scores array<double>").withColumn("qb", block(q_blocks)), "queries")
+    # the sample's best are results already: a query never has fewer than these
+    known = queries.select(F.col("vec_id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("z")).select("query_id", F.col("z.near").alias("vec_id"), F.col("z.scores").alias("score"))
+    queries = queries.drop("near", "scores")
 
     def search(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -166,7 +171,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         xs = vectors.where((F.col("cb") >= low) & (F.col("cb") < high)).withColumn("qb", each(0, q_blocks))
         qs = queries.withColumn("cb", each(low, high))
         found = qs.groupBy("qb", "cb").cogroup(xs.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score double")
-        found = found if best is None else best.unionByName(found)
+        found = (known if best is None else best).unionByName(found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         low, reach = high, reach * WIDEN
         if low < c_blocks:
