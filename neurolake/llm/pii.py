@@ -88,7 +88,9 @@ def segment_features(zone: str, kind: str) -> list[str]:
     groups = re.findall("[0-9]+", zone)
     out = [f"{kind}", f"{kind} seps {seps}", f"{kind} groups {min(len(groups), 6)}", f"{kind} plus {zone[0] == '+'}"]
     if kind == "card":
-        out += [f"card luhn {luhn(d)}", f"card size {'ok' if 12 <= len(d) <= 19 else 'no'}", f"card both {luhn(d) and 12 <= len(d) <= 19 and not set(zone) - set('0123456789 -')}"]
+        # a sum that holds by chance is no card: it counts together with the sizes of the groups
+        form = "-".join(str(len(g)) for g in groups)
+        out.append(f"card both {luhn(d) and 12 <= len(d) <= 19 and not set(zone) - set('0123456789 -')} {form}")
     elif kind == "phone":
         out += [f"phone size {'ok' if 9 <= len(d) <= 15 else 'no'}", f"phone both {zone[0] == '+' and 9 <= len(d) <= 15}"]
     else:
