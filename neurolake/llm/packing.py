@@ -22,7 +22,7 @@ GAP, STRETCH = 24, 512
 #: Tokens that are planned at once; the last window of a block is planned again with the next block.
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
-MEMO = 1_500_000
+MEMO = 500_000
 
 # The tokenizer composes characters (NFC), folds white space and lower-cases, then splits into pieces that never hold white
 # space and encodes each on its own; so equal stretches between white space have equal ids, and remembering them is exact. For
