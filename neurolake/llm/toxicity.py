@@ -117,12 +117,13 @@ def _counts(rows: DataFrame) -> DataFrame:
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen = set()
-            for text, y in zip(b["text"], b["toxic"], strict=True):
-                w = ["", *_token.findall((text or "").lower()), ""]
-                seen.update((w[i], w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1))
-                seen.update((_beginning(w[i]), w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1) if len(w[i]) > BEGINNING)
-            yield pd.DataFrame(list(seen), columns=["word", "before", "after", "toxic"])
+            for at in range(0, len(b), 256):
+                seen = set()
+                for text, y in zip(b["text"].iloc[at : at + 256], b["toxic"].iloc[at : at + 256], strict=True):
+                    w = ["", *_token.findall((text or "").lower()), ""]
+                    seen.update((w[i], w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1))
+                    seen.update((_beginning(w[i]), w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1) if len(w[i]) > BEGINNING)
+                yield pd.DataFrame(list(seen), columns=["word", "before", "after", "toxic"])
 
     each = rows.select("text", "toxic").mapInPandas(contexts, "word string, before string, after string, toxic int").distinct()
     return each.groupBy("word").agg(F.sum("toxic").cast("long").alias("bad"), F.sum(1 - F.col("toxic")).cast("long").alias("good"))
