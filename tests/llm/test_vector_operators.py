@@ -120,3 +120,15 @@ def test_components_of_a_long_chain(spark, rows):
     got = dict(rows(common.connected_components(edges)))
     assert all(got[i] == 0 for i in range(51)) and got[101] == 100
     assert common.connected_components(edges.where("false")).count() == 0
+
+
+def test_links_of_a_dense_group_of_thousands(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2500] = np.sqrt(0.92) * x[2999] + np.sqrt(0.08) * x[:2500]
+    degree, component = brute_links(x)
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicate_vectors(table(spark, x)).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert degree.sum() > 4_000_000 and (found <= degree).all() and found.sum() >= 0.999 * degree.sum()
+    assert all(got[i]["component_id"] == component[i] for i in range(len(x)))
