@@ -128,22 +128,33 @@ class SpanField:
         return n, [(i, j, k, sum(w.get(f, 0.0) for f in fs)) for i, j, k, fs in some]
 
     def spans(self, zone: str) -> list[tuple[str, int, int]]:
-        """The best segmentation: boundaries and kinds at once, by dynamic programming over ends of bounded spans."""
-        n, some = self.scored(zone)
-        ending: dict[int, list] = {}
-        for s in some:
-            ending.setdefault(s[1], []).append(s)
+        """The best segmentation: boundaries and kinds at once, by dynamic programming over ends of bounded spans.
+
+        Segments are those of ``candidates``, scored as their end comes up and not kept, so a zone of any length takes memory for its pieces only.
+        """
+        p, w = _pieces(zone), self.weights
+        n = len(p)
         best, back = [0.0] * (n + 1), [None] * (n + 1)
         for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for s in ending.get(j, ()):
-                if best[s[0]] + s[3] > best[j]:
-                    best[j], back[j] = best[s[0]] + s[3], s
-        p, out, j = _pieces(zone), [], n
+            best[j], e = best[j - 1], p[j - 1][1]
+            if zone[e - 1] not in _ENDS:
+                continue
+            for i in range(max(0, j - MOST_PIECES), j):
+                s = p[i][0]
+                if e - s < 7:
+                    break
+                if zone[s] not in "+(" and zone[s] not in _ENDS:
+                    continue
+                for k in _FIELD_KINDS:
+                    score = best[i] + sum(w.get(f, 0.0) for f in segment_features(zone[s:e], k))
+                    if score > best[j]:
+                        best[j], back[j] = score, (i, k)
+        out, j = [], n
         while j:
-            if s := back[j]:
-                out.append((s[2], p[s[0]][0], p[j - 1][1]))
-                j = s[0]
+            if back[j]:
+                i, k = back[j]
+                out.append((k, p[i][0], p[j - 1][1]))
+                j = i
             else:
                 j -= 1
         return out[::-1]
@@ -240,23 +251,11 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: SpanField) -
         # what the patterns have found splits the zone; only the rest is segmented
         for m in re.finditer(r"[^x]+", rest):
             if len(m[0]) >= 7:
-                for k, b, c in field.spans(m[0]) if len(m[0]) <= 2000 else _long(m[0], field):
+                for k, b, c in field.spans(m[0]):
                     out.append((k, s + m.start() + b, s + m.start() + c))
     return out
 
 
-def _long(zone: str, field: SpanField) -> list[tuple[str, int, int]]:
-    """A very long zone, cut at wide gaps of its pieces; no entity spans more than MOST_PIECES."""
-    out, at = [], 0
-    while at < len(zone):
-        end = min(len(zone), at + 2000)
-        if end < len(zone) and (k := zone.rfind(" ", at + 1000, end)) > 0:
-            end = k
-        out += [(k, at + b, at + c) for k, b, c in field.spans(zone[at:end])]
-        at = end
-    return out
-
-
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
 

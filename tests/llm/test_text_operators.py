@@ -426,3 +426,27 @@ def test_offsets_point_at_the_words(spark):
     text = "É Bad day, BAD."
     (r,) = toxicity.score_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), t).collect()
     assert [text[s["start"] : s["end"]].lower() for s in r["spans"]] == ["bad", "bad"] and r["predicted"] == 1
+
+
+def test_a_line_of_many_cards_is_segmented_whole(field):
+    rng = np.random.default_rng(4)
+    cards = []
+    while len(cards) < 500:
+        d = "4" + "".join(map(str, rng.integers(0, 10, 14)))
+        d = next(d + c for c in "0123456789" if pii.luhn(d + c))
+        cards.append(" ".join(d[i : i + 4] for i in range(0, 16, 4)))
+    text = " ".join(cards)
+    assert pii.base_spans(text) == []
+    got = pii.added_spans(text, [], field)
+    # the same optimum as over all candidates at once
+    n, some = field.scored(text)
+    best = [0.0] * (n + 1)
+    ending = {}
+    for i, j, _, score in some:
+        ending.setdefault(j, []).append((i, score))
+    for j in range(1, n + 1):
+        best[j] = max([best[j - 1], *(best[i] + x for i, x in ending.get(j, ()))])
+    score = sum(sum(field.weights.get(f, 0.0) for f in pii.segment_features(text[s:e], k)) for k, s, e in got)
+    assert score == pytest.approx(best[n])
+    true = {("card", 20 * i, 20 * i + 19) for i in range(500)}
+    assert len(true & set(got)) >= 0.98 * len(true)
