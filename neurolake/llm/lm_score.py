@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from neurolake.llm.toxicity import remainder
 #: The end of a text; no word holds white space.
 END = "\n"
 DISCOUNT = 0.75
-#: Characters of an n-gram, with its last; characters of a token that n-grams are taken from.
-ORDER, LONGEST = 5, 40
+#: Characters of an n-gram, with its last; different n-grams that a task holds before it sends their counts on.
+ORDER, MOST_GRAMS = 5, 500_000
 #: n-grams are states if they hold this share of all, so there are at most (their number a token) / SHARE of them, at any size
 #: of the corpus. Words whose share of a block's tokens is below FREQUENT are no contexts.
 CHAR_SHARE, PAIR_SHARE, FREQUENT = 5e-6, 1e-6, 1e-4
@@ -106,10 +107,11 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         for lang, tokens in b.groupby("lang")["token"]:
-            marked = [" " + t[:LONGEST] + END for t in tokens]
-            counts.setdefault(lang, Counter()).update(t[i : i + ORDER] for t in marked for i in range(len(t)))
-        if sum(map(len, counts.values())) > 500_000:
-            yield from out()
+            grams = (t[i : i + ORDER] for t in (" " + t + END for t in tokens) for i in range(len(t)))
+            while some := list(islice(grams, 100_000)):
+                counts.setdefault(lang, Counter()).update(some)
+                if sum(map(len, counts.values())) > MOST_GRAMS:
+                    yield from out()
     yield from out()
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -450,3 +451,18 @@ def test_a_line_of_many_cards_is_segmented_whole(field):
     assert score == pytest.approx(best[n])
     true = {("card", 20 * i, 20 * i + 19) for i in range(500)}
     assert len(true & set(got)) >= 0.98 * len(true)
+
+
+@pytest.mark.parametrize("most", [500_000, 10])
+def test_characters_of_long_tokens_are_all_counted(monkeypatch, most):
+    monkeypatch.setattr(lm_score, "MOST_GRAMS", most, raising=False)
+    long = "".join(chr(0x4E00 + i % 97) for i in range(150_000))
+    tokens = [long, "ab" * 30, "short"]
+    got, want = Counter(), Counter()
+    for part in lm_score._grams(iter([pd.DataFrame({"lang": [0, 0, 1], "token": tokens})])):
+        for lang, g, n in zip(part["lang"], part["gram"], part["n"], strict=True):
+            got[lang, g] += n
+    for lang, t in zip([0, 0, 1], tokens, strict=True):
+        t = " " + t + "\n"
+        want.update((lang, t[i : i + k]) for k in range(1, 6) for i in range(len(t) - k + 1))
+    assert got == want
