@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neurolake.llm.common import WORD, ascii_lower, connected_components, written
+from neurolake.llm.common import Scratch, connected_components, roots, shuffle_partitions, written
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -26,21 +25,36 @@ LEAST_ESTIMATE = 0.56
 #: Samples and bits of the finer sketches by which sets are compared across components; their estimate's standard error is 0.0185,
 #: and pairs 4.5 of these below the threshold are dropped.
 FINE_SAMPLES, FINE_BITS, FINE_LEAST = 1024, 4096, 0.667
-FINE_MOST_BITS = math.floor(FINE_BITS / 2 * (1 - (1 - 2 / FINE_BITS) ** (2 * FINE_SAMPLES * (1 - FINE_LEAST))))
-#: Further pivots that sets outside a bucket's largest component are paired with, before all pairs across components are.
-AGAIN = 2
-#: The XOR of two sketches has about BITS / 2 * (1 - (1 - 2 / BITS) ^ d) bits when the samples differ in d elements.
-MOST_BITS = math.floor(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * SAMPLES * (1 - LEAST_ESTIMATE))))
+#: Finer bands: a pair of similarity 0.75 shares none with probability (1 - 0.75^10)^160 = 0.0001, one of 0.5 does with 0.15 and one of 0.33 with 0.002.
+FINE_BANDS, FINE_ROWS = 160, 10
+#: Rounds in which components are paired with the largest of their buckets by their nearest sets; sets of a component that meet others at once.
+AGAIN, CHUNK = 3, 256
+
+
+def most_bits(bits: int, samples: int, least: float) -> int:
+    """The XOR of two sketches has about bits / 2 * (1 - (1 - 2 / bits) ^ d) bits when the samples differ in d elements."""
+    return math.floor(bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - least))))
+
+
+MOST_BITS, FINE_MOST_BITS = most_bits(BITS, SAMPLES, LEAST_ESTIMATE), most_bits(FINE_BITS, FINE_SAMPLES, FINE_LEAST)
 
-_words = re.compile(WORD).findall
 _rng = np.random.default_rng(20240607)
-_ODD = _rng.integers(0, 1 << 63, size=SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, size=SAMPLES, dtype=np.uint64)
-_PLACE = _rng.integers(0, 1 << 63, size=(SHINGLE, SHINGLE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BAND = _rng.integers(0, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FINE_ODD = _rng.integers(0, 1 << 63, size=FINE_SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FINE_ADD = _rng.integers(0, 1 << 63, size=FINE_SAMPLES, dtype=np.uint64)
-_MEMO = 500_000
+
+
+def _odd(dtype, *shape: int) -> np.ndarray:
+    return _rng.integers(0, np.iinfo(dtype).max, size=shape, dtype=dtype, endpoint=True) | dtype(1)
+
+
+_ODD, _ADD = _odd(np.uint32, SAMPLES), _odd(np.uint32, SAMPLES)
+_FINE_ODD, _FINE_ADD = _odd(np.uint32, FINE_SAMPLES), _odd(np.uint32, FINE_SAMPLES)
+_PLACE, _BAND, _FINE_BAND = _odd(np.uint64, SHINGLE, SHINGLE), _odd(np.uint64, BANDS, ROWS), _odd(np.uint64, FINE_BANDS, FINE_ROWS)
+_PICK = np.stack([_rng.permutation(FINE_SAMPLES)[:FINE_ROWS] for _ in range(FINE_BANDS)])
+#: Words' hashes: a weight for each byte (none for white space) times powers of BASE.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = np.where(_SPACE, np.uint64(0), _odd(np.uint64, 256))
+BASE = 0x9E3779B97F4A7C15
+#: Bytes that are hashed at once.
+BLOCK = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,35 +64,68 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingles:
-    """Sorted 64-bit hashes of a text's distinct shingles; remembers words' hashes."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.array([1] + [base] * n, dtype=np.uint64), dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(BASE, BLOCK), _powers(pow(BASE, -1, 1 << 64), BLOCK)
+
 
-    def __init__(self):
-        self.memo: dict[str, int] = {}
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the text's words, A-Z in lower case, in order.
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = _words(ascii_lower(text or ""))
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        memo = self.memo
-        if len(memo) > _MEMO:
-            memo.clear()
-        for w in set(words).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-        k = min(len(h), SHINGLE)
-        total = np.zeros(len(h) - k + 1, dtype=np.uint64)
-        for j in range(k):
-            total += h[j : len(h) - k + 1 + j] * _PLACE[k - 1, j]
-        return np.unique(_mix(total))
+    A word is the polynomial of its bytes' weights in BASE, mod 2^64: the difference of two running sums over the text, moved to the
+    power 0. Words beyond 64 bytes, where such polynomials are weak against made-up input, are hashed by xxHash.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    if len(raw) <= BLOCK:
+        return _hashed(raw)
+    words, parts, some, size = raw.split(), [], [], 0
+    for w in words:
+        if some and size + len(w) > BLOCK:
+            parts.append(_hashed(b" ".join(some)))
+            some, size = [], 0
+        some.append(w if len(w) < BLOCK else w[:65])
+        size += len(some[-1]) + 1
+        if len(w) >= BLOCK:
+            parts.append(_hashed(b" ".join(some)))
+            parts[-1][-1] = xxhash.xxh3_64_intdigest(w)
+            some, size = [], 0
+    return np.concatenate([*parts, _hashed(b" ".join(some))])
+
+
+def _hashed(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, dtype=np.uint8)
+    if not len(b):
+        return np.zeros(0, dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[b] * _UP[: len(b)], dtype=np.uint64)])
+    turn = np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1)
+    start, end = np.nonzero(turn == -1)[0], np.nonzero(turn == 1)[0]
+    out = _mix((total[end] - total[start]) * _DOWN[start])
+    for i in np.nonzero(end - start > 64)[0]:
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]])
+    return out
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    k = min(len(h), SHINGLE)
+    total = np.zeros(len(h) - k + 1, dtype=np.uint64)
+    for j in range(k):
+        total += h[j : len(h) - k + 1 + j] * _PLACE[k - 1, j]
+    return np.unique(_mix(total))
 
 
 def _lowest(hashes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """MinHash samples: for each function the least of the set's values, its upper half."""
-    low = np.full(len(odd), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(low, (hashes[at : at + 1024, None] * odd + add).min(axis=0), out=low)
-    return low >> np.uint64(32)
+    """MinHash samples: for each function the least of its values on the upper halves of the set's hashes."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    low = np.full(len(odd), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(x), 256):
+        np.minimum(low, (x[at : at + 256, None] * odd + add).min(axis=0), out=low)
+    return low.astype(np.uint64)
 
 
 def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
@@ -87,55 +134,54 @@ def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount(places.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _banded(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return _mix((rows * weights).sum(axis=1, dtype=np.uint64) + np.arange(len(weights), dtype=np.uint64)).view(np.int64)
+
+
 def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes and the odd sketch of a set."""
     low = _lowest(hashes, _ODD, _ADD)
-    bands = _mix((low.reshape(BANDS, ROWS) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-    return bands.view(np.int64), odd_sketch(low, BITS)
+    return _banded(low.reshape(BANDS, ROWS), _BAND), odd_sketch(low, BITS)
+
+
+def _key(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingles()
     for b in batches:
         rows = []
-        for doc, text in zip(b["doc_id"], b["text"], strict=True):
+        for doc, mark, text in zip(b["doc_id"], b["mark"], b["text"], strict=True):
             h = shingles(text)
-            key, bands, sketch = None, None, None
-            if len(h):
-                key = xxhash.xxh3_128_digest(h.tobytes())
-                bands, sketch = signature(h)
-            rows.append((doc, len(h), key, bands, sketch))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "bands", "sketch"]).astype({"doc_id": "Int64"})
+            rows.append((doc, mark, len(h), _key(h), *signature(h)) if len(h) else (doc, mark, 0, None, None, None))
+        yield pd.DataFrame(rows, columns=["doc_id", "mark", "n", "key", "bands", "sketch"]).astype({"doc_id": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingles()
     for b in batches:
-        sets = [shingles(t).tobytes() for t in b["text"]]
-        yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s) for s in sets], "hashes": sets})
+        sets = [shingles(t) for t in b["text"]]
+        right = [_key(s) == k for s, k in zip(sets, b["key"], strict=True)]
+        yield pd.DataFrame({"sid": b["sid"], "hashes": [s.tobytes() for s in sets]})[right]
 
 
 def _fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingles = Shingles()
     for b in batches:
-        sets = [shingles(t) for t in b["text"]]
-        yield pd.DataFrame({"key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "fine": [odd_sketch(_lowest(s, _FINE_ODD, _FINE_ADD), FINE_BITS) for s in sets]})
+        low = [_lowest(np.frombuffer(h, dtype=np.uint64), _FINE_ODD, _FINE_ADD) for h in b["hashes"]]
+        yield pd.DataFrame({"sid": b["sid"], "n": [len(h) // 8 for h in b["hashes"]], "component": b["component"], "bands": [_banded(x[_PICK], _FINE_BAND) for x in low], "fine": [odd_sketch(x, FINE_BITS) for x in low]})
 
 
 def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         yes = []
-        for x, y in zip(b["ha"], b["hb"], strict=True):
+        for x, y in zip(b["xa"], b["xb"], strict=True):
             x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             yes.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield b.loc[yes, ["a", "b"]]
+        yield b.loc[yes, [c for c in b.columns if c not in ("xa", "xb")]]
 
 
-def _near(a: Column, b: Column) -> Column:
-    """Whether sizes and odd sketches leave a similarity of 0.75 possible."""
-    sizes = 100 * F.least(a["n"], b["n"]) >= PERCENT * F.greatest(a["n"], b["n"])
-    return sizes & (_apart(a["sketch"], b["sketch"], BITS) <= MOST_BITS)
+def _sized(a: Column, b: Column) -> Column:
+    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
 def _apart(a: Column, b: Column, bits: int) -> Column:
@@ -145,26 +191,101 @@ def _apart(a: Column, b: Column, bits: int) -> Column:
     return total
 
 
-def _sketched(pairs: DataFrame, side: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b: keys) those that sizes and sketches leave, as a written table."""
-    both = pairs.join(side.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(side.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
-    return written(both.where(_near(F.col("sa"), F.col("sb"))).select("a", "b"), "pairs")
-
+def _both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """``pairs`` with ``value`` of ``table`` (by sid) for a and b, as xa and xb."""
+    for c in "ba":
+        pairs = pairs.join(table.select(F.col("sid").alias(c), F.col(value).alias(f"x{c}")), c)
+    return pairs
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b: keys) those whose full sets are similar enough. The sets are made again from the texts."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(first, "key").select("doc_id").distinct()
-    sets = texts.join(needed, "doc_id", "left_semi").select("text").mapInPandas(_sets, "key binary, hashes binary")
-    sets = written(sets, "sets").groupBy("key").agg(F.first("hashes").alias("hashes"))
-    both = pairs.join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = both.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a")
-    return both.select("a", "b", "ha", "hb").mapInPandas(_linked, "a binary, b binary")
+def _sketched(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b: sids) those of which sizes and odd sketches leave a similarity of 0.75 possible."""
+    a, b = F.col("xa"), F.col("xb")
+    near = _sized(a["n"], b["n"]) & (_apart(a["sketch"], b["sketch"], BITS) <= MOST_BITS)
+    return _both(pairs, side, "s").where(near).drop("xa", "xb")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` those whose full sets are similar enough."""
+    kept = ", ".join(f"{c} long" for c in pairs.columns)
+    return _both(pairs, sets, "hashes").mapInPandas(_linked, kept)
+
+
+def _full_sets(docs: DataFrame, needed: DataFrame, tables: Scratch) -> DataFrame:
+    """``sid, hashes`` of ``needed`` (sid, key, low, mark), made again from the texts of the rows that stand for them."""
+    least = lambda c: F.coalesce(c, F.lit(-(1 << 63)))  # noqa: E731  so that null ids meet
+    rows = needed.select("sid", "key", least(F.col("low")).alias("doc_id"), "mark")
+    texts = docs.withColumn("doc_id", least(F.col("doc_id"))).join(rows, ["doc_id", "mark"]).select("sid", "key", "text")
+    sets = tables.written(texts.mapInPandas(_sets, "sid long, hashes binary"), "sets")
+    if sets.count() > sets.select("sid").distinct().count():  # rows that repeat an id and its text
+        sets = tables.written(sets.groupBy("sid").agg(F.first("hashes").alias("hashes")), "sets")
+    return sets
+
+
+def _mixed(own: DataFrame) -> DataFrame:
+    """``own`` (bucket, sid, component) of buckets that hold several components, with the largest's name as ``main``."""
+    sizes = own.groupBy("bucket", "component").count()
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    return own.join(main.select("bucket", F.col("m.component").alias("main")), "bucket")
+
+
+def _placed(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """``own`` with its components renamed as ``groups`` (node, component) says."""
+    groups = groups.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    others = [c for c in own.columns if c != "component"]
+    return own.join(groups, "component", "left").select(*others, F.coalesce("into", "component").alias("component"))
+
+
+def _near_main(best: bool):
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of each group, pairs of a set outside the main component and one in it that sizes and finer sketches leave; the nearest only, if ``best``."""
+        pdf = pdf.sort_values(["main", "i", "j", "large"])
+        large, sid, part, n = (pdf[c].to_numpy() for c in ("large", "sid", "component", "n"))
+        bits = np.stack(pdf["fine"].to_numpy()).view(np.uint64)
+        cuts = np.nonzero((np.diff(pdf[["main", "i", "j"]].to_numpy(), axis=0) != 0).any(axis=1))[0] + 1
+        out = []
+        for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            mid = at + int((~large[at:end]).sum())
+            x, y = bits[at:mid], bits[mid:end]
+            if not len(x) or not len(y):
+                continue
+            far = np.zeros((len(x), len(y)), dtype=np.int64)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+            nx, ny = n[at:mid, None], n[None, mid:end]
+            far[100 * np.minimum(nx, ny) < PERCENT * np.maximum(nx, ny)] = FINE_BITS
+            r, c = (np.arange(len(x)), far.argmin(axis=1)) if best else np.nonzero(far <= FINE_MOST_BITS)
+            some = far[r, c] <= FINE_MOST_BITS
+            r, c = r[some] + at, c[some] + mid
+            out.append((sid[r], sid[c], part[r], part[c], far[r - at, c - mid]))
+        return pd.DataFrame(dict(zip(("a", "b", "ca", "cb", "far"), map(np.concatenate, zip(*out)) if out else [[]] * 5, strict=True)))
+
+    return near
+
+
+def _to_main(own: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
+    """Pairs of a set and a member of the largest component of one of its buckets, which meet in chunks of both; ``best``: one for two components."""
+    rows = own.select("main", "sid", "component", (F.col("component") == F.col("main")).alias("large")).distinct()
+    chunks = rows.groupBy("main").agg(*[F.ceil(F.count_if(F.col("large") == x) / CHUNK).alias(c) for c, x in (("ci", False), ("cj", True))])
+    each = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    own_chunk = lambda c: F.array(F.pmod(F.xxhash64("sid"), F.col(c)))
+    rows = rows.join(chunks, "main").join(fine.drop("component", "bands"), "sid")
+    rows = rows.withColumn("i", F.explode(F.when(F.col("large"), each("ci")).otherwise(own_chunk("ci"))))
+    rows = rows.withColumn("j", F.explode(F.when(F.col("large"), own_chunk("cj")).otherwise(each("cj")))).drop("ci", "cj")
+    batches = shuffle_partitions(own.sparkSession) * 4
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("main", "i", "j"), F.lit(batches)))
+    pairs = rows.groupBy("batch").applyInPandas(_near_main(best), "a long, b long, ca long, cb long, far long")
+    if best:
+        pairs = pairs.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
+    return pairs.select("a", "b", "ca", "cb")
+
+
+def _among_others(own: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs of sets of different components of a bucket, neither of them its largest, that sizes and finer sketches leave."""
+    rows = own.where("component != main").select("bucket", "sid", "component").join(fine.select("sid", "n", "fine"), "sid")
+    left, right = (rows.select("bucket", *[F.col(x).alias(f"{y}{c}") for x, y in (("sid", ""), ("component", "c"), ("n", "n"), ("fine", "x"))]) for c in "ab")
+    near = _sized(F.col("na"), F.col("nb")) & (_apart(F.col("xa"), F.col("xb"), FINE_BITS) <= FINE_MOST_BITS)
+    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -175,84 +296,77 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the smallest doc_id that links reach, kept says that this is the row's own.
 
     1. Rows with equal sets become one (a partial aggregate, so a hot group of copies is no one task's work).
-    2. Each set's MinHash samples are cut into BANDS buckets. In a bucket every set is paired with the bucket's smallest one
-       only; size and odd sketch drop pairs far below the threshold, the full sets decide the rest. Groups of copies thus cost
-       as many pairs as members.
-       Sets that stay outside their bucket's largest component are paired with other members of it, AGAIN times.
-    3. Where a bucket still holds sets of several components, all pairs across components are tried likewise, so no link
-       between sets that share a bucket is lost; pairs within a component can add nothing.
+    2. Each set's MinHash samples are cut into BANDS buckets. A set is paired with the smallest one of the fullest of its buckets; size and
+       odd sketch drop pairs far below the threshold, the full sets decide the rest. Groups of copies thus cost as many pairs as members.
+    3. Sets of buckets that still hold several components are dealt anew by FINE_BANDS finer bands, which unlike texts with a common
+       passage hardly share. Sets outside the largest component of one of their buckets meet its members there, in chunks, by finer
+       sketches; in each of at most AGAIN rounds the nearest two sets of two components are compared in full.
+    4. In buckets that are mixed even then, all members of different components that the finer sketches leave are compared in full.
+       Pairs within a component can add nothing. So a link is missed only if its sets share no band, or no finer one: with a
+       probability below 0.0003 at 0.75.
 
     Null or empty text, or text without words: an empty set, linked with nothing. Null doc_id: never smallest; a group of
     null ids has a null component. Repeated rows have equal sets. Rows of one doc_id and different texts are told apart.
     An empty table gives no rows. Sets are 64-bit hashes of shingles: two shingles of a pair of documents of n shingles
-    collide with probability below n^2 / 2^63.
+    collide with probability below n^2 / 2^63. The result is a written table; those on the way to it are deleted.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, n long, key binary, bands array<long>, sketch array<long>"
-    signed = written(texts.mapInPandas(_signatures, schema), "signatures")
-    first = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    # the texts that stand for a set are looked up by doc_id; a null id is looked up as the smallest number
-    least = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    texts, first = texts.withColumn("doc_id", least), first.withColumn("doc_id", least)
-    sets = written(signed.where("n > 0").groupBy("key").agg(F.first(F.struct("n", "bands", "sketch")).alias("s")).select("key", "s.*"), "distinct")
-    members = sets.select("key", F.explode("bands").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("bucket", "pivot")
-    members = written(members.join(pivots, "bucket"), "buckets")
-    side = sets.select("key", F.struct("n", "sketch").alias("s"))
-    star = members.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = _sketched(star, side)
-    links = _confirmed(tried, texts, first)
-    groups = connected_components(links)
-
-    def placed() -> DataFrame:
-        own = members.select("bucket", "key").join(groups.withColumnRenamed("node", "key"), "key", "left")
-        return written(own.withColumn("component", F.coalesce("component", "key")), "placed")
-
-    for again in range(AGAIN):
-        # what a bucket's first pivot missed meets another member of the bucket's largest component
-        own = placed()
-        sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(again)).alias("h"), "key")).alias("p"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component", F.col("p.key").alias("pivot"))).alias("m"), F.count("*").alias("k"))
-        main = main.where("k > 1").select("bucket", F.col("m.component").alias("main"), F.col("m.pivot").alias("b"))
-        pairs = own.join(main, "bucket").where("component != main").select(F.col("key").alias("a"), "b").distinct()
-        pairs = _sketched(pairs.join(_both_ways(tried), ["a", "b"], "left_anti"), side)
-        links = written(links.unionByName(_confirmed(pairs, texts, first)), "links")
-        tried = tried.unionByName(pairs)
-        groups = connected_components(links)
-
-    own = placed()
-    mixed = own.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    rest = written(own.join(mixed, "bucket", "left_semi"), "rest")
-    ids = rest.select("key").distinct().join(first, "key").select("doc_id").distinct()
-    fine = texts.join(ids, "doc_id", "left_semi").select("text").mapInPandas(_fine, "key binary, fine array<long>")
-    fine = written(fine, "fine").groupBy("key").agg(F.first("fine").alias("fine"))
-    rest = rest.join(sets, "key").join(fine, "key")
-    some = F.struct("n", "sketch", "bands", "fine")
-    left = rest.select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"), some.alias("sa"))
-    right = rest.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"), some.alias("sb"))
-    x, y = F.col("sa"), F.col("sb")
-    # a pair that shares several buckets comes out of the first of them only
-    before = F.array_position(x["bands"], F.col("bucket")).cast("int") - 1
-    earlier = F.exists(F.zip_with(F.slice(x["bands"], F.lit(1), before), F.slice(y["bands"], F.lit(1), before), lambda p, q: p == q), lambda same: same)
-    close = _near(x, y) & (_apart(x["fine"], y["fine"], FINE_BITS) <= FINE_MOST_BITS) & ~earlier
-    across = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close)
-    more = _confirmed(across.select("a", "b").distinct().join(_both_ways(tried), ["a", "b"], "left_anti"), texts, first)
-    groups = connected_components(links.unionByName(more))
-
-    ids = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-    grouped = ids.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    lowest = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = grouped.join(lowest, "component").select("key", "component_id")
-    out = signed.select("doc_id", "n", "key").join(named, "key", "left")
+    tables = Scratch(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    schema = "doc_id long, mark long, n long, key binary, bands array<long>, sketch array<long>"
+    signed = tables.written(texts.mapInPandas(_signatures, schema), "signatures")
+    row = F.min_by(F.struct(F.col("doc_id").alias("low"), "mark", "n", "bands", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    distinct = signed.where("n > 0").groupBy("key").agg(row.alias("s")).select(F.monotonically_increasing_id().alias("sid"), "key", "s.*")
+    distinct = tables.written(distinct, "distinct")
+    side = distinct.select("sid", F.struct("n", "sketch").alias("s"))
+    members = distinct.select("sid", F.explode("bands").alias("bucket"))
+    pivots = members.groupBy("bucket").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1")
+    members = tables.written(members.join(pivots, "bucket"), "buckets")
+    needed = members.select("sid").distinct().join(distinct, "sid").select("sid", "key", "low", "mark")
+    sets = _full_sets(texts, needed, tables)
+
+    first = members.where("sid != pivot").groupBy("sid").agg(F.max_by("pivot", F.struct("c", "bucket")).alias("b"))
+    first = tables.written(_sketched(first.select(F.col("sid").alias("a"), "b"), side), "pairs")
+    links = tables.written(_confirmed(first, sets), "links")
+    steps = [roots(links.select(F.col("a").alias("node"), F.col("b").alias("parent")))]
+    own = tables.written(_placed(members.select("bucket", "sid", F.col("sid").alias("component")), steps[0]), "placed")
+    rest = tables.written(_mixed(own).select("sid", "component").distinct(), "rest")
+    if not rest.isEmpty():
+        fine = tables.written(rest.join(sets, "sid").mapInPandas(_fine, "sid long, n long, component long, bands array<long>, fine array<long>"), "fine")
+        own = fine.select("sid", "component", F.explode("bands").alias("bucket"))
+        for again in range(AGAIN + 1):
+            own = tables.written(_mixed(own), "placed")
+            if again == AGAIN:
+                break
+            found = tables.written(_confirmed(_to_main(own, fine, best=True), sets), "links")
+            if found.isEmpty():
+                break
+            steps.append(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+            own = _placed(own.select("sid", "component", "bucket"), steps[-1])
+        pairs = tables.written(_to_main(own, fine, best=False).unionByName(_among_others(own, fine)), "pairs")
+        found = tables.written(_confirmed(pairs, sets), "links")
+        if not found.isEmpty():
+            steps.append(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+
+    named = distinct.select("key", "low", F.col("sid").alias("component"))
+    for groups in steps:
+        named = _placed(named, groups)
+    named = tables.written(named, "named")
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = signed.select("doc_id", "n", "key").join(named.join(lowest, "component").select("key", "component_id"), "key", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = written(out, "near-duplicates")
+    tables.drop()
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept: of each group its smallest doc_id, with all columns; of rows that repeat a doc_id and text, one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = near_duplicates(docs)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return rows.dropDuplicates(["doc_id", "text"]) if repeated else rows
 
 
 #: Every pair, by an inverted index of shingles; for small tables.
