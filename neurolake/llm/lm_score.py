@@ -1,331 +1,317 @@
-"""Language-model scores: a weighted backoff automaton over words, with one over characters below it."""
+"""Language-model scores: a weighted backoff automaton over words, with one over the bytes of their spelling below it."""
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurolake.llm.common import WORD, ascii_lower, shuffle_partitions, written
+from neurolake.llm.common import Scratch, words_of, written
 from neurolake.llm.toxicity import remainder
 
-#: The end of a text; no word holds white space.
-END = "\n"
+#: Taken off each count of an arc; what is taken off is the weight of the state's failure arc.
 DISCOUNT = 0.75
-#: Characters of an n-gram, with its last; different n-grams that a task holds before it sends their counts on.
-ORDER, MOST_GRAMS = 5, 500_000
-#: n-grams are states if they hold this share of all, so there are at most (their number a token) / SHARE of them, at any size
-#: of the corpus. Words whose share of a block's tokens is below FREQUENT are no contexts.
-CHAR_SHARE, PAIR_SHARE, FREQUENT = 5e-6, 1e-6, 1e-4
-CODE_POINTS = 0x110000
-#: Steps of an automaton that a worker remembers.
-MOST_STEPS = 200_000
-#: Languages with automata of their own, the last for all others and none; tokens between which a text may change its
-#: language, and how often it does.
-MOST_LANGS, SPAN, SWITCH = 8, 16, 0.02
-#: A token's probabilities travel as logarithms in steps of this part of a decade.
-STEP = 1024
-#: Tokens that a task counts at once.
-FLUSH = 4_000_000
-
-_words = re.compile(WORD).findall
+#: Tokens of a block: what a task holds at once, but for a single longer text.
+BLOCK = 2_000_000
+#: Characters of the corpus for each part of the counts, so that a part's task stays as small at any size.
+PART_CHARS = 16_000_000
+#: Words that hold this share of a bounded sample of texts have their pairs spread over all parts. This decides only which task counts a pair.
+HOT_SHARE, HOT_TEXTS = 0.005, 1000
+#: Contexts of three bytes share this many states, by a hash; those of two and one have states of their own.
+CLASSES = 1 << 16
+START, END_BYTE = 0x20, 0x0A
 
 
 class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         return n
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block: every token with its numbers in training texts by language, and pairs of frequent tokens there."""
-    held: dict[int, tuple[_Numbers, list, list]] = {}  # train: the language's number, or -1 for a held-out text
-    size = 0
-
-    def flush() -> Iterator[pd.DataFrame]:
-        for block, (numbers, ids, train) in held.items():
-            names = np.array(list(numbers), dtype=object)
-            every, lang = np.concatenate(ids), np.concatenate(train)
-            learn = lang >= 0
-            n = np.bincount(every[learn], minlength=len(names))
-            code, c = np.unique(every[learn] * MOST_LANGS + lang[learn], return_counts=True)
-            never = np.nonzero(n == 0)[0]
-            token, lang = np.concatenate([code // MOST_LANGS, never]), np.concatenate([code % MOST_LANGS, never * 0])
-            c = np.concatenate([c, never * 0])
-            first = np.ones(len(token), dtype=bool)
-            first[1:] = token[1:] != token[:-1]
-            for at in range(0, len(token), 100_000):
-                some = slice(at, at + 100_000)
-                yield pd.DataFrame({"block": block, "before": None, "token": names[token[some]], "lang": lang[some], "n": c[some], "first": first[some]})
-            often = n >= max(2, FREQUENT * n.sum())
-            a, b = every[:-1], every[1:]
-            pair = learn[:-1] & learn[1:] & often[a] & often[b]
-            # the token after an end is another text's first, whose context is an end: so is it counted
-            code, c = np.unique(a[pair] * len(names) + b[pair], return_counts=True)
-            for at in range(0, len(code), 100_000):
-                some = slice(at, at + 100_000)
-                yield pd.DataFrame({"block": block, "before": names[code[some] // len(names)], "token": names[code[some] % len(names)], "lang": 0, "n": c[some], "first": False})
-        held.clear()
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-    for b in batches:
-        for block, text, lang in zip(b["block"], b["text"], b["train"], strict=True):
-            if block not in held:
-                held[block] = _Numbers(), [np.array([], np.int64)], [np.array([], np.int64)]
-                held[block][0][END] = 0
-            numbers, ids, train = held[block]
-            w = _words(ascii_lower(text or ""))
-            one = np.fromiter(map(numbers.__getitem__, w), dtype=np.int64, count=len(w))
-            ids.append(np.append(one, 0))
-            train.append(np.full(len(w) + 1, lang))
-            size += len(w) + 1
-        if size > FLUSH:
-            yield from flush()
-            size = 0
-    yield from flush()
+
+def packed(x: np.ndarray, dtype: str = "<u8") -> bytes:
+    """Numbers as planes of bytes, of which the high ones are mostly zero and compress well."""
+    x = np.ascontiguousarray(x, dtype=dtype)
+    return x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+
+
+def unpacked(raw: bytes, dtype: str = "<u8") -> np.ndarray:
+    d = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(d.itemsize, -1).T).view(d).ravel()
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Character n-grams of each distinct token, from a start mark to an end mark, by language and length."""
-    counts: dict[int, Counter[str]] = {}
+def _blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as numbers of their tokens, and a row for each block with the words that it numbers, the end of a text (an empty word) first."""
+    number, rows, size, k = _Numbers(), [], 0, 0
+    number[b""] = 0
+    place = TaskContext.get().partitionId() << 24
 
-    def out() -> Iterator[pd.DataFrame]:
-        for lang, longest in counts.items():
-            count: Counter[str] = Counter()
-            for g, n in longest.items():  # a shorter n-gram begins as many longest ones as it occurs
-                for k in range(1, len(g) + 1):
-                    count[g[:k]] += n
-            yield pd.DataFrame({"lang": lang, "gram": list(count), "n": list(count.values())})
-        counts.clear()
+    def out() -> pd.DataFrame:
+        table = pd.DataFrame(rows, columns=["doc_id", "held", "ids"]).astype({"doc_id": "Int64"}).assign(vocabulary=None)
+        words = pd.DataFrame({"doc_id": pd.array([None], "Int64"), "held": [None], "ids": [None], "vocabulary": [b"\n".join(number)]})
+        return pd.concat([table, words]).assign(block=place + k)
 
     for b in batches:
-        for lang, tokens in b.groupby("lang")["token"]:
-            grams = (t[i : i + ORDER] for t in (" " + t + END for t in tokens) for i in range(len(t)))
-            while some := list(islice(grams, 100_000)):
-                counts.setdefault(lang, Counter()).update(some)
-                if sum(map(len, counts.values())) > MOST_GRAMS:
-                    yield from out()
-    yield from out()
-
-
-@dataclass(frozen=True)
-class CharAutomaton:
-    """States are contexts of up to ORDER - 1 characters. ``arcs``: context + character to probability, all lower orders mixed in;
-    ``fail``: the weight with which a context falls back to the one without its first character."""
-
-    arcs: dict[str, float]
-    fail: dict[str, float]
-    #: Steps taken before: state + character to the logarithm of its probability and the next state.
-    steps: dict[str, tuple[float, str]] = field(default_factory=dict, compare=False)
-
-    def _step(self, state: str, ch: str) -> tuple[float, str]:
-        weight, s = 1.0, state
-        while (p := self.arcs.get(s + ch)) is None:
-            weight *= self.fail.get(s, 1.0)
-            if not s:
-                p = 1.0 / CODE_POINTS
-                break
-            s = s[1:]
-        follow = (s + ch)[-(ORDER - 1) :]
-        while follow and follow not in self.fail:  # a context without counts of its own falls back at no cost
-            follow = follow[1:]
-        if len(self.steps) >= MOST_STEPS:
-            self.steps.clear()
-        self.steps[state + ch] = out = math.log10(p * weight), follow
-        return out
-
-    def log10(self, token: str) -> float:
-        """One pass over the token's characters and its end, from the state of its beginning."""
-        total, state, steps = 0.0, " ", self.steps
-        for ch in (token + END) if token != END else END:
-            step = steps.get(state + ch) or self._step(state, ch)
-            total += step[0]
-            state = step[1]
-        return total
-
-
-def char_automaton(grams: dict[str, int]) -> CharAutomaton:
-    """Absolute discounting, interpolated, from counts of n-grams; a context without its own counts has no state."""
-    inside: dict[str, list[float]] = {}
-    for g, n in grams.items():
-        if g != " ":  # the start mark is never predicted
-            t = inside.setdefault(g[:-1], [0, 0])
-            t[0] += n
-            t[1] += 1
-    fail = {c: DISCOUNT * kinds / n for c, (n, kinds) in inside.items()}
-    arcs: dict[str, float] = {}
-    for g in sorted(grams, key=len):
-        if g == " ":
-            continue
-        c = g[:-1]
-        weight, below = fail[c], c
-        lower = 1.0 / CODE_POINTS
-        while below:
-            below = below[1:]
-            if (p := arcs.get(below + g[-1])) is not None:
-                lower = p
-                break
-            weight *= fail.get(below, 1.0)
-        arcs[g] = (grams[g] - DISCOUNT) / inside[c][0] + weight * lower
-    return CharAutomaton(arcs, fail)
-
-
-@dataclass(frozen=True)
-class WordAutomaton:
-    """States are frequent words; ``number`` numbers them. ``codes``, sorted: context * len + word of the arcs, ``direct`` their
-    discounted shares; ``fail``: each state's weight of the root, whose arcs are all tokens."""
-
-    number: dict[str, int]
-    codes: np.ndarray
-    direct: np.ndarray
-    fail: np.ndarray
-
-    def spans(self, ids: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """Left to right: logarithms of each token's probability at the state that its predecessor leads to, summed over spans.
-        ``root``: those at the root, a column a language."""
-        state = np.concatenate([[self.number.get(END, -1)], ids[:-1]])
-        at = state >= 0
-        logs = root + np.where(at, np.log10(self.fail)[state], 0.0)[:, None]
-        if len(self.codes):
-            both = np.nonzero(at & (ids >= 0))[0]
-            code = state[both] * len(self.fail) + ids[both]
-            k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[k] == code
-            both, k = both[hit], k[hit]
-            logs[both] = np.log10(10.0 ** logs[both] + self.direct[k][:, None])
-        return np.add.reduceat(logs, np.arange(0, len(logs), SPAN), axis=0)
-
-
-def over_languages(texts: list[np.ndarray], share: np.ndarray) -> np.ndarray:
-    """Each text's logarithm, from its spans' by language. The language is part of the state: it may change from span to span, and a
-    text's pass carries how likely each is. All texts take their j-th step at once."""
-    size = np.array([len(t) for t in texts])
-    flat, start = np.concatenate(texts), np.cumsum(size) - size
-    order = np.argsort(-size, kind="stable")
-    size, start = size[order], start[order]
-    total, now = np.zeros(len(texts)), np.tile(share, (len(texts), 1))
-    for j in range(size[0]):
-        c = int(np.searchsorted(-size, -j))  # texts with more than j spans
-        x = flat[start[:c] + j]
-        top = x.max(axis=1)
-        likely = now[:c] * 10.0 ** (x - top[:, None])
-        sums = likely.sum(axis=1)
-        total[:c] += top + np.log10(sums)
-        now[:c] = (1 - SWITCH) * likely / sums[:, None] + SWITCH * share
-    out = np.empty(len(texts))
-    out[order] = total
-    return out
+        for doc, held, text in zip(b["doc_id"], b["held"], b["text"], strict=True):
+            w = words_of(text)
+            ids = np.fromiter(map(number.__getitem__, w), dtype=np.uint32, count=len(w))
+            rows.append((doc, held, packed(np.append(ids, 0), "<u4")))
+            size += len(w) + 1
+            if size >= BLOCK:
+                yield out()
+                number.clear()
+                number[b""] = 0
+                rows, size, k = [], 0, k + 1
+    if rows:
+        yield out()
+
+
+class Block:
+    """A block's tokens and pairs of neighbours, and the order in which they go to the parts and come back."""
+
+    def __init__(self, pdf: pd.DataFrame, parts: int, hot: np.ndarray):
+        own = pdf["vocabulary"].notna()
+        self.names = pdf["vocabulary"][own].iloc[0].split(b"\n")
+        docs = pdf[~own]
+        self.doc_id, self.held = docs["doc_id"], docs["held"].to_numpy(dtype=bool)
+        texts = [unpacked(x, "<u4").astype(np.int64) for x in docs["ids"]]
+        self.length = np.array([len(t) for t in texts])
+        self.ids = np.concatenate(texts)
+        self.first = np.cumsum(self.length) - self.length
+        self.learn = np.repeat(~self.held, self.length)
+        before = np.concatenate([[0], self.ids[:-1]])
+        before[self.first] = 0  # a text begins at the state of an end
+        self.before = before
+        size = len(self.names)
+        pair, self.pair = np.unique(before * size + self.ids, return_inverse=True)
+        self.a, self.b = pair // size, pair % size
+        h = self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names], dtype=np.uint64)
+        self.part = (h % np.uint64(parts)).astype(np.int64)
+        spread = np.isin(h, hot)[self.a]
+        self.pair_part = np.where(spread, _mix(h[self.a] + h[self.b] * np.uint64(3)) % np.uint64(parts), h[self.a] % np.uint64(parts)).astype(np.int64)
+        self.order, self.pair_order = np.argsort(self.part, kind="stable"), np.argsort(self.pair_part, kind="stable")
+
+
+def _sent(parts: int, hot: np.ndarray):
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's counts in training texts, a row a part; words and pairs of held-out texts ask for theirs with a count of 0."""
+        x = Block(pdf, parts, hot)
+        n = np.bincount(x.ids[x.learn], minlength=len(x.names))
+        pn = np.bincount(x.pair[x.learn], minlength=len(x.a))
+        cut, pcut = (np.searchsorted(p[o], np.arange(parts + 1)) for p, o in ((x.part, x.order), (x.pair_part, x.pair_order)))
+        rows = []
+        for p in np.nonzero((np.diff(cut) > 0) | (np.diff(pcut) > 0))[0]:
+            own, pairs = x.order[cut[p] : cut[p + 1]], x.pair_order[pcut[p] : pcut[p + 1]]
+            a = x.a[pairs]
+            start = np.nonzero(np.diff(a, prepend=-1))[0]  # pairs of one context are neighbours
+            after = x.hash[x.b[pairs]]
+            rows.append((p, packed(x.hash[own]), packed(n[own], "<u4"), b"\n".join([x.names[i] for i in own]), packed(x.hash[a[start]]), packed(np.diff(start, append=len(a)), "<u4"),
+                         packed(after >> np.uint64(32), "<u4"), packed(after & np.uint64(0xFFFF), "<u2"), packed(pn[pairs], "<u4")))
+        return pd.DataFrame(rows, columns=["part", "word", "n", "names", "before", "run", "after", "low", "pn"]).assign(block=pdf["block"].iloc[0])
+
+    return send
+
+
+SENT = "part int, word binary, n binary, names binary, before binary, run binary, after binary, low binary, pn binary, block long"
+REPLY = "block long, part int, c binary, kinds binary, n binary, grams binary, times binary, hot array<long>, hot_kinds array<long>, tokens long, words long"
+
+
+def _merged(hot: np.ndarray):
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A part's counts over the corpus: sent back to each block in its order; and the part's share of sums, of n-grams of spellings and of spread contexts."""
+        pdf = pdf.sort_values("block")
+        words = [unpacked(w) for w in pdf["word"]]
+        word, at, place = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
+        c = np.bincount(place, weights=np.concatenate([unpacked(n, "<u4") for n in pdf["n"]]), minlength=len(word)).astype(np.int64)
+        sizes = [0]
+        before, after = [], []
+        for b, r, t, low in zip(pdf["before"], pdf["run"], pdf["after"], pdf["low"], strict=True):
+            before.append(np.repeat(unpacked(b), unpacked(r, "<u4")))
+            after.append(unpacked(t, "<u4").astype(np.uint64) << np.uint64(16) | unpacked(low, "<u2"))
+            sizes.append(len(before[-1]))
+        before, after, ends = np.concatenate(before), np.concatenate(after), np.cumsum(sizes)
+        _, first, pair = np.unique(_mix(before) + after * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+        n = np.bincount(pair, weights=np.concatenate([unpacked(x, "<u4") for x in pdf["pn"]]), minlength=len(first)).astype(np.int64)
+        context, kinds = np.unique(before[first[n > 0]], return_counts=True)
+        spread = np.isin(context, hot)
+        own_kinds = np.zeros(len(word), dtype=np.int64)
+        _, i, j = np.intersect1d(word, context[~spread], assume_unique=True, return_indices=True)
+        own_kinds[i] = kinds[~spread][j]
+        replies, low = [], 0
+        for k, (block, w) in enumerate(zip(pdf["block"], words, strict=True)):
+            some = place[low : low + len(w)]
+            low += len(w)
+            replies.append((block, packed(c[some]), packed(own_kinds[some]), packed(n[pair[ends[k] : ends[k + 1]]])))
+        names = [w for x, y in zip(pdf["names"], words, strict=True) if len(y) for w in x.split(b"\n")]
+        grams, times = np.unique(spelling_codes([names[k] for k in at[c > 0]]), return_counts=True)
+        out = pd.DataFrame(replies, columns=["block", "c", "kinds", "n"])
+        sums = {"block": [None], "grams": [packed(grams, "<u4")], "times": [packed(times)], "hot": [context[spread].view(np.int64)], "hot_kinds": [kinds[spread]], "tokens": [int(c.sum())], "words": [int((c > 0).sum())]}
+        out = pd.concat([out.assign(hot=None, hot_kinds=None), pd.DataFrame(sums)]).assign(part=pdf["part"].iloc[0]).astype({"block": "Int64", "tokens": "Int64", "words": "Int64"})
+        return out[[x.split()[0] for x in REPLY.split(", ")]]
+
+    return merge
+
+
+def _positions(words: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Each word's bytes and its end, one after the other, with the three bytes before each, which are start marks before a word's begin."""
+    b = np.frombuffer(b"\n".join(words) + b"\n", dtype=np.uint8).astype(np.int64) if words else np.zeros(0, dtype=np.int64)
+    back, gone = [], np.zeros(len(b), dtype=bool)
+    for k in (1, 2, 3):
+        x = np.concatenate([np.full(min(k, len(b)), END_BYTE), b[: max(len(b) - k, 0)]])
+        gone = gone | (x == END_BYTE)
+        back.append(np.where(gone, START, x))
+    return b, *back
+
+
+def _classes(x1: np.ndarray, x2: np.ndarray, x3: np.ndarray) -> np.ndarray:
+    return ((x3 << 16 | x2 << 8 | x1) * 0x9E3779B1 >> 12) % CLASSES
+
+
+def spelling_codes(words: list[bytes]) -> np.ndarray:
+    """n-grams of spellings: of three bytes as they are, and of a hashed context of three with its next byte from 2^24 on."""
+    b, x1, x2, x3 = _positions(words)
+    return np.concatenate([x2 << 16 | x1 << 8 | b, (1 << 24) + (_classes(x1, x2, x3) << 8 | b)])
+
+
+class Spelling:
+    """An automaton over bytes: states are contexts of three (hashed), two and one byte; a state's failure arc leads to the next shorter one.
+
+    Absolute discounting, interpolated, over the distinct words of the training texts, down to a uniform byte: the probabilities of a
+    word's bytes and its end sum to one at every state.
+    """
 
+    def __init__(self, codes: np.ndarray, times: np.ndarray):
+        two, three = codes < 1 << 24, codes >= 1 << 24
+        self.direct3, self.fail3 = self._level(codes[three] - (1 << 24), times[three], CLASSES)
+        self.direct2, self.fail2 = self._level(codes[two], times[two], 1 << 16)
+        one = np.bincount(codes[two] & 0xFFFF, weights=times[two], minlength=1 << 16)
+        none = one.reshape(256, 256).sum(axis=0)
+        d0, f0 = self._level(np.nonzero(none)[0], none[none > 0], 1)
+        d1, f1 = self._level(np.nonzero(one)[0], one[one > 0], 256)
+        self.lower = (d1.reshape(256, 256) + f1[:, None] * (d0[None, :] + f0[0] / 256)).ravel()
+
+    @staticmethod
+    def _level(codes: np.ndarray, times: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+        context = codes >> 8
+        total, kinds = np.bincount(context, weights=times, minlength=contexts), np.bincount(context, minlength=contexts)
+        direct = np.zeros(contexts * 256, dtype=np.float32 if contexts > 256 else np.float64)
+        direct[codes] = (times - DISCOUNT) / total[context]
+        return direct, np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+
+    def bytes_log10(self, words: list[bytes]) -> np.ndarray:
+        b, x1, x2, x3 = _positions(words)
+        two, three = x2 << 8 | x1, _classes(x1, x2, x3)
+        p = self.direct2[two << 8 | b] + self.fail2[two] * self.lower[x1 << 8 | b]
+        return np.log10(self.direct3[three << 8 | b] + self.fail3[three] * p)
+
+    def log10(self, words: list[bytes]) -> np.ndarray:
+        """A word's logarithm: the sum over its bytes and its end."""
+        size = np.array([len(w) + 1 for w in words])
+        return np.add.reduceat(self.bytes_log10(words), np.cumsum(size) - size)
+
+
+_spelling: dict[int, Spelling] = {}
+
+
+def _scored(parts: int, hot: np.ndarray, hot_kinds: np.ndarray, n: int, v: int, shared):
+    def score(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        if shared.value[0] not in _spelling:  # a worker serves one corpus after another
+            _spelling.clear()
+            _spelling[shared.value[0]] = Spelling(*shared.value[1:])
+        x = Block(docs, parts, hot)
+        replies = replies.sort_values("part")
+        c, kinds, pn = np.zeros(len(x.names), np.int64), np.zeros(len(x.names), np.int64), np.zeros(len(x.a), np.int64)
+        for where, order, column in ((c, x.order, "c"), (kinds, x.order, "kinds"), (pn, x.pair_order, "n")):
+            where[order] = np.concatenate([unpacked(r) for r in replies[column]]).astype(np.int64)
+        _, i, j = np.intersect1d(x.hash, hot, return_indices=True)
+        kinds[i] = hot_kinds[j]
+        # the root: a word's discounted share, and below it its spelling
+        spelt = np.log10(DISCOUNT * v / n) + _spelling[shared.value[0]].log10(x.names) if n else _spelling[shared.value[0]].log10(x.names)
+        root = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 1e-300) / max(n, 1) + 10.0**spelt), spelt)
+        # left to right: the state is the token before, an arc a pair, else the failure arc to the root
+        count = np.maximum(c, 1).astype(float)
+        fail = np.log10(np.where(kinds > 0, DISCOUNT * kinds / count, 1.0))
+        down = fail[x.a] + root[x.b]
+        step = np.where(pn > 0, np.log10(np.maximum(pn - DISCOUNT, 1e-300) / count[x.a] + 10.0**down), down)[x.pair]
+        base = np.log10((c + 1) / (n + (v + 1)))[x.ids]
+        sums = lambda y: np.array([y[i : i + k].sum() for i, k in zip(x.first, x.length, strict=True)])
+        return pd.DataFrame({
+            "doc_id": x.doc_id.astype("Int64"), "held_out": x.held, "n_tokens": x.length, "n_known": sums((c > 0)[x.ids]), "train_tokens": n,
+            "base_score": sums(base), "score": sums(step),
+        })
+
+    return score
+
+
+def _hot_words(texts: DataFrame) -> np.ndarray:
+    """Hashes of at most 1 / HOT_SHARE words that are frequent in HOT_TEXTS texts."""
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = Counter(w for t in b["text"] for w in words_of(t))
+            yield pd.DataFrame({"h": [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in n], "n": list(n.values())})
 
-def word_automaton(pairs: pd.DataFrame, singles: dict[str, int]) -> WordAutomaton:
-    names = sorted(set(pairs["before"]) | set(pairs["token"]) | {END})
-    number = {w: i for i, w in enumerate(names)}
-    a, b = (np.array([number[w] for w in pairs[c]], dtype=np.int64) for c in ("before", "token"))
-    total = np.array([max(singles.get(w, 0), 1) for w in names], dtype=float)
-    direct = (pairs["n"].to_numpy(dtype=float) - DISCOUNT) / total[a] if len(pairs) else np.zeros(0)
-    fail = 1.0 - np.bincount(a, weights=direct, minlength=len(names))
-    code = a * len(names) + b
-    order = np.argsort(code)
-    return WordAutomaton(number, code[order], direct[order], np.maximum(fail, 1e-9))
+    n = texts.select("text").limit(HOT_TEXTS).mapInPandas(shares, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 0
+    some = n.where(F.col("n") >= HOT_SHARE * total).select("h").toPandas()["h"]  # bounded by HOT_SHARE
+    words = {xxhash.xxh3_64_intdigest(b""), *(int(h) + (1 << 63) for h in some)}
+    return np.array(sorted(words), dtype=np.uint64)
 
 
-def score_texts(docs: DataFrame, by_scan: bool = False) -> DataFrame:
+def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """log10 probabilities of every text, under an add-one unigram base and under the automaton.
 
-    ``docs``: ``doc_id, text``, and if there is one, ``lang`` (whose values tell training texts apart; no score reads it).
-    Other columns are left. Returns ``doc_id, held_out, n_tokens, n_known, train_tokens,
+    ``docs``: ``doc_id, text``; other columns are left. Returns ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score``. Learnt from texts whose crc32(doc_id as text) mod 7 is not 2 (a null id counts as an empty text).
 
-    A token's probability: at the state of a frequent predecessor, the pair's discounted share plus the state's failure
-    weight times that at the root; there, the token's discounted share plus the root's failure weight times that of its
-    characters; these, at states of up to four characters, likewise down to a uniform one. Each level sums to one. The root and
-    the characters have states of their own for each language of the training texts; a text's pass carries how likely each is.
-
-    Texts are dealt into as many blocks as there are shuffle partitions, or with ``by_scan``, for ``docs`` read straight from
-    files, a block is a partition of the scan, which spares a shuffle (were the scan cut otherwise the second time, a token
-    would be missing and the job fail). A block sends each of its distinct tokens once,
-    gets back their counts over the corpus, and its texts are then scored by one pass. So a task holds the tokens of a block,
-    never the vocabulary; what all tasks share are n-grams with at least a fixed share of the corpus, whose number is
-    bounded. Null or empty text: the end alone. Repeated rows count as often as they occur; an empty table gives no rows.
+    The automaton's states are all words of the training texts; each pair of neighbours there is an arc, with its discounted share of
+    the state's tokens, and what the discount takes is the weight of the failure arc to the root. At the root each word has its
+    discounted share likewise, and the failure arc leads to its spelling: states of three, two and one byte before. A text begins at the
+    state of an end. Each level's probabilities sum to one over all words, known or not, so ``score`` is the
+    logarithm of the text's probability; there is no floor, and a longer unknown word is less likely.
+
+    Texts are dealt once, as numbers of their tokens in a written table, into blocks of about BLOCK tokens. A block sends each distinct
+    token and pair once to the part of the counts that owns it (``parts``: as many as PART_CHARS gives), and gets back what the
+    corpus holds of it; so a task holds a block or a part, and the driver the n-grams of spellings, of which there are at most 2^25. All
+    counts are exact, at any size and cut (pairs are told apart by 64 bits of a hash of the first and 48 of the second word). Null or
+    empty text: the end alone. Repeated rows count as often as they occur; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    blocks = shuffle_partitions(spark)
+    tables = Scratch(spark)
     held = remainder(F.col("doc_id"), 7) == 2
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"), held.alias("held"))
-    langs = texts.where("not held and lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS - 1)
-    langs = [r["lang"] for r in langs.collect()]
-    number = F.coalesce(*[F.when(F.col("lang") == x, i) for i, x in enumerate(langs)], F.lit(len(langs)))
-    texts = texts.select("doc_id", "text", F.when(F.col("held"), -1).otherwise(number).alias("train"))
-    by_hash = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    texts = texts.withColumn("block", F.spark_partition_id() if by_scan else by_hash)
-    dealt = texts if by_scan else texts.repartition(blocks, "block")
-    counted = dealt.mapInPandas(_counted, "block int, before string, token string, lang int, n long, first boolean")
-    counted = written(counted, "lm-blocks")
-    each = range(len(langs) + 1)
-    sums = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in each]
-    tokens = counted.where("before is null").groupBy("token").agg(F.sum("n").alias("c"), *sums)
-    tokens = written(tokens, "lm-tokens")
-    sizes = tokens.agg(F.sum("c"), F.count_if(F.col("c") > 0), *[x for i in each for x in (F.sum(f"c{i}"), F.count_if(F.col(f"c{i}") > 0))]).first()
-    n, v, *by = [x or 0 for x in sizes]
-    n_by, v_by = np.array(by[::2], dtype=float), np.array(by[1::2], dtype=float)
-    some = np.nonzero(n_by > 0)[0]  # languages that are there
-    if not len(some):
-        some, n_by, v_by = np.array([0]), np.maximum(n_by, 1), v_by
-    share = n_by[some] / n_by[some].sum()
-
-    forms = tokens.where(F.col("token") != END).select("token", F.explode(F.array(*[F.when(F.col(f"c{i}") > 0, i) for i in each])).alias("lang"))
-    grams = forms.where("lang is not null").mapInPandas(_grams, "lang int, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = F.coalesce(*[F.when(F.col("lang") == int(i), max(1, math.ceil(CHAR_SHARE * v_by[i]))) for i in some])
-    spelt: dict[int, dict[str, int]] = {int(i): {} for i in some}
-    for r in grams.where(F.col("n") >= least).toLocalIterator():  # bounded by CHAR_SHARE
-        spelt[r["lang"]][r["gram"]] = r["n"]
-    chars = [char_automaton(spelt[int(i)]) for i in some]
-    pairs = counted.where("before is not null").groupBy("before", "token").agg(F.sum("n").alias("n"))
-    pairs = pairs.where(F.col("n") >= max(3, math.ceil(PAIR_SHARE * n))).toPandas()  # bounded by PAIR_SHARE
-    singles = {}
-    if len(pairs):
-        contexts = spark.createDataFrame([(w,) for w in set(pairs["before"])], "token string")
-        singles = {r["token"]: r["c"] for r in tokens.join(F.broadcast(contexts), "token").select("token", "c").collect()}
-    shared_chars, shared_words = spark.sparkContext.broadcast(chars), spark.sparkContext.broadcast(word_automaton(pairs, singles))
-
-    def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared_chars.value
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    if parts is None:
+        parts = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
+    hot = _hot_words(texts)
+    blocks = tables.written(texts.mapInPandas(_blocked, "doc_id long, held boolean, ids binary, vocabulary binary, block long"), "lm-blocks")
+    sent = blocks.groupBy("block").applyInPandas(_sent(parts, hot), SENT)
+    replies = tables.written(sent.groupBy("part").applyInPandas(_merged(hot), REPLY), "lm-replies")
+    sums = replies.where("block is null")
+    n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("words")).first())
+    kinds = sums.select(F.explode(F.arrays_zip("hot", "hot_kinds")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_kinds").alias("kinds")).toPandas()  # bounded: one a hot word
+    known = dict(zip(kinds["hot"].to_numpy(dtype=np.int64).view(np.uint64).tolist(), kinds["kinds"].tolist(), strict=True))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = np.empty((len(b), len(some)))
-            for j, (i, model) in enumerate(zip(some, models, strict=True)):
-                letters = np.array([10 ** max(model.log10(t), -300.0) for t in b["token"]])
-                c = b[f"c{i}"].to_numpy(dtype=float)
-                p[:, j] = np.maximum(c - DISCOUNT, 0) / n_by[i] + max(DISCOUNT * v_by[i] / n_by[i], 1e-9) * letters
-            steps = np.rint(np.log10(np.maximum(p, 1e-30)) * STEP).astype(np.int16)
-            yield pd.DataFrame({"token": b["token"], "c": b["c"], "p": [x.tobytes() for x in steps]})
-
-    rates = tokens.mapInPandas(rated, "token string, c long, p binary")
-    needed = counted.where("first").select("block", "token").join(rates, "token")
-
-    def scored(docs: pd.DataFrame, rates: pd.DataFrame) -> pd.DataFrame:
-        words = shared_words.value
-        place = {t: i for i, t in enumerate(rates["token"])}
-        c = rates["c"].to_numpy()
-        root = np.frombuffer(b"".join(rates["p"]), dtype=np.int16).reshape(-1, len(some)) / STEP
-        state = np.array([words.number.get(t, -1) for t in rates["token"]], dtype=np.int64)
-        base = np.log10((c + 1) / (n + (v + 1)))
-        out, spans = [], []
-        for doc, text, train in zip(docs["doc_id"], docs["text"], docs["train"], strict=True):
-            w = _words(ascii_lower(text))
-            k = np.fromiter(map(place.__getitem__, w), dtype=np.int64, count=len(w))
-            k = np.append(k, place[END])
-            spans.append(words.spans(state[k], root[k]))
-            out.append((doc, train < 0, len(k), int((c[k] > 0).sum()), n, float(base[k].sum())))
-        table = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]).astype({"doc_id": "Int64"})
-        return table.assign(score=over_languages(spans, share) if spans else [])
+            for g, t in zip(b["grams"], b["times"], strict=True):
+                yield pd.DataFrame({"code": unpacked(g, "<u4").astype(np.int64), "times": unpacked(t).astype(np.int64)})
 
+    grams = sums.select("grams", "times").mapInPandas(spread, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toPandas()  # bounded: 2^25
+    codes, times = grams["code"].to_numpy(dtype=np.int64), grams["times"].to_numpy(dtype=np.float64)
+    shared = spark.sparkContext.broadcast((int.from_bytes(np.random.default_rng().bytes(7), "little"), codes, times))
+    score = _scored(parts, hot, np.array([known.get(h, 0) for h in hot.tolist()], dtype=np.int64), n, v, shared)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(scored, schema)
+    replies = replies.where("block is not null").select("block", "part", "c", "kinds", "n")
+    out = written(blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, schema), "lm-scores")
+    tables.drop()
+    return out

@@ -352,37 +352,77 @@ def test_base_scores_by_hand(spark):
         assert r["score"] < 0
 
 
-def test_character_automaton_sums_to_one():
-    grams = Counter()
-    for w in ["banana", "band", "ban", "nab"]:
-        t = " " + w + lm_score.END
-        for k in range(1, lm_score.ORDER + 1):
-            grams.update(t[i : i + k] for i in range(len(t) - k + 1))
-    a = lm_score.char_automaton(dict(grams))
-    for state in ("", " ", "ba", "an", "zz", " ban"):
-        seen = {g[-1] for g in a.arcs}
-        total = 0.0
-        for ch in seen:
-            weight, s = 1.0, state
-            while (p := a.arcs.get(s + ch)) is None:
-                weight *= a.fail.get(s, 1.0)
-                s = s[1:]
-            total += p * weight
-        weight, s = 1.0, state
-        while s:
-            weight *= a.fail.get(s, 1.0)
-            s = s[1:]
-        total += weight * a.fail[""] * (lm_score.CODE_POINTS - len(seen)) / lm_score.CODE_POINTS
-        assert total == pytest.approx(1.0, abs=1e-6)
-
-
-def test_scores_do_not_depend_on_the_blocks(spark):
+def brute_scores(texts):
+    """Each text's logarithm from counts in dictionaries, word by word and byte by byte."""
+    d = lm_score.DISCOUNT
+    words = {i: [*(w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), b""] for i, t in texts.items()}
+    train = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(x for w in train for x in w)
+    two = Counter(p for w in train for p in zip([b"", *w], w))
+    follow = Counter(a for a, _ in two)
+    n, v = sum(one.values()), len(one)
+
+    def contexts(w):
+        b = [32, 32, 32, *w, 10]
+        for i in range(3, len(b)):
+            x3, x2, x1 = b[i - 3 : i]
+            yield ((("h", int(lm_score._classes(np.array([x1]), np.array([x2]), np.array([x3]))[0])), (x2, x1), (x1,), ()), b[i])
+
+    level = [{}, {}, {}, {}]
+    for w in one:
+        for ctx, ch in contexts(w):
+            for k in range(4):
+                level[k].setdefault(ctx[k], Counter())[ch] += 1
+
+    def byte(ctx, ch, k=0):
+        if k == 4:
+            return 1 / 256
+        own = level[k].get(ctx[k])
+        below = byte(ctx, ch, k + 1)
+        return below if own is None else max(own[ch] - d, 0) / own.total() + d * len(own) / own.total() * below
+
+    def word(w):
+        spelt = sum(math.log10(byte(ctx, ch)) for ctx, ch in contexts(w)) + math.log10(d * v / n)
+        return spelt if w not in one else math.log10((one[w] - d) / n + 10**spelt)
+
+    def step(a, w):
+        down = word(w) + (math.log10(d * follow[a] / one[a]) if a in follow else 0.0)
+        return down if (a, w) not in two else math.log10((two[a, w] - d) / one[a] + 10**down)
+
+    return {i: sum(step(a, b) for a, b in zip([b"", *w], w)) for i, w in words.items()}
+
+
+def test_whole_scores_by_brute_force_and_in_any_cut(spark):
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text").limit(60).toPandas()
+    rng = np.random.default_rng(8)
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 800))
+    unseen = [i for i in range(1000, 1999) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    more = [(i, letters[:k]) for i, k in zip(unseen, (10, 20, 40, 400, 800))] + [(2000, None), (2001, ""), (2002, "a a a a b a"), (2003, "\u00e9 \u4e2d\u6587 A a"), (2004, "a a\x00b")]
+    docs = spark.createDataFrame([*docs.itertuples(index=False, name=None), *more], "doc_id long, text string")
+    want = brute_scores({r["doc_id"]: r["text"] for r in docs.collect()})
+    for cut, parts in ((1, 1), (7, 5), (64, 13)):
+        got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs.repartition(cut), parts).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] == pytest.approx(want[i], rel=1e-5) for i in want)
+    assert all(want[i] > want[j] for i, j in zip(unseen, unseen[1:]))  # longer unknown words are less likely
+
+
+def test_scores_are_equal_at_any_number_of_partitions(spark):
     docs = common.table(spark, SMALL, "documents")
-    a = {r["doc_id"]: r for r in lm_score.score_texts(docs, by_scan=True).collect()}
-    b = {r["doc_id"]: r for r in lm_score.score_texts(docs).collect()}
-    assert all(a[i]["base_score"] == pytest.approx(b[i]["base_score"]) for i in a)
+    a, b = ({r["doc_id"]: r for r in lm_score.score_texts(docs.repartition(k), p).collect()} for k, p in ((4, 2), (31, 9)))
+    assert all(a[i]["score"] == pytest.approx(b[i]["score"], rel=1e-12) and a[i]["base_score"] == pytest.approx(b[i]["base_score"], rel=1e-12) for i in a)
     held = [r for r in a.values() if r["held_out"]]
-    assert sum(r["score"] for r in a.values()) > sum(r["base_score"] for r in a.values()) and held
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def test_spelling_sums_to_one_at_every_state():
+    codes, times = np.unique(lm_score.spelling_codes([b"banana", b"band", b"ban", b"nab", b"\xc3\xa9t\xc3\xa9"]), return_counts=True)
+    a = lm_score.Spelling(codes.astype(np.int64), times.astype(float))
+    for x3, x2, x1 in (b"   ", b" ba", b"ban", b"zzz", b"a\xc3\xa9", b"xan"):
+        b, (x1, x2, x3) = np.arange(256), (np.full(256, x) for x in (x1, x2, x3))
+        three, two = lm_score._classes(x1, x2, x3), x2 << 8 | x1
+        p = a.direct3[three << 8 | b] + a.fail3[three] * (a.direct2[two << 8 | b] + a.fail2[two] * a.lower[x1 << 8 | b])
+        assert p.sum() == pytest.approx(1.0, abs=1e-6) and (p > 0).all()
 
 
 def test_language_model_odd_rows(odd, none):
@@ -451,18 +491,3 @@ def test_a_line_of_many_cards_is_segmented_whole(field):
     assert score == pytest.approx(best[n])
     true = {("card", 20 * i, 20 * i + 19) for i in range(500)}
     assert len(true & set(got)) >= 0.98 * len(true)
-
-
-@pytest.mark.parametrize("most", [500_000, 10])
-def test_characters_of_long_tokens_are_all_counted(monkeypatch, most):
-    monkeypatch.setattr(lm_score, "MOST_GRAMS", most, raising=False)
-    long = "".join(chr(0x4E00 + i % 97) for i in range(150_000))
-    tokens = [long, "ab" * 30, "short"]
-    got, want = Counter(), Counter()
-    for part in lm_score._grams(iter([pd.DataFrame({"lang": [0, 0, 1], "token": tokens})])):
-        for lang, g, n in zip(part["lang"], part["gram"], part["n"], strict=True):
-            got[lang, g] += n
-    for lang, t in zip([0, 0, 1], tokens, strict=True):
-        t = " " + t + "\n"
-        want.update((lang, t[i : i + k]) for k in range(1, 6) for i in range(len(t) - k + 1))
-    assert got == want
