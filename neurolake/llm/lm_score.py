@@ -18,7 +18,7 @@ from neurolake.llm.toxicity import remainder
 #: Taken off each count of an arc; what is taken off is the weight of the state's failure arc.
 DISCOUNT = 0.75
 #: Tokens of a block: what a task holds at once, but for a single longer text.
-BLOCK = 2_000_000
+BLOCK = 1_500_000
 #: Characters of the corpus for each part of the counts, so that a part's task stays as small at any size.
 PART_CHARS = 16_000_000
 #: Words that hold this share of a bounded sample of texts have their pairs spread over all parts. This decides only which task counts a pair.
@@ -51,78 +51,93 @@ def unpacked(raw: bytes, dtype: str = "<u8") -> np.ndarray:
 
 
 def _blocked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as numbers of their tokens, and a row for each block with the words that it numbers, the end of a text (an empty word) first."""
-    number, rows, size, k = _Numbers(), [], 0, 0
-    number[b""] = 0
+    """A row a block: its texts' ids, tokens as numbers, and the words that these stand for, the end of a text (an empty word) first."""
+    number, docs, ids, size, k = _Numbers(), [], [], 0, 0
     place = TaskContext.get().partitionId() << 24
 
     def out() -> pd.DataFrame:
-        table = pd.DataFrame(rows, columns=["doc_id", "held", "ids"]).astype({"doc_id": "Int64"}).assign(vocabulary=None)
-        words = pd.DataFrame({"doc_id": pd.array([None], "Int64"), "held": [None], "ids": [None], "vocabulary": [b"\n".join(number)]})
-        return pd.concat([table, words]).assign(block=place + k)
+        doc_id, absent, held, length = zip(*docs, strict=True)
+        row = {"block": place + k, "doc_id": list(doc_id), "absent": list(absent), "held": list(held), "length": list(length), "ids": packed(np.concatenate(ids), "<u4"), "vocabulary": b"\n".join(number)}
+        return pd.DataFrame([row])
 
     for b in batches:
-        for doc, held, text in zip(b["doc_id"], b["held"], b["text"], strict=True):
+        for doc, absent, held, text in zip(b["doc_id"], b["absent"], b["held"], b["text"], strict=True):
+            if not number:
+                number[b""] = 0
             w = words_of(text)
-            ids = np.fromiter(map(number.__getitem__, w), dtype=np.uint32, count=len(w))
-            rows.append((doc, held, packed(np.append(ids, 0), "<u4")))
+            ids.append(np.fromiter(map(number.__getitem__, w), dtype=np.uint32, count=len(w)))
+            ids.append(np.zeros(1, dtype=np.uint32))
+            docs.append((doc, absent, held, len(w) + 1))
             size += len(w) + 1
             if size >= BLOCK:
                 yield out()
                 number.clear()
-                number[b""] = 0
-                rows, size, k = [], 0, k + 1
-    if rows:
+                docs, ids, size, k = [], [], 0, k + 1
+    if docs:
         yield out()
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
 class Block:
     """A block's tokens and pairs of neighbours, and the order in which they go to the parts and come back."""
 
-    def __init__(self, pdf: pd.DataFrame, parts: int, hot: np.ndarray):
-        own = pdf["vocabulary"].notna()
-        self.names = pdf["vocabulary"][own].iloc[0].split(b"\n")
-        docs = pdf[~own]
-        self.doc_id, self.held = docs["doc_id"], docs["held"].to_numpy(dtype=bool)
-        texts = [unpacked(x, "<u4").astype(np.int64) for x in docs["ids"]]
-        self.length = np.array([len(t) for t in texts])
-        self.ids = np.concatenate(texts)
+    def __init__(self, row: pd.Series, parts: int, hot: np.ndarray):
+        self.names = row["vocabulary"].split(b"\n")
+        self.doc_id, self.held = np.array(row["doc_id"], dtype=np.int64), np.array(row["held"], dtype=bool)
+        self.absent = np.array(row["absent"], dtype=bool)
+        self.length = np.array(row["length"])
+        self.ids = unpacked(row["ids"], "<u4").astype(np.int64)
         self.first = np.cumsum(self.length) - self.length
         self.learn = np.repeat(~self.held, self.length)
         before = np.concatenate([[0], self.ids[:-1]])
         before[self.first] = 0  # a text begins at the state of an end
-        self.before = before
         size = len(self.names)
         pair, self.pair = np.unique(before * size + self.ids, return_inverse=True)
         self.a, self.b = pair // size, pair % size
-        h = self.hash = np.array([xxhash.xxh3_64_intdigest(w) for w in self.names], dtype=np.uint64)
+        h = self.hash = _hashes(self.names)
         self.part = (h % np.uint64(parts)).astype(np.int64)
-        spread = np.isin(h, hot)[self.a]
+        self.spread = np.isin(h, hot)
+        spread = self.spread[self.a]
         self.pair_part = np.where(spread, _mix(h[self.a] + h[self.b] * np.uint64(3)) % np.uint64(parts), h[self.a] % np.uint64(parts)).astype(np.int64)
-        self.order, self.pair_order = np.argsort(self.part, kind="stable"), np.argsort(self.pair_part, kind="stable")
+        self.order = np.argsort(self.part, kind="stable")
+        self.rank = np.empty_like(self.order)
+        self.rank[self.order] = np.arange(size)
+        self.pair_order = np.argsort((self.pair_part * 2 + spread) * size + self.rank[self.a], kind="stable")
 
 
 def _sent(parts: int, hot: np.ndarray):
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A block's counts in training texts, a row a part; words and pairs of held-out texts ask for theirs with a count of 0."""
-        x = Block(pdf, parts, hot)
+        for b in batches:
+            for _, row in b.iterrows():
+                yield counts(row)
+
+    def counts(row: pd.Series) -> pd.DataFrame:
+        x = Block(row, parts, hot)
         n = np.bincount(x.ids[x.learn], minlength=len(x.names))
         pn = np.bincount(x.pair[x.learn], minlength=len(x.a))
         cut, pcut = (np.searchsorted(p[o], np.arange(parts + 1)) for p, o in ((x.part, x.order), (x.pair_part, x.pair_order)))
         rows = []
         for p in np.nonzero((np.diff(cut) > 0) | (np.diff(pcut) > 0))[0]:
             own, pairs = x.order[cut[p] : cut[p + 1]], x.pair_order[pcut[p] : pcut[p + 1]]
-            a = x.a[pairs]
-            start = np.nonzero(np.diff(a, prepend=-1))[0]  # pairs of one context are neighbours
+            # contexts that the part owns are among its words, in their order; the spread ones come after them, with their hashes
+            near = len(pairs) - int(x.spread[x.a[pairs]].sum())
+            runs = np.bincount(x.rank[x.a[pairs[:near]]] - cut[p], minlength=len(own))
+            far = x.a[pairs[near:]]
+            start = np.nonzero(np.diff(far, prepend=-1))[0]
             after = x.hash[x.b[pairs]]
-            rows.append((p, packed(x.hash[own]), packed(n[own], "<u4"), b"\n".join([x.names[i] for i in own]), packed(x.hash[a[start]]), packed(np.diff(start, append=len(a)), "<u4"),
-                         packed(after >> np.uint64(32), "<u4"), packed(after & np.uint64(0xFFFF), "<u2"), packed(pn[pairs], "<u4")))
-        return pd.DataFrame(rows, columns=["part", "word", "n", "names", "before", "run", "after", "low", "pn"]).assign(block=pdf["block"].iloc[0])
+            rows.append((p, b"\n".join([x.names[i] for i in own]) if len(own) else None, packed(n[own], "<u4"), packed(runs, "<u4"), packed(x.hash[far[start]]), packed(np.diff(start, append=len(far)), "<u4"),
+                         packed(after >> np.uint64(32), "<u4"), packed(after & np.uint64(0xFF), "<u1"), packed(pn[pairs], "<u4")))
+        return pd.DataFrame(rows, columns=["part", "names", "n", "runs", "far", "far_runs", "after", "low", "pn"]).assign(block=row["block"])
 
     return send
 
 
-SENT = "part int, word binary, n binary, names binary, before binary, run binary, after binary, low binary, pn binary, block long"
+BLOCKS = "block long, doc_id array<long>, absent array<boolean>, held array<boolean>, length array<long>, ids binary, vocabulary binary"
+SENT = "part int, names binary, n binary, runs binary, far binary, far_runs binary, after binary, low binary, pn binary, block long"
 REPLY = "block long, part int, c binary, kinds binary, n binary, grams binary, times binary, hot array<long>, hot_kinds array<long>, tokens long, words long"
 
 
@@ -130,15 +145,16 @@ def _merged(hot: np.ndarray):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         """A part's counts over the corpus: sent back to each block in its order; and the part's share of sums, of n-grams of spellings and of spread contexts."""
         pdf = pdf.sort_values("block")
-        words = [unpacked(w) for w in pdf["word"]]
+        names = [x.split(b"\n") if x is not None else [] for x in pdf["names"]]
+        words = [_hashes(x) for x in names]
         word, at, place = np.unique(np.concatenate(words), return_index=True, return_inverse=True)
         c = np.bincount(place, weights=np.concatenate([unpacked(n, "<u4") for n in pdf["n"]]), minlength=len(word)).astype(np.int64)
         sizes = [0]
         before, after = [], []
-        for b, r, t, low in zip(pdf["before"], pdf["run"], pdf["after"], pdf["low"], strict=True):
-            before.append(np.repeat(unpacked(b), unpacked(r, "<u4")))
-            after.append(unpacked(t, "<u4").astype(np.uint64) << np.uint64(16) | unpacked(low, "<u2"))
-            sizes.append(len(before[-1]))
+        for own, runs, far, more, t, low in zip(words, pdf["runs"], pdf["far"], pdf["far_runs"], pdf["after"], pdf["low"], strict=True):
+            before += [np.repeat(own, unpacked(runs, "<u4")), np.repeat(unpacked(far), unpacked(more, "<u4"))]
+            after.append(unpacked(t, "<u4").astype(np.uint64) << np.uint64(8) | unpacked(low, "<u1"))
+            sizes.append(len(after[-1]))
         before, after, ends = np.concatenate(before), np.concatenate(after), np.cumsum(sizes)
         _, first, pair = np.unique(_mix(before) + after * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         n = np.bincount(pair, weights=np.concatenate([unpacked(x, "<u4") for x in pdf["pn"]]), minlength=len(first)).astype(np.int64)
@@ -152,7 +168,7 @@ def _merged(hot: np.ndarray):
             some = place[low : low + len(w)]
             low += len(w)
             replies.append((block, packed(c[some]), packed(own_kinds[some]), packed(n[pair[ends[k] : ends[k + 1]]])))
-        names = [w for x, y in zip(pdf["names"], words, strict=True) if len(y) for w in x.split(b"\n")]
+        names = [w for x in names for w in x]
         grams, times = np.unique(spelling_codes([names[k] for k in at[c > 0]]), return_counts=True)
         out = pd.DataFrame(replies, columns=["block", "c", "kinds", "n"])
         sums = {"block": [None], "grams": [packed(grams, "<u4")], "times": [packed(times)], "hot": [context[spread].view(np.int64)], "hot_kinds": [kinds[spread]], "tokens": [int(c.sum())], "words": [int((c > 0).sum())]}
@@ -224,11 +240,11 @@ _spelling: dict[int, Spelling] = {}
 
 
 def _scored(parts: int, hot: np.ndarray, hot_kinds: np.ndarray, n: int, v: int, shared):
-    def score(docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+    def score(blocks: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         if shared.value[0] not in _spelling:  # a worker serves one corpus after another
             _spelling.clear()
             _spelling[shared.value[0]] = Spelling(*shared.value[1:])
-        x = Block(docs, parts, hot)
+        x = Block(blocks.iloc[0], parts, hot)
         replies = replies.sort_values("part")
         c, kinds, pn = np.zeros(len(x.names), np.int64), np.zeros(len(x.names), np.int64), np.zeros(len(x.a), np.int64)
         for where, order, column in ((c, x.order, "c"), (kinds, x.order, "kinds"), (pn, x.pair_order, "n")):
@@ -246,7 +262,7 @@ def _scored(parts: int, hot: np.ndarray, hot_kinds: np.ndarray, n: int, v: int,
         base = np.log10((c + 1) / (n + (v + 1)))[x.ids]
         sums = lambda y: np.array([y[i : i + k].sum() for i, k in zip(x.first, x.length, strict=True)])
         return pd.DataFrame({
-            "doc_id": x.doc_id.astype("Int64"), "held_out": x.held, "n_tokens": x.length, "n_known": sums((c > 0)[x.ids]), "train_tokens": n,
+            "doc_id": pd.Series(x.doc_id, dtype="Int64").mask(x.absent), "held_out": x.held, "n_tokens": x.length, "n_known": sums((c > 0)[x.ids]), "train_tokens": n,
             "base_score": sums(base), "score": sums(step),
         })
 
@@ -280,21 +296,23 @@ def score_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     state of an end. Each level's probabilities sum to one over all words, known or not, so ``score`` is the
     logarithm of the text's probability; there is no floor, and a longer unknown word is less likely.
 
-    Texts are dealt once, as numbers of their tokens in a written table, into blocks of about BLOCK tokens. A block sends each distinct
+    Texts are dealt once, as numbers of their tokens in a written table, into blocks of about BLOCK tokens, a row each. A block sends each distinct
     token and pair once to the part of the counts that owns it (``parts``: as many as PART_CHARS gives), and gets back what the
     corpus holds of it; so a task holds a block or a part, and the driver the n-grams of spellings, of which there are at most 2^25. All
-    counts are exact, at any size and cut (pairs are told apart by 64 bits of a hash of the first and 48 of the second word). Null or
+    counts are exact, at any size and cut (pairs are told apart by 64 bits of a hash of the first and 40 of the second word). Null or
     empty text: the end alone. Repeated rows count as often as they occur; an empty table gives no rows.
     """
     spark = docs.sparkSession
     tables = Scratch(spark)
     held = remainder(F.col("doc_id"), 7) == 2
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), held.alias("held"))
+    doc = F.col("doc_id").cast("long")
+    # a column of longs with nulls would reach Python as doubles
+    texts = docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("absent"), F.col("text").cast("string").alias("text"), held.alias("held"))
     if parts is None:
         parts = max(1, -(-(texts.agg(F.sum(F.length("text"))).first()[0] or 0) // PART_CHARS))
     hot = _hot_words(texts)
-    blocks = tables.written(texts.mapInPandas(_blocked, "doc_id long, held boolean, ids binary, vocabulary binary, block long"), "lm-blocks")
-    sent = blocks.groupBy("block").applyInPandas(_sent(parts, hot), SENT)
+    blocks = tables.written(texts.mapInPandas(_blocked, BLOCKS), "lm-blocks")
+    sent = blocks.mapInPandas(_sent(parts, hot), SENT)
     replies = tables.written(sent.groupBy("part").applyInPandas(_merged(hot), REPLY), "lm-replies")
     sums = replies.where("block is null")
     n, v = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("words")).first())
