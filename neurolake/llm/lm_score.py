@@ -18,14 +18,16 @@ from neurolake.llm.toxicity import remainder
 #: Taken off each count of an arc; what is taken off is the weight of the state's failure arc.
 DISCOUNT = 0.75
 #: Tokens of a block: what a task holds at once, but for a single longer text.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: Characters of the corpus for each part of the counts, so that a part's task stays as small at any size.
-PART_CHARS = 16_000_000
+PART_CHARS = 8_000_000
 #: Words that hold this share of a bounded sample of texts have their pairs spread over all parts. This decides only which task counts a pair.
 HOT_SHARE, HOT_TEXTS = 0.005, 1000
 #: Contexts of three bytes share this many states, by a hash; those of two and one have states of their own.
-CLASSES = 1 << 16
+CLASSES = 1 << 15
 START, END_BYTE = 0x20, 0x0A
+#: Words that are spelt at once.
+SPELT = 32_768
 
 
 class _Numbers(dict):
@@ -96,6 +98,7 @@ class Block:
         before[self.first] = 0  # a text begins at the state of an end
         size = len(self.names)
         pair, self.pair = np.unique(before * size + self.ids, return_inverse=True)
+        del before
         self.a, self.b = pair // size, pair % size
         h = self.hash = _hashes(self.names)
         self.part = (h % np.uint64(parts)).astype(np.int64)
@@ -169,7 +172,7 @@ def _merged(hot: np.ndarray):
             low += len(w)
             replies.append((block, packed(c[some]), packed(own_kinds[some]), packed(n[pair[ends[k] : ends[k + 1]]])))
         names = [w for x in names for w in x]
-        grams, times = np.unique(spelling_codes([names[k] for k in at[c > 0]]), return_counts=True)
+        grams, times = spelling_counts([names[k] for k in at[c > 0]])
         out = pd.DataFrame(replies, columns=["block", "c", "kinds", "n"])
         sums = {"block": [None], "grams": [packed(grams, "<u4")], "times": [packed(times)], "hot": [context[spread].view(np.int64)], "hot_kinds": [kinds[spread]], "tokens": [int(c.sum())], "words": [int((c > 0).sum())]}
         out = pd.concat([out.assign(hot=None, hot_kinds=None), pd.DataFrame(sums)]).assign(part=pdf["part"].iloc[0]).astype({"block": "Int64", "tokens": "Int64", "words": "Int64"})
@@ -199,6 +202,14 @@ def spelling_codes(words: list[bytes]) -> np.ndarray:
     return np.concatenate([x2 << 16 | x1 << 8 | b, (1 << 24) + (_classes(x1, x2, x3) << 8 | b)])
 
 
+def spelling_counts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    some = [np.unique(spelling_codes(words[at : at + SPELT]), return_counts=True) for at in range(0, len(words), SPELT)]
+    if not some:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    codes, place = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True)
+    return codes, np.bincount(place, weights=np.concatenate([n for _, n in some])).astype(np.int64)
+
+
 class Spelling:
     """An automaton over bytes: states are contexts of three (hashed), two and one byte; a state's failure arc leads to the next shorter one.
 
@@ -232,8 +243,12 @@ class Spelling:
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """A word's logarithm: the sum over its bytes and its end."""
-        size = np.array([len(w) + 1 for w in words])
-        return np.add.reduceat(self.bytes_log10(words), np.cumsum(size) - size)
+        out = []
+        for at in range(0, len(words), SPELT):
+            some = words[at : at + SPELT]
+            size = np.array([len(w) + 1 for w in some])
+            out.append(np.add.reduceat(self.bytes_log10(some), np.cumsum(size) - size))
+        return np.concatenate(out)
 
 
 _spelling: dict[int, Spelling] = {}
