@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from neurolake.llm.common import written
+
+#: Sources' rates are broadcast up to this number of sources (a table of some 7 MB); beyond it they are joined by source and one of SALT salts.
+MOST_BROADCAST, SALT = 10_000, 32
 #: A rate above this is split into equal parts, each drawn on its own: sums of Poisson draws are Poisson again.
 PART = 16.0
 #: Terms of the distribution function; at a rate of PART the rest is below 1e-16.
@@ -57,8 +61,9 @@ def mix_sources(
     Null doc_id: hashed as ``null``. Null source: a source of its own. Null or empty text: no mass, yet drawn at its source's
     rate. Rows with the same doc_id get the same number of copies. An empty table gives an empty result.
 
-    The rates are one row a source; Spark broadcasts them below its size threshold and else joins by shuffle, where
-    adaptive execution splits a hot source. Only the text's own shuffle moves much.
+    The rates are a written table with a row a source. Up to MOST_BROADCAST of them are broadcast, so a document's text is shuffled once, by
+    the hash that orders the result; beyond that documents are dealt by source and a salt of their ids, so that a hot source is SALT
+    parts of a shuffle.
     """
     rates = source_rates(docs, weights, temperature, epochs)
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
@@ -78,11 +83,18 @@ def mix_sources(
         rates.withColumn("parts", parts).withColumn("part_rate", F.col("rate") / F.col("parts")).withColumn("cdf", cdf)
         .select(F.col("source").alias("rate_source"), "parts", "cdf")
     )
+    rates = written(rates, "rates")
     others = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "doc_id", "source")
-    drawn = rows.join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
-    one = lambda j: F.size(F.filter("cdf", lambda f: _uniform(F.lit(seed), F.col("doc_id"), j) >= f))
-    count = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), one), F.lit(0), lambda a, b: a + b)
+    same = F.col("source").eqNullSafe(F.col("rate_source"))
+    if rates.count() <= MOST_BROADCAST:
+        drawn = rows.join(F.broadcast(rates), same)
+    else:
+        salts = rates.withColumn("rate_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)).cast("array<long>")))
+        drawn = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT))).join(salts, same & (F.col("salt") == F.col("rate_salt")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: _uniform(F.lit(seed), F.col("doc_id"), j))
+    counts = F.transform(draws, lambda u: F.size(F.filter("cdf", lambda f: u >= f)))
+    count = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
     copies = drawn.select("row", "doc_id", count.alias("count")).where("count > 0").select(
         "row", "doc_id", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy")
     )

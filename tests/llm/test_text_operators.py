@@ -58,6 +58,18 @@ def test_mixing_reaches_its_weights(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_mixing_is_the_same_with_salted_sources(spark, monkeypatch, rows):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 10) as text", "if(id % 3 = 0, 'hot', if(id % 50 = 1, null, 'other')) as source")
+    want = rows(mixing.mix_sources(docs, epochs=2.0))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 1)
+    assert rows(mixing.mix_sources(docs, epochs=2.0)) == want
+
+
+def test_mixing_shuffles_texts_once(spark):
+    plan = mixing.mix_sources(common.table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan and "BuildRight" in plan
+
+
 def test_mixing_odd_rows(odd, none):
     out = mixing.mix_sources(odd, epochs=3.0)
     assert set(odd.columns) | {"copy", "shuffle_key"} == set(out.columns)
