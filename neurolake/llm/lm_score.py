@@ -18,9 +18,9 @@ from neurolake.llm.toxicity import remainder
 #: Taken off each count of an arc; what is taken off is the weight of the state's failure arc.
 DISCOUNT = 0.75
 #: Tokens of a block: what a task holds at once, but for a single longer text.
-BLOCK = 1_000_000
+BLOCK = 500_000
 #: Characters of the corpus for each part of the counts, so that a part's task stays as small at any size.
-PART_CHARS = 8_000_000
+PART_CHARS = 4_000_000
 #: Words that hold this share of a bounded sample of texts have their pairs spread over all parts. This decides only which task counts a pair.
 HOT_SHARE, HOT_TEXTS = 0.005, 1000
 #: Contexts of three bytes share this many states, by a hash; those of two and one have states of their own.
@@ -225,21 +225,26 @@ class Spelling:
         none = one.reshape(256, 256).sum(axis=0)
         d0, f0 = self._level(np.nonzero(none)[0], none[none > 0], 1)
         d1, f1 = self._level(np.nonzero(one)[0], one[one > 0], 256)
-        self.lower = (d1.reshape(256, 256) + f1[:, None] * (d0[None, :] + f0[0] / 256)).ravel()
+        every = np.arange(256)
+        self.lower = d1(*np.divmod(np.arange(1 << 16), 256)) + np.repeat(f1, 256) * np.tile(d0(0 * every, every) + f0[0] / 256, 256)
 
     @staticmethod
-    def _level(codes: np.ndarray, times: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    def _level(codes: np.ndarray, times: np.ndarray, contexts: int):
+        """Arcs of one level's states, as a function of context and byte, with rows for states that have any; and failure weights."""
         context = codes >> 8
         total, kinds = np.bincount(context, weights=times, minlength=contexts), np.bincount(context, minlength=contexts)
-        direct = np.zeros(contexts * 256, dtype=np.float32 if contexts > 256 else np.float64)
-        direct[codes] = (times - DISCOUNT) / total[context]
-        return direct, np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        row = np.cumsum(kinds > 0) * (kinds > 0)
+        direct = np.zeros((row.max(initial=0) + 1) << 8, dtype=np.float32)
+        direct[row[context] << 8 | codes & 0xFF] = (times - DISCOUNT) / total[context]
+        return lambda c, b: direct[row[c] << 8 | b], np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
 
     def bytes_log10(self, words: list[bytes]) -> np.ndarray:
-        b, x1, x2, x3 = _positions(words)
+        return np.log10(self.likely(*_positions(words)))
+
+    def likely(self, b: np.ndarray, x1: np.ndarray, x2: np.ndarray, x3: np.ndarray) -> np.ndarray:
+        """The probability of byte ``b`` after x3, x2, x1."""
         two, three = x2 << 8 | x1, _classes(x1, x2, x3)
-        p = self.direct2[two << 8 | b] + self.fail2[two] * self.lower[x1 << 8 | b]
-        return np.log10(self.direct3[three << 8 | b] + self.fail3[three] * p)
+        return self.direct3(three, b) + self.fail3[three] * (self.direct2(two, b) + self.fail2[two] * self.lower[x1 << 8 | b])
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """A word's logarithm: the sum over its bytes and its end."""

@@ -436,8 +436,7 @@ def test_spelling_sums_to_one_at_every_state():
     a = lm_score.Spelling(codes.astype(np.int64), times.astype(float))
     for x3, x2, x1 in (b"   ", b" ba", b"ban", b"zzz", b"a\xc3\xa9", b"xan"):
         b, (x1, x2, x3) = np.arange(256), (np.full(256, x) for x in (x1, x2, x3))
-        three, two = lm_score._classes(x1, x2, x3), x2 << 8 | x1
-        p = a.direct3[three << 8 | b] + a.fail3[three] * (a.direct2[two << 8 | b] + a.fail2[two] * a.lower[x1 << 8 | b])
+        p = a.likely(b, x1, x2, x3)
         assert p.sum() == pytest.approx(1.0, abs=1e-6) and (p > 0).all()
 
 
