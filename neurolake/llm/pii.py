@@ -27,7 +27,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_ZONE = re.compile(r"[+(]*[0-9](?:[0-9\x20().+-]*[0-9])?")
+_ZONE = re.compile(r"[0-9](?:[\x20().+-]*[0-9])*")
 _PIECE = re.compile(r"[0-9]+|[^0-9\x20]")
 
 
@@ -73,8 +73,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    """Stretches of digits and what stands between and before them, that could hold an entity."""
-    return [m.span() for m in _ZONE.finditer(text) if m.end() - m.start() >= 7]
+    """Stretches of digits and what stands between and before them, that could hold an entity. Linear in the text, whatever it holds."""
+    out = []
+    for m in _ZONE.finditer(text):
+        s, e = m.span()
+        while s and text[s - 1] in "+(":
+            s -= 1
+        if e - s >= 7:
+            out.append((s, e))
+    return out
 
 
 def _pieces(zone: str) -> list[tuple[int, int]]:
@@ -163,32 +170,34 @@ class SpanField:
 def fit_field(examples: list[tuple[str, set[tuple[str, int, int]]]]) -> SpanField:
     """Maximum likelihood, with a ridge, of labelled zones: gradients from a forward-backward pass over segments."""
     names: dict[str, int] = {}
-    data = []
-    for zone, gold in examples:
-        n, some = candidates(zone)
+    flat, size, ex, begin, end, true = [], [], [], [], [], []
+    for k, (zone, gold) in enumerate(examples):
         p = _pieces(zone)
-        rows = [(i, j, [names.setdefault(f, len(names)) for f in fs], (k, p[i][0], p[j - 1][1]) in gold) for i, j, k, fs in some]
-        data.append((n, rows))
+        for i, j, kind, fs in candidates(zone)[1]:
+            flat += [names.setdefault(f, len(names)) for f in fs]
+            size.append(len(fs))
+            ex.append(k)
+            begin.append(i)
+            end.append(j)
+            true.append((kind, p[i][0], p[j - 1][1]) in gold)
+    flat, size, ex, begin, end, true = (np.array(x, dtype=np.int64) for x in (flat, size, ex, begin, end, true))
+    many, longest, first = len(examples), int(end.max(initial=0)), np.cumsum(size) - size
+    ends, begins = ([np.nonzero(x == j)[0] for j in range(longest + 1)] for x in (end, begin))
     w, one, two = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-    for step in range(1, STEPS + 1):
-        gradient = -RIDGE * w
-        for n, rows in data:
-            score = [float(w[f].sum()) for _, _, f, _ in rows]
-            ahead = np.full(n + 1, -np.inf)
-            ahead[0] = 0.0
-            by_end: dict[int, list[int]] = {}
-            by_begin: dict[int, list[int]] = {}
-            for r, (i, j, _, _) in enumerate(rows):
-                by_end.setdefault(j, []).append(r)
-                by_begin.setdefault(i, []).append(r)
-            for j in range(1, n + 1):
-                ahead[j] = np.logaddexp.reduce([ahead[j - 1], *(ahead[rows[r][0]] + score[r] for r in by_end.get(j, ()))])
-            behind = np.full(n + 1, -np.inf)
-            behind[n] = 0.0
-            for i in range(n - 1, -1, -1):
-                behind[i] = np.logaddexp.reduce([behind[i + 1], *(behind[rows[r][1]] + score[r] for r in by_begin.get(i, ()))])
-            for r, (i, j, f, true) in enumerate(rows):
-                gradient[f] += (true - np.exp(ahead[i] + score[r] + behind[j] - ahead[n])) / len(data)
+    for step in range(1, STEPS + 1) if len(flat) else ():
+        score = np.add.reduceat(w[flat], first)
+        # all examples take their j-th piece at once; one that has ended keeps its sum
+        ahead, behind = np.zeros((2, longest + 1, many))
+        for j in range(1, longest + 1):
+            r = ends[j]
+            ahead[j] = ahead[j - 1]
+            np.logaddexp.at(ahead[j], ex[r], ahead[begin[r], ex[r]] + score[r])
+        for i in range(longest - 1, -1, -1):
+            r = begins[i]
+            behind[i] = behind[i + 1]
+            np.logaddexp.at(behind[i], ex[r], behind[end[r], ex[r]] + score[r])
+        likely = np.exp(ahead[begin, ex] + score + behind[end, ex] - ahead[longest, ex])
+        gradient = np.bincount(flat, weights=np.repeat((true - likely) / many, size), minlength=len(names)) - RIDGE * w
         one, two = 0.9 * one + 0.1 * gradient, 0.99 * two + 0.01 * gradient**2
         w += RATE * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)
     return SpanField({f: float(w[i]) for f, i in names.items()})
@@ -239,20 +248,27 @@ def learn(docs: DataFrame) -> SpanField:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: SpanField) -> list[tuple[str, int, int]]:
-    """Spans of the field's best segmentations that overlap none of ``base``."""
-    out = []
+    """Spans of the field's best segmentations that overlap none of ``base`` (sorted by start)."""
+    out, k = [], 0
+    taken = []  # what the patterns have found, as stretches that don't overlap
+    for _, b, c in base:
+        if taken and b <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], c)
+        else:
+            taken.append([b, c])
     for s, e in zones(text):
-        inside = [(b, c) for _, b, c in base if b < e and c > s]
-        rest = text[s:e]
-        for b, c in inside:
-            rest = rest[: max(0, b - s)] + "x" * (min(c, e) - max(b, s)) + rest[min(c, e) - s :]
-        if len(_DIGITS.findall(rest)) < 4:
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        # they split the zone; only the rest is segmented
+        free, at, j = [], s, k
+        while j < len(taken) and taken[j][0] < e:
+            free.append((at, taken[j][0]))
+            at = taken[j][1]
+            j += 1
+        free = [(b, c) for b, c in [*free, (at, e)] if c > b]
+        if sum(len(_DIGITS.findall(text, b, c)) for b, c in free) < 4:
             continue
-        # what the patterns have found splits the zone; only the rest is segmented
-        for m in re.finditer(r"[^x]+", rest):
-            if len(m[0]) >= 7:
-                for k, b, c in field.spans(m[0]):
-                    out.append((k, s + m.start() + b, s + m.start() + c))
+        out += [(kind, b + x, b + y) for b, c in free if c - b >= 7 for kind, x, y in field.spans(text[b:c])]
     return out
 
 

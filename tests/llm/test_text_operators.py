@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -325,6 +326,45 @@ def test_field_adds_what_runs_together_and_leaves_the_rest(field):
         assert pii.added_spans(clean, pii.base_spans(clean), field) == []
 
 
+def test_zones_are_linear_and_whole(field):
+    began = time.process_time()
+    for text in ("+" * 1_000_000, "+" * 1_000_000 + "1", "1" + "." * 1_000_000, "(+" * 500_000, "1+" * 3 + "+" * 1_000_000):
+        assert pii.base_spans(text) == [] and pii.added_spans(text, [], field) == []
+    assert time.process_time() - began < 5
+    assert pii.zones("x +1 (202) 555-0143. y (+44 20 7946 0958) 12") == [(2, 19), (23, 44)]
+
+
+@pytest.mark.parametrize("pad", [0, 1500, 1975, 1985, 2100, 5000])
+def test_cards_are_found_after_any_padding(field, pad):
+    two = "4465758382889437 4111111111111111"
+    text = "1." * (pad // 2) + " x " + two
+    got = {(k, s - len(text), e - len(text)) for k, s, e in pii.added_spans(text, pii.base_spans(text), field)}
+    assert {("card", -33, -17), ("card", -16, 0)} <= got
+
+
+def test_first_step_favours_true_segments(monkeypatch):
+    some = [("8.8.8.8 4111111111111111", {("ip", 0, 7), ("card", 8, 24)}), ("12345678", set()), ("+14155550123", {("phone", 0, 12)})]
+    monkeypatch.setattr(pii, "STEPS", 1)
+    monkeypatch.setattr(pii, "RIDGE", 0.0)
+    # the first step goes by the gradient's sign at 0: true segments up, and those that only wrong ones have down
+    w = pii.fit_field(some).weights
+    n, segments = pii.candidates(some[0][0])
+    assert n and {"card both True 16", "phone both True", "ip both True"} <= {f for f, x in w.items() if x > 0}
+
+
+def test_query_columns_of_personal_data(spark):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op7_pii"](spark, SMALL).collect()}
+    docs = common.table(spark, SMALL, "documents").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        spans = plain_spans(r["text"] or "")
+        joined = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        own = got[r["doc_id"]]
+        assert own["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert all(own[f"n_{k}"] == sum(x[0] == k for x in spans) for k in pii.KINDS)
+        assert set(filter(None, joined.split(","))) <= set(own["spans"].split(","))
+
+
 def test_segmentation_is_the_best(field):
     for zone in ("4111111111111111 +1 (202) 555-0143", "8.8.8.8 4111111111111111 12345678"):
         n, some = field.scored(zone)
