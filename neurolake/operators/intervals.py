@@ -21,7 +21,9 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high:
 
 
 def counted_in(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, ids: list[str], width: float, keys: list[str] = (), closed: str = "both") -> DataFrame:
-    """Each interval with the number ``n`` of its points, zero included."""
+    """Each interval with the number ``n`` of its points, zero included. An interval that ends before it starts is an error."""
+    wrong = F.raise_error(F.lit("an interval ends before it starts")).cast(intervals.schema[high].dataType)
+    intervals = intervals.withColumn(high, F.when(F.col(high) < F.col(low), wrong).otherwise(F.col(high)))
     hits = range_join(points.select(*keys, at), intervals.select(*dict.fromkeys([*ids, *keys, low, high])), at, low, high, width, keys, closed)
     counts = hits.groupBy(*ids).agg(F.count(at).alias("n"))
     return intervals.join(counts, ids, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
@@ -43,6 +45,17 @@ def with_previous(rows: DataFrame, value: Column, order: str, keys: list[str] =
     return joined.withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag"))).drop("_value", "_block", "_lag", "_first", "_carried")
 
 
+def numbered(rows: DataFrame, order: str, keys: list[str] = (), block: int = 1 << 20, name: str = "n") -> DataFrame:
+    """Rows with their number from 1 in ``order``, within ``keys``: counted in blocks of ``order``, of which only a row each is summed in one task."""
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
+    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_c"))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_ahead", F.coalesce(F.sum("_c").over(across), F.lit(0))).drop("_c")
+    inner = Window.partitionBy(*keys, "_block").orderBy(order)
+    out = rows.withColumn("_n", F.row_number().over(inner)).join(counts, [*keys, "_block"])
+    return out.withColumn(name, F.col("_n") + F.col("_ahead")).drop("_block", "_n", "_ahead")
+
+
 def as_of(targets: DataFrame, sources: DataFrame, target_at: str, source_at: str, value: str, keys: list[str], clamp: bool = False) -> DataFrame:
     """Each target with ``value`` of the last source at or before it, per ``keys``; of equal source times the last by value.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolake.functions.columns import finite, log2_ratio, positive_finite
@@ -14,11 +14,14 @@ def linspace(low: float, high: float, n: int) -> list[float]:
 
 
 def forest(draws: DataFrame, value: str, keys: list[str], percent: float = 95.0) -> DataFrame:
-    """Median and central interval of each group's draws without NaN, and ``place`` by the median."""
+    """Median and central interval of each group's draws without NaN, and ``place`` (from 0) by the median, ties by the keys.
+
+    A row a group is numbered in one task: a figure has as many rows as groups."""
     tail = (100.0 - percent) / 200.0
     v = F.when(~F.isnan(value), F.col(value))
     q = F.percentile(v, F.array(F.lit(tail), F.lit(0.5), F.lit(1.0 - tail)))
-    return draws.where(v.isNotNull()).groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
+    out = draws.where(v.isNotNull()).groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("median", *keys)) - 1)
 
 
 def forest_limit(summary: DataFrame) -> DataFrame:
@@ -140,6 +143,11 @@ def inset_bar_corners(d0: float, d1: float, s: float, height: float) -> list[tup
     return [point_at_difference(d, t) for d, t in ((d0, s), (d1, s), (d1, s + height), (d0, s + height))]
 
 
+def inset_default_height(half_extent: float, n_bins: int = 0) -> float:
+    """Height of the tallest bar: 0.85 of a bin if the differences' extent held ten, however many bins there are."""
+    return 2.0 * half_extent / 10 * 0.85
+
+
 def tick_label(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else f"{x:g}"
 

@@ -49,10 +49,20 @@ def _columns_to_unit_sum(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(F.col("weight")))
 
 
+#: Kinds of bases of lags: cosines even in time, or even in log(1 + lag).
+KINDS = ("raised_cosine", "log_raised_cosine")
+
+
+def _known(kind: str) -> None:
+    if kind not in KINDS:
+        raise ValueError(f"a basis is one of {KINDS}, not {kind!r}")
+
+
 def lag_knots(n_lags: int, n_cols: int, dt: float, offset: float = 0.0, kind: str = "raised_cosine") -> list[tuple[float, float]]:
     """Centre and width in seconds of each knot at and after the event: even in time, or in log(1 + lag)."""
     if n_lags <= 0 or n_cols <= 0:
         raise ValueError("lags and columns must be positive")
+    _known(kind)
     step = lambda top: top / (n_cols - 1) if n_cols > 1 else 0.0
     if kind == "raised_cosine":
         d = step(n_lags * dt)
@@ -99,6 +109,11 @@ def basis(spark, n_lags: int, n_cols: int, kind: str = "raised_cosine", n_leads:
     """
     if n_lags <= 0 or n_cols <= 0 or n_leads < 0:
         raise ValueError("lags and columns must be positive")
+    _known(kind)
+    if n_leads and (n_lead_cols <= 0 or lead <= 0):
+        raise ValueError("rows before the event need columns and a lead in seconds")
+    if not n_leads and n_lead_cols:
+        raise ValueError("columns before the event need rows there")
     grid = spark.range(n_leads + n_lags).select(F.col("id").cast("int").alias("row"))
     if n_leads:
         dt = lead / n_leads
@@ -120,6 +135,11 @@ def basis(spark, n_lags: int, n_cols: int, kind: str = "raised_cosine", n_leads:
     return _columns_to_unit_sum(rows).select("row", "tau", "col", "weight")
 
 
+def split_basis(spark, n_leads: int, n_lags: int, n_lead_cols: int, n_lag_cols: int, kind: str, lead: float = 0.0, offset: float = 0.0) -> DataFrame:
+    """``basis`` over leads and lags, by the older order of arguments."""
+    return basis(spark, n_lags, n_lag_cols, kind, n_leads, n_lead_cols, lead, offset)
+
+
 def lead_basis(spark, n_leads: int, n_cols: int, lead: float) -> DataFrame:
     """Rows before the event only."""
     if n_leads <= 0:

@@ -42,16 +42,25 @@ def channel_deviations(frames: DataFrame, approx: bool = False) -> DataFrame:
     return far.groupBy("channel").agg(F.first("median").alias("median"), (q * MAD_TO_SD).alias("sd"))
 
 
-def _moments(batches):
-    for b in batches:
-        if len(b):
-            x = np.stack(b["uv"].to_numpy()).astype(float)
-            yield pd.DataFrame({"n": [len(x)], "s": [x.sum(axis=0)], "ss": [(x.T @ x).ravel()]})
-
+def moments(frames: DataFrame, about: list[float] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number, sum and sum of products of the samples less ``about``: a row of partial sums a batch, added up in the executors.
+
+    A covariance doesn't depend on ``about``, but sums of squares about a far point would lose its digits; without one it is a sample's values.
+    """
+    if about is None:
+        head = frames.select("uv").first()
+        if head is None:
+            return 0, np.zeros(0), np.zeros((0, 0))
+        about = head["uv"]
+    centre = np.array(about, dtype=float)
+
+    def sums(batches):
+        for b in batches:
+            if len(b):
+                x = np.stack(b["uv"].to_numpy()).astype(float) - centre
+                yield pd.DataFrame({"n": [len(x)], "s": [x.sum(axis=0)], "ss": [(x.T @ x).ravel()]})
 
-def moments(frames: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, sum and sum of products of the samples: a row of partial sums a batch, added up in the executors."""
-    parts = frames.select("uv").mapInPandas(_moments, "n long, s array<double>, ss array<double>")
+    parts = frames.select("uv").mapInPandas(sums, "n long, s array<double>, ss array<double>")
     added = parts.select("n", F.posexplode(F.concat("s", "ss"))).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("v")).orderBy("pos").collect()
     if not added:
         return 0, np.zeros(0), np.zeros((0, 0))
@@ -133,7 +142,7 @@ def fit_whitening(
     by = {r["channel"]: r for r in channel_deviations(some, approx).collect()}  # one row a channel
     med, dev = ([float(by[i][k]) for i in range(len(good))] for k in ("median", "sd"))
     used = clean_samples(some, med, dev, pad) if robust else some
-    n, s, ss = moments(used)
+    n, s, ss = moments(used, med)
     if n < 2:
         raise ValueError("fewer than two clean samples")
     cov = (ss - np.outer(s, s) / n) / (n - 1)
@@ -165,7 +174,7 @@ def subsample(frames: DataFrame, n: int, segments: int = 3, length: int = 30000)
         starts = [0]
         length = n
     else:
-        starts = {1: [0], 2: [0, n - length]}.get(segments, [0, (n - length) // 2, n - length])
+        starts = {1: [0], 2: [0, n - length]}.get(segments, [0, n // 2 - length // 2, n - length])
     keep = F.lit(False)
     for s in starts:
         keep = keep | ((F.col("tick") >= s) & (F.col("tick") < s + length))

@@ -80,7 +80,11 @@ def spike_rate(histograms: DataFrame, bin_rows: DataFrame, cutoffs: DataFrame |
     """
     sums = histograms.groupBy("unit_id", "bin").agg(F.sum("count").alias("total"), F.count("*").alias("n")).join(F.broadcast(bin_rows), "bin")
     if cutoffs is not None:
-        ends = cutoffs.join(F.broadcast(bin_rows.select("bin", "lo")), F.col("cutoff_s") >= F.col("lo")).groupBy("unit_id", "bin").agg(F.count("*").alias("alive"))
+        # cutoffs are counted by how many left edges they reach before they are spread over those bins
+        edges = bin_rows.agg(F.array_sort(F.collect_list(F.struct("lo", "bin"))).alias("_edges"))  # one row of bins
+        reached = F.size(F.filter("_edges", lambda e: e["lo"] <= F.col("cutoff_s")))
+        ends = cutoffs.crossJoin(F.broadcast(edges)).groupBy("unit_id", "_edges", reached.alias("_k")).agg(F.count("*").alias("c"))
+        ends = ends.select("unit_id", "c", F.explode(F.slice("_edges", F.lit(1), F.col("_k"))).alias("e")).groupBy("unit_id", F.col("e.bin").alias("bin")).agg(F.sum("c").alias("alive"))
         sums = sums.join(ends, ["unit_id", "bin"], "left").withColumn("n", F.col("alive"))
     rate = F.col("total") / F.when(F.col("n") > 0, F.col("n"))
     rate = rate if probability else rate / (F.col("hi") - F.col("lo"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neurolake.functions.columns import bit
-from neurolake.operators.intervals import with_previous
+from neurolake.operators.intervals import numbered, with_previous
 
 
 def line_states(words: DataFrame, line: int) -> DataFrame:
@@ -33,20 +33,18 @@ def pulses(edge_rows: DataFrame, keys: list[str] = (), rising: bool = True, mode
     there are more onsets and the last offset if there are more offsets.
     """
     sign = 1 if rising else -1
-    part = Window.partitionBy(*(keys or [F.lit(0)]))
+    keys = list(keys)
     if mode == "causal":
-        w = part.orderBy("tick")
-        paired = edge_rows.withColumn("offset_tick", F.lead("tick").over(w)).withColumn("_next", F.lead("direction").over(w))
-        return paired.where((F.col("direction") == sign) & (F.col("_next") == -sign)).select(*keys, F.col("tick").alias("onset_tick"), "offset_tick")
-    w = part.orderBy("tick")
-    on = edge_rows.where(F.col("direction") == sign).select(*keys, F.col("tick").alias("onset_tick"), F.row_number().over(w).alias("i"), F.count("*").over(part).alias("n_on"))
-    off = edge_rows.where(F.col("direction") == -sign).select(*keys, F.col("tick").alias("offset_tick"), F.row_number().over(w).alias("j"), F.count("*").over(part).alias("n_off"))
-    on = on.withColumn("_one", F.lit(0))
-    sizes = off.groupBy(*keys).agg(F.max("n_off").alias("_n_off")) if keys else off.agg(F.max("n_off").alias("_n_off"))
-    on = on.join(sizes, keys) if keys else on.crossJoin(F.broadcast(sizes))  # one row
-    on = on.withColumn("i", F.col("i") - F.when(F.col("n_on") > F.col("_n_off"), 1).otherwise(0))
-    joined = on.withColumnRenamed("i", "j").join(off, [*keys, "j"])
-    return joined.select(*keys, "onset_tick", "offset_tick")
+        before = with_previous(edge_rows.select(*keys, "tick", "direction"), F.struct("tick", "direction"), "tick", keys)
+        paired = before.where((F.col("direction") == -sign) & (F.col("previous.direction") == sign))
+        return paired.select(*keys, F.col("previous.tick").alias("onset_tick"), F.col("tick").alias("offset_tick"))
+    on, off = (edge_rows.where(F.col("direction") == d).select(*keys, F.col("tick").alias(c)) for d, c in ((sign, "onset_tick"), (-sign, "offset_tick")))
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.count("*").alias(name))
+    sizes = count(on, "n_on").join(count(off, "n_off"), keys) if keys else count(on, "n_on").crossJoin(F.broadcast(count(off, "n_off")))  # one row a key
+    on = numbered(on, "onset_tick", keys, name="i")
+    on = on.join(sizes, keys) if keys else on.crossJoin(F.broadcast(sizes))
+    on = on.withColumn("j", F.col("i") - F.when(F.col("n_on") > F.col("n_off"), 1).otherwise(0))
+    return on.join(numbered(off, "offset_tick", keys, name="j"), [*keys, "j"]).select(*keys, "onset_tick", "offset_tick")
 
 
 def line_pulses(words: DataFrame, line: int, keys: list[str] = (), rising: bool | None = None, mode: str = "causal") -> DataFrame:

@@ -369,11 +369,12 @@ def envelope(spark, d):
     return series.envelope(rows, "value", 10)
 
 
-@query("""select l_shipmode_ as animal, l_linestatus as session, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.975), 6) as high
+@query("""select l_shipmode_ as animal, l_linestatus as session, round(quantile_cont(v, 0.025), 6) as low, round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.975), 6) as high,
+cast(row_number() over (order by quantile_cont(v, 0.5), l_shipmode_, l_linestatus) - 1 as integer) as place
 from (select l_returnflag as l_shipmode_, l_linestatus, l_extendedprice / l_quantity - 1500 as v from lineitem) group by 1, 2""")
 def forest_ci(spark, d):
     out = _forest(spark, d)
-    return out.select("animal", "session", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
+    return out.select("animal", "session", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")], "place")
 
 
 def _forest(spark, d):
@@ -489,8 +490,9 @@ def design_acausal(spark, d):
 
 # Channels
 
-MEDIAN_SQL = "md as (select tick, median(v) as m from fr where channel in (0, 1, 2, 4, 5) group by 1)"
-GOOD = [0, 1, 2, 4, 5]
+MEDIAN_SQL = "md as (select tick, median(v) as m from fr where channel not in (3, 40, 63) group by 1)"
+#: All channels but three that are taken as dead.
+GOOD = [c for c in range(T.CHANNELS) if c not in (3, 40, 63)]
 
 
 def _cells(frames, digits: int = 9):
@@ -502,7 +504,7 @@ def cmr_median(spark, d):
     return T.frames(spark, d).select("tick", C.median_of(C.picked(F.col("uv"), GOOD)).alias("m"))
 
 
-@query(f"{MEDIAN_SQL} select tick, channel, round(case when channel in (0, 1, 2, 4, 5) then v - m else v end, 9) as v from fr join md using (tick)")
+@query(f"{MEDIAN_SQL} select tick, channel, round(case when channel in (3, 40, 63) then v else v - m end, 9) as v from fr join md using (tick)")
 def cmr_apply(spark, d):
     return _cells(spatial.common_median_reference(T.frames(spark, d), GOOD))
 
@@ -552,7 +554,7 @@ def diagnostics_report(spark, d):
     return rows.select(spatial.diagnostics_line("after bandpass").alias("line"), spatial.reference_hint("cmr").alias("after_cmr"), spatial.reference_hint("zca").alias("after_zca"))
 
 
-@query("""n as (select max(vec_id) + 1 as n from embeddings), s as (select unnest([0, (n - 100) // 2, n - 100]) as s from n) select distinct vec_id as tick from embeddings, s where vec_id >= s and vec_id < s + 100""")
+@query("""n as (select max(vec_id) + 1 as n from embeddings), s as (select unnest([0, n // 2 - 100 // 2, n - 100]) as s from n) select distinct vec_id as tick from embeddings, s where vec_id >= s and vec_id < s + 100""")
 def subsample(spark, d):
     n = T.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
     return spatial.subsample(T.frames(spark, d), n, 3, 100).select("tick")

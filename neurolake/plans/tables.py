@@ -12,7 +12,8 @@ from neurolake.operators import trials
 FS = 1e6
 HALF_WINDOW = 21_600_000_000
 EDGES = [-21600.0 + 1800.0 * k for k in range(25)]
-CHANNELS = 8
+#: Channels of a frame: all components of a vector.
+CHANNELS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +47,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str, scale: float = 100.0) -> DataFrame:
-    """The first channels of each vector, in microvolts; vec_id counts the ticks."""
+    """The components of each vector as channels, in microvolts; vec_id counts the ticks."""
     e = table(spark, sf_dir, "embeddings")
-    uv = F.transform(F.slice("embedding", 1, CHANNELS), lambda v: v.cast("double") * scale)
+    uv = F.transform("embedding", lambda v: v.cast("double") * scale)
     return e.select(F.lit("r0").alias("recording_id"), F.col("vec_id").alias("tick"), uv.alias("uv"))
 
 
@@ -65,7 +66,7 @@ hist as (select tr.unit_id, tr.trial_id, b.bin, count(rel.rel_s) as "count" from
          group by 1, 2, 3),
 words as (select event_id as tick, cast(floor(value) as integer) as word from events),
 hi as (select tick, (word >> 4) & 1 as hi from words),
-fr as (select vec_id as tick, i - 1 as channel, cast(embedding[i] as double) * 100 as v from embeddings, range(1, 9) as t(i)),
+fr as (select vec_id as tick, i - 1 as channel, cast(embedding[i] as double) * 100 as v from embeddings, range(1, 65) as t(i)),
 keyed as (select tr.unit_id, tr.trial_id, count(rel_s) as n, coalesce(min(rel_s), 'inf'::double) as first_s, coalesce(min(case when rel_s > 0 then rel_s end), 0.0) as positive_s
           from tr left join rel on tr.unit_id = rel.unit_id and tr.trial_id = rel.trial_id group by 1, 2)
 """

@@ -382,3 +382,44 @@ def test_layout_helpers():
     assert plotdata.tick_label(2.0) == "2" and plotdata.tick_label(0.5) == "0.5"
     assert plotdata.microvolts_per_unit(-1, 2) == 1000.0
     assert plotdata.inset_bar_corners(1, 2, 5, 3)[0] == (4.5, 5.5)
+
+
+def test_covariance_far_from_zero(spark):
+    x = np.random.default_rng(1).standard_normal((400, 3))
+    for offset in (0.0, 1e6):
+        frames = spark.createDataFrame([("r", i, [float(v) for v in r]) for i, r in enumerate(x + offset)], "recording_id string, tick long, uv array<double>")
+        assert np.allclose(spatial.covariance(frames, 1), np.cov(x.T), rtol=1e-8, atol=1e-9)
+
+
+def test_middle_run_of_a_subsample(spark):
+    got = [r["tick"] for r in spatial.subsample(spark.range(100).select(F.col("id").alias("tick")), 100, 3, 11).orderBy("tick").collect()]
+    assert got == [*range(11), *range(45, 56), *range(89, 100)]
+
+
+def test_reversed_intervals_are_an_error(spark):
+    points, spans = spark.createDataFrame([(5,)], "t long"), spark.createDataFrame([(0, 9, 1)], "i long, lo long, hi long")
+    with pytest.raises(Exception, match="ends before it starts"):
+        intervals.counted_in(points, spans, "t", "lo", "hi", ["i"], 4.0).collect()
+
+
+def test_unknown_bases_are_an_error(spark):
+    for wrong in (dict(kind="foo"), dict(n_leads=2, n_lead_cols=0, lead=1.0), dict(n_lead_cols=2)):
+        with pytest.raises(ValueError):
+            series.basis(spark, 6, 2, **wrong)
+    with pytest.raises(ValueError):
+        series.lag_knots(6, 2, 0.1, kind="foo")
+    split = series.split_basis(spark, 2, 6, 2, 2, "raised_cosine", lead=1.0)
+    assert sorted(split.collect()) == sorted(series.basis(spark, 6, 2, "raised_cosine", 2, 2, 1.0).collect())
+    assert plotdata.inset_default_height(5.0, 40) == pytest.approx(0.85)
+
+
+def test_numbers_over_blocks(spark):
+    rows = spark.range(1000).selectExpr("id * 7 as t", "id % 2 as k")
+    got = intervals.numbered(rows, "t", ["k"], block=64).collect()
+    assert all(r["n"] == r["t"] // 14 + 1 for r in got)
+
+
+def test_pulses_have_no_single_task(spark):
+    rows = spark.createDataFrame([(1, 1), (5, -1), (9, 1), (12, -1)], "tick long, direction int")
+    for mode in ("causal", "reference"):
+        assert sorted(tuple(r) for r in ttl.pulses(rows, mode=mode).collect()) == [(1, 5), (9, 12)]
