@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,7 +30,11 @@ BOILERPLATE_NAMES = frozenset(
 )
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，！？：；]")
 
+#: Elements that a name alone doesn't make boilerplate: an article's own heading may well be called a header.
+CONTENT_TAGS = frozenset("article main h1 h2 h3 h4 h5 h6 p".split())
+
 _NAME_PARTS = re.compile(r"[a-z]+")
+_COMMENTS = re.compile(r"(?:user|reader|blog|post|page)?comments?(?:list|box|form|section|area|thread|body|text|item|author|meta|wrap|wrapper|container|content)?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>]*/>|[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z))"
@@ -47,14 +52,15 @@ class _Path:
 
     __slots__ = ("tag", "path", "plain", "within", "link")
 
-    def __init__(self, tag: str, name: str, parent: _Path | None, boilerplate: bool):
-        self.tag, self.path = tag, f"{parent.path}/{name}" if parent else name
+    def __init__(self, tag: str, name: str, parent: _Path | None, boilerplate: bool, paths: dict[tuple[int, str], int]):
+        # a path is a number of its parent's and its own name, so a deep page costs no more than its elements
+        self.tag, self.path = tag, paths.setdefault((parent.path if parent else 0, name), len(paths) + 1)
         self.plain = not boilerplate and (parent is None or parent.plain)
         self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.link = tag == "a" or (parent is not None and parent.link)
 
 
-def _open(tag: str, attributes: str, parent: _Path | None) -> _Path:
+def _open(tag: str, attributes: str, parent: _Path | None, paths: dict[tuple[int, str], int]) -> _Path:
     if not attributes or tag in ("html", "body", "p", "a"):
         name, found = tag, ()
     else:
@@ -63,19 +69,30 @@ def _open(tag: str, attributes: str, parent: _Path | None) -> _Path:
     bad = tag in BOILERPLATE_TAGS or (tag == "header" and not (parent and parent.within))
     for a, v in found:
         if a in ("class", "id"):
-            bad |= tag not in ("article", "main") and not BOILERPLATE_NAMES.isdisjoint(_NAME_PARTS.findall(v)) or "comment" in v
+            parts = _NAME_PARTS.findall(v)
+            bad |= tag not in CONTENT_TAGS and not BOILERPLATE_NAMES.isdisjoint(parts) or any(map(_COMMENTS.fullmatch, parts))
         elif a == "role":
             bad |= v in BOILERPLATE_ROLES
         else:
             bad |= a == "hidden" or v == "true"
-    return _Path(tag, name, parent, bad)
+    return _Path(tag, name, parent, bad, paths)
 
 
 def blocks(page: str) -> list[tuple[_Path, str, int]]:
     """Text blocks in page order: the element that holds each, its text, and how much of it is link text."""
     out, stack, parts, linked = [], [], [], 0
     holder, at = None, 0
-    root = _Path("", "", None, False)
+    paths: dict[tuple[int, str], int] = {}
+    root = _Path("", "", None, False, paths)
+    opened: Counter[str] = Counter()
+
+    def push(tag: str, attributes: str) -> None:
+        stack.append(_open(tag, attributes, stack[-1] if stack else root, paths))
+        opened[tag] += 1
+
+    def pop(k: int, end: int | None = None) -> None:
+        opened.subtract(x.tag for x in stack[k:end])
+        del stack[k:end]
 
     def text(piece: str) -> None:
         nonlocal holder, linked
@@ -112,33 +129,32 @@ def blocks(page: str) -> list[tuple[_Path, str, int]]:
         tag = tag.lower()
         if tag in INLINE:
             if m[2]:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k].tag == tag:
-                        del stack[k]
+                        pop(k, k + 1)
                         break
                     if stack[k].tag not in INLINE:
                         break
             elif tag not in VOID:
-                stack.append(_open(tag, m[4], stack[-1] if stack else root))
+                push(tag, m[4])
             continue
         flush()
         if tag in VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    pop(k)
                     break
         else:
             shut = SIBLINGS.get(tag, frozenset()) | CLOSED_BY_BLOCK
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].tag in shut:
-                    del stack[k:]
+                    pop(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
-            if len(stack) < 512:
-                stack.append(_open(tag, m[4], stack[-1] if stack else root))
+            push(tag, m[4])
     if at < len(page):
         text(page[at:])
     flush()
@@ -148,7 +164,7 @@ def blocks(page: str) -> list[tuple[_Path, str, int]]:
 def main_text(page: str | None) -> str:
     """The blocks of a page whose tag paths score as content, joined by line breaks."""
     found = blocks(page or "")
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for holder, text, linked in found:
         if holder.plain:
             t = totals.setdefault(holder.path, [0, 0, 0, 0, holder.within])

@@ -388,6 +388,20 @@ def test_personal_data_odd_rows(spark, odd, none, field):
     assert [r["text"] for r in pii.redact(odd, field).where("doc_id = 1").collect()] == [None]
 
 
+def test_names_and_depth_of_pages():
+    prose = "This is a sentence, with a comma and some length to it. And this is another one, of the same kind."
+    article = f"<p>{prose}</p><p>{prose}</p>"
+    assert html_extract.main_text(f"<body><div class='commentary'>{article}</div></body>") == f"{prose}\n{prose}"
+    assert html_extract.main_text(f"<article><h2 class='content-header'>The title, at length.</h2>{article}</article>").startswith("The title")
+    assert html_extract.main_text(f"<body><div class='user-comments'><p>{prose}</p></div><main>{article}</main></body>") == f"{prose}\n{prose}"
+    for depth in (400, 600, 20_000):
+        deep = "<div>" * depth + f"<nav>{prose}</nav>" + "</div>" * depth
+        assert html_extract.main_text(f"<body>{deep}<main>{article}</main></body>") == f"{prose}\n{prose}"
+    began = time.process_time()
+    html_extract.main_text("<div>" * 100_000 + "</section>" * 100_000 + "x")
+    assert time.process_time() - began < 10
+
+
 # Language model
 
 
