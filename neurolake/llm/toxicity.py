@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,25 +85,26 @@ def marginals(tagger: Tagger, known: list[tuple[int, float]], n: int) -> np.ndar
     return both[:, 1] / both.sum(axis=1)
 
 
+def lowered(text: str) -> str:
+    """In lower case, with every character where it was: only a capital I with a dot would become two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def tagged(tagger: Tagger, text: str) -> tuple[list[tuple[int, int, float]], float, int]:
     """Known tokens as (start, end, probability of toxic), their expected number of toxic ones, and the number of all tokens."""
     words = tagger.words
-    tokens = _token.findall(text.lower())
+    lower = lowered(text)
+    tokens = _token.findall(lower)
     get = words.get
     known = [(i, e) for i, w in enumerate(tokens) if (e := get(w, get(w[:BEGINNING] + "*"))) is not None]
     if not known:
         return [], 0.0, len(tokens)
     p = marginals(tagger, known, len(tokens))
-    lower = text.lower()
-    if len(lower) == len(text):
-        places, spans, k = iter(_token.finditer(lower)), [], 0
-        for i, m in enumerate(places):
-            if k < len(known) and i == known[k][0]:
-                spans.append((m.start(), m.end(), float(p[k])))
-                k += 1
-    else:  # lower-casing moved offsets
-        spans = [(m.start(), m.end(), 0.0) for m in _token.finditer(text) if not words.keys().isdisjoint((m[0].lower(), _beginning(m[0].lower())))]
-        spans = [(s, e, float(q)) for (s, e, _), q in zip(spans, p, strict=False)]
+    spans, k = [], 0
+    for i, m in enumerate(_token.finditer(lower)):
+        if k < len(known) and i == known[k][0]:
+            spans.append((m.start(), m.end(), float(p[k])))
+            k += 1
     return spans, float(p.sum()), len(tokens)
 
 
@@ -120,7 +122,7 @@ def _counts(rows: DataFrame) -> DataFrame:
             for at in range(0, len(b), 256):
                 seen = set()
                 for text, y in zip(b["text"].iloc[at : at + 256], b["toxic"].iloc[at : at + 256], strict=True):
-                    w = ["", *_token.findall((text or "").lower()), ""]
+                    w = ["", *_token.findall(lowered(text or "")), ""]
                     seen.update((w[i], w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1))
                     seen.update((_beginning(w[i]), w[i - 1], w[i + 1], y) for i in range(1, len(w) - 1) if len(w[i]) > BEGINNING)
                 yield pd.DataFrame(list(seen), columns=["word", "before", "after", "toxic"])
@@ -150,16 +152,16 @@ def _windows(rows: DataFrame, words: set[str]) -> pd.DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for doc, text, label in zip(b["doc_id"], b["text"], b["toxic"], strict=True):
-                w = _token.findall((text or "").lower())
+            for text, label in zip(b["text"], b["toxic"], strict=True):
+                w = _token.findall(lowered(text or ""))
                 w = [x if x in words else y if (y := _beginning(x)) in words else "-" for x in w]
                 hits = [i for i, x in enumerate(w) if x != "-"]
-                for i in [*hits, *([(int(doc or 0) * 7919) % len(w)] if w else [])]:
+                for i in [*hits, *([zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(w)] if w else [])]:
                     part = w[max(0, i - AROUND) : i + AROUND + 1]
                     out.append((" ".join(part), int(label)))
             yield pd.DataFrame(out, columns=["tokens", "toxic"])
 
-    cuts = rows.select("doc_id", "text", "toxic").mapInPandas(cut, "tokens string, toxic int")
+    cuts = rows.select("text", "toxic").mapInPandas(cut, "tokens string, toxic int")
     cuts = cuts.groupBy("tokens", "toxic").agg(F.count("*").alias("n"))
     return cuts.orderBy(F.xxhash64("tokens", "toxic"), "tokens", "toxic").limit(MOST_WINDOWS).toPandas()  # bounded
 

@@ -531,6 +531,14 @@ def test_toxic_documents_are_found(spark, odd, none):
     assert toxicity.toxicity(none, empty).count() == 0
 
 
+def test_lower_case_moves_no_offset():
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    assert len(toxicity.lowered(every)) == len(every) and all(len(toxicity.lowered(c)) == 1 for c in every)
+    t = toxicity.Tagger({"bad": 9.0}, -5.0, np.zeros((2, 2)), -1.0, np.array([-3.0, 4, 4, 1]))
+    text = "\u0130\u0130 bad"
+    assert [(s, e) for s, e, _ in toxicity.tagged(t, text)[0]] == [(3, 6)]
+
+
 def test_offsets_point_at_the_words(spark):
     t = toxicity.Tagger({"bad": 9.0}, -5.0, np.zeros((2, 2)), -1.0, np.array([-3.0, 4, 4, 1]))
     text = "É Bad day, BAD."
