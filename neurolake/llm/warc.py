@@ -130,15 +130,19 @@ class _Members:
 
 def _parsed(data: bytes) -> tuple:
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    h = dict(x.split(": ", 1) for x in lines[1:])
+    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
+    h = {k.strip().lower(): v.strip() for k, _, v in pairs}
     number = lambda k: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", h.get(k, ""))) else None
-    body = rest[: int(h["Content-Length"])]
-    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-    if h["WARC-Type"] == "response" and digest != base64.b32encode(hashlib.sha1(body).digest()).decode():
-        raise ValueError(f"the payload of {h['WARC-Record-ID']} isn't what its digest says")
-    length = len(body) if h["WARC-Type"] == "response" else int(h["X-Payload-Length"])
-    return number("WARC-Record-ID"), h.get("WARC-Target-URI"), h["WARC-Type"], body, length, digest, number("WARC-Refers-To")
+    kind, body = h.get("warc-type"), rest[: int(h.get("content-length", 0))]
+    if h.get("content-type", "").startswith("application/http"):  # another program's record: the payload is what follows the HTTP head
+        body = body.partition(b"\r\n\r\n")[2]
+    given, own = h.get("warc-payload-digest", ""), base64.b32encode(hashlib.sha1(body).digest()).decode()
+    if kind == "response" and given.startswith("sha1:") and given[5:] != own and number("warc-record-id") is not None:
+        raise ValueError(f"the payload of {h['warc-record-id']} isn't what its digest says")
+    if kind == "revisit":
+        length = int(h["x-payload-length"]) if "x-payload-length" in h else None
+        return number("warc-record-id"), h.get("warc-target-uri"), kind, body, length, given.removeprefix("sha1:") or None, number("warc-refers-to")
+    return number("warc-record-id"), h.get("warc-target-uri"), kind, body, len(body), given.removeprefix("sha1:") or own, number("warc-refers-to")
 
 
 RECORDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
@@ -146,7 +150,7 @@ RECORDS = "page_id long, url string, record_type string, payload binary, payload
 
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in RECORDS.split(", ")]
-    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    frame = lambda rows: pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
     for b in batches:
         for path, begin, end in zip(b["path"], b["begin"], b["end"], strict=True):
             with _open(path) as file:
@@ -168,7 +172,8 @@ def read_warc(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     A task scans its range for the gzip magic, takes a place for a member's start if a WARC header can be decoded there,
     and owns the records that start inside its range, reading the last of them past its end. Any split size gives the same
     records. The list of files comes from Spark's file source without their contents. A response's payload is held against
-    its digest. A revisit has an empty ``payload``, and ``payload_bytes`` and ``payload_digest`` of what it refers to. A
+    its digest. Records of other kinds and of other programs come out too, with a null page_id, the digest that they give (or else their
+    body's) and, for a revisit that doesn't say it, a null length. A revisit has an empty ``payload``, and ``payload_bytes`` and ``payload_digest`` of what it refers to. A
     folder without records gives no rows.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "length").where("length > 0")

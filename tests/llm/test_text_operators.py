@@ -186,6 +186,20 @@ def test_warc_round_trip(spark, tmp_path, rows):
     assert warc.read_warc(spark, str(tmp_path / "least")).where("page_id = 1").first()["record_type"] == "response"
 
 
+def test_warc_of_another_program(spark, tmp_path):
+    def record(kind, body, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Length: {len(body)}", *more]
+        return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello"
+    records = [record("warcinfo", b"software: x"), record("request", b"GET / HTTP/1.1\r\n\r\n", "content-type: application/http;msgtype=request"),
+               record("response", http, "Content-Type:application/http; msgtype=response", "WARC-Record-ID: <urn:uuid:1>"), record("revisit", b"", "WARC-Refers-To: <urn:uuid:1>")]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(records))
+    got = {r["record_type"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert got.keys() == {"warcinfo", "request", "response", "revisit"} and all(r["page_id"] is None for r in got.values())
+    assert bytes(got["response"]["payload"]) == b"hello" and got["response"]["payload_bytes"] == 5 and got["revisit"]["payload_bytes"] is None
+
+
 def test_warc_of_nothing(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_warc(spark, str(tmp_path / "w")).count() == 0
