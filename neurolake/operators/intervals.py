@@ -56,35 +56,53 @@ def numbered(rows: DataFrame, order: str, keys: list[str] = (), block: int = 1 <
     return out.withColumn(name, F.col("_n") + F.col("_ahead")).drop("_block", "_n", "_ahead")
 
 
-def as_of(targets: DataFrame, sources: DataFrame, target_at: str, source_at: str, value: str, keys: list[str], clamp: bool = False) -> DataFrame:
+def _with_ends(rows: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows beside their block's row of ``ends``; keys and times may be null."""
+    same = [*keys, "_block"]
+    ends = ends.withColumnsRenamed({k: f"_e{i}" for i, k in enumerate(same)})
+    on = [rows[k].eqNullSafe(ends[f"_e{i}"]) for i, k in enumerate(same)]
+    return rows.join(ends, on, "left").drop(*[f"_e{i}" for i in range(len(same))])
+
+
+def as_of(targets: DataFrame, sources: DataFrame, target_at: str, source_at: str, value: str, keys: list[str], clamp: bool = False, block: int = 1 << 20) -> DataFrame:
     """Each target with ``value`` of the last source at or before it, per ``keys``; of equal source times the last by value.
 
-    ``clamp``: targets before the first source take that one's value, else null. One union and one window: no pairs are made.
+    ``clamp``: targets before the first source take that one's value, else null. No pairs are made: sources and targets are sorted
+    together in blocks of time, so a key that holds much of the table is many tasks, and a block takes what the blocks before it
+    end with from a table of one row a block. ``block`` should hold many rows of a busy key.
     """
-    s = sources.select(*keys, F.col(source_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"), F.lit(None).alias("_row"))
-    row = F.struct(*[c for c in targets.columns])
-    t = targets.select(*keys, F.col(target_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(sources.schema[value].dataType).alias("_value"), row.alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_value")
-    both = s.drop("_row").withColumn("_row", F.lit(None).cast(t.schema["_row"].dataType)).unionByName(t)
-    held = F.last("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    if clamp:
-        held = F.coalesce(held, F.first("_value", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return both.withColumn("_held", held).where("_side = 1").select("_row.*", F.col("_held").alias(value))
-
-
-def nearest(targets: DataFrame, sources: DataFrame, target_at: str, source_at: str, keys: list[str]) -> DataFrame:
-    """Each target with the nearest source's time ``near``; ties go to the earlier one. Sources on both sides come from one window."""
+    s = sources.select(*keys, F.col(source_at).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    t = targets.select(*keys, F.col(target_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(sources.schema[value].dataType).alias("_value"), F.struct(*targets.columns).alias("_row"))
+    both = t.unionByName(s, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / block))
+    held = F.last("_value", ignorenulls=True).over(Window.partitionBy(*keys, "_block").orderBy("_at", "_side", "_value").rowsBetween(Window.unboundedPreceding, 0))
+    own = both.groupBy(*keys, "_block")
+    known = F.when(F.col("_value").isNotNull(), F.struct("_at", "_value"))
+    ends = own.agg(F.max(known).alias("_last"), F.min(known).alias("_first"))
+    line = Window.partitionBy(*keys).orderBy("_block")
+    ends = ends.withColumn("_carried", F.last("_last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))["_value"])
+    ends = ends.withColumn("_begin", F.min("_first").over(Window.partitionBy(*keys))["_value"]).drop("_last", "_first")
+    out = _with_ends(both.withColumn("_held", held).where("_side = 1"), ends, keys)
+    return out.select("_row.*", F.coalesce("_held", "_carried", *(["_begin"] if clamp else [])).alias(value))
+
+
+def nearest(targets: DataFrame, sources: DataFrame, target_at: str, source_at: str, keys: list[str], block: int = 1 << 20) -> DataFrame:
+    """Each target with the nearest source's time ``near``; ties go to the earlier one. Sorted in blocks of time, as ``as_of`` is."""
     s = sources.select(*keys, F.col(source_at).alias("_at"), F.lit(1).alias("_src")).distinct()
-    row = F.struct(*targets.columns)
-    t = targets.select(*keys, F.col(target_at).alias("_at"), F.lit(0).alias("_src"), row.alias("_row"))
-    both = s.withColumn("_row", F.lit(None).cast(t.schema["_row"].dataType)).unionByName(t)
+    t = targets.select(*keys, F.col(target_at).alias("_at"), F.lit(0).alias("_src"), F.struct(*targets.columns).alias("_row"))
+    both = t.unionByName(s, allowMissingColumns=True).withColumn("_block", F.floor(F.col("_at") / block))
     mark = F.when(F.col("_src") == 1, F.col("_at"))
-    w = Window.partitionBy(*keys).orderBy("_at", F.desc("_src"))
-    both = both.withColumn("_before", F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    back = F.col("_at") - F.col("_before") <= F.col("_after") - F.col("_at")
-    near = F.when(F.col("_after").isNull() | back, F.col("_before")).otherwise(F.col("_after"))
-    return both.where("_src = 0").withColumn("near", near).select("_row.*", "near")
+    inner, so_far = Window.partitionBy(*keys, "_block"), (Window.unboundedPreceding, 0)
+    # a frame that ends at the last row would be read anew for each row; the same order backwards isn't
+    both = both.withColumn("_in_before", F.last(mark, ignorenulls=True).over(inner.orderBy("_at", F.desc("_src")).rowsBetween(*so_far)))
+    both = both.withColumn("_in_after", F.last(mark, ignorenulls=True).over(inner.orderBy(F.desc("_at"), "_src").rowsBetween(*so_far)))
+    line, earlier = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    ends = both.select(*keys, "_block", mark.alias("_mark")).groupBy(*keys, "_block").agg(F.max("_mark").alias("_max"), F.min("_mark").alias("_min"))
+    ends = ends.withColumn("_from_before", F.last("_max", ignorenulls=True).over(line.orderBy("_block").rowsBetween(*earlier)))
+    ends = ends.withColumn("_from_after", F.last("_min", ignorenulls=True).over(line.orderBy(F.desc("_block")).rowsBetween(*earlier))).drop("_max", "_min")
+    out = _with_ends(both.where("_src = 0"), ends, keys)
+    before, after = F.coalesce("_in_before", "_from_before"), F.coalesce("_in_after", "_from_after")
+    back = F.col("_at") - before <= after - F.col("_at")
+    return out.select("_row.*", F.when(after.isNull() | back, before).otherwise(after).alias("near"))
 
 
 def thinned(events: DataFrame, at: str, half_window: int, keys: list[str]) -> DataFrame:

@@ -43,18 +43,36 @@ def bandpass_sections(low: float = 300.0, high: float = 5000.0, fs: float = 3000
     return sos
 
 
+def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int = 128) -> np.ndarray:
+    """One section along the rows' last axis, ``step`` samples at once: two matrix products a step instead of a loop over samples.
+
+    ``state``: the two values of the transposed direct form, of each row.
+    """
+    b0, b1, b2, _, a1, a2 = section
+    turn, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _k in range(step):
+        powers.append(turn @ powers[-1])
+    seen = np.array([m[0] for m in powers[:step]])  # what a state adds to the next outputs
+    pushed = np.array([m @ feed for m in powers[:step]])  # what a sample leaves in the state so many samples later
+    response = np.concatenate([[b0], pushed[:-1, 0]])
+    lag = np.arange(step)[:, None] - np.arange(step)
+    near = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    n = x.shape[1]
+    parts = np.pad(x, [(0, 0), (0, -n % step)]).reshape(len(x), -1, step)
+    y, left = parts @ near.T, parts @ pushed[::-1]
+    z = state.T
+    for j in range(parts.shape[1]):
+        y[:, j] += z @ seen.T
+        z = z @ powers[step].T + left[:, j]
+    return y.reshape(len(x), -1)[:, :n]
+
+
 def _run(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Sections in turn along the rows' last axis (transposed direct form); ``state``: two values a section and row."""
-    y = x.copy()
-    for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        z1, z2 = state[s, 0].copy(), state[s, 1].copy()
-        for t in range(y.shape[1]):
-            v = y[:, t].copy()
-            out = b0 * v + z1
-            z1 = b1 * v - a1 * out + z2
-            z2 = b2 * v - a2 * out
-            y[:, t] = out
-    return y
+    """Sections in turn; ``state``: two values a section and row."""
+    for section, start in zip(sos, state, strict=True):
+        x = _section(section, x, start)
+    return x
 
 
 def _settled(sos: np.ndarray) -> np.ndarray:
@@ -97,15 +115,22 @@ def _with_halo(blocks: DataFrame, halo: int) -> DataFrame:
 
 
 def filtered(blocks: DataFrame, sos: np.ndarray, halo: int | None = None) -> DataFrame:
-    """Zero-phase filtering of block rows; blocks must be at least as long as the halo. Ends of a recording are extended."""
+    """Zero-phase filtering of block rows; blocks, numbered from 0, must be at least as long as the halo, else it is an error.
+    Ends of a recording are extended. Rows of one length are filtered together."""
     halo = halo_samples(sos) if halo is None else halo
 
     def run(batches):
         for b in batches:
-            out = []
-            for x, s, y in zip(b["before"], b["samples"], b["after"], strict=True):
-                row = np.concatenate([x, s, y]).astype(float)[None, :]
-                out.append(both_ways(sos, row)[0, len(x) : len(x) + len(s)])
+            if ((b["before"].str.len() < halo) & (b["block"] > 1)).any():
+                raise ValueError(f"blocks are shorter than the halo of {halo} samples")
+            rows = [np.concatenate(parts).astype(float) for parts in zip(b["before"], b["samples"], b["after"], strict=True)]
+            out = [None] * len(rows)
+            lengths = np.array([len(r) for r in rows])
+            for n in np.unique(lengths):
+                at = np.nonzero(lengths == n)[0]
+                for i, y in zip(at, both_ways(sos, np.stack([rows[i] for i in at])), strict=True):
+                    lead = len(b["before"].iloc[i])
+                    out[i] = y[lead : lead + len(b["samples"].iloc[i])]
             yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "samples": out})
 
     return _with_halo(blocks.withColumn("samples", F.col("samples").cast("array<double>")), halo).mapInPandas(run, "recording_id string, channel int, block long, samples array<double>")

@@ -574,13 +574,26 @@ def _blocks(spark, d):
     return signal.frames_to_blocks(e, BLOCK)
 
 
-@query()
+# Its response to one impulse, over the samples forward and then backward. The default band-pass, three sections with zeros at 1 and -1.
+@query("""co as (select 0.055026134365847926e0 as g, -0.7434365662246591e0 as a1, 0.43695440832510224e0 as b1, -1.9388041445402757e0 as a2, 0.9428216336780428e0 as b2, -1.2555158189949591e0 as a3, 0.30191780036819943e0 as b3),
+im as (select 0 as k, g as h, -a1 * g as p1, -g - b1 * g as p2, -a2 * g as q1, -g - b2 * g as q2, -a3 * g as r1, -g - b3 * g as r2 from co
+union all select k + 1, p1 + q1 + r1, p2 - a1 * p1, -b1 * p1, q2 - a2 * (p1 + q1), -p1 - b2 * (p1 + q1), r2 - a3 * (p1 + q1 + r1), -(p1 + q1) - b3 * (p1 + q1 + r1) from im, co where k < 2200),
+sg as (select event_id as t, value as x from events), n as (select max(t) as last, least(21, max(t)) as pad from sg),
+ends as (select (select x from sg where t = 0) as x0, (select x from sg, n where t = last) as x1),
+ex as (select t, x from sg union all select -t, 2 * x0 - x from sg, n, ends where t between 1 and pad union all select 2 * last - t, 2 * x1 - x from sg, n, ends where last - t between 1 and pad),
+fw as (select e.t + k as t, sum(h * (x - c)) as y from ex e, im, n, (select x as c from ex, n where t = -pad) where e.t + k <= last + pad group by 1),
+bw as (select f.t - k as t, sum(h * (y - c)) as v from fw f, im, n, (select y as c from fw, n where t = last + pad) where f.t - k between 0 and last group by 1)
+select t as tick, round(v, 6) as v from bw""")
 def bandpass(spark, d):
-    out = signal.filtered(_blocks(spark, d), signal.bandpass_sections())
+    out = signal.filtered(_blocks(spark, d), signal.bandpass_sections(), halo=BLOCK // 2)
     return out.select("block", F.posexplode("samples").alias("i", "v")).select((F.col("block") * BLOCK + F.col("i")).alias("tick"), F.round("v", 6).alias("v"))
 
 
-@query()
+@query("""sg as (select event_id as t, value as x from events), n as (select max(t) as last from sg),
+ln as (select x0, (x1 - x0) / last as slope from (select (select x from sg where t = 0) as x0, (select x from sg, n where t = last) as x1), n),
+tp as (select k, case when k = 0 then 1 else sin(pi() * k / 4e0) / (pi() * k / 4e0) end * (select sum(pow(2.5e0 * sqrt(1 - (k / 40e0) * (k / 40e0)), 2 * i) / pow(gamma(i + 1), 2)) from range(40) as s(i)) as w from range(-40, 41) as r(k)),
+sm as (select 4 * t + k as m, sum((x - x0 - slope * t) * w) * 4 / (select sum(w) from tp) as y from sg, ln, tp group by 1)
+select m as tick, round(y + x0 + slope * m / 4, 6) as v from sm, ln, n where m between 0 and 4 * last + 3""")
 def upsample(spark, d):
     out = signal.resampled(_blocks(spark, d), 4)
     return out.select("block", F.posexplode("samples").alias("i", "v")).select((F.col("block") * BLOCK * 4 + F.col("i")).alias("tick"), F.round("v", 6).alias("v"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from neurolake.operators import signal, spatial
 from neurolake.operators.ttl import line_pulses
@@ -12,24 +14,47 @@ from neurolake.sources.binary import UV_PER_BIT, read_digital, read_voltage, wri
 MODES = ("zca", "cmr", "cmr_zca")
 
 
+def _referenced(filtered: DataFrame, good: list[int], mode: str, fs: float, low: float, high: float, order: int, epsilon: float, pad: int | None) -> DataFrame:
+    if "cmr" in mode:
+        filtered = spatial.common_median_reference(filtered, good)
+    if "zca" in mode:
+        filtered = spatial.whiten(filtered, good, fs=fs, epsilon=epsilon, pad=pad, lowcut=low, highcut=high, order=order)
+    return filtered
+
+
+def _mode(mode: str) -> str:
+    if mode not in MODES:
+        raise ValueError(f"the mode is one of {MODES}")
+    return mode
+
+
 def preprocess(
     frames: DataFrame, good: list[int], mode: str = "cmr_zca", fs: float = 30000.0, low: float = 300.0, high: float = 5000.0, order: int = 2, kind: str = "bessel",
     block: int = 30000, epsilon: float = 10.0, pad: int | None = None,
 ) -> DataFrame:
-    """Band-pass every channel, then reference to the common median, whiten, or both. Dead channels are filtered only."""
-    if mode not in MODES:
-        raise ValueError(f"the mode is one of {MODES}")
+    """Band-pass every channel, then reference to the common median, whiten, or both. Dead channels are filtered only.
+
+    Frames of a table are dealt to blocks of channels and back; ``preprocess_file`` filters a file's ranges where they are read.
+    """
     sos = signal.bandpass_sections(low, high, fs, order, kind)
     out = signal.blocks_to_frames(signal.filtered(signal.frames_to_blocks(frames, block), sos), block)
-    if "cmr" in mode:
-        out = spatial.common_median_reference(out, good)
-    if "zca" in mode:
-        out = spatial.whiten(out, good, fs=fs, epsilon=epsilon, pad=pad, lowcut=low, highcut=high, order=order)
-    return out
+    return _referenced(out, good, _mode(mode), fs, low, high, order, epsilon, pad)
 
 
-def preprocess_file(spark: SparkSession, path: str, target: str, channels: int, good: list[int], mode: str = "cmr_zca", **options) -> None:
-    write_samples(preprocess(read_voltage(spark, path, channels), good, mode, **options), target)
+def filtered_voltage(spark: SparkSession, path: str, channels: int, sos: np.ndarray, **options) -> DataFrame:
+    """Band-passed frames of a file, without an exchange of samples: each range is read with the filter's halo."""
+    return read_voltage(spark, path, channels, work=partial(signal.both_ways, sos), halo=signal.halo_samples(sos), **options)
+
+
+def preprocess_file(
+    spark: SparkSession, path: str, target: str, channels: int, good: list[int], mode: str = "cmr_zca", fs: float = 30000.0, low: float = 300.0, high: float = 5000.0, order: int = 2,
+    kind: str = "bessel", epsilon: float = 10.0, pad: int | None = None,
+) -> None:
+    """``preprocess`` from a file to 16-bit samples. Whitening looks at the filtered frames several times: with a checkpoint folder they are filtered once."""
+    out = filtered_voltage(spark, path, channels, signal.bandpass_sections(low, high, fs, order, kind))
+    if "zca" in _mode(mode) and spark.sparkContext.getCheckpointDir():
+        out = out.checkpoint()
+    write_samples(_referenced(out, good, mode, fs, low, high, order, epsilon, pad), target)
 
 
 def motion_inputs(frames: DataFrame, good: list[int], fs: float = 30000.0, block: int = 30000) -> tuple[DataFrame, DataFrame]:
@@ -41,10 +66,14 @@ def motion_inputs(frames: DataFrame, good: list[int], fs: float = 30000.0, block
 
 
 def upsample_channel(spark: SparkSession, path: str, up: int = 4, unsigned: bool = False, fs: float = 30000.0, block: int = 30000, bit_depth: float = UV_PER_BIT) -> DataFrame:
-    """One channel, band-passed and ``up`` times as dense; samples as they are written: cut off, not rounded."""
-    frames = read_voltage(spark, path, 1, bit_depth, 32768 if unsigned else 0)
-    blocks = signal.filtered(signal.frames_to_blocks(frames, block), signal.bandpass_sections(fs=fs))
-    return signal.blocks_to_frames(signal.resampled(blocks, up), block * up).withColumn("uv", F.col("uv"))
+    """Frames of one channel, band-passed and ``up`` times as dense, in microvolts."""
+    frames = filtered_voltage(spark, path, 1, signal.bandpass_sections(fs=fs), scale=bit_depth, offset=32768 if unsigned else 0)
+    return signal.blocks_to_frames(signal.resampled(signal.frames_to_blocks(frames, block), up), block * up)
+
+
+def upsample_file(spark: SparkSession, path: str, target: str, up: int = 4, unsigned: bool = False, fs: float = 30000.0, bit_depth: float = UV_PER_BIT) -> None:
+    """``upsample_channel`` to signed 16-bit samples, cut off, not rounded; values out of range wrap."""
+    write_samples(upsample_channel(spark, path, up, unsigned, fs, bit_depth=bit_depth), target, bit_depth, "truncate", "wrap")
 
 
 def camera_pulses(spark: SparkSession, path: str, line: int = 1, rising: bool | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from neurolake.functions import columns as C
 from neurolake.operators import intervals, plotdata, series, signal, spatial, trials, ttl
+from neurolake.plans import recordings
 from neurolake.sources import binary
 from neurolake.sources.probes import probe_contacts
 
@@ -53,6 +54,26 @@ def test_unequal_edges(spark, rows):
     assert rows(ttl.pulses(edges, mode="reference")) == [(30, 20), (50, 40)]
 
 
+def test_neighbours_do_not_depend_on_the_blocks(spark, rows):
+    rng = np.random.default_rng(8)
+    keys = lambda n: [None if k == 3 else int(k) for k in rng.integers(0, 4, n)]
+    a = [(k, int(t), None if t % 7 == 0 else float(t % 5)) for k, t in zip(keys(60), rng.integers(-300, 300, 60), strict=True)]
+    b = [(i, k, int(t)) for i, (k, t) in enumerate(zip(keys(200), rng.integers(-400, 400, 200), strict=True))] + [(999, 9, 5), (998, 1, None)]
+    src, dst = spark.createDataFrame(a, "k int, tick long, v double"), spark.createDataFrame(b, "id int, k int, at long")
+    held, near = [], []
+    for i, k, t in b:
+        own = sorted((u, v) for q, u, v in a if q == k and v is not None)
+        before = [v for u, v in own if t is not None and u <= t]
+        held.append((i, before[-1] if before else own[0][1] if own else None))
+        ticks = sorted(u for q, u, _ in a if q == k)
+        near.append((i, min(ticks, key=lambda u: (abs(u - t), u)) if ticks and t is not None else None))
+    known = lambda got: [r for r in got if r[0] != 998]
+    for block in (1, 10, 64, 1 << 20):
+        assert known(rows(intervals.as_of(dst, src, "at", "tick", "v", ["k"], clamp=True, block=block), "id", "v")) == known(sorted(held))
+        assert known(rows(intervals.nearest(dst, src, "at", "tick", ["k"], block), "id", "near")) == known(sorted(near))
+    assert intervals.as_of(dst, src, "at", "tick", "v", ["k"]).count() == len(b)
+
+
 def test_nearest_takes_the_earlier_of_a_tie(spark, rows):
     a = spark.createDataFrame([(0, t) for t in (2, 6, 18, 22, 38, 42)], "k int, tick long")
     b = spark.createDataFrame([(0, t) for t in (0, 10, 20, 40, 99)], "k int, at long")
@@ -315,6 +336,49 @@ def test_blocks_filter_as_the_whole(spark):
     assert np.abs(got - whole).max() < 1e-6
 
 
+def test_short_blocks_are_an_error(spark):
+    f = spark.createDataFrame([("r", b, 0, [1.0] * 50) for b in range(4)], "recording_id string, block long, channel int, samples array<double>")
+    with pytest.raises(Exception, match="shorter than the halo"):
+        signal.filtered(f, signal.bandpass_sections()).collect()
+
+
+def test_filter_is_its_difference_equation():
+    x = np.random.default_rng(5).normal(size=(3, 700))
+    sos = signal.bandpass_sections(kind="bessel", order=2)
+    state = np.random.default_rng(6).normal(size=(len(sos), 2, 3))
+    got = signal._run(sos, x, state)
+    for row in range(3):
+        z, y = state[:, :, row].copy(), []
+        for v in x[row]:
+            for s, (b0, b1, b2, _, a1, a2) in enumerate(sos):
+                out = b0 * v + z[s, 0]
+                z[s] = b1 * v - a1 * out + z[s, 1], b2 * v - a2 * out
+                v = out
+            y.append(v)
+        assert got[row] == pytest.approx(np.array(y), abs=1e-10)
+
+
+def test_files_are_filtered_where_they_are_read(spark, tmp_path):
+    x = np.random.default_rng(4).integers(-3000, 3000, (70_000, 2)).astype("<i2")
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v/amp.dat").write_bytes(x.tobytes())
+    sos = signal.bandpass_sections()
+    out = recordings.filtered_voltage(spark, str(tmp_path / "v"), 2, sos)
+    whole = signal.both_ways(sos, (x * 0.195).T).T
+    assert np.abs(back(out) - whole).max() < 1e-3 and out.count() == len(x)  # samples are read in single precision
+    recordings.preprocess_file(spark, str(tmp_path / "v"), str(tmp_path / "w"), 2, [0, 1], "cmr")
+    assert spark.read.parquet(str(tmp_path / "w")).count() == len(x)
+    one = x[:4000, 0].copy()
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/c.dat").write_bytes(one.tobytes())
+    recordings.upsample_file(spark, str(tmp_path / "one"), str(tmp_path / "up"))
+    got = np.frombuffer(b"".join(r["bytes"] for r in spark.read.parquet(str(tmp_path / "up")).orderBy("tick").collect()), "<i2")
+    y = signal.both_ways(sos, (one * 0.195)[None, :].astype(np.float32).astype(float))[0]
+    line = y[0] + (y[-1] - y[0]) / (len(y) - 1) * np.arange(4 * len(y)) / 4
+    up = signal.resample_row(y - line[::4], 4) + line
+    assert len(got) == 4 * len(one) and (np.abs(got - np.trunc(up / 0.195)) <= 1).all() and np.mean(got == np.trunc(up / 0.195)) > 0.999
+
+
 def test_upsampling_follows_the_signal(spark):
     fs, n = 30000, 3000
     tone = lambda t: 10 * np.sin(2 * np.pi * 300 * t) + 5 * np.cos(2 * np.pi * 1000 * t)
