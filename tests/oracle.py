@@ -18,7 +18,7 @@ def duck(sf_dir):
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    clean = lambda x: None if x is None or x != x else (float(x) if isinstance(x, float) else x)
+    clean = lambda x: None if x is None or x is pd.NA or x != x else (float(x) if isinstance(x, float) else x)
     return sorted(([clean(v) for v in r] for r in df.astype(object).itertuples(index=False)), key=str)
 
 
