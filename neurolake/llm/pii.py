@@ -233,7 +233,7 @@ def learn(docs: DataFrame) -> SpanField:
     def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             some = {t[s:e] for t in b["text"] if t and _DIGITS.search(t) for s, e in zones(t) if e - s <= 40}
-            yield pd.DataFrame({"zone": sorted(some)})
+            yield pd.DataFrame({"zone": pd.Series(sorted(some), dtype=object)})
 
     found = docs.select("text").mapInPandas(sample, "zone string").distinct()
     # for each outward form of digits a few, so that rare forms are there too
