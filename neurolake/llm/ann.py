@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolake.llm.common import written
-from neurolake.llm.vectors import one_per_id, stacked, valid
+from neurolake.llm.vectors import inner, one_per_id, stacked, valid
 
 K = 20
 #: Standard errors that the bound allows for; at 1.9 a true neighbour is missed with a probability of a few per cent at most.
@@ -78,7 +78,7 @@ def search_block(qid, q, floor, vid, x, code, length, fit, centre, turn, k: int)
     score = np.empty(len(rows))
     for at in range(0, len(rows), 1 << 16):
         s = slice(at, at + (1 << 16))
-        score[s] = np.einsum("ij,ij->i", q[rows[s]], x[cols[s]])
+        score[s] = inner(q[rows[s]], x[cols[s]])
     order = np.lexsort((vid[cols], -score, rows))
     rows, cols, score = rows[order], cols[order], score[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
@@ -137,7 +137,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
                 s = np.where(ids == own[i], -np.inf, np.einsum("j,ij->i", q[i], x))
                 top = np.lexsort((ids, -s))[: min(k, int(np.isfinite(s).sum()))]
                 near.append(ids[top])
-                scores.append(s[top])
+                scores.append(inner(q[i][None, :], x[top]))
                 if len(top) == k:
                     # rounding may differ from one way of summing to another
                     floor[i] = s[top[-1]] - 1e-9 * (1 + abs(s[top[-1]]))
@@ -180,3 +180,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             queries = queries.join(kth.select(F.col("query_id").alias("vec_id"), "kth"), "vec_id", "left")
             queries = queries.select("vec_id", "embedding", F.greatest("floor", "kth").alias("floor"), "qb")
     return best.select("query_id", "rank", "vec_id", "score")
+
+
+#: The exact result, for small tables.
+SQL = """with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0), s as (select q.vec_id as query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) as score from v q, v c where q.vec_id % 20 = 0 and c.vec_id != q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s) select * from r where rank <= 20"""

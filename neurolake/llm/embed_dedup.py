@@ -303,3 +303,11 @@ def _recall(true: DataFrame, result: DataFrame) -> float:
 def recall_audit(embeddings: DataFrame, result: DataFrame, sample: int = 256) -> float:
     """Share of the links of ``sample`` vectors (those with the smallest hashes), counted against all others, that ``result`` has."""
     return _recall(_true_links(valid(one_per_id(embeddings)), sample), result)
+
+
+#: The exact result, for small tables.
+SQL = """with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0), ln as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select vec_id as node, vec_id as root from embeddings union select ln.b, root from reach join ln on ln.a = node)
+select vec_id, (select count(*) from ln where a = vec_id) as n_links, (select min(root) from reach where node = vec_id) as component_id,
+(select min(root) from reach where node = vec_id) = vec_id as kept from embeddings"""

@@ -60,4 +60,4 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op4_warc, op5_html_extract, op6_neardup, op7_pii, op8_ann, op9_mixing, op10_embed_dedup)}
-ORACLES = {"op6_neardup": neardup.SQL, "op9_mixing": mixing.SQL}
+ORACLES = {"op4_warc": warc.SQL, "op6_neardup": neardup.SQL, "op8_ann": ann.SQL, "op9_mixing": mixing.SQL, "op10_embed_dedup": embed_dedup.SQL}

@@ -24,3 +24,12 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def stacked(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
+
+
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of ``a`` with those of ``b``, summed component after component: equal to the last bit in any block."""
+    parts = a * b
+    total = parts[:, 0].copy()
+    for j in range(1, parts.shape[1]):
+        total += parts[:, j]
+    return total

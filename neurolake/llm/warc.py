@@ -182,3 +182,11 @@ def read_warc(spark, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     # a number of its own: adaptive execution would gather these few small rows in one task
     n = ranges.count()
     return ranges.repartition(max(n, 1), "path", "begin").mapInPandas(_ranges, RECORDS)
+
+
+#: The records' columns: base 32 of each five hexadecimal digits is four of its letters.
+SQL = """with p as (select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as hex from pages),
+d as (select page_id, octet_length(body) as payload_bytes, hex, max(page_id) over (partition by hex) as best from p)
+select page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+cast(1 + (cast('0x' || substr(hex, cast(1 + 5 * (k // 4) as integer), 5) as integer) >> cast(15 - 5 * (k % 4) as integer)) % 32 as integer), 1)), 'string_agg', '') as payload_digest,
+case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id < best then best end as refers_to from d"""
