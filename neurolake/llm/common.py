@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tokens of every word-based operator: runs of anything but the six ASCII white-space characters.
@@ -23,6 +23,11 @@ def ascii_lower(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_UPPER_TO_LOWER)
 
 
+def ascii_lowered(text: Column) -> Column:
+    """``ascii_lower`` as a column."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
