@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.llm import ann, common, embed_dedup, html_extract, line_dedup, lm_score, mixing, neardup, packing, pii, toxicity, variants, warc
+from neurolake.llm import ann, common, embed_dedup, html_extract, line_dedup, lm_score, mixing, neardup, packing, pii, prefix_trie, toxicity, variants, warc
 from neurolake.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), shared=True)
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(variants.word_counts(table(spark, sf_dir, "documents"), typo_every=31))
 
@@ -69,10 +73,10 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_toxicity, op2_lm_score, op3_packing, op4_warc, op5_html_extract, op6_neardup, op7_pii, op8_ann, op9_mixing, op10_embed_dedup, op12_spelling, op13_line_dedup,
+    op1_toxicity, op2_lm_score, op3_packing, op4_warc, op5_html_extract, op6_neardup, op7_pii, op8_ann, op9_mixing, op10_embed_dedup, op11_prefix_trie, op12_spelling, op13_line_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
-    "op4_warc": warc.SQL, "op6_neardup": neardup.SQL, "op8_ann": ann.SQL, "op9_mixing": mixing.SQL, "op10_embed_dedup": embed_dedup.SQL,
+    "op4_warc": warc.SQL, "op6_neardup": neardup.SQL, "op8_ann": ann.SQL, "op9_mixing": mixing.SQL, "op10_embed_dedup": embed_dedup.SQL, "op11_prefix_trie": prefix_trie.SQL,
     "op12_spelling": variants.SQL, "op13_line_dedup": line_dedup.SQL,
 }
