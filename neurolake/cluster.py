@@ -1,4 +1,4 @@
-"""Putting this package on the executors."""
+"""Putting this package on the executors, and the folder that they share with the driver."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,3 +23,22 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(archive)
     sc._neurolake_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. On one machine, where the session names none, a temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="neurolake-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared folder: it is used several times, and lost executors cost their tasks only."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

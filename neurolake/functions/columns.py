@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,15 +52,20 @@ def bit(word: Column, line: int) -> Column:
     return F.getbit(word, F.lit(line)).cast("int")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a computed value, as a lambda's variable: a computed column that is named inside a lambda is computed anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def median_of(values: Column) -> Column:
     """Exact median of an array without nulls: the mean of the two middle values."""
-    s, n = F.array_sort(values), F.size(values)
-    low = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    return (low + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    at = lambda s, n: F.get(s, F.floor(n).cast("int"))
+    return once(F.sort_array(values), lambda s: (at(s, (F.size(s) - 1) / 2) + at(s, F.size(s) / 2)) / 2)
 
 
 def picked(values: Column, positions: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(p) for p in positions]), lambda i: F.get(values, i))
+    wanted = F.array(*[F.lit(p) for p in positions])
+    return once(values, lambda all_: F.transform(wanted, lambda i: F.get(all_, i)))
 
 
 def quantised(microvolts: Column, bit_depth: float, rounding: str = "half_even", overflow: str = "clamp") -> Column:

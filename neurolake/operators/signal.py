@@ -143,16 +143,27 @@ def _sinc(up: int, down: int, beta: float) -> tuple[np.ndarray, int]:
     return taps / taps.sum() * up, half
 
 
-def resample_row(x: np.ndarray, up: int, down: int = 1, beta: float = 5.0, lead: int = 0, keep: int | None = None) -> np.ndarray:
-    """Windowed-sinc resampling of the samples from ``lead`` on; nothing stands outside the row."""
+def reach(up: int, down: int = 1) -> int:
+    """Samples on either side that a resampled one depends on."""
+    return 10 * max(up, down) // up + 2
+
+
+def resample_rows(x: np.ndarray, up: int, down: int = 1, beta: float = 5.0, lead: int = 0, keep: int | None = None) -> np.ndarray:
+    """Windowed-sinc resampling of rows, of the samples from ``lead`` on; nothing stands outside a row.
+
+    A polyphase filter bank: on the ``up`` times finer grid a place's phase says which taps meet samples, so all phases of all
+    samples are one product of the samples' neighbourhoods and a matrix of a column a phase.
+    """
     taps, half = _sinc(up, down, beta)
-    keep = len(x) - lead if keep is None else keep
-    m = np.arange(-(-keep * up // down)) * down + lead * up  # places on the fine grid
-    reach = np.arange(-(half // up) - 1, half // up + 2)
-    near = (m // up)[:, None] + reach
-    tap = m[:, None] - near * up + half
-    ok = (near >= 0) & (near < len(x)) & (tap >= 0) & (tap < len(taps))
-    return (np.where(ok, x[np.clip(near, 0, len(x) - 1)], 0.0) * np.where(ok, taps[np.clip(tap, 0, len(taps) - 1)], 0.0)).sum(axis=1)
+    keep = x.shape[1] - lead if keep is None else keep
+    r = reach(up, down)
+    at = np.arange(up)[None, :] - np.arange(-r, r + 1)[:, None] * up + half
+    bank = np.where((at >= 0) & (at < len(taps)), taps[np.clip(at, 0, len(taps) - 1)], 0.0)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(x, [(0, 0), (r, r)]), 2 * r + 1, axis=1)[:, lead : lead + keep]
+    if down == 1:
+        return (near @ bank).reshape(len(x), -1)
+    place = np.arange(-(-keep * up // down)) * down
+    return (near[:, place // up] * bank.T[place % up]).sum(axis=2)
 
 
 def resampled(blocks: DataFrame, up: int, down: int = 1, beta: float = 5.0) -> DataFrame:
@@ -162,7 +173,7 @@ def resampled(blocks: DataFrame, up: int, down: int = 1, beta: float = 5.0) -> D
     lengths must be multiples of ``down``.
     """
     blocks = blocks.withColumn("samples", F.col("samples").cast("array<double>"))
-    halo = 10 * max(up, down) // up + 2
+    halo = reach(up, down)
     sizes = blocks.groupBy("recording_id", "channel").agg(
         F.min_by(F.get("samples", F.lit(0)), "block").alias("first"), F.max_by(F.element_at("samples", -1), "block").alias("last"),
         F.sum(F.size("samples")).alias("n"), F.min_by(F.size("samples"), "block").alias("per"),
@@ -176,7 +187,7 @@ def resampled(blocks: DataFrame, up: int, down: int = 1, beta: float = 5.0) -> D
                 slope = (r.last - r.first) / max(r.n - 1, 1)
                 origin = r.block * r.per
                 line = r.first + slope * (np.arange(len(x)) - len(r.before) + origin)
-                y = resample_row(x - line, up, down, beta, len(r.before), len(r.samples))
+                y = resample_rows((x - line)[None], up, down, beta, len(r.before), len(r.samples))[0]
                 out.append(y + r.first + slope * (np.arange(len(y)) * down / up + origin))
             yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "samples": out})
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurolake.functions.columns import MAD_TO_SD, median_of, picked
+from neurolake.functions.columns import MAD_TO_SD, median_of, once, picked
 
 PAD_SECONDS = 0.0005
 
@@ -18,10 +19,9 @@ def common_median_reference(frames: DataFrame, good: list[int], target: str = "g
     """Subtract each sample's median over good channels, from these or (``target="all"``) from all channels. No shuffle."""
     m = median_of(picked(F.col("uv").cast("array<double>"), good))
     wanted = F.array(*[F.lit(g) for g in good])
-    level = frames.withColumn("_m", m)
     if target == "all":
-        return level.withColumn("uv", F.transform("uv", lambda v: v - F.col("_m"))).drop("_m")
-    return level.withColumn("uv", F.transform("uv", lambda v, i: F.when(F.array_contains(wanted, i), v - F.col("_m")).otherwise(v))).drop("_m")
+        return frames.withColumn("uv", once(m, lambda level: F.transform("uv", lambda v: v - level)))
+    return frames.withColumn("uv", once(m, lambda level: F.transform("uv", lambda v, i: F.when(F.array_contains(wanted, i), v - level).otherwise(v))))
 
 
 def channel_values(frames: DataFrame) -> DataFrame:
@@ -168,17 +168,18 @@ def whiten(frames: DataFrame, good: list[int], **options) -> DataFrame:
     return apply_whitening(frames, fit_whitening(frames, good, **options))
 
 
-def subsample(frames: DataFrame, n: int, segments: int = 3, length: int = 30000) -> DataFrame:
-    """Runs at the start, middle and end of ``n`` ticks: a predicate on ticks, so that the scan skips the rest."""
+def sample_runs(n: int, segments: int = 3, length: int = 30000) -> list[tuple[int, int]]:
+    """Half-open runs at the start, middle and end of ``n`` ticks; all of them, if the runs would hold as many."""
     if n <= segments * length:
-        starts = [0]
-        length = n
-    else:
-        starts = {1: [0], 2: [0, n - length]}.get(segments, [0, n // 2 - length // 2, n - length])
-    keep = F.lit(False)
-    for s in starts:
-        keep = keep | ((F.col("tick") >= s) & (F.col("tick") < s + length))
-    return frames.where(keep)
+        return [(0, n)]
+    starts = {1: [0], 2: [0, n - length]}.get(segments, [0, n // 2 - length // 2, n - length])
+    return [(s, s + length) for s in starts]
+
+
+def subsample(frames: DataFrame, n: int, segments: int = 3, length: int = 30000) -> DataFrame:
+    """The runs of ``sample_runs`` as a predicate on ticks, so that a Parquet scan skips the rest; files are read so by ``read_voltage(segments=...)``."""
+    runs = [(F.col("tick") >= a) & (F.col("tick") < b) for a, b in sample_runs(n, segments, length)]
+    return frames.where(reduce(lambda a, b: a | b, runs))
 
 
 def diagnostics(frames: DataFrame, channels: list[int]) -> DataFrame:

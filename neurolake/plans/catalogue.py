@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -599,6 +600,36 @@ def upsample(spark, d):
     return out.select("block", F.posexplode("samples").alias("i", "v")).select((F.col("block") * BLOCK * 4 + F.col("i")).alias("tick"), F.round("v", 6).alias("v"))
 
 
+def _recording(spark, rows, **options):
+    """Rows written as a recording of flat 16-bit samples, where driver and executors find it."""
+    from neurolake.cluster import shared_folder
+    from neurolake.sources.binary import write_samples
+
+    folder = f"{shared_folder(spark)}/recording-{uuid.uuid4().hex}"
+    write_samples(rows, folder, in_order=False, **options)
+    return folder
+
+
+@query("select tick, channel, cast(greatest(least(round_even(v * 40 / 0.195e0, 0), 32767), -32768) as bigint) as bits from fr")
+def flat_samples(spark, d):
+    """What the flat sink wrote, by its bytes."""
+    from neurolake.sources.binary import read_voltage
+
+    f = T.frames(spark, d).withColumn("uv", F.transform("uv", lambda v: v * 40))
+    cells = read_voltage(spark, _recording(spark, f), T.CHANNELS, scale=1.0).select("tick", F.posexplode("uv").alias("channel", "v"))
+    return cells.select("tick", F.col("channel").cast("long").alias("channel"), F.col("v").cast("long").alias("bits"))
+
+
+@query(ORACLES["upsample"].split("with recursive ")[1].removeprefix(f"{T.SQL},").replace("select event_id as t, value as x from events", "select event_id as t, trunc(value / 0.1e0) as x from events"))
+def upsample_flat(spark, d):
+    """Resampled in the ranges that a recording is read in."""
+    from neurolake.sources.binary import read_voltage
+
+    e = T.table(spark, d, "events").select(F.lit("r0").alias("recording_id"), F.col("event_id").alias("tick"), F.array("value").alias("uv"))
+    out = read_voltage(spark, _recording(spark, e, bit_depth=0.1, rounding="truncate"), 1, scale=1.0, up=4, per_task=1 << 16)
+    return out.select("tick", F.round(F.get("uv", F.lit(0)), 6).alias("v"))
+
+
 # Units
 
 

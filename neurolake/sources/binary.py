@@ -1,85 +1,47 @@
-"""Flat binary recordings in and out, in byte ranges, and the other files of a recording."""
+"""Flat binary recordings in and out, and the other files of a recording."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
 from dataclasses import asdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neurolake.functions.columns import quantised, ticks_from_seconds
+from neurolake.functions.columns import ticks_from_seconds
 from neurolake.operators.spatial import Whitening
+from neurolake.sources.flat import registered
 
 UV_PER_BIT = 0.195
 
 
-def _open(path: str):
-    from pyarrow import fs
+def _load(spark: SparkSession, path: str, ticks: list[tuple[int, int]] | None, **options) -> DataFrame:
+    if ticks is not None:
+        options["ticks"] = json.dumps(ticks)
+    return registered(spark).read.format("flat_recording").options(**{k: v for k, v in options.items() if v is not None}).load(path)
 
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
 
-
-def byte_ranges(spark: SparkSession, path: str, record: int, header: int = 0, per_task: int = 32 << 20) -> DataFrame:
-    """``recording_id, path, begin, first, n``: ranges of whole records of each file; the list comes without the files' contents."""
-    size = F.floor((F.col("length") - header) / record)
-    whole = F.when((F.col("length") - header) % record == 0, size).otherwise(F.raise_error(F.lit("a file isn't a whole number of records")).cast("long"))
-    step = max(1, per_task // record)
-    files = spark.read.format("binaryFile").load(path).select("path", whole.alias("records")).where("records > 0")
-    starts = files.select("path", "records", F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(step).cast("long"))).alias("first"))
-    name = F.element_at(F.split("path", "/"), -1)
-    return starts.select(name.alias("recording_id"), "path", (F.col("first") * record + header).alias("begin"), "first", F.least(F.lit(step), F.col("records") - F.col("first")).alias("n"))
-
-
-def _spread(ranges: DataFrame) -> DataFrame:
-    return ranges.repartition(max(1, ranges.count()), "path", "begin")
-
-
-def read_digital(spark: SparkSession, path: str, header: int = 0, width: int = 2) -> DataFrame:
-    """``recording_id, tick, word`` of unsigned little-endian words, one or two bytes wide."""
+def read_digital(spark: SparkSession, path: str, header: int = 0, width: int = 2, ticks: list[tuple[int, int]] | None = None, recording: str | None = None) -> DataFrame:
+    """``recording_id, tick, word`` of unsigned little-endian words, one or two bytes wide; ``ticks`` and ``recording`` as for ``read_voltage``."""
     if width not in (1, 2):
         raise ValueError("words are one or two bytes wide")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                with _open(r.path) as f:
-                    words = np.frombuffer(f.read_at(r.n * width, r.begin), dtype=f"<u{width}")
-                for at in range(0, len(words), 1 << 18):
-                    some = words[at : at + (1 << 18)]
-                    yield pd.DataFrame({"recording_id": r.recording_id, "tick": r.first + at + np.arange(len(some)), "word": some.astype(np.int32)})
-
-    return _spread(byte_ranges(spark, path, width, header)).mapInPandas(read, "recording_id string, tick long, word int")
+    return _load(spark, path, ticks, word_bytes=width, header=header, recording=recording)
 
 
 def read_voltage(
-    spark: SparkSession, path: str, channels: int, scale: float = UV_PER_BIT, offset: int = 0, work: Callable[[np.ndarray], np.ndarray] | None = None, halo: int = 0,
+    spark: SparkSession, path: str, channels: int, scale: float = UV_PER_BIT, offset: int = 0, header: int = 0, sections: np.ndarray | None = None, up: int = 1, beta: float = 5.0,
+    per_task: int = 32 << 20, ticks: list[tuple[int, int]] | None = None, recording: str | None = None, segments: int | None = None, length: int = 30000,
 ) -> DataFrame:
     """Frames of interleaved 16-bit samples, in microvolts; ``offset`` is what a word of zero volts holds (32768: unsigned words).
 
-    ``work``: a function of an array of channels by ticks, such as a filter, for pieces that are read with ``halo`` ticks of
-    their neighbours on either side; these are cut off after it. So samples are filtered where they are read, without an exchange.
+    ``sections``: of a zero-phase filter. ``up``: frames that many times as dense. Ranges are read with as many neighbours as these need, so
+    samples are filtered and resampled where they are read, without an exchange. ``ticks``: only these ranges, half open, of what comes out; ``recording``: only
+    the one of that name; ``segments``: only so many runs of ``length`` of each recording, as ``spatial.subsample`` takes them. Nothing else is planned or opened.
     """
-    kind, width, step = "<u2" if offset else "<i2", 2 * channels, 1 << 15
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples():
-                with _open(r.path) as f:
-                    for at in range(0, r.n, step):
-                        n, lead = min(step, r.n - at), min(halo, r.first + at)
-                        raw = f.read_at((lead + n + halo) * width, r.begin + (at - lead) * width)
-                        x = np.frombuffer(raw, dtype=kind).reshape(-1, channels)
-                        uv = ((x.astype(np.float64) - offset) * scale).astype(np.float32)
-                        if work is not None:
-                            uv = np.ascontiguousarray(work(uv.T.astype(np.float64)).T)
-                        yield pd.DataFrame({"recording_id": r.recording_id, "tick": r.first + at + np.arange(n), "uv": list(uv[lead : lead + n])})
-
-    number = "float" if work is None else "double"
-    return _spread(byte_ranges(spark, path, width)).mapInPandas(read, f"recording_id string, tick long, uv array<{number}>")
+    sos = json.dumps(sections.tolist()) if sections is not None else None
+    runs = {"segments": segments, "length": length} if segments else {}
+    return _load(spark, path, ticks, channels=channels, scale=scale, offset=offset, header=header, sections=sos, up=up, beta=beta, per_task=per_task, recording=recording, **runs)
 
 
 def read_spike_csv(spark: SparkSession, path: str, fs: float) -> DataFrame:
@@ -130,22 +92,18 @@ def load_whitening(spark: SparkSession, path: str) -> Whitening:
     return Whitening(**row)
 
 
-def write_samples(frames: DataFrame, path: str, bit_depth: float = UV_PER_BIT, rounding: str = "half_even", overflow: str = "clamp") -> None:
-    """16-bit samples, channel after channel within a tick: a Parquet table sorted by tick, one row a tick with its bytes.
+def write_samples(
+    frames: DataFrame, path: str, bit_depth: float = UV_PER_BIT, rounding: str = "half_even", overflow: str = "clamp", layout: str = "parts", in_order: bool = True, mode: str = "error",
+) -> None:
+    """16-bit samples, channel after channel within a tick, as ``read_voltage`` reads them.
 
-    Rows are dealt by ranges of ticks, so that part files in order are the recording; ``join_parts`` makes them one file where
-    a tool wants that.
+    Every task writes the runs of successive ticks that it holds; no row passes through the driver, and nothing is shuffled: frames that were read from files, filtered and
+    referenced are in order. Others (``in_order=False``) are dealt by ranges of ticks and sorted first. ``layout="parts"``: files with a manifest, on any store;
+    ``"file"``: one flat file a recording, on a folder that all machines have mounted. Gaps, repeated ticks, ragged, null and non-finite frames are errors, and leave nothing.
     """
-    shorts = F.transform("uv", lambda v: quantised(v, bit_depth, rounding, overflow).cast("int"))
-    low = F.transform(shorts, lambda v: F.lpad(F.hex(F.pmod(v, F.lit(65536))), 4, "0"))
-    little = F.transform(low, lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)))
-    rows = frames.select("recording_id", "tick", F.unhex(F.array_join(little, "")).alias("bytes"))
-    rows.repartitionByRange("recording_id", "tick").sortWithinPartitions("recording_id", "tick").write.parquet(path)
-
-
-def join_parts(spark: SparkSession, path: str, recording_id: str, target: str) -> None:
-    """One recording's samples as a flat file, streamed through the driver a partition at a time."""
-    rows = spark.read.parquet(path).where(F.col("recording_id") == recording_id).orderBy("tick").select("bytes")
-    with open(target, "wb") as f:
-        for r in rows.toLocalIterator():
-            f.write(r["bytes"])
+    frames = frames.select("recording_id", F.col("tick").cast("long").alias("tick"), F.col("uv").cast("array<double>").alias("uv"))
+    if not in_order:
+        frames = frames.repartitionByRange("recording_id", "tick").sortWithinPartitions("recording_id", "tick")
+    registered(frames.sparkSession)
+    mode = "append" if mode == "error" else mode  # the sink itself refuses a folder that holds something
+    frames.write.format("flat_recording").options(bit_depth=bit_depth, rounding=rounding, overflow=overflow, layout=layout).mode(mode).save(path)

@@ -3,13 +3,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from neurolake.functions import columns as C
 from neurolake.operators import intervals, plotdata, series, signal, spatial, trials, ttl
 from neurolake.plans import recordings
-from neurolake.sources import binary
+from neurolake.sources import binary, flat
 from neurolake.sources.probes import probe_contacts
 
 
@@ -366,16 +367,20 @@ def test_files_are_filtered_where_they_are_read(spark, tmp_path):
     out = recordings.filtered_voltage(spark, str(tmp_path / "v"), 2, sos)
     whole = signal.both_ways(sos, (x * 0.195).T).T
     assert np.abs(back(out) - whole).max() < 1e-3 and out.count() == len(x)  # samples are read in single precision
-    recordings.preprocess_file(spark, str(tmp_path / "v"), str(tmp_path / "w"), 2, [0, 1], "cmr")
-    assert spark.read.parquet(str(tmp_path / "w")).count() == len(x)
+    recordings.preprocess_file(spark, str(tmp_path / "v"), str(tmp_path / "w"), 2, [0, 1], "cmr", layout="file")
+    assert (tmp_path / "w/amp.dat").stat().st_size == x.nbytes
+    recordings.preprocess_file(spark, str(tmp_path / "v"), str(tmp_path / "z"), 2, [0, 1], pad=0)
+    assert binary.read_voltage(spark, str(tmp_path / "z"), 2).count() == len(x)
+    moved, white = recordings.motion_inputs_of_file(spark, str(tmp_path / "v"), 2, [0, 1])
+    assert moved.count() == white.count() == len(x)
     one = x[:4000, 0].copy()
     (tmp_path / "one").mkdir()
-    (tmp_path / "one/c.dat").write_bytes(one.tobytes())
-    recordings.upsample_file(spark, str(tmp_path / "one"), str(tmp_path / "up"))
-    got = np.frombuffer(b"".join(r["bytes"] for r in spark.read.parquet(str(tmp_path / "up")).orderBy("tick").collect()), "<i2")
+    (tmp_path / "one/c.dat").write_bytes(b"header" + one.tobytes())
+    recordings.upsample_file(spark, str(tmp_path / "one"), str(tmp_path / "up"), header=6, layout="file")
+    got = np.fromfile(tmp_path / "up/c.dat", "<i2")
     y = signal.both_ways(sos, (one * 0.195)[None, :].astype(np.float32).astype(float))[0]
     line = y[0] + (y[-1] - y[0]) / (len(y) - 1) * np.arange(4 * len(y)) / 4
-    up = signal.resample_row(y - line[::4], 4) + line
+    up = signal.resample_rows((y - line[::4])[None], 4)[0] + line
     assert len(got) == 4 * len(one) and (np.abs(got - np.trunc(up / 0.195)) <= 1).all() and np.mean(got == np.trunc(up / 0.195)) > 0.999
 
 
@@ -388,26 +393,145 @@ def test_upsampling_follows_the_signal(spark):
     assert np.abs(got - tone(np.arange(4 * n) / (4 * fs)))[1200:-1200].max() < 0.1
 
 
+def samples_file(folder, name="amp.dat", ticks=5000, channels=3, header=b"", seed=0):
+    x = np.random.default_rng(seed).integers(-30000, 30000, (ticks, channels)).astype("<i2")
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_bytes(header + x.tobytes())
+    return x
+
+
 def test_binary_round_trip(spark, rows, tmp_path):
     words = np.arange(1000, dtype="<u2") * 61 % 65521
     (tmp_path / "d").mkdir()
     (tmp_path / "d/digitalin.dat").write_bytes(b"head" + words.astype("<u2").tobytes())
     got = binary.read_digital(spark, str(tmp_path / "d"), header=4).orderBy("tick").collect()
     assert [r["word"] for r in got] == words.tolist() and got[0]["recording_id"] == "digitalin.dat"
-    x = np.random.default_rng(0).integers(-30000, 30000, (500, 3)).astype("<i2")
-    (tmp_path / "v").mkdir()
-    (tmp_path / "v/amp.dat").write_bytes(x.tobytes())
-    f = binary.read_voltage(spark, str(tmp_path / "v"), 3)
-    assert back(f) == pytest.approx(x * 0.195, rel=1e-6)
-    binary.write_samples(f, str(tmp_path / "out"))
-    binary.join_parts(spark, str(tmp_path / "out"), "amp.dat", str(tmp_path / "again.dat"))
-    assert (tmp_path / "again.dat").read_bytes() == x.tobytes()
+    x = samples_file(tmp_path / "v")
+    f = binary.read_voltage(spark, str(tmp_path / "v"), 3, per_task=6000)
+    assert back(f) == pytest.approx(x * 0.195, rel=1e-6) and f.rdd.getNumPartitions() == 5
+    # whole and in parts, in order and not, from other bounds than it was written with
+    for layout, some, order in (("parts", f, True), ("file", f, True), ("parts", f.repartition(3), False), ("file", f.orderBy(F.desc("tick")), False)):
+        out = tmp_path / f"{layout}-{order}"
+        binary.write_samples(some, str(out), layout=layout, in_order=order)
+        again = binary.read_voltage(spark, str(out), 3, per_task=2000)
+        assert (np.rint(back(again) / 0.195).astype("<i2") == x).all()
+        assert back(binary.read_voltage(spark, str(out), 3, ticks=[(990, 1011)])) == pytest.approx(x[990:1011] * 0.195, rel=1e-6)
+        if layout == "file":
+            assert (out / "amp.dat").read_bytes() == x.tobytes() and [p.name for p in out.iterdir()] == ["amp.dat"]
+        with pytest.raises(Exception, match="FileExistsError"):
+            binary.write_samples(f, str(out), layout=layout)
+        binary.write_samples(f.where("tick < 100"), str(out), layout=layout, mode="overwrite")
+        assert binary.read_voltage(spark, str(out), 3).count() == 100 and len(list(out.iterdir())) == (1 if layout == "file" else 2)
     with pytest.raises(Exception, match="whole number"):
         binary.read_voltage(spark, str(tmp_path / "v"), 7).collect()
     with pytest.raises(ValueError):
         binary.read_digital(spark, str(tmp_path / "d"), width=4)
 
 
+def test_several_recordings_at_once(spark, tmp_path):
+    a, b = samples_file(tmp_path / "v", "a.dat"), samples_file(tmp_path / "v", "b.dat", 700, seed=1)
+    f = binary.read_voltage(spark, str(tmp_path / "v"), 3, per_task=6000)
+    one = binary.read_voltage(spark, str(tmp_path / "v"), 3, recording="b.dat")
+    assert one.rdd.getNumPartitions() == 1 and back(one) == pytest.approx(b * 0.195, rel=1e-6)
+    assert binary.read_voltage(spark, str(tmp_path / "v" / "a*.dat"), 3).count() == 5000
+    binary.write_samples(f, str(tmp_path / "w"))
+    again = binary.read_voltage(spark, str(tmp_path / "w"), 3)
+    for name, x in (("a.dat", a), ("b.dat", b)):
+        assert back(again.where(F.col("recording_id") == name)) == pytest.approx(x * 0.195, rel=1e-6)
+
+
+def test_only_ranges_that_are_asked_for_are_opened(spark, tmp_path):
+    """Bytes of the parts that a scan plans and opens, counted."""
+    x = samples_file(tmp_path / "v", ticks=100_000)
+    opened = []
+
+    class Counted(flat.Recording):
+        def read(self, store, first, n):
+            got = super().read(store, first, n)
+            opened.append(len(got))
+            return got
+
+    options = {"path": str(tmp_path / "v"), "channels": "3", "scale": "1", "per_task": "60000"}
+    for more, want, n in (({"ticks": "[[25000, 25500]]"}, x[25_000:25_500], 1), ({"segments": "3", "length": "1000"}, np.concatenate([x[:1000], x[49_500:50_500], x[-1000:]]), 3), ({"ticks": "[[99990, 200000]]"}, x[-10:], 1)):
+        reader, got = flat.FlatReader(options | more), []
+        opened.clear()
+        for p in reader.partitions():
+            p.recording = Counted(p.recording.name, p.recording.width, p.recording.parts)
+            got += [np.stack(b.column("uv").to_numpy(zero_copy_only=False)) for b in reader.read(p)]
+        assert (np.concatenate(got) == want).all() and sum(opened) == want.size * 2 and len(reader.partitions()) == n
+    f = binary.read_voltage(spark, str(tmp_path / "v"), 3, scale=1.0, per_task=60_000, segments=3, length=1000)
+    assert f.rdd.getNumPartitions() == 3 and (back(f) == np.concatenate([x[:1000], x[49_500:50_500], x[-1000:]])).all()
+    assert (back(spatial.subsample(binary.read_voltage(spark, str(tmp_path / "v"), 3, scale=1.0), 100_000, 3, 1000)) == back(f)).all()
+    assert binary.read_voltage(spark, str(tmp_path / "v"), 3, ticks=[(5, 5)]).count() == 0
+
+
+def test_filters_and_resampling_where_samples_are_read(spark, tmp_path):
+    """Ranges of any size give what the whole gives; no exchange of samples."""
+    x = samples_file(tmp_path / "v", ticks=9000, channels=2) * 0.195
+    sos = signal.bandpass_sections()
+    whole = signal.both_ways(sos, x.T)
+    for per_task in (8000, 1 << 20):
+        f = binary.read_voltage(spark, str(tmp_path / "v"), 2, sections=sos, per_task=per_task)
+        assert np.abs(back(f).T - whole).max() < 1e-3  # of thousands; samples are 32-bit floats before the filter
+    line = whole[:, :1] + (whole[:, -1:] - whole[:, :1]) / 8999 * np.arange(9000)
+    fine = whole[:, :1] + (whole[:, -1:] - whole[:, :1]) / 8999 * np.arange(36_000) / 4
+    want = signal.resample_rows(whole - line, 4) + fine
+    for per_task in (7000, 1 << 20):
+        f = binary.read_voltage(spark, str(tmp_path / "v"), 2, sections=sos, up=4, per_task=per_task)
+        assert "Exchange" not in f._jdf.queryExecution().toString()
+        assert np.abs(back(f).T - want).max() < 1e-3
+        assert np.abs(back(binary.read_voltage(spark, str(tmp_path / "v"), 2, sections=sos, up=4, ticks=[(12001, 12008)])).T - want[:, 12001:12008]).max() < 1e-3
+
+
+def test_resampling_by_fractions():
+    """Each output sample is the sum over neighbours of their distance's tap."""
+    x, (taps, half) = np.random.default_rng(2).standard_normal(60), signal._sinc(3, 2, 5.0)
+    plain = [sum(x[i] * taps[m * 2 - 3 * i + half] for i in range(60) if 0 <= m * 2 - 3 * i + half < len(taps)) for m in range(90)]
+    assert np.allclose(signal.resample_rows(x[None], 3, 2)[0], plain)
+
+
+def test_a_write_that_fails_leaves_nothing(spark, tmp_path):
+    samples_file(tmp_path / "v", ticks=3000)
+    f = binary.read_voltage(spark, str(tmp_path / "v"), 3, per_task=6000)
+    late = lambda bad: f.withColumn("uv", F.when(F.col("tick") == 2900, bad).otherwise(F.col("uv")))
+    wrong = {
+        "gaps or repeat": f.where("tick != 1500"), "repeat": f.unionByName(f.where("tick < 10")), "finite": late(F.array(F.lit(0.0), F.lit(float("nan")), F.lit(0.0)).cast("array<float>")),
+        "null": late(F.lit(None)), "differ": late(F.array(F.lit(0.0)).cast("array<float>")), "sample is null": late(F.array(F.lit(0.0), F.lit(None), F.lit(1.0)).cast("array<float>")),
+    }
+    for layout in ("parts", "file"):
+        for i, (message, some) in enumerate(wrong.items()):
+            out = tmp_path / f"{layout}{i}"
+            with pytest.raises(Exception, match=message):
+                binary.write_samples(some, str(out), layout=layout)
+            assert not out.exists()
+
+
+def test_frames_in_no_order_are_refused(tmp_path):
+    n = flat.MOST_RUNS + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(["r"] * n), pa.array(np.arange(n) * 2), pa.array([[0.0]] * n)], ["recording_id", "tick", "uv"])
+    with pytest.raises(ValueError, match="out of order"):
+        flat.FlatWriter({"path": str(tmp_path / "w"), "bit_depth": "1", "layout": "file"}, False).write(iter([batch]))
+
+
+def test_a_task_that_fails_once_is_written_once(spark, tmp_path):
+    """Runs of an attempt that died, and of one that ran twice, are no part of the recording."""
+    x = samples_file(tmp_path / "v", ticks=300)
+    batches = list(flat.FlatReader({"path": str(tmp_path / "v"), "channels": "3", "scale": "1"}).read(flat.TickRange(flat.recordings(str(tmp_path / "v"), 6)[0], 0, 300)))
+    for layout in ("parts", "file"):
+        w = flat.FlatWriter({"path": str(tmp_path / layout), "bit_depth": "1", "layout": layout}, False)
+
+        def dies():
+            yield from batches
+            raise RuntimeError("lost")
+
+        with pytest.raises(RuntimeError):
+            w.write(dies())
+        w.write(iter(batches))
+        w.commit([w.write(iter(batches)), None])
+        assert np.frombuffer(b"".join(r.read(flat.store_of(str(tmp_path / layout))[0], 0, 300) for r in flat.recordings(str(tmp_path / layout), 6)), "<i2").tobytes() == x.tobytes()
+        assert sum(len(list(p.iterdir())) for p in (tmp_path / layout).iterdir() if p.is_dir()) == (1 if layout == "parts" else 0)
+
+
 def test_sample_overflow(spark):
     df = spark.createDataFrame([(40000.0,), (2.5,), (-40000.0,)], "v double")
     got = df.select(C.quantised(F.col("v"), 1.0), C.quantised(F.col("v"), 1.0, overflow="wrap"), C.quantised(F.col("v"), 1.0, "truncate")).collect()
