@@ -620,14 +620,14 @@ def flat_samples(spark, d):
     return cells.select("tick", F.col("channel").cast("long").alias("channel"), F.col("v").cast("long").alias("bits"))
 
 
-@query(ORACLES["upsample"].split("with recursive ")[1].removeprefix(f"{T.SQL},").replace("select event_id as t, value as x from events", "select event_id as t, trunc(value / 0.1e0) as x from events"))
+@query(ORACLES["upsample"].split("with recursive ")[1].removeprefix(f"{T.SQL},").replace("select event_id as t, value as x from events", "select event_id as t, trunc(value / 0.1e0) as x from events").replace("m / 4, 6)", "m / 4, 6) + 0e0"))
 def upsample_flat(spark, d):
     """Resampled in the ranges that a recording is read in."""
     from neurolake.sources.binary import read_voltage
 
     e = T.table(spark, d, "events").select(F.lit("r0").alias("recording_id"), F.col("event_id").alias("tick"), F.array("value").alias("uv"))
     out = read_voltage(spark, _recording(spark, e, bit_depth=0.1, rounding="truncate"), 1, scale=1.0, up=4, per_task=1 << 16)
-    return out.select("tick", F.round(F.get("uv", F.lit(0)), 6).alias("v"))
+    return out.select("tick", (F.round(F.get("uv", F.lit(0)), 6) + 0.0).alias("v"))
 
 
 # Units

@@ -147,7 +147,7 @@ class FlatReader(DataSourceReader):
         return signal.both_ways(self.sos, uv.astype(np.float64))[:, lead : lead + n]
 
     def _ends(self, store: fs.FileSystem, r: Recording) -> tuple[np.ndarray, np.ndarray]:
-        return self._filtered(store, r, 0, 1)[:, -1:], self._filtered(store, r, r.ticks - 1, 1)[:, -1:]
+        return tuple(self._filtered(store, r, t, 1)[:, -1:].astype(np.float64) for t in (0, r.ticks - 1))
 
     def _voltage(self, store: fs.FileSystem, r: Recording, at: int, n: int, ends: tuple | None) -> np.ndarray:
         if ends is None:
