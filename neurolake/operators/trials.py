@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolake.functions.columns import finite
-from neurolake.operators.intervals import range_join
+from neurolake.operators.intervals import range_join, with_previous
 
 INF = float("inf")
 TRIAL = ["unit_id", "trial_id"]
@@ -118,16 +118,15 @@ def burst_fraction(rel: DataFrame, trials: DataFrame, start_s: float = 0.0, end_
 
 
 def spike_intervals(rows: DataFrame, at: str, keys: list[str]) -> DataFrame:
-    """Differences of successive finite times within ``keys``, as ``isi``."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    return rows.where(finite(F.col(at))).select(*keys, at, (F.col(at) - F.lag(at).over(w)).alias("isi")).where("isi is not null")
+    """Differences of successive finite times within ``keys``, as ``isi``; a busy key is many tasks."""
+    each = with_previous(rows.where(finite(F.col(at))).select(*keys, at), F.col(at), at, keys)
+    return each.select(*keys, at, (F.col(at) - F.col("previous")).alias("isi")).where("isi is not null")
 
 
 def interval_variability(rows: DataFrame, at: str, keys: list[str]) -> DataFrame:
     """``cv2`` of adjacent intervals a, b within ``keys``: 2 |b - a| / (a + b), where a + b > 0."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    # of ties in time the order doesn't matter: both intervals about them are what they are
-    each = rows.where(finite(F.col(at))).select(*keys, at, (F.col(at) - F.lag(at).over(w)).alias("b"), (F.lag(at).over(w) - F.lag(at, 2).over(w)).alias("a"))
+    each = with_previous(rows.where(finite(F.col(at))).select(*keys, at), F.col(at), at, keys, second="earlier")
+    each = each.select(*keys, at, (F.col(at) - F.col("previous")).alias("b"), (F.col("previous") - F.col("earlier")).alias("a"))
     return each.where("a + b > 0").select(*keys, at, (2 * F.abs(F.col("b") - F.col("a")) / (F.col("a") + F.col("b"))).alias("cv2"))
 
 

@@ -26,6 +26,13 @@ def edges(states: DataFrame, keys: list[str] = ()) -> DataFrame:
     return stepped.where("hi != previous").select(*keys, "tick", (F.col("hi") - F.col("previous")).alias("direction"))
 
 
+def _causal(edge_rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each edge but the first with the one before, if that goes the other way, and the direction of that."""
+    before = with_previous(edge_rows.select(*keys, "tick", "direction"), F.struct("tick", "direction"), "tick", keys)
+    paired = before.where(F.col("direction") == -F.col("previous.direction"))
+    return paired.select(*keys, F.col("previous.tick").alias("onset_tick"), F.col("tick").alias("offset_tick"), F.col("previous.direction").alias("_sign"))
+
+
 def pulses(edge_rows: DataFrame, keys: list[str] = (), rising: bool = True, mode: str = "causal") -> DataFrame:
     """Onsets paired with offsets.
 
@@ -35,9 +42,7 @@ def pulses(edge_rows: DataFrame, keys: list[str] = (), rising: bool = True, mode
     sign = 1 if rising else -1
     keys = list(keys)
     if mode == "causal":
-        before = with_previous(edge_rows.select(*keys, "tick", "direction"), F.struct("tick", "direction"), "tick", keys)
-        paired = before.where((F.col("direction") == -sign) & (F.col("previous.direction") == sign))
-        return paired.select(*keys, F.col("previous.tick").alias("onset_tick"), F.col("tick").alias("offset_tick"))
+        return _causal(edge_rows, keys).where(F.col("_sign") == sign).drop("_sign")
     on, off = (edge_rows.where(F.col("direction") == d).select(*keys, F.col("tick").alias(c)) for d, c in ((sign, "onset_tick"), (-sign, "offset_tick")))
     count = lambda rows, name: rows.groupBy(*keys).agg(F.count("*").alias(name))
     sizes = count(on, "n_on").join(count(off, "n_off"), keys) if keys else count(on, "n_on").crossJoin(F.broadcast(count(off, "n_off")))  # one row a key
@@ -54,7 +59,10 @@ def line_pulses(words: DataFrame, line: int, keys: list[str] = (), rising: bool
     if rising is not None:
         return pulses(found, keys, rising, mode)
     rest = rests_low(states, list(keys)) if keys else states.agg((F.sum("hi") <= F.count("*") - F.sum("hi")).alias("rests_low"))
-    up = pulses(found, keys, True, mode).withColumn("_up", F.lit(True))
-    both = up.unionByName(pulses(found, keys, False, mode).withColumn("_up", F.lit(False)))
+    if mode == "causal":
+        both = _causal(found, list(keys)).withColumn("_up", F.col("_sign") == 1).drop("_sign")
+    else:
+        up = pulses(found, keys, True, mode).withColumn("_up", F.lit(True))
+        both = up.unionByName(pulses(found, keys, False, mode).withColumn("_up", F.lit(False)))
     both = both.join(rest, list(keys)) if keys else both.crossJoin(F.broadcast(rest))  # one row
     return both.where("_up = rests_low").drop("_up", "rests_low")

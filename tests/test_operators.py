@@ -611,3 +611,78 @@ def test_pulses_have_no_single_task(spark):
     rows = spark.createDataFrame([(1, 1), (5, -1), (9, 1), (12, -1)], "tick long, direction int")
     for mode in ("causal", "reference"):
         assert sorted(tuple(r) for r in ttl.pulses(rows, mode=mode).collect()) == [(1, 5), (9, 12)]
+
+
+def plain_walk(times, gap):
+    kept = []
+    for t in sorted(set(times)):
+        if not kept or t - kept[-1] >= gap:
+            kept.append(t)
+    return kept
+
+
+@pytest.mark.parametrize("block", [None, 7, 40, 500])
+def test_thinning_of_one_dense_island(spark, block):
+    """A recording without any gap, and sparse and empty stretches of another; in blocks narrower and wider than the window."""
+    rng = np.random.default_rng(3)
+    dense = np.cumsum(rng.integers(1, 4, 3000)).tolist()
+    rows = {"dense": dense, "sparse": (rng.integers(0, 60, 40) * 100).tolist(), "one": [5], "few": [1, 2, 3]}
+    e = spark.createDataFrame([(k, t) for k, ts in rows.items() for t in ts], "r string, tick long").repartition(4)
+    got = intervals.thinned(e, "tick", 10, ["r"], block)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["r"], []).append(r["tick"])
+    assert {k: sorted(v) for k, v in by.items()} == {k: plain_walk(ts, 20) for k, ts in rows.items()}
+    if block is None:  # the dense one is nearly all rows, so nearly all tasks
+        assert [k for k, _ in intervals.busy_keys(e, "tick", ["r"])] == ["dense"] and len(intervals.busy_keys(e, "tick", ["r"])[0][1]) == 3
+    assert intervals.thinned(e.limit(0), "tick", 10, ["r"], block).count() == 0
+
+
+@pytest.mark.parametrize("unit", [1, 1_000_000])
+def test_blocks_follow_the_rows(spark, unit):
+    """A key with half of all rows takes half of the tasks, whatever ticks count and wherever rows crowd; others are one block each."""
+    crowd = [(0, int(unit * (i if i < 100 else 100 + i / 1000))) for i in range(4000)]
+    rows = spark.createDataFrame(crowd + [(1 + i % 50, i * unit) for i in range(4000)], "k int, t long")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        cut = intervals.blocks(rows, "t", ["k"]).groupBy("k", "_block").count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    busy = [r["count"] for r in cut if r["k"] == 0]
+    if unit > 1:
+        assert len(busy) == 8 and max(busy) < 2 * 4000 / 8
+    assert len(cut) - len(busy) == 50
+
+
+@pytest.mark.parametrize("block", [None, 50])
+def test_rows_before_over_blocks(spark, block):
+    rng = np.random.default_rng(1)
+    rows = [("a", int(t)) for t in rng.choice(100_000, 500, replace=False)] + [("b", 3), ("b", 9), ("c", 4), (None, 7), (None, 8)]
+    df = spark.createDataFrame(rows, "k string, t long").repartition(3)
+    got = intervals.with_previous(df, F.col("t"), "t", ["k"], block, second="earlier").collect()
+    for k in ("a", "b", "c", None):
+        t = sorted(x for key, x in rows if key == k)
+        want = {(x, t[i - 1] if i else None, t[i - 2] if i > 1 else None) for i, x in enumerate(t)}
+        assert {(r["t"], r["previous"], r["earlier"]) for r in got if r["k"] == k} == want
+
+
+def test_no_window_takes_a_busy_unit_whole(spark):
+    """Intervals of a unit that is nearly all rows, with ties in time, against plain differences."""
+    rng = np.random.default_rng(2)
+    t = np.sort(rng.integers(0, 3000, 2000)) / 10.0
+    df = spark.createDataFrame([(1, float(x)) for x in t] + [(2, 1.0), (2, 4.0), (3, float("nan"))], "unit_id int, t double").repartition(5)
+    got = trials.spike_intervals(df, "t", ["unit_id"])
+    assert sorted(r["isi"] for r in got.where("unit_id = 1").collect()) == pytest.approx(sorted(np.diff(t)))
+    assert [r["isi"] for r in got.where("unit_id = 2").collect()] == [3.0]
+    a, b = np.diff(t)[:-1], np.diff(t)[1:]
+    ok = a + b > 0
+    want = sorted(2 * np.abs(b - a)[ok] / (a + b)[ok])
+    assert sorted(r["cv2"] for r in trials.interval_variability(df, "t", ["unit_id"]).collect()) == pytest.approx(want)
+
+
+def test_the_median_is_sorted_once_a_frame(spark):
+    """No sort and no choice of channels below the lambda over a frame's channels."""
+    frames = spark.range(3).selectExpr("'r' as recording_id", "id as tick", "transform(sequence(1, 6), k -> k * 1.0d + id) as uv")
+    for target in ("good", "all"):
+        plan = spatial.common_median_reference(frames, [0, 2, 5], target)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("sort_array") == 1 and plan.index("sort_array") < plan.index("lambda v")
