@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from neurolake.cluster import checkpointed
+
 
 def _bessel_poles(order: int) -> np.ndarray:
     """Roots of the reverse Bessel polynomial, scaled so that the phase is the asymptotic Butterworth one."""
@@ -43,12 +45,15 @@ def bandpass_sections(low: float = 300.0, high: float = 5000.0, fs: float = 3000
     return sos
 
 
-def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int = 128) -> np.ndarray:
+def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """One section along the rows' last axis, ``step`` samples at once: two matrix products a step instead of a loop over samples.
 
-    ``state``: the two values of the transposed direct form, of each row.
+    ``state``: the two values of the transposed direct form, of each row; those after the last sample come back too.
     """
     b0, b1, b2, _, a1, a2 = section
+    n = x.shape[1]
+    if n < step:
+        step = max(n, 1)
     turn, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = [np.eye(2)]
     for _k in range(step):
@@ -58,21 +63,26 @@ def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int =
     response = np.concatenate([[b0], pushed[:-1, 0]])
     lag = np.arange(step)[:, None] - np.arange(step)
     near = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
-    n = x.shape[1]
-    parts = np.pad(x, [(0, 0), (0, -n % step)]).reshape(len(x), -1, step)
+    parts = x[:, : n // step * step].reshape(len(x), -1, step)
     y, left = parts @ near.T, parts @ pushed[::-1]
     z = state.T
     for j in range(parts.shape[1]):
         y[:, j] += z @ seen.T
         z = z @ powers[step].T + left[:, j]
-    return y.reshape(len(x), -1)[:, :n]
+    y = y.reshape(len(x), -1)
+    if y.shape[1] < n:
+        rest, last = _section(section, x[:, y.shape[1] :], z.T, n - y.shape[1])
+        return np.concatenate([y, rest], axis=1), last
+    return y, z.T
 
 
-def _run(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Sections in turn; ``state``: two values a section and row."""
+def _run(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections in turn, and their states after the last sample; ``state``: two values a section and row."""
+    ends = []
     for section, start in zip(sos, state, strict=True):
-        x = _section(section, x, start)
-    return x
+        x, end = _section(section, x, start)
+        ends.append(end)
+    return x, np.array(ends)
 
 
 def _settled(sos: np.ndarray) -> np.ndarray:
@@ -85,14 +95,18 @@ def _settled(sos: np.ndarray) -> np.ndarray:
     return out
 
 
+def edge_samples(sos: np.ndarray) -> int:
+    """Samples that a recording is extended by at either end."""
+    return 3 * (2 * len(sos) + 1 - min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum())))
+
+
 def both_ways(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Zero-phase filtering of rows: odd extension, forward, backward, cut."""
-    zeros = min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
-    pad = min(3 * (2 * len(sos) + 1 - zeros), x.shape[1] - 1)
+    pad = min(edge_samples(sos), x.shape[1] - 1)
     ext = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1) if pad else x
     start = _settled(sos)[:, :, None]
-    y = _run(sos, ext, start * ext[None, None, :, 0])
-    y = _run(sos, y[:, ::-1], start * y[None, None, :, -1])[:, ::-1]
+    y, _ = _run(sos, ext, start * ext[None, None, :, 0])
+    y = _run(sos, y[:, ::-1], start * y[None, None, :, -1])[0][:, ::-1]
     return y[:, pad : y.shape[1] - pad] if pad else y
 
 
@@ -136,6 +150,117 @@ def filtered(blocks: DataFrame, sos: np.ndarray, halo: int | None = None) -> Dat
     return _with_halo(blocks.withColumn("samples", F.col("samples").cast("array<double>")), halo).mapInPandas(run, "recording_id string, channel int, block long, samples array<double>")
 
 
+def _turn(sos: np.ndarray) -> np.ndarray:
+    """What one sample of nothing makes of the states of all sections: a matrix."""
+    k = 2 * len(sos)
+    return _run(sos, np.zeros((k, 1)), np.eye(k).reshape(len(sos), 2, k))[1].reshape(k, k)
+
+
+def _starts(ends: DataFrame, sos: np.ndarray, forward: bool) -> DataFrame:
+    """``recording_id, channel, block, state``: each block's exact state at its start, of blocks' ``n`` samples and the state ``left`` that they end with from nothing.
+
+    A block maps the state that comes in affinely: a power of one matrix, and what its own samples leave. Such maps compose, so a
+    recording's blocks are doubled over: after k rounds a block's row holds the map of the 2^k blocks up to it, by one join a round, of rows of
+    one block each. The first block's state is known (``left`` of its row begins with it).
+    """
+    k = 2 * len(sos)
+    turn = _turn(sos)
+    kinds = "recording_id string, channel int, block long, n long, left array<double>"
+
+    def compose(batches):
+        for b in batches:
+            out = []
+            for n, left, before in zip(b["n"], b["left"], b["before"], strict=True):
+                known = before is not None and len(before) == k
+                out.append(np.linalg.matrix_power(turn, int(n)) @ np.array(before) + np.array(left) if known else np.array(left))
+            total = b["n"] + b["n_before"].fillna(0).astype("int64")
+            yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "n": total, "left": out})
+
+    sign = 1 if forward else -1
+    most = ends.agg(F.max("block") - F.min("block")).first()[0] or 0
+    span, have = 1, checkpointed(ends.select("recording_id", "channel", "block", "n", "left"))
+    while span <= most:
+        earlier = have.select("recording_id", "channel", (F.col("block") + sign * span).alias("block"), F.col("left").alias("before"), F.col("n").alias("n_before"))
+        have = checkpointed(have.join(earlier, ["recording_id", "channel", "block"], "left").mapInPandas(compose, kinds))
+        span *= 2
+    return have.select("recording_id", "channel", (F.col("block") + sign).alias("block"), F.col("left").alias("state"))
+
+
+def filtered_exactly(blocks: DataFrame, sos: np.ndarray) -> DataFrame:
+    """Zero-phase filtering of block rows of any length: for corners so low that a filter remembers more than a block.
+
+    Each block's state at its start is computed, not warmed up over a halo: from what every block leaves when it starts from nothing, by an associative
+    scan over blocks, one row each, first forwards, then backwards. Ends of a recording are extended by what the nearest block and its neighbour hold;
+    blocks are numbered from 0 without gaps.
+    """
+    pad, k = edge_samples(sos), 2 * len(sos)
+    key = ["recording_id", "channel", "block"]
+    settled = _settled(sos)
+    wide = _with_halo(blocks.withColumn("samples", F.col("samples").cast("array<double>")), pad + 1)
+    last = blocks.groupBy("recording_id", "channel").agg(F.max("block").alias("last"))
+    wide = checkpointed(wide.join(last, ["recording_id", "channel"]))
+
+    def extended(r) -> tuple[np.ndarray, int]:
+        """A block's samples with a recording's extension, where it is the first or last; and how many were put in front."""
+        x, front = np.array(r.samples, dtype=float), 0
+        near = np.concatenate([r.before, x, r.after])
+        if r.block == r.last:
+            m = min(pad, len(near) - len(r.after) - 1)
+            tail = near[: len(near) - len(r.after)]
+            x = np.concatenate([x, 2 * tail[-1] - tail[-2 : -m - 2 : -1]]) if m else x
+        if r.block == 0:
+            head = near[len(r.before) :]
+            m = min(pad, len(head) - 1)
+            x = np.concatenate([2 * head[0] - head[m:0:-1], x]) if m else x
+            front = m
+        short = (r.block == 0 or r.block == r.last) and r.last > 0 and m < pad
+        if short and r.last > 1:
+            raise ValueError(f"two blocks at an end hold less than {pad} samples")
+        return x, front
+
+    def first_state(x: np.ndarray) -> np.ndarray:
+        return (settled * x).ravel()
+
+    def ends(forward: bool):
+        def run(batches):
+            for b in batches:
+                n, left = [], []
+                for r in b.itertuples():
+                    x, _ = extended(r)
+                    begins = r.block == (0 if forward else r.last)
+                    if forward:
+                        state = first_state(x[0]) if begins else np.zeros(k)
+                    else:
+                        x = _run(sos, x[None], _state_of(r, x))[0][0][::-1]
+                        state = first_state(x[0]) if begins else np.zeros(k)
+                    left.append(_run(sos, x[None], state.reshape(len(sos), 2, 1))[1].ravel())
+                    n.append(len(x))
+                yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "n": n, "left": left})
+
+        return run
+
+    def _state_of(r, x: np.ndarray) -> np.ndarray:
+        state = first_state(x[0]) if r.block == 0 else np.array(r.state)
+        return state.reshape(len(sos), 2, 1)
+
+    def final(batches):
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                x, front = extended(r)
+                y = _run(sos, x[None], _state_of(r, x))[0][0][::-1]
+                state = first_state(y[0]) if r.block == r.last else np.array(r.back)
+                y = _run(sos, y[None], state.reshape(len(sos), 2, 1))[0][0][::-1]
+                out.append(y[front : front + len(r.samples)])
+            yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "samples": out})
+
+    kinds = "recording_id string, channel int, block long, n long, left array<double>"
+    states = _starts(wide.mapInPandas(ends(True), kinds), sos, True)
+    held = wide.join(states, key, "left")
+    back = _starts(held.mapInPandas(ends(False), kinds), sos, False).withColumnRenamed("state", "back")
+    return held.join(back, key, "left").mapInPandas(final, "recording_id string, channel int, block long, samples array<double>")
+
+
 def _sinc(up: int, down: int, beta: float) -> tuple[np.ndarray, int]:
     half = 10 * max(up, down)
     k = np.arange(-half, half + 1)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from neurolake.functions.columns import MAD_TO_SD, median_of, once, picked
 
@@ -24,41 +26,139 @@ def common_median_reference(frames: DataFrame, good: list[int], target: str = "g
     return frames.withColumn("uv", once(m, lambda level: F.transform("uv", lambda v, i: F.when(F.array_contains(wanted, i), v - level).otherwise(v))))
 
 
-def channel_values(frames: DataFrame) -> DataFrame:
-    return frames.select("tick", F.posexplode("uv").alias("channel", "v")).withColumn("v", F.col("v").cast("double"))
+def _ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; zeros are equal, NaN is last, as Spark orders them."""
+    b = (np.where(np.isnan(x), np.nan, x) + 0.0).view(np.uint64)
+    return np.where(b >> np.uint64(63), ~b, b | np.uint64(1 << 63))
+
+
+def _from_bits(bits: int) -> float:
+    b = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return float(np.array([b], np.uint64).view(np.float64)[0])
+
+
+#: Bits that a pass decides.
+DIGIT = 16
 
 
-def channel_medians(frames: DataFrame, approx: bool = False) -> DataFrame:
-    """Each channel's median; ``approx`` for recordings whose distinct values don't fit a task."""
-    q = F.percentile_approx("v", 0.5, 100_000) if approx else F.percentile("v", 0.5)
-    return channel_values(frames).groupBy("channel").agg(q.alias("median"))
+def _counted(frames: DataFrame, known: dict[tuple[int, int], int], shift: int, centre: list[float] | None) -> DataFrame:
+    """``channel, prefix, digit, n, low, high``: how many values that begin with a known prefix of bits go on with a digit; and the least and greatest of these.
+
+    A task holds a row a channel, prefix and digit: 2 ** DIGIT of them at most, however many values there are.
+    """
+
+    def count(batches):
+        held: dict[tuple[int, int, int], list[int]] = {}
+        for b in batches:
+            x = np.stack(b["uv"].to_numpy()).astype(float) if len(b) else np.zeros((0, 0))
+            if centre is not None and len(x):
+                x = np.abs(x - np.array(centre))
+            for c in range(x.shape[1]):
+                bits = _ordered_bits(np.ascontiguousarray(x[:, c]))
+                for prefix in {known.get((c, side), 0) for side in (0, 1)}:
+                    some = bits if shift + DIGIT >= 64 else bits[bits >> np.uint64(shift + DIGIT) == np.uint64(prefix)]
+                    some = np.sort(some)
+                    digits, at, n = np.unique(some >> np.uint64(shift), return_index=True, return_counts=True)
+                    for d, i, k in zip(digits.tolist(), at.tolist(), n.tolist(), strict=True):
+                        old = held.get((c, prefix, d))
+                        low, high = int(some[i]), int(some[i + k - 1])
+                        held[c, prefix, d] = [k, low, high] if old is None else [old[0] + k, min(old[1], low), max(old[2], high)]
+        text = lambda v: pd.Series([f"{i:020d}" for i in v], dtype=object)  # noqa: E731  64 bits without a sign, in order
+        yield pd.DataFrame({
+            "channel": pd.Series([k[0] for k in held], dtype="int32"), "prefix": text(k[1] for k in held), "digit": text(k[2] for k in held), "n": pd.Series([v[0] for v in held.values()], dtype="int64"),
+            "low": text(v[1] for v in held.values()), "high": text(v[2] for v in held.values()),
+        })
+
+    parts = frames.select("uv").mapInPandas(count, "channel int, prefix string, digit string, n long, low string, high string")
+    return parts.groupBy("channel", "prefix", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def exact_medians(frames: DataFrame, centre: list[float] | None = None) -> list[float]:
+    """Each channel's median, or with ``centre`` the median distance from that, by radix selection over the bits of the values.
+
+    Every pass counts the next DIGIT bits of those values that begin as the two middle ones do, and keeps the one digit that holds each; when all that
+    is left of a channel is one value, it is found. So there are four passes at most, two or three for most recordings, and no task holds
+    a channel's distinct values.
+    """
+    known: dict[tuple[int, int], int] = {}
+    rank: dict[tuple[int, int], int] = {}
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        counts = _counted(frames, known, shift, centre)
+        line = Window.partitionBy("channel", "prefix").orderBy("digit")
+        counts = counts.withColumn("upto", F.sum("n").over(line))
+        if not rank:
+            sizes = {r["channel"]: r["n"] for r in counts.groupBy("channel").agg(F.sum("n").alias("n")).collect()}  # one row a channel
+            rank = {(c, side): (n - 1 + side) // 2 for c, n in sizes.items() for side in (0, 1)}
+            if not rank:
+                return []
+        wanted = [(c, side, f"{known.get((c, side), 0):020d}", r) for (c, side), r in rank.items()]
+        wanted = F.broadcast(frames.sparkSession.createDataFrame(wanted, "channel int, side int, prefix string, rank long"))  # two rows a channel
+        found = counts.join(wanted, ["channel", "prefix"]).where("rank < upto and rank >= upto - n").collect()
+        for r in found:
+            key = r["channel"], r["side"]
+            known[key], rank[key] = int(r["digit"]), r["rank"] - (r["upto"] - r["n"])
+        if all(r["low"] == r["high"] for r in found):
+            known = {(r["channel"], r["side"]): int(r["low"]) for r in found}
+            break
+    return [(_from_bits(known[c, 0]) + _from_bits(known[c, 1])) / 2 for c in sorted({c for c, _ in known})]
+
+
+def channel_values(frames: DataFrame) -> DataFrame:
+    return frames.select("tick", F.posexplode("uv").alias("channel", "v")).withColumn("v", F.col("v").cast("double"))
 
 
 def channel_deviations(frames: DataFrame, approx: bool = False) -> DataFrame:
-    """Each channel's robust deviation: the median distance from its median, scaled to a normal one's."""
-    med = channel_medians(frames, approx)
-    q = F.percentile_approx("_d", 0.5, 100_000) if approx else F.percentile("_d", 0.5)
+    """Each channel's median and robust deviation: the median distance from it, scaled to a normal one's. ``approx``: by a sketch, in two passes."""
+    if not approx:
+        medians = exact_medians(frames)
+        far = exact_medians(frames, medians) if medians else []
+        rows = [(i, m, d * MAD_TO_SD) for i, (m, d) in enumerate(zip(medians, far, strict=True))]
+        return frames.sparkSession.createDataFrame(rows, "channel int, median double, sd double")
+    q = lambda v: F.percentile_approx(v, 0.5, 100_000)
+    med = channel_values(frames).groupBy("channel").agg(q("v").alias("median"))
     far = channel_values(frames).join(F.broadcast(med), "channel").withColumn("_d", F.abs(F.col("v") - F.col("median")))  # one row a channel
-    return far.groupBy("channel").agg(F.first("median").alias("median"), (q * MAD_TO_SD).alias("sd"))
+    return far.groupBy("channel").agg(F.first("median").alias("median"), (q("_d") * MAD_TO_SD).alias("sd"))
+
+
+def checked(frames: DataFrame, good: list[int]) -> tuple[DataFrame, Callable[[], None]]:
+    """Frames that are counted as they pass, and what raises an error after a job over them if frames were null or of several widths, lacked
+    a channel, or held a null or non-finite sample. No job of its own."""
+    seen = Observation()
+    odd = ~F.forall(F.coalesce(F.col("uv"), F.array().cast("array<double>")), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    count = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    width = F.size("uv")
+    watched = frames.observe(seen, count(F.col("uv").isNull(), "null"), count(odd, "not_finite"), F.min(width).alias("least"), F.max(width).alias("most"))
+
+    def verify() -> None:
+        got = seen.get
+        if got["null"] or got["not_finite"]:
+            raise ValueError(f"{got['null']} frames are null, {got['not_finite']} hold null or non-finite samples")
+        if got["least"] != got["most"] or got["least"] <= max(good):
+            raise ValueError(f"frames have {got['least']} to {got['most']} samples; channel {max(good)} is wanted")
+
+    return watched, verify
 
 
 def moments(frames: DataFrame, about: list[float] | None = None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number, sum and sum of products of the samples less ``about``: a row of partial sums a batch, added up in the executors.
+    """Number, sum and sum of products of the samples less ``about``: a row of partial sums a task, added up in the executors.
 
-    A covariance doesn't depend on ``about``, but sums of squares about a far point would lose its digits; without one it is a sample's values.
+    A covariance doesn't depend on ``about``, but sums of squares about a far point would lose its digits; without one it is the channels' means.
     """
     if about is None:
-        head = frames.select("uv").first()
-        if head is None:
+        means = channel_values(frames).groupBy("channel").agg(F.avg("v").alias("m")).orderBy("channel").collect()  # one row a channel
+        if not means:
             return 0, np.zeros(0), np.zeros((0, 0))
-        about = head["uv"]
+        about = [r["m"] for r in means]
     centre = np.array(about, dtype=float)
 
     def sums(batches):
+        n, s, ss = 0, 0.0, 0.0
         for b in batches:
             if len(b):
                 x = np.stack(b["uv"].to_numpy()).astype(float) - centre
-                yield pd.DataFrame({"n": [len(x)], "s": [x.sum(axis=0)], "ss": [(x.T @ x).ravel()]})
+                n, s, ss = n + len(x), s + x.sum(axis=0), ss + x.T @ x
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [s], "ss": [ss.ravel()]})
 
     parts = frames.select("uv").mapInPandas(sums, "n long, s array<double>, ss array<double>")
     added = parts.select("n", F.posexplode(F.concat("s", "ss"))).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("v")).orderBy("pos").collect()
@@ -134,12 +234,25 @@ def fit_whitening(
     frames: DataFrame, good: list[int], fs: float = 30000.0, epsilon: float = 10.0, robust: bool = True, pad: int | None = None,
     lowcut: float = 300.0, highcut: float = 5000.0, order: int = 3, approx: bool = False,
 ) -> Whitening:
-    """Medians and robust deviations of the good channels, and the covariance of samples far from artefacts."""
+    """Medians and robust deviations of the good channels, and the covariance of samples far from artefacts.
+
+    Null and ragged frames and null or non-finite samples are counted in the first pass that fits, and are an error.
+    """
     if isinstance(pad, bool) or (pad is not None and (not isinstance(pad, int) or pad < 0)):
         raise ValueError("the pad is a number of samples")
     pad = default_pad(fs) if pad is None else pad
-    some = frames.withColumn("uv", picked(F.col("uv").cast("array<double>"), good))
+    if epsilon <= 0 or not good:
+        raise ValueError("epsilon must be positive, and there must be channels")
+    if not isinstance(frames.schema["uv"].dataType, T.ArrayType) or not isinstance(frames.schema["uv"].dataType.elementType, T.FloatType | T.DoubleType):
+        raise TypeError("samples are floating-point numbers")
+    whole = frames.withColumn("uv", F.col("uv").cast("array<double>"))
+    whole, verify = checked(whole, good)
+    some = whole.withColumn("uv", picked(F.col("uv"), good))
     by = {r["channel"]: r for r in channel_deviations(some, approx).collect()}  # one row a channel
+    if not by:
+        raise ValueError("no samples")
+    verify()
+    some = frames.withColumn("uv", picked(F.col("uv").cast("array<double>"), good))
     med, dev = ([float(by[i][k]) for i in range(len(good))] for k in ("median", "sd"))
     used = clean_samples(some, med, dev, pad) if robust else some
     n, s, ss = moments(used, med)

@@ -347,7 +347,7 @@ def test_filter_is_its_difference_equation():
     x = np.random.default_rng(5).normal(size=(3, 700))
     sos = signal.bandpass_sections(kind="bessel", order=2)
     state = np.random.default_rng(6).normal(size=(len(sos), 2, 3))
-    got = signal._run(sos, x, state)
+    got, end = signal._run(sos, x, state)
     for row in range(3):
         z, y = state[:, :, row].copy(), []
         for v in x[row]:
@@ -356,7 +356,7 @@ def test_filter_is_its_difference_equation():
                 z[s] = b1 * v - a1 * out + z[s, 1], b2 * v - a2 * out
                 v = out
             y.append(v)
-        assert got[row] == pytest.approx(np.array(y), abs=1e-10)
+        assert got[row] == pytest.approx(np.array(y), abs=1e-10) and end[:, :, row] == pytest.approx(z, abs=1e-10)
 
 
 def test_files_are_filtered_where_they_are_read(spark, tmp_path):
@@ -685,4 +685,51 @@ def test_the_median_is_sorted_once_a_frame(spark):
     frames = spark.range(3).selectExpr("'r' as recording_id", "id as tick", "transform(sequence(1, 6), k -> k * 1.0d + id) as uv")
     for target in ("good", "all"):
         plan = spatial.common_median_reference(frames, [0, 2, 5], target)._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("sort_array") == 1 and plan.index("sort_array") < plan.index("lambda v")
+        assert plan.count("sort_array") == 1 and "sort_array" not in plan[plan.rindex("transform(uv") :]
+
+
+@pytest.mark.parametrize("sizes", [[250] * 24, [6000], [30, 25, 3000, 40, 1, 2000, 22, 35], [5, 4]])
+def test_filters_with_low_corners_over_short_blocks(spark, sizes):
+    """A corner of 1 Hz at 30 kHz remembers far more than a block."""
+    sos = signal.bandpass_sections(1.0, 5000.0)
+    n = sum(sizes)
+    assert signal.halo_samples(sos) > 10 * max(sizes)
+    x = np.cumsum(np.random.default_rng(5).standard_normal((2, n)), axis=1)
+    edges = np.cumsum([0, *sizes])
+    rows = [("r", c, b, [float(v) for v in x[c, edges[b] : edges[b + 1]]]) for c in range(2) for b in range(len(sizes))]
+    blocks = spark.createDataFrame(rows, "recording_id string, channel int, block long, samples array<double>").repartition(3)
+    got = {(r["channel"], r["block"]): r["samples"] for r in signal.filtered_exactly(blocks, sos).collect()}
+    want = signal.both_ways(sos, x)
+    for c in range(2):
+        y = np.concatenate([got[c, b] for b in range(len(sizes))])
+        assert np.abs(y - want[c]).max() < 1e-6 * max(1.0, np.abs(want).max())
+
+
+def test_medians_by_radix(spark):
+    """Equal to exact percentiles: even and odd numbers, ties, negative and equal values, zeros of both signs, infinities; any partitioning."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 400):
+        x = np.stack([rng.standard_normal(n) * 1e-3, rng.integers(-3, 3, n) * 1.0, np.full(n, -7.25), np.where(rng.random(n) < 0.5, 0.0, -0.0), rng.standard_normal(n) * 1e300, np.where(np.arange(n) % 3 == 0, np.inf, 1 + np.arange(n) * 1e-15)], axis=1)
+        f = spark.createDataFrame([("r", i, [float(v) for v in r]) for i, r in enumerate(x)], "recording_id string, tick long, uv array<double>").repartition(3)
+        med = spatial.exact_medians(f)
+        assert med == [float(np.median(x[:, c])) for c in range(6)]
+        assert spatial.exact_medians(f.select(*["recording_id", "tick"], F.slice("uv", 1, 4).alias("uv")), med[:4]) == [float(np.median(np.abs(x[:, c] - med[c]))) for c in range(4)]
+    assert spatial.exact_medians(f.limit(0)) == [] and spatial.channel_deviations(f.limit(0)).count() == 0
+    # what a task holds: digits, not values
+    many = spark.range(20_000).selectExpr("'r' as recording_id", "id as tick", "array(1.0 + id * 1e-9) as uv")
+    assert spatial._counted(many, {}, 48, None).count() == 1
+
+
+def test_wrong_frames_are_an_error_of_the_fit(spark):
+    rows = [("r", i, [float(i % 7), float(i % 5), float(i % 3)]) for i in range(100)]
+    kind = "recording_id string, tick long, uv array<double>"
+    assert spatial.fit_whitening(spark.createDataFrame(rows, kind), [0, 2], pad=0).good_channels == [0, 2]
+    for bad, message in ((("r", 100, None), "1 frames are null"), (("r", 100, [1.0, 2.0]), "2 to 3 samples"), (("r", 100, [1.0, None, 3.0]), "1 hold null"), (("r", 100, [1.0, float("inf"), 3.0]), "1 hold null or non-finite")):
+        with pytest.raises(ValueError, match=message):
+            spatial.fit_whitening(spark.createDataFrame([*rows, bad], kind), [0, 2], pad=0)
+    with pytest.raises(ValueError, match="channel 3"):
+        spatial.fit_whitening(spark.createDataFrame(rows, kind), [0, 3], pad=0)
+    with pytest.raises(TypeError):
+        spatial.fit_whitening(spark.createDataFrame([("r", 0, [1, 2])], "recording_id string, tick long, uv array<int>"), [0], pad=0)
+    with pytest.raises(ValueError):
+        spatial.fit_whitening(spark.createDataFrame([], kind), [0], pad=0)
