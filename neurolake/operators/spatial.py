@@ -310,7 +310,8 @@ def diagnostics(frames: DataFrame, channels: list[int]) -> DataFrame:
     off = corr[~np.eye(len(channels), dtype=bool)]
     values, vectors = np.linalg.eigh(cov)
     share = float(values[-1] / values.sum()) if values.sum() > 0 else 0.0
-    first = F.array(*[F.lit(float(v)) for v in vectors[:, -1]])
+    top = vectors[:, -1] * (-1.0 if vectors[:, -1].sum() < 0 else 1.0)  # a component has no sign of its own; most of its weights count up
+    first = F.array(*[F.lit(float(v)) for v in top])
     score = F.aggregate(F.zip_with("uv", first, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     two = some.select(score.alias("pc"), median_of(F.col("uv")).alias("m"))
     stats = two.agg(F.corr("pc", "m").alias("r"), F.stddev_pop("m").alias("sm"), F.stddev_pop("pc").alias("sp"), F.sqrt(F.avg(F.col("m") * F.col("m"))).alias("rms"), F.count("*").alias("n"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolake.functions.columns import finite
-from neurolake.operators.intervals import range_join, with_previous
+from neurolake.operators.intervals import numbered, range_join, with_previous
 
 INF = float("inf")
 TRIAL = ["unit_id", "trial_id"]
@@ -91,22 +95,80 @@ def spike_rate(histograms: DataFrame, bin_rows: DataFrame, cutoffs: DataFrame |
     return sums.select("unit_id", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"), rate.alias("rate"))
 
 
-def bootstrap_interval(histograms: DataFrame, trials: DataFrame, width: float, replicates: int, percent: float, seed: int) -> DataFrame:
+#: Units with more trials than this draw row by row: a unit's trials by bins are a matrix in a task, some hundred bytes a trial.
+MOST_TRIALS = 100_000
+#: Replicates that a task draws at once.
+CHUNK = 250
+
+
+def _times_drawn(seed: int, unit, replicates: range, n: int) -> np.ndarray:
+    """How often each replicate draws each of n trials: words of 32 bits of MD5 digests of seed, unit, replicate and a counter, modulo n."""
+    words, blocks = [], [str(g).encode() for g in range(-(-n // 4))]
+    for replicate in replicates:
+        base = hashlib.md5(f"{seed}:{unit}:{replicate}:".encode(), usedforsecurity=False)
+        for g in blocks:
+            m = base.copy()
+            m.update(g)
+            words.append(m.digest())
+    drawn = np.frombuffer(b"".join(words), dtype=">u4").reshape(len(replicates), -1)[:, :n].astype(np.int64) % n
+    return np.bincount((drawn + np.arange(len(replicates))[:, None] * n).ravel(), minlength=len(replicates) * n).reshape(len(replicates), n)
+
+
+def _drawn_sums(cells: DataFrame, sizes: DataFrame, replicates: int, seed: int, chunk: int) -> DataFrame:
+    """``unit_id, n, rep, bin, total`` counted to ``unit_id, n, bin, total, times``: a chunk of replicates is a matrix of how often each trial was drawn, times the unit's
+    trials by bins."""
+    matrices = cells.groupBy("unit_id").agg(F.collect_list(F.struct("i", "bin", "count")).alias("cells"))
+    jobs = sizes.join(matrices, "unit_id", "left").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(chunk))))
+
+    def draw(batches):
+        for b in batches:
+            out = []
+            for unit, n, bins_, some, first in zip(b["unit_id"], b["n"], b["bins"], b["cells"], b["first"], strict=True):
+                h = np.zeros((n, bins_), dtype=np.float64)
+                for c in some if some is not None else ():
+                    h[c["i"], c["bin"]] += c["count"]
+                times = _times_drawn(seed, unit, range(first, min(first + chunk, replicates)), n)
+                sums = np.rint(times.astype(np.float64) @ h).astype(np.int64)
+                for k in range(bins_):
+                    total, seen = np.unique(sums[:, k], return_counts=True)
+                    out += zip([unit] * len(total), [n] * len(total), [k] * len(total), total.tolist(), seen.tolist(), strict=True)
+            yield pd.DataFrame(out, columns=["unit_id", "n", "bin", "total", "times"])
+
+    kind = sizes.schema["unit_id"].dataType.simpleString()
+    return jobs.repartition("unit_id", "first").mapInPandas(draw, f"unit_id {kind}, n long, bin int, total long, times long")
+
+
+def _drawn_rows(cells: DataFrame, sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """The same draws as rows, for units of very many trials."""
+    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("unit_id").cast("string"), "rep", F.floor(F.col("k") / 4).cast("string")))
+    word = F.conv(F.substring(digest, (F.col("k") % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("long")
+    draws = draws.select("unit_id", "n", "bins", "rep", (word % F.col("n")).alias("i")).groupBy("unit_id", "n", "bins", "rep", "i").agg(F.count("*").alias("drawn"))
+    sums = draws.join(cells, ["unit_id", "i"]).groupBy("unit_id", "rep", "bin").agg(F.sum(F.col("drawn") * F.col("count")).alias("total"))
+    every = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
+    sums = every.join(sums, ["unit_id", "rep", "bin"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
+    return sums.groupBy("unit_id", "n", "bin", "total").agg(F.count("*").alias("times"))
+
+
+def bootstrap_interval(histograms: DataFrame, trials: DataFrame, width: float, replicates: int = 10_000, percent: float = 95.0, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
     """Percentile interval of a unit's mean rate in each bin, over trials drawn with replacement.
 
-    A draw is a hash of seed, unit, replicate and position, modulo the unit's trials: the same on every run. Draws are first
-    counted by trial, so what is joined with the histograms is trials, not draws.
+    Draws come from a counter: the words of an MD5 of seed, unit, replicate and position, so they are the same on every run, in any chunks and however they are made.
+    A replicate's sum in a bin is a whole number, so what is shuffled is how often each sum came up, and percentiles are taken over these.
     """
-    order = Window.partitionBy("unit_id").orderBy("trial_id")
-    numbered = trials.select(*TRIAL).withColumn("i", F.row_number().over(order) - 1)
+    numbers = numbered(trials.select(*TRIAL), "trial_id", ["unit_id"], name="i").withColumn("i", F.col("i") - 1)
     sizes = trials.groupBy("unit_id").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "unit_id", "rep", "k"), F.col("n")))
-    draws = draws.groupBy("unit_id", "n", "rep", "i").agg(F.count("*").alias("times"))
-    hit = draws.join(numbered, ["unit_id", "i"]).join(histograms, TRIAL)
-    means = hit.groupBy("unit_id", "rep", "bin").agg((F.sum(F.col("times") * F.col("count")) / F.first("n") / F.lit(float(width))).alias("rate"))
+    bins_ = histograms.agg(F.max("bin") + 1).first()[0] or 0  # a bin's number is an edge's, so a few
+    sizes = sizes.withColumn("bins", F.lit(int(bins_)))
+    cells = histograms.where(F.col("count") > 0).join(numbers, TRIAL).select("unit_id", "i", F.col("bin").cast("int").alias("bin"), "count")
+    few = sizes.where(F.col("n") <= MOST_TRIALS)
+    many = sizes.where(F.col("n") > MOST_TRIALS)
+    sums = _drawn_sums(cells.join(few.select("unit_id"), "unit_id"), few, replicates, seed, chunk)
+    if many.limit(1).count():
+        sums = sums.unionByName(_drawn_rows(cells, many, replicates, seed))
+    rates = sums.groupBy("unit_id", "n", "bin", "total").agg(F.sum("times").alias("times")).withColumn("rate", F.col("total") / F.col("n") / F.lit(float(width)))
     tail = (100.0 - percent) / 200.0
-    cut = means.groupBy("unit_id", "bin").agg(F.percentile("rate", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("q"))
+    cut = rates.groupBy("unit_id", "bin").agg(F.percentile("rate", F.array(F.lit(tail), F.lit(1.0 - tail)), F.col("times")).alias("q"))
     return cut.select("unit_id", "bin", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 

@@ -87,9 +87,19 @@ def burst_fraction(spark, d):
     return trials.burst_fraction(T.relative(spark, d), T.trial_rows(spark, d), 0.0, 20000.0)
 
 
-@query()
+@query("""nt as (select unit_id, trial_id, row_number() over (partition by unit_id order by trial_id) - 1 as i, count(*) over (partition by unit_id) as n from tr),
+nu as (select distinct unit_id, n from nt),
+wd as (select unit_id, n, rep, g, md5('7:' || unit_id || ':' || rep || ':' || g) as h from nu, range(10000) as r(rep), range((n + 3) // 4) as t(g)),
+dr as (select unit_id, n, rep, cast('0x' || substr(h, 8 * w + 1, 8) as bigint) % n as i from wd, range(4) as t(w) where 4 * g + w < n),
+dc as (select unit_id, n, rep, i, count(*) as drawn from dr group by 1, 2, 3, 4),
+sm as (select dc.unit_id, rep, h.bin, sum(drawn * h."count") as total from dc join nt using (unit_id, i) join hist h on h.unit_id = dc.unit_id and h.trial_id = nt.trial_id and h."count" > 0 group by 1, 2, 3),
+al as (select nu.unit_id, nu.n, b.bin, coalesce(total, 0) as total, count(*) as times from nu cross join range(10000) as r(rep) cross join bins b left join sm on sm.unit_id = nu.unit_id and sm.rep = r.rep and sm.bin = b.bin group by 1, 2, 3, 4),
+cm as (select *, sum(times) over (partition by unit_id, bin order by total) as upto from al),
+qt as (select unit_id, n, bin, min(total) filter (upto > 249) as a0, min(total) filter (upto > 250) as a1, min(total) filter (upto > 9749) as b0, min(total) filter (upto > 9750) as b1 from cm group by 1, 2, 3)
+select unit_id, bin, round((a0 + (a1 - a0) * 0.975e0) / n / 1800, 12) as low, round((b0 + (b1 - b0) * 0.025e0) / n / 1800, 12) as high from qt""")
 def bootstrap_ci(spark, d):
-    return trials.bootstrap_interval(T.histograms(spark, d), T.trial_rows(spark, d), 1800.0, 100, 95.0, 7)
+    out = trials.bootstrap_interval(T.histograms(spark, d), T.trial_rows(spark, d), 1800.0, 10_000, 95.0, 7)
+    return out.select("unit_id", "bin", F.round("low", 12).alias("low"), F.round("high", 12).alias("high"))
 
 
 # Intervals between spikes
@@ -539,17 +549,54 @@ def cov_matrix(spark, d):
     return spark.createDataFrame([(i, j, float(c[i, j])) for i in range(n) for j in range(n)], "i long, j long, c double").withColumn("c", F.round("c", 6))
 
 
-@query()
+def _product(name: str, a: str, b: str, of: str = "sum(a.v * b.v)") -> str:
+    return f"{name} as materialized (select a.i, b.j, {of} as v from {a} a join {b} b on a.j = b.i group by 1, 2)"
+
+
+#: The inverse root of a matrix ``cv`` by Newton and Schulz: Y and Z go to the root and the inverse root of what is cv less its trace.
+ROOT_SQL = ", ".join(
+    ["tc as (select sum(v) as t from cv where i = j)", "y0 as materialized (select i, j, v / t as v from cv, tc)", "z0 as materialized (select i, j, case when i = j then 1e0 else 0e0 end as v from cv)"]
+    + [
+        x for k in range(24) for x in (
+            _product(f"t{k}", f"z{k}", f"y{k}", "((case when a.i = b.j then 3e0 else 0e0 end) - sum(a.v * b.v)) / 2"), _product(f"y{k + 1}", f"y{k}", f"t{k}"), _product(f"z{k + 1}", f"t{k}", f"z{k}"),
+        )
+    ] + ["w as (select i, j, v / sqrt(t) as v from z24, tc)"]
+)
+GOOD_SQL = f"{DEVIATION_SQL}, gd as (select tick, channel, v, m, sd from fr join ds using (channel) where channel not in (3, 40, 63))"
+
+
+@query(f"""{GOOD_SQL}, bad as (select distinct tick from gd where abs(v - m) >= 4 * sd), cl as (select tick, channel, v - m as x from gd where tick not in (select tick from bad)),
+mu as (select channel, avg(x) as mu from cl group by 1), ce as materialized (select tick, channel, x - mu as x from cl join mu using (channel)),
+cv as materialized (select a.channel as i, b.channel as j, sum(a.x * b.x) / (count(*) - 1) + case when a.channel = b.channel then 10e0 else 0e0 end as v from ce a join ce b using (tick) group by 1, 2),
+{ROOT_SQL}, sc as (select avg(sd) as s from ds where channel not in (3, 40, 63))
+select gd.tick, w.i as channel, round(sum(w.v * (gd.v - m)) * any_value(s), 6) as v from gd join w on w.j = gd.channel, sc group by 1, 2
+union all select tick, channel, round(v, 6) from fr where channel in (3, 40, 63)""")
 def zca_apply(spark, d):
     return _cells(spatial.whiten(T.frames(spark, d), GOOD, pad=0), 6)
 
 
-@query()
+#: The first component by squaring a matrix again and again: it goes to the product of the component with itself.
+DIAGNOSTICS_SQL = f"""{GOOD_SQL}, mu as (select channel, avg(v) as mu from gd group by 1), ce as materialized (select tick, channel, v - mu as x from gd join mu using (channel)),
+cv as materialized (select a.channel as i, b.channel as j, avg(a.x * b.x) as v from ce a join ce b using (tick) group by 1, 2), tc as (select sum(v) as t from cv where i = j), q0 as materialized (select i, j, v / t as v from cv, tc),
+{", ".join(f"{_product(f'r{k}', f'q{k}', f'q{k}')}, q{k + 1} as materialized (select i, j, v / (select sum(v) from r{k} where i = j) as v from r{k})" for k in range(24))},
+dg as (select i, v from q24 where i = j order by v desc, i limit 1), pv as (select q.i, q.v / sqrt(dg.v) as v from q24 q, dg where q.j = dg.i), sg as (select case when sum(v) < 0 then -1e0 else 1e0 end as s from pv),
+la as (select sum(a.v * cv.v * b.v) as l from cv join pv a on a.i = cv.i join pv b on b.i = cv.j), cr as (select avg(abs(cv.v / sqrt(x.v * y.v))) as c from cv join cv x on x.i = x.j and x.i = cv.i join cv y on y.i = y.j and y.i = cv.j where cv.i != cv.j),
+sc as (select tick, sum(gd.v * pv.v * s) as pc, median(gd.v) as m from gd join pv on pv.i = gd.channel, sg group by 1),
+st as (select case when stddev_pop(m) > 1e-3 and stddev_pop(pc) > 0 then corr(pc, m) end as r, sqrt(avg(m * m)) as rms, count(*) as n from sc),
+di as (select c as mean_abs_off_diag_corr, (select median(sd) from ds where channel not in (3, 40, 63)) as median_mad_uv, l / t as dominant_eigenvalue_fraction, r as pc1_median_correlation, rms as residual_spatial_median_rms_uv, n as n_samples_used from cr, la, tc, st)"""
+_MEASURES = ("mean_abs_off_diag_corr", "median_mad_uv", "dominant_eigenvalue_fraction", "pc1_median_correlation", "residual_spatial_median_rms_uv")
+
+
+@query(f"{DIAGNOSTICS_SQL} select {', '.join(f'round({c}, 7) as {c}' for c in _MEASURES)}, n_samples_used from di")
 def spatial_diagnostics(spark, d):
-    return spatial.diagnostics(T.frames(spark, d), GOOD)
+    return spatial.diagnostics(T.frames(spark, d), GOOD).select(*[F.round(c, 7).alias(c) for c in _MEASURES], "n_samples_used")
 
 
-@query()
+@query(f"""{DIAGNOSTICS_SQL}, h as (select *, mean_abs_off_diag_corr as c, dominant_eigenvalue_fraction as f from di)
+select printf('[after bandpass] mean |off-corr|=%.3f, MAD median=%.1f uV, dominant eval fraction=%.2f, PC1 vs median r=%.3f (subsample n=%d)', c, median_mad_uv, f, pc1_median_correlation, n_samples_used) || ' -> ' ||
+case when c >= 0.7 and f >= 0.6 then '{spatial.ADVICE["strong"]}' when c >= 0.35 and f >= 0.4 then '{spatial.ADVICE["correlated"]}' when c >= 0.35 then '{spatial.ADVICE["mixed"]}' when f < 0.4 then '{spatial.ADVICE["spread"]}' else '{spatial.ADVICE["moderate"]}' end as line,
+case when c >= 0.35 and f >= 0.4 then '{spatial.ADVICE["cmr_high_one"]}' when c >= 0.35 then '{spatial.ADVICE["cmr_high"]}' else '{spatial.ADVICE["cmr_low"]}' end as after_cmr,
+case when c <= 0.1 then '{spatial.ADVICE["zca_low"]}' else '{spatial.ADVICE["zca_high"]}' end as after_zca from h""")
 def diagnostics_report(spark, d):
     rows = spatial.diagnostics(T.frames(spark, d), GOOD)
     return rows.select(spatial.diagnostics_line("after bandpass").alias("line"), spatial.reference_hint("cmr").alias("after_cmr"), spatial.reference_hint("zca").alias("after_zca"))
@@ -590,6 +637,14 @@ def bandpass(spark, d):
     return out.select("block", F.posexplode("samples").alias("i", "v")).select((F.col("block") * BLOCK + F.col("i")).alias("tick"), F.round("v", 6).alias("v"))
 
 
+@query(ORACLES["bandpass"].split("with recursive ")[1].removeprefix(f"{T.SQL},"))
+def bandpass_exact(spark, d):
+    """The same over blocks shorter than the filter's memory, by a scan of their states."""
+    e = T.table(spark, d, "events").select(F.lit("r0").alias("recording_id"), F.col("event_id").alias("tick"), F.array("value").alias("uv"))
+    out = signal.filtered_exactly(signal.frames_to_blocks(e, 300), signal.bandpass_sections())
+    return out.select("block", F.posexplode("samples").alias("i", "v")).select((F.col("block") * 300 + F.col("i")).alias("tick"), F.round("v", 6).alias("v"))
+
+
 @query("""sg as (select event_id as t, value as x from events), n as (select max(t) as last from sg),
 ln as (select x0, (x1 - x0) / last as slope from (select (select x from sg where t = 0) as x0, (select x from sg, n where t = last) as x1), n),
 tp as (select k, case when k = 0 then 1 else sin(pi() * k / 4e0) / (pi() * k / 4e0) end * (select sum(pow(2.5e0 * sqrt(1 - (k / 40e0) * (k / 40e0)), 2 * i) / pow(gamma(i + 1), 2)) from range(40) as s(i)) as w from range(-40, 41) as r(k)),

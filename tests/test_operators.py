@@ -1,5 +1,6 @@
 """Values that the operators must give on small inputs."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -173,6 +174,25 @@ def test_bootstrap_is_the_same_each_time_and_holds_the_mean(spark):
     assert a["low"] < mean < a["high"]
 
 
+@pytest.mark.parametrize("most,chunk", [(100_000, 7), (100_000, 1000), (5, 250)])
+def test_bootstrap_draws_don_t_depend_on_how_they_are_made(spark, monkeypatch, most, chunk):
+    """In chunks of any size, as matrices or as rows, against plain draws; units without a spike, and of one trial."""
+    rng = np.random.default_rng(2)
+    h = [(u, t, b, int(rng.poisson(u))) for u, n in ((0, 6), (1, 5), (2, 9), (3, 1)) for t in range(n) for b in range(3)]
+    df = spark.createDataFrame(h, "unit_id long, trial_id long, bin int, count long").repartition(3)
+    monkeypatch.setattr(trials, "MOST_TRIALS", most)
+    got = {(r["unit_id"], r["bin"]): (r["low"], r["high"]) for r in trials.bootstrap_interval(df, df.select("unit_id", "trial_id").distinct(), 0.5, 60, 90.0, 11, chunk).collect()}
+    for u, n in ((0, 6), (1, 5), (2, 9), (3, 1)):
+        m = np.array([[c for uu, t, b, c in h if uu == u and t == i] for i in range(n)])
+        means = []
+        for rep in range(60):
+            words = b"".join(hashlib.md5(f"11:{u}:{rep}:{g}".encode()).digest() for g in range(-(-n // 4)))
+            means.append(m[np.frombuffer(words, ">u4")[:n] % n].sum(axis=0) / n / 0.5)
+        low, high = np.percentile(means, [5, 95], axis=0)
+        for b in range(3):
+            assert got[u, b] == pytest.approx((low[b], high[b]))
+
+
 def test_smoothing_keeps_the_sum_and_mirrors(spark):
     h = spark.createDataFrame([(0, b, 8 if b == 0 else 0) for b in range(6)], "k int, bin int, count long")
     got = {r["bin"]: r["smooth"] for r in trials.smoothed(h, ["k"], "count", 6, 1.0).collect()}
