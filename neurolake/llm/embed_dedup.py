@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pandas as pd
@@ -26,8 +25,10 @@ BALL_TABLES, FIRST_TABLES, JOIN_CHUNK, MEMBER_CHUNK = 12, 5, 24, 256
 BATCH = 4096
 #: Rounds go on while more than this share of lists improves, up to MOST_ROUNDS.
 IMPROVING, MOST_ROUNDS = 0.02, 6
-#: Share of the links of AUDITED vectors that must be found, or else rounds begin again from other hash tables.
+#: Share of links that must be found: of those of AUDITED vectors, and of all by the estimate of recapture; or else the search goes on.
 TARGET, AUDITED = 0.999, 256
+#: Draws of fresh hash tables, at the least bound, against which what was found is held; descents; then all units are compared in blocks of so many.
+DRAWS, DESCENTS, EXACT_BLOCK = 12, 2, 2048
 
 
 def _unit(column) -> np.ndarray:
@@ -250,9 +251,11 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
     vertex are compared with each other. Every pair met that could carry links, that is up to the link's angle plus both
     units' radii, connects two units, in a list or not; members of all units so connected are compared in blocks and counted.
 
-    No pair below the threshold is ever linked; one above is missed only where no path of pairs met connects its units. The
-    links of AUDITED vectors are counted against all others: while fewer than TARGET of them are found, rounds go on from other hash
-    tables, and a warning says so if that finds no more. Null, zero or non-finite vectors, and those of another length than most, link with nothing. A null vec_id
+    No pair below the threshold is ever linked; one above is missed only where no path of pairs met connects its units. What is missing is
+    audited twice. Where links are rare, a sample of vectors holds none, so fresh hash tables that know nothing of the descent are drawn: what they find and it
+    hasn't is added, and how much of what it has they find again says how much both may have missed (``recaptured``). And the links of
+    AUDITED vectors are counted against all others. While either says that less than TARGET was found, a descent begins again from other hash
+    tables; after DESCENTS of them all units are compared in blocks, which is exact and costs their square. Null, zero or non-finite vectors, and those of another length than most, link with nothing. A null vec_id
     makes a row with null ids, kept. Rows that repeat a vec_id are one (the smallest vector). Empty tables give no rows.
     """
     everything = written(one_per_id(embeddings), "vectors")
@@ -267,18 +270,62 @@ def near_duplicate_vectors(embeddings: DataFrame) -> DataFrame:
     sizes = written(sizes, "units")
     units = written(rows.join(sizes.select(F.col("unit").alias("vec_id"), "radius"), "vec_id"), "centres")
     true, many = written(_true_links(rows, AUDITED), "audit"), sizes.count()
-    lists, near, again, recall = None, None, 0, -1.0
-    while True:
+    lists, near = None, None
+    for again in range(DESCENTS):
         lists, more = neighbour_graph(units, d, many, lists, again)
         near = written(more if near is None else near.union(more).distinct(), "near")
-        out = _linked(everything, rows, placed, sizes, near)
-        before, recall = recall, _recall(true, out)
-        if recall >= TARGET:
-            return out
-        if recall <= before:
-            warnings.warn(f"near_duplicate_vectors: {recall:.4f} of the audited links found, the target is {TARGET}", stacklevel=2)
-            return out
-        again += 1
+        near, missing = recaptured(units, d, many, near, again)
+        if missing <= 1 - TARGET:
+            out = _linked(everything, rows, placed, sizes, near)
+            if _recall(true, out) >= TARGET:
+                return out
+    return _linked(everything, rows, placed, sizes, written(near.union(_all_pairs(units, many)).distinct(), "near"))
+
+
+def recaptured(units: DataFrame, d: int, n: int, near: DataFrame, again: int) -> tuple[DataFrame, float]:
+    """``near`` (pairs of units that could hold a link) with those that fresh hash tables show, and the share that is missing still.
+
+    Tables are drawn until they alone have met a share r of the pairs of ``near``. Of the pairs that they met a share u was new. Both searches are independent, so of
+    all pairs about (1 - r) u are in neither. Without any pair that is no estimate: then tables are drawn until two vectors at the threshold would share a bucket
+    with a probability of 0.99. There are as many draws at most as make that TARGET, a number that grows as a small root of the number of vectors.
+    """
+    fresh, draws = None, 0
+    known = near.count()
+    bits = min(50, max(1, round(math.log2(max(n, 2) / 12))))
+    once = (1 - ANGLE / math.pi) ** bits
+    most = max(DRAWS, math.ceil(math.log(1 - TARGET) / math.log(1 - once) / FIRST_TABLES))
+    while True:
+        met = _first_lists(units, d, n, 1000 + again * DRAWS + draws).where("useful").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        draws += 1
+        fresh = written(met if fresh is None else fresh.union(met).distinct(), "fresh")
+        found, seen = fresh.count(), fresh.join(near, ["a", "b"], "left_semi").count()
+        if known or found:
+            missing = (1 - seen / max(known, 1)) * (1 - seen / max(found, 1))
+            done = missing <= 1 - TARGET
+        else:
+            missing = 0.0
+            done = (1 - once) ** (draws * FIRST_TABLES) <= 0.01
+        if done or draws == most:
+            return written(near.union(fresh).distinct(), "near"), missing
+
+
+def _all_pairs(units: DataFrame, n: int) -> DataFrame:
+    """``a, b``: pairs of units that could hold a link, by comparing all in blocks of about EXACT_BLOCK; each unit goes to as many tasks as there are blocks."""
+    blocks = -(-n // EXACT_BLOCK)
+    own = units.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = own.select("vec_id", "embedding", "radius", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf["own"].to_numpy() == pdf["i"].to_numpy()
+        x, y = pdf[low], pdf[~low] if (pdf["i"] != pdf["j"]).any() else pdf
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        angle = np.arccos(np.clip(_unit(x["embedding"]) @ _unit(y["embedding"]).T, -1.0, 1.0))
+        r, c = np.nonzero(angle <= x["radius"].to_numpy()[:, None] + y["radius"].to_numpy()[None, :] + ANGLE + 1e-6)
+        a, b = x["vec_id"].to_numpy()[r], y["vec_id"].to_numpy()[c]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b].drop_duplicates()
+
+    return rows.groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _true_links(rows: DataFrame, sample: int) -> DataFrame:

@@ -132,3 +132,61 @@ def test_links_of_a_dense_group_of_thousands(spark):
     found = np.array([got[i]["n_links"] for i in range(len(x))])
     assert degree.sum() > 4_000_000 and (found <= degree).all() and found.sum() >= 0.999 * degree.sum()
     assert all(got[i]["component_id"] == component[i] for i in range(len(x)))
+
+
+def rare(n=12_000, pairs=60, d=64, seed=11):
+    """Random vectors of which a few pairs have a cosine of 0.905: no sample of a few hundred holds a link."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(0, 2 * pairs, 2):
+        side = rng.normal(size=d)
+        side -= side @ x[k] * x[k]
+        x[k + 1] = 0.905 * x[k] + np.sqrt(1 - 0.905**2) * side / np.linalg.norm(side)
+    place = rng.permutation(n)
+    return x[np.argsort(place)], place
+
+
+def test_links_too_rare_for_a_sample(spark):
+    x, place = rare()
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicate_vectors(table(spark, x)).collect()}
+    for k in range(0, 120, 2):
+        a, b = sorted((int(place[k]), int(place[k + 1])))
+        assert got[a]["n_links"] == got[b]["n_links"] == 1 and got[b]["component_id"] == got[a]["component_id"] == a
+    assert sum(r["n_links"] for r in got.values()) == 120
+
+
+def test_recapture_says_what_a_descent_lost(spark):
+    """With half of the pairs taken away, fresh tables bring them back and the estimate is near what is still missing."""
+    x, place = rare(3000, 200)
+    units = table(spark, x).withColumn("radius", F.lit(0.0))
+    true = {tuple(sorted((int(place[k]), int(place[k + 1])))) for k in range(0, 400, 2)}
+    half = spark.createDataFrame(sorted(true)[::2], "a long, b long")
+    near, missing = embed_dedup.recaptured(units, 64, 3000, half, 0)
+    have = {(r["a"], r["b"]) for r in near.collect()}
+    assert have <= true and len(have) >= 0.99 * len(true) and missing <= 0.001
+    nothing, missing = embed_dedup.recaptured(units.where("vec_id >= 0").limit(0), 64, 3000, half.limit(0), 0)
+    assert nothing.count() == 0 and missing == 0.0
+
+
+def test_comparing_all_units_in_blocks(spark, monkeypatch):
+    x = clustered(3)
+    for block in (37, 400, 5000):
+        monkeypatch.setattr(embed_dedup, "EXACT_BLOCK", block)
+        got = [tuple(r) for r in embed_dedup._all_pairs(table(spark, x).withColumn("radius", F.lit(0.0)), len(x)).select("a", "b").collect()]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        assert len(got) == len(set(got)) and set(got) == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(u @ u.T >= 0.9 - 1e-6, 1)))}
+
+
+def test_links_match_sql_where_there_are_links(spark):
+    import duckdb
+    import pandas as pd
+
+    from tests.oracle import same
+
+    x = clustered(5)[:260]
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame({"vec_id": range(len(x)), "embedding": [list(map(float, r)) for r in x]}))
+    want = con.sql(embed_dedup.SQL).df()
+    assert want["n_links"].sum() > 300
+    same(embed_dedup.near_duplicate_vectors(table(spark, x)).toPandas(), want)
