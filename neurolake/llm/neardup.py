@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neurolake.llm.common import Scratch, connected_components, roots, shuffle_partitions, written
@@ -29,6 +29,8 @@ FINE_SAMPLES, FINE_BITS, FINE_LEAST = 1024, 4096, 0.667
 FINE_BANDS, FINE_ROWS = 160, 10
 #: Rounds in which components are paired with the largest of their buckets by their nearest sets; sets of a component that meet others at once.
 AGAIN, CHUNK = 3, 256
+#: Sets that a rare shingle joins pair by pair, at most this many squared pairs; beyond that in blocks.
+BUSY = 64
 
 
 def most_bits(bits: int, samples: int, least: float) -> int:
@@ -236,35 +238,32 @@ def _placed(own: DataFrame, groups: DataFrame) -> DataFrame:
     return own.join(groups, "component", "left").select(*others, F.coalesce("into", "component").alias("component"))
 
 
-def _near_main(best: bool):
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of each group, pairs of a set outside the main component and one in it that sizes and finer sketches leave; the nearest only, if ``best``."""
-        pdf = pdf.sort_values(["main", "i", "j", "large"])
-        large, sid, part, n = (pdf[c].to_numpy() for c in ("large", "sid", "component", "n"))
-        bits = np.stack(pdf["fine"].to_numpy()).view(np.uint64)
-        cuts = np.nonzero((np.diff(pdf[["main", "i", "j"]].to_numpy(), axis=0) != 0).any(axis=1))[0] + 1
-        out = []
-        for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            mid = at + int((~large[at:end]).sum())
-            x, y = bits[at:mid], bits[mid:end]
-            if not len(x) or not len(y):
-                continue
-            far = np.zeros((len(x), len(y)), dtype=np.int64)
-            for w in range(bits.shape[1]):
-                far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-            nx, ny = n[at:mid, None], n[None, mid:end]
-            far[100 * np.minimum(nx, ny) < PERCENT * np.maximum(nx, ny)] = FINE_BITS
-            r, c = (np.arange(len(x)), far.argmin(axis=1)) if best else np.nonzero(far <= FINE_MOST_BITS)
-            some = far[r, c] <= FINE_MOST_BITS
-            r, c = r[some] + at, c[some] + mid
-            out.append((sid[r], sid[c], part[r], part[c], far[r - at, c - mid]))
-        return pd.DataFrame(dict(zip(("a", "b", "ca", "cb", "far"), map(np.concatenate, zip(*out)) if out else [[]] * 5, strict=True)))
-
-    return near
-
-
-def _to_main(own: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
-    """Pairs of a set and a member of the largest component of one of its buckets, which meet in chunks of both; ``best``: one for two components."""
+def _near_main(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each set of a group outside the main component the nearest in it, of those that sizes and finer sketches leave."""
+    pdf = pdf.sort_values(["main", "i", "j", "large"])
+    large, sid, part, n = (pdf[c].to_numpy() for c in ("large", "sid", "component", "n"))
+    bits = np.stack(pdf["fine"].to_numpy()).view(np.uint64)
+    cuts = np.nonzero((np.diff(pdf[["main", "i", "j"]].to_numpy(), axis=0) != 0).any(axis=1))[0] + 1
+    out = []
+    for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+        mid = at + int((~large[at:end]).sum())
+        x, y = bits[at:mid], bits[mid:end]
+        if not len(x) or not len(y):
+            continue
+        far = np.zeros((len(x), len(y)), dtype=np.int64)
+        for w in range(bits.shape[1]):
+            far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+        nx, ny = n[at:mid, None], n[None, mid:end]
+        far[100 * np.minimum(nx, ny) < PERCENT * np.maximum(nx, ny)] = FINE_BITS
+        r, c = np.arange(len(x)), far.argmin(axis=1)
+        some = far[r, c] <= FINE_MOST_BITS
+        r, c = r[some] + at, c[some] + mid
+        out.append((sid[r], sid[c], part[r], part[c], far[r - at, c - mid]))
+    return pd.DataFrame(dict(zip(("a", "b", "ca", "cb", "far"), map(np.concatenate, zip(*out)) if out else [[]] * 5, strict=True)))
+
+
+def _to_main(own: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs of a set and a member of the largest component of one of its buckets, which meet in chunks of both: the nearest, one for two components."""
     rows = own.select("main", "sid", "component", (F.col("component") == F.col("main")).alias("large")).distinct()
     chunks = rows.groupBy("main").agg(*[F.ceil(F.count_if(F.col("large") == x) / CHUNK).alias(c) for c, x in (("ci", False), ("cj", True))])
     each = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -274,18 +273,100 @@ def _to_main(own: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
     rows = rows.withColumn("j", F.explode(F.when(F.col("large"), own_chunk("cj")).otherwise(each("cj")))).drop("ci", "cj")
     batches = shuffle_partitions(own.sparkSession) * 4
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("main", "i", "j"), F.lit(batches)))
-    pairs = rows.groupBy("batch").applyInPandas(_near_main(best), "a long, b long, ca long, cb long, far long")
-    if best:
-        pairs = pairs.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
-    return pairs.select("a", "b", "ca", "cb")
+    pairs = rows.groupBy("batch").applyInPandas(_near_main, "a long, b long, ca long, cb long, far long")
+    return pairs.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
 
 
-def _among_others(own: DataFrame, fine: DataFrame) -> DataFrame:
-    """Pairs of sets of different components of a bucket, neither of them its largest, that sizes and finer sketches leave."""
-    rows = own.where("component != main").select("bucket", "sid", "component").join(fine.select("sid", "n", "fine"), "sid")
-    left, right = (rows.select("bucket", *[F.col(x).alias(f"{y}{c}") for x, y in (("sid", ""), ("component", "c"), ("n", "n"), ("fine", "x"))]) for c in "ab")
-    near = _sized(F.col("na"), F.col("nb")) & (_apart(F.col("xa"), F.col("xb"), FINE_BITS) <= FINE_MOST_BITS)
-    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb").distinct()
+def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row a shingle of sets, a bounded number of rows at once."""
+    for b in batches:
+        some, size = [], 0
+        for sid, component, raw in [*zip(b["sid"], b["component"], b["hashes"], strict=True), (None, None, b"")]:
+            if sid is None or size > 1 << 18:
+                if some:
+                    n = np.array([len(h) for _, _, h in some])
+                    yield pd.DataFrame({"sid": np.repeat([x[0] for x in some], n), "component": np.repeat([x[1] for x in some], n), "n": np.repeat(n, n), "h": np.concatenate([h for _, _, h in some])})
+                some, size = [], 0
+            if sid is not None:
+                some.append((sid, component, np.frombuffer(raw, dtype=np.int64)))
+                size += len(raw) // 8
+
+
+def _prefixes(rest: DataFrame, sets: DataFrame, tables: Scratch) -> DataFrame:
+    """``h, sid, component, n, index``: of each set the rarest shingles, of which it must share one with any set that is similar enough.
+
+    A set of n shingles shares at least 3/4 n with such a set, so one of its n - ceil(3/4 n) + 1 rarest; with one as large or larger
+    at least 6/7 n, so one of its n - ceil(6/7 n) + 1 rarest (``index``). Rarest: in the order of how many sets of ``rest`` hold a shingle. Those
+    that one set holds alone meet nothing, and need no row; nor do those that sets of one component hold alone.
+    """
+    spread = tables.written(rest.join(sets, "sid").mapInPandas(_spread, "sid long, component long, n long, h long"), "shingles")
+    often = spread.groupBy("h").agg(F.count("*").alias("sets"), (F.min("component") != F.max("component")).alias("mixed")).where("sets > 1")
+    often = tables.written(often, "shared-shingles")
+    of_set = Window.partitionBy("sid")
+    known = spread.join(often, "h").withColumn("place", F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("sets", "h")))
+    least = lambda up, down: F.col("n") - F.ceil(F.col("n") * up / down) + 1
+    rows = known.where(F.col("mixed") & (F.col("place") <= least(3, 4))).select("h", "sid", "component", "n", (F.col("place") <= least(6, 7)).alias("index"))
+    return tables.written(rows, "prefixes")
+
+
+def _near_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the two sides of each group, pairs of different components that sizes and finer sketches leave."""
+    pdf = pdf.sort_values(["h", "i", "j", "right"])
+    keys = pdf[["h", "i", "j"]].to_numpy()
+    right, sid, part, n = (pdf[c].to_numpy() for c in ("right", "sid", "component", "n"))
+    bits = np.stack(pdf["fine"].to_numpy()).view(np.uint64)
+    cuts = np.nonzero((np.diff(keys, axis=0) != 0).any(axis=1))[0] + 1
+    out = []
+    for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+        mid = at + int((~right[at:end]).sum())
+        far = np.zeros((mid - at, end - mid), dtype=np.int64)
+        for w in range(bits.shape[1]):
+            far += np.bitwise_count(bits[at:mid, None, w] ^ bits[None, mid:end, w])
+        nx, ny = n[at:mid, None], n[None, mid:end]
+        far[(100 * np.minimum(nx, ny) < PERCENT * np.maximum(nx, ny)) | (part[at:mid, None] == part[None, mid:end])] = FINE_BITS
+        r, c = np.nonzero(far <= FINE_MOST_BITS)
+        out.append((sid[r + at], sid[c + mid], part[r + at], part[c + mid]))
+    a, b, ca, cb = map(np.concatenate, zip(*out, strict=True))
+    swap = a > b
+    return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "ca": np.where(swap, cb, ca), "cb": np.where(swap, ca, cb)}).drop_duplicates()
+
+
+def _in_blocks(rows: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs of sets that hold one of the shingles of ``rows``, which very many hold: in blocks of about CHUNK, one component's or several small ones', and
+    no block with another of its own component alone."""
+    parts = rows.groupBy("h", "component").agg(F.count("*").alias("size"))
+    small = parts.where(F.col("size") <= CHUNK).groupBy("h").agg(F.ceil(F.sum("size") / CHUNK).alias("shares"))
+    parts = parts.join(small, "h", "left").withColumn("one", F.col("size") > CHUNK)
+    home = F.when(F.col("one"), F.xxhash64("component")).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("shares", F.lit(1))))
+    parts = parts.select("h", "component", "one", home.alias("home"), F.when(F.col("one"), F.ceil(F.col("size") / CHUNK)).otherwise(1).alias("cuts"))
+    placed = rows.join(parts, ["h", "component"]).withColumn("cut", F.pmod(F.xxhash64("sid"), F.col("cuts")))
+    placed = placed.withColumn("i", F.xxhash64("one", "home", "cut"))
+    blocks = placed.select("h", "i", "one", "home").distinct()
+    tasks = blocks.join(blocks.select("h", F.col("i").alias("j"), F.col("one").alias("one_j"), F.col("home").alias("home_j")), "h")
+    tasks = tasks.where("i <= j and not (one and one_j and home = home_j)").select("h", "i", "j")
+    value = placed.select("h", "i", "sid", "component").join(fine.select("sid", "n", "fine"), "sid")
+    left = tasks.join(value, ["h", "i"]).withColumn("right", F.lit(False))
+    other = tasks.join(value.withColumnRenamed("i", "j"), ["h", "j"]).withColumn("right", F.lit(True))
+    batches = shuffle_partitions(rows.sparkSession) * 4
+    both = left.unionByName(other).withColumn("batch", F.pmod(F.xxhash64("h", "i", "j"), F.lit(batches)))
+    return both.groupBy("batch").applyInPandas(_near_blocks, "a long, b long, ca long, cb long")
+
+
+def _across(rest: DataFrame, sets: DataFrame, fine: DataFrame, tables: Scratch) -> DataFrame:
+    """Pairs of sets of ``rest`` (sid, component) of different components that can be similar enough: they share one of their rarest shingles, and sizes and
+    finer sketches leave them. Sets that share only what very many share, such as a template, don't meet."""
+    rows = _prefixes(rest, sets, tables)
+    sizes = rows.groupBy("h").agg(F.count_if("index").alias("indexed"), F.count("*").alias("all")).where("indexed > 0 and all > 1")
+    sizes = tables.written(sizes.select("h", (F.col("indexed") * F.col("all") > BUSY * BUSY).alias("busy")), "prefix-sizes")
+    quiet = rows.join(sizes.where("not busy").select("h"), "h")
+    a = quiet.where("index").select("h", F.col("sid").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    b = quiet.select("h", F.col("sid").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    few = a.join(b, "h").where(ordered & (F.col("ca") != F.col("cb")) & _sized(F.col("na"), F.col("nb"))).select("a", "b", "ca", "cb").distinct()
+    near = _apart(F.col("xa"), F.col("xb"), FINE_BITS) <= FINE_MOST_BITS
+    few = _both(few, fine, "fine").where(near).select("a", "b", "ca", "cb")
+    many = _in_blocks(rows.join(sizes.where("busy").select("h"), "h"), fine)
+    return few.unionByName(many).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -301,9 +382,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     3. Sets of buckets that still hold several components are dealt anew by FINE_BANDS finer bands, which unlike texts with a common
        passage hardly share. Sets outside the largest component of one of their buckets meet its members there, in chunks, by finer
        sketches; in each of at most AGAIN rounds the nearest two sets of two components are compared in full.
-    4. In buckets that are mixed even then, all members of different components that the finer sketches leave are compared in full.
-       Pairs within a component can add nothing. So a link is missed only if its sets share no band, or no finer one: with a
-       probability below 0.0003 at 0.75.
+    4. Sets of buckets that are mixed even then meet those of other components with which they share one of their rarest shingles, as any pair of that
+       similarity must; so texts of one template, which share what all of them share, don't meet, and work grows with the documents. What sizes and
+       finer sketches leave is compared in full. Pairs within a component can add nothing. So a link is missed only if its sets share no band, or no finer
+       one: with a probability below 0.0003 at 0.75.
 
     Null or empty text, or text without words: an empty set, linked with nothing. Null doc_id: never smallest; a group of
     null ids has a null component. Repeated rows have equal sets. Rows of one doc_id and different texts are told apart.
@@ -337,12 +419,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             own = tables.written(_mixed(own), "placed")
             if again == AGAIN:
                 break
-            found = tables.written(_confirmed(_to_main(own, fine, best=True), sets), "links")
+            found = tables.written(_confirmed(_to_main(own, fine), sets), "links")
             if found.isEmpty():
                 break
             steps.append(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
             own = _placed(own.select("sid", "component", "bucket"), steps[-1])
-        pairs = tables.written(_to_main(own, fine, best=False).unionByName(_among_others(own, fine)), "pairs")
+        pairs = tables.written(_across(tables.written(own.select("sid", "component").distinct(), "rest"), sets, fine, tables), "pairs")
         found = tables.written(_confirmed(pairs, sets), "links")
         if not found.isEmpty():
             steps.append(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))

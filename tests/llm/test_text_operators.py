@@ -582,3 +582,60 @@ def test_a_line_of_many_cards_is_segmented_whole(field):
     assert score == pytest.approx(best[n])
     true = {("card", 20 * i, 20 * i + 19) for i in range(500)}
     assert len(true & set(got)) >= 0.98 * len(true)
+
+
+def templated(n, seed=2, own=24):
+    """Texts of one template of 120 words and words of their own: far too much alike for bands, and no two of them linked."""
+    import random
+
+    rng = random.Random(seed)
+    head = [f"template{i}" for i in range(120)]
+    return [" ".join([*head, *(f"w{rng.randrange(10**9)}" for _ in range(own))]) for _ in range(n)]
+
+
+def joined_rows(spark, docs):
+    """Rows that the pair joins of the last step make."""
+    made = {}
+    plain = neardup._across
+
+    def counted(rest, sets, fine, tables):
+        rows = neardup._prefixes(rest, sets, tables)
+        made["prefixes"] = rows.count()
+        made["met"] = rows.where("index").alias("a").join(rows.alias("b"), "h").where("a.sid != b.sid").count()
+        return plain(rest, sets, fine, tables)
+
+    neardup._across = counted
+    try:
+        out = neardup.near_duplicates(docs).collect()
+    finally:
+        neardup._across = plain
+    return out, made
+
+
+def test_texts_of_one_template_don_t_meet(spark):
+    sizes = {}
+    for n in (150, 300):
+        texts = templated(n)
+        out, made = joined_rows(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert all(r["kept"] for r in out) and len(out) == n
+        sizes[n] = made
+    assert sizes[300]["met"] <= 2.5 * max(sizes[150]["met"], 50) and sizes[300]["prefixes"] <= 2.5 * max(sizes[150]["prefixes"], 50)
+
+
+@pytest.mark.parametrize("busy,chunk", [(64, 256), (0, 3), (2, 8)])
+def test_links_across_components_of_a_template(spark, monkeypatch, busy, chunk):
+    """Among texts of one template some are linked, in chains and pairs of different sizes: none is lost, in blocks or not."""
+    import random
+
+    monkeypatch.setattr(neardup, "BUSY", busy)
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    rng, texts = random.Random(4), templated(90, 3, 44)
+    for t in texts[:25]:
+        w = t.split(" ")
+        for _ in range(2):
+            w = [*w[: rng.randrange(118, 124)], *(f"v{rng.randrange(10**9)}" for _ in range(rng.randrange(1, 12))), *w[rng.randrange(124, 132) :]]
+            texts.append(" ".join(w))
+    n, groups = brute_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(groups)) < len(texts) - 10
+    assert [got[i] for i in range(len(texts))] == list(groups)
