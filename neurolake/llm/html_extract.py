@@ -28,6 +28,12 @@ BOILERPLATE_NAMES = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion "
     "related recommended replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar topbar widget".split()
 )
+#: Readers' words, which may well be most of a page.
+ANSWERS = frozenset("commentlist disqus replies reply respond".split())
+#: Share of a page's text from which on an element's name says nothing about what it holds.
+MOST = 0.6
+#: Names that inside an article are those of its own heading.
+HEADINGS = frozenset(("header", "masthead", "banner"))
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。、，！？：；]")
 
 #: Elements that a name alone doesn't make boilerplate: an article's own heading may well be called a header.
@@ -48,14 +54,17 @@ SMOOTH = (0.25, 0.5, 0.25)
 
 
 class _Path:
-    """An open element: its path, whether it is boilerplate, inside an article, and inside a link."""
+    """An open element: its path, whether it is boilerplate (``plain``: neither itself nor anything about it), inside an article, and inside a link.
 
-    __slots__ = ("tag", "path", "plain", "within", "link")
+    ``bad``: by element, role or being hidden; ``named``: by its name only, which counts unless it holds most of the page's text."""
 
-    def __init__(self, tag: str, name: str, parent: _Path | None, boilerplate: bool, paths: dict[tuple[int, str], int]):
+    __slots__ = ("tag", "path", "parent", "bad", "named", "size", "plain", "within", "link")
+
+    def __init__(self, tag: str, name: str, parent: _Path | None, bad: bool, named: bool, paths: dict[tuple[int, str], int]):
         # a path is a number of its parent's and its own name, so a deep page costs no more than its elements
         self.tag, self.path = tag, paths.setdefault((parent.path if parent else 0, name), len(paths) + 1)
-        self.plain = not boilerplate and (parent is None or parent.plain)
+        self.parent, self.bad, self.named, self.size = parent, bad, named, 0
+        self.plain = not (bad or named) and (parent is None or parent.plain)
         self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.link = tag == "a" or (parent is not None and parent.link)
 
@@ -66,16 +75,18 @@ def _open(tag: str, attributes: str, parent: _Path | None, paths: dict[tuple[int
     else:
         found = [(a.lower(), (x or y or z).lower()) for a, x, y, z in _ATTRIBUTE.findall(attributes)]
         name = ".".join([tag, *[v for a, v in found if a == "class"]])
-    bad = tag in BOILERPLATE_TAGS or (tag == "header" and not (parent and parent.within))
+    within = parent is not None and parent.within
+    bad, named = tag in BOILERPLATE_TAGS or (tag == "header" and not within), False
     for a, v in found:
         if a in ("class", "id"):
-            parts = _NAME_PARTS.findall(v)
-            bad |= tag not in CONTENT_TAGS and not BOILERPLATE_NAMES.isdisjoint(parts) or any(map(_COMMENTS.fullmatch, parts))
+            parts = [x for x in _NAME_PARTS.findall(v) if not (within and x in HEADINGS)]
+            named |= tag not in CONTENT_TAGS and not BOILERPLATE_NAMES.isdisjoint(parts)
+            bad |= any(map(_COMMENTS.fullmatch, parts)) or (tag not in CONTENT_TAGS and not ANSWERS.isdisjoint(parts))
         elif a == "role":
             bad |= v in BOILERPLATE_ROLES
         else:
             bad |= a == "hidden" or v == "true"
-    return _Path(tag, name, parent, bad, paths)
+    return _Path(tag, name, parent, bad, named, paths)
 
 
 def blocks(page: str) -> list[tuple[_Path, str, int]]:
@@ -83,11 +94,13 @@ def blocks(page: str) -> list[tuple[_Path, str, int]]:
     out, stack, parts, linked = [], [], [], 0
     holder, at = None, 0
     paths: dict[tuple[int, str], int] = {}
-    root = _Path("", "", None, False, paths)
+    root = _Path("", "", None, False, False, paths)
     opened: Counter[str] = Counter()
+    every = [root]
 
     def push(tag: str, attributes: str) -> None:
-        stack.append(_open(tag, attributes, stack[-1] if stack else root, paths))
+        every.append(_open(tag, attributes, stack[-1] if stack else root, paths))
+        stack.append(every[-1])
         opened[tag] += 1
 
     def pop(k: int, end: int | None = None) -> None:
@@ -158,9 +171,23 @@ def blocks(page: str) -> list[tuple[_Path, str, int]]:
     if at < len(page):
         text(page[at:])
     flush()
+    _settle(every, out)
     return out
 
 
+def _settle(every: list[_Path], found: list[tuple[_Path, str, int]]) -> None:
+    """What is boilerplate, once it is known how much text each element holds: a name on an element about most of the page's text says how the page
+    is laid out, not what that is. ``every``: elements, parents first."""
+    for holder, text, _ in found:
+        holder.size += len(text)
+    for e in reversed(every[1:]):
+        if not e.bad:
+            e.parent.size += e.size
+    most = MOST * every[0].size
+    for e in every[1:]:
+        e.plain = e.parent.plain and not e.bad and not (e.named and e.size < most)
+
+
 def main_text(page: str | None) -> str:
     """The blocks of a page whose tag paths score as content, joined by line breaks."""
     found = blocks(page or "")
@@ -197,8 +224,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     ``pages``: ``page_id, url, html``; other columns are left. Returns ``page_id, url, text, n_chars``. A page is cut
     into blocks at block elements and line breaks; for each root-to-leaf tag path, lengths and punctuation of its blocks are
     related to their number, fused, smoothed along the page, and paths above a share of the best are content. Paths that
-    run through menus, footers, forms and the like, by element, role or name, are none; paths inside an article or main
-    element are preferred. A page's links count against its paths, so lists of links fall out.
+    run through menus, footers, forms and the like, by element, role or name, are none, but a name counts only on elements that hold less than MOST of
+    the page's text, and readers' comments always; paths inside an article or main element are preferred. A page's links count against its paths, so lists of links fall out.
 
     Null or empty html, or a page without such text: an empty text. Broken markup is read as far as it goes. Null ids and
     urls stay; repeated rows are each extracted. No rows give no rows. Each page is worked on alone, on the scan's partitions.

@@ -639,3 +639,41 @@ def test_links_across_components_of_a_template(spark, monkeypatch, busy, chunk):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert len(set(groups)) < len(texts) - 10
     assert [got[i] for i in range(len(texts))] == list(groups)
+
+
+SENTENCES = [f"A sentence of the article, number {i}, with words and stops." for i in range(8)]
+BODY = "".join(f"<p>{s}</p>" for s in SENTENCES)
+MENU = "<div class='menu'><a href='/'>Home</a> <a href='/b'>News</a></div>"
+FOOT = "<div class='page-footer'>All rights reserved, Example Ltd, 2020.</div>"
+
+
+def test_a_name_about_most_of_the_page_says_nothing():
+    article = "\n".join(SENTENCES)
+    sidebar = "<div class='sidebar'>Most read, today.</div>"
+    assert html_extract.main_text(f"<body><div class='layout has-sidebar'>{MENU}<div>{BODY}</div>{sidebar}{FOOT}</div></body>") == article
+    assert html_extract.main_text(f"<body>{MENU}<div class='related-article-body'>{BODY}</div>{FOOT}</body>") == article
+    assert html_extract.main_text(f"<body>{MENU}<article><div class='content-header'>The title of it</div>{BODY}<div class='share-buttons'>Share this, now.</div></article>{FOOT}</body>") == f"The title of it\n{article}"
+    # readers' comments stay out however long they are
+    comments = "<div class='comments'>" + BODY.replace("article", "reader") * 9 + "</div>"
+    assert html_extract.main_text(f"<body>{MENU}<div class='text'>{BODY}</div>{comments}{FOOT}</body>") == article
+
+
+def test_ratios_of_paths_by_hand():
+    """Five paths: lengths and punctuation a block, less links, smoothed along the page, kept from half of the best on."""
+    page = "<body><div><p>One, two. Three, four.</p><p>Five, six.</p></div><ul><li>ab</li><li>c <a href='/'>d</a></li></ul><table><tr><td>ef</td></tr></table><section>Short, but fine.</section><dl><dt><a href='/'>A link, alone.</a></dt></dl></body>"
+    assert [(t, n) for _, t, n in html_extract.blocks(page)] == [("One, two. Three, four.", 0), ("Five, six.", 0), ("ab", 0), ("c d", 1), ("ef", 0), ("Short, but fine.", 0), ("A link, alone.", 14)]
+    raw = [
+        math.log1p((22 + 10) / 2) + math.log1p((4 + 2) / 2),
+        (math.log1p((2 + 3) / 2) + math.log1p(0)) * (1 - 1 / 5),
+        math.log1p(2 / 1) + math.log1p(0),
+        math.log1p(16 / 1) + math.log1p(2 / 1),
+        0.0,  # link text only
+    ]
+    smooth = [0.25 * a + 0.5 * b + 0.25 * c if b else 0.0 for a, b, c in zip([raw[0], *raw], raw, [*raw[1:], raw[-1]])]
+    kept = [s >= 0.5 * max(smooth) for s in smooth]
+    texts = ["One, two. Three, four.\nFive, six.", "ab\nc d", "ef", "Short, but fine.", "A link, alone."]
+    assert kept[0] and kept[3] and not kept[4]
+    assert html_extract.main_text(page) == "\n".join(t for t, k in zip(texts, kept) if k)
+    # a longer article leaves the short paths below half of the best
+    longer = page.replace("Five, six.", "Five, six, " * 200 + "seven.")
+    assert html_extract.main_text(longer) == "One, two. Three, four.\n" + "Five, six, " * 200 + "seven."
