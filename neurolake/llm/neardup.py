@@ -238,32 +238,35 @@ def _placed(own: DataFrame, groups: DataFrame) -> DataFrame:
     return own.join(groups, "component", "left").select(*others, F.coalesce("into", "component").alias("component"))
 
 
-def _near_main(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each set of a group outside the main component the nearest in it, of those that sizes and finer sketches leave."""
-    pdf = pdf.sort_values(["main", "i", "j", "large"])
-    large, sid, part, n = (pdf[c].to_numpy() for c in ("large", "sid", "component", "n"))
-    bits = np.stack(pdf["fine"].to_numpy()).view(np.uint64)
-    cuts = np.nonzero((np.diff(pdf[["main", "i", "j"]].to_numpy(), axis=0) != 0).any(axis=1))[0] + 1
-    out = []
-    for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-        mid = at + int((~large[at:end]).sum())
-        x, y = bits[at:mid], bits[mid:end]
-        if not len(x) or not len(y):
-            continue
-        far = np.zeros((len(x), len(y)), dtype=np.int64)
-        for w in range(bits.shape[1]):
-            far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
-        nx, ny = n[at:mid, None], n[None, mid:end]
-        far[100 * np.minimum(nx, ny) < PERCENT * np.maximum(nx, ny)] = FINE_BITS
-        r, c = np.arange(len(x)), far.argmin(axis=1)
-        some = far[r, c] <= FINE_MOST_BITS
-        r, c = r[some] + at, c[some] + mid
-        out.append((sid[r], sid[c], part[r], part[c], far[r - at, c - mid]))
-    return pd.DataFrame(dict(zip(("a", "b", "ca", "cb", "far"), map(np.concatenate, zip(*out)) if out else [[]] * 5, strict=True)))
-
-
-def _to_main(own: DataFrame, fine: DataFrame) -> DataFrame:
-    """Pairs of a set and a member of the largest component of one of its buckets, which meet in chunks of both: the nearest, one for two components."""
+def _near_main(best: bool):
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of each group, pairs of a set outside the main component and one in it that sizes and finer sketches leave; the nearest only, if ``best``."""
+        pdf = pdf.sort_values(["main", "i", "j", "large"])
+        large, sid, part, n = (pdf[c].to_numpy() for c in ("large", "sid", "component", "n"))
+        bits = np.stack(pdf["fine"].to_numpy()).view(np.uint64)
+        cuts = np.nonzero((np.diff(pdf[["main", "i", "j"]].to_numpy(), axis=0) != 0).any(axis=1))[0] + 1
+        out = []
+        for at, end in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            mid = at + int((~large[at:end]).sum())
+            x, y = bits[at:mid], bits[mid:end]
+            if not len(x) or not len(y):
+                continue
+            far = np.zeros((len(x), len(y)), dtype=np.int64)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+            nx, ny = n[at:mid, None], n[None, mid:end]
+            far[100 * np.minimum(nx, ny) < PERCENT * np.maximum(nx, ny)] = FINE_BITS
+            r, c = (np.arange(len(x)), far.argmin(axis=1)) if best else np.nonzero(far <= FINE_MOST_BITS)
+            some = far[r, c] <= FINE_MOST_BITS
+            r, c = r[some] + at, c[some] + mid
+            out.append((sid[r], sid[c], part[r], part[c], far[r - at, c - mid]))
+        return pd.DataFrame(dict(zip(("a", "b", "ca", "cb", "far"), map(np.concatenate, zip(*out)) if out else [[]] * 5, strict=True)))
+
+    return near
+
+
+def _to_main(own: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
+    """Pairs of a set and a member of the largest component of one of its buckets, which meet in chunks of both; ``best``: one for two components."""
     rows = own.select("main", "sid", "component", (F.col("component") == F.col("main")).alias("large")).distinct()
     chunks = rows.groupBy("main").agg(*[F.ceil(F.count_if(F.col("large") == x) / CHUNK).alias(c) for c, x in (("ci", False), ("cj", True))])
     each = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
@@ -273,8 +276,10 @@ def _to_main(own: DataFrame, fine: DataFrame) -> DataFrame:
     rows = rows.withColumn("j", F.explode(F.when(F.col("large"), own_chunk("cj")).otherwise(each("cj")))).drop("ci", "cj")
     batches = shuffle_partitions(own.sparkSession) * 4
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("main", "i", "j"), F.lit(batches)))
-    pairs = rows.groupBy("batch").applyInPandas(_near_main, "a long, b long, ca long, cb long, far long")
-    return pairs.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
+    pairs = rows.groupBy("batch").applyInPandas(_near_main(best), "a long, b long, ca long, cb long, far long")
+    if best:
+        pairs = pairs.groupBy("ca", "cb").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "ca", "cb")
+    return pairs.select("a", "b", "ca", "cb")
 
 
 def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -382,9 +387,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     3. Sets of buckets that still hold several components are dealt anew by FINE_BANDS finer bands, which unlike texts with a common
        passage hardly share. Sets outside the largest component of one of their buckets meet its members there, in chunks, by finer
        sketches; in each of at most AGAIN rounds the nearest two sets of two components are compared in full.
-    4. Sets of buckets that are mixed even then meet those of other components with which they share one of their rarest shingles, as any pair of that
-       similarity must; so texts of one template, which share what all of them share, don't meet, and work grows with the documents. What sizes and
-       finer sketches leave is compared in full. Pairs within a component can add nothing. So a link is missed only if its sets share no band, or no finer
+    4. In buckets that are mixed even then, all members of the largest component and of others that the finer sketches leave are compared in full. Sets outside of
+       it meet each other where they share one of their rarest shingles, as any pair of that similarity must; so texts of one template, which share what all of
+       them share, don't meet, and work grows with the documents. What sizes and finer sketches leave is compared in full. Pairs within a component can add nothing. So a link is missed only if its sets share no band, or no finer
        one: with a probability below 0.0003 at 0.75.
 
     Null or empty text, or text without words: an empty set, linked with nothing. Null doc_id: never smallest; a group of
@@ -419,12 +424,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             own = tables.written(_mixed(own), "placed")
             if again == AGAIN:
                 break
-            found = tables.written(_confirmed(_to_main(own, fine), sets), "links")
+            found = tables.written(_confirmed(_to_main(own, fine, best=True), sets), "links")
             if found.isEmpty():
                 break
             steps.append(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
             own = _placed(own.select("sid", "component", "bucket"), steps[-1])
-        pairs = tables.written(_across(tables.written(own.select("sid", "component").distinct(), "rest"), sets, fine, tables), "pairs")
+        others = tables.written(own.where("component != main").select("sid", "component").distinct(), "others")
+        pairs = tables.written(_to_main(own, fine, best=False).unionByName(_across(others, sets, fine, tables)), "pairs")
         found = tables.written(_confirmed(pairs, sets), "links")
         if not found.isEmpty():
             steps.append(connected_components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
