@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,19 +102,48 @@ def offset_bins(seconds: float, dt: float) -> int:
     return max(0, round(seconds / dt)) if seconds > 0 else 0
 
 
+@dataclass(frozen=True)
+class BasisOptions:
+    """What a temporal basis is made with, checked when it is put together: rows and columns at and after the event, those before it, the seconds that these
+    cover, and the seconds between the event and the first lag."""
+
+    n_lags: int
+    n_cols: int
+    kind: str = "raised_cosine"
+    n_leads: int = 0
+    n_lead_cols: int = 0
+    lead: float = 0.0
+    offset: float = 0.0
+
+    def __post_init__(self) -> None:
+        whole = (self.n_lags, self.n_cols, self.n_leads, self.n_lead_cols)
+        if any(isinstance(v, bool) or not isinstance(v, int) for v in whole):
+            raise TypeError("rows and columns are whole numbers")
+        if self.n_lags <= 0 or self.n_cols <= 0 or self.n_leads < 0 or self.n_lead_cols < 0:
+            raise ValueError("lags and columns must be positive")
+        if not (math.isfinite(self.lead) and math.isfinite(self.offset)):
+            raise ValueError("seconds must be finite")
+        _known(self.kind)
+        if self.n_leads and (self.n_lead_cols <= 0 or self.lead <= 0):
+            raise ValueError("rows before the event need columns and a lead in seconds")
+        if not self.n_leads and self.n_lead_cols:
+            raise ValueError("columns before the event need rows there")
+
+    def rows(self, spark) -> DataFrame:
+        return basis(spark, self.n_lags, self.n_cols, self.kind, self.n_leads, self.n_lead_cols, self.lead, self.offset)
+
+    def centres(self, dt: float) -> list[float]:
+        """Seconds of each column's knot, for bins of ``dt`` seconds."""
+        return knot_centres(self.n_lags, self.n_cols, dt, self.n_lead_cols, self.lead, self.offset, self.kind)
+
+
 def basis(spark, n_lags: int, n_cols: int, kind: str = "raised_cosine", n_leads: int = 0, n_lead_cols: int = 0, lead: float = 0.0, offset: float = 0.0) -> DataFrame:
     """``row, tau, col, weight`` of a temporal basis: raised cosines, even or logarithmic, each column summing to one.
 
     Without leads the axis is the lag, scaled to 0..1 or in log(1 + lag). With leads each bump lies on the whole axis from
     -``lead`` seconds on, lead columns first.
     """
-    if n_lags <= 0 or n_cols <= 0 or n_leads < 0:
-        raise ValueError("lags and columns must be positive")
-    _known(kind)
-    if n_leads and (n_lead_cols <= 0 or lead <= 0):
-        raise ValueError("rows before the event need columns and a lead in seconds")
-    if not n_leads and n_lead_cols:
-        raise ValueError("columns before the event need rows there")
+    BasisOptions(n_lags, n_cols, kind, n_leads, n_lead_cols, lead, offset)  # checks them
     grid = spark.range(n_leads + n_lags).select(F.col("id").cast("int").alias("row"))
     if n_leads:
         dt = lead / n_leads

@@ -321,14 +321,35 @@ def resampled(blocks: DataFrame, up: int, down: int = 1, beta: float = 5.0) -> D
 
 
 def frames_to_blocks(frames: DataFrame, size: int) -> DataFrame:
-    """One row a channel and block of ``size`` ticks; ticks are 0, 1, 2 ... within a recording."""
-    rows = frames.select("recording_id", "tick", F.posexplode("uv").alias("channel", "v")).withColumn("block", F.floor(F.col("tick") / size))
-    packed = rows.groupBy("recording_id", "channel", "block").agg(F.array_sort(F.collect_list(F.struct("tick", F.col("v").cast("double").alias("v")))).alias("s"))
-    return packed.select("recording_id", "channel", "block", F.transform("s", lambda x: x["v"]).alias("samples"))
+    """One row a channel and block of ``size`` ticks; ticks are 0, 1, 2 ... within a recording.
+
+    A batch of frames is turned where it is: what is shuffled is a row a channel and run of successive ticks of a block, not a row a sample.
+    """
+
+    def turned(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            b = b.sort_values(["recording_id", "tick"], ignore_index=True)
+            x, tick, name = np.stack(b["uv"].to_numpy()).astype(float), b["tick"].to_numpy(), b["recording_id"].to_numpy()
+            new = (np.diff(tick) != 1) | (np.diff(tick // size) != 0) | (name[1:] != name[:-1])
+            cuts = [0, *(np.nonzero(new)[0] + 1), len(b)]
+            rows = [(name[i], c, tick[i] // size, tick[i], x[i:j, c]) for i, j in zip(cuts, cuts[1:], strict=False) for c in range(x.shape[1])]
+            yield pd.DataFrame(rows, columns=["recording_id", "channel", "block", "first", "samples"])
+
+    runs = frames.select("recording_id", F.col("tick").cast("long"), "uv").mapInPandas(turned, "recording_id string, channel int, block long, first long, samples array<double>")
+    packed = runs.groupBy("recording_id", "channel", "block").agg(F.array_sort(F.collect_list(F.struct("first", "samples"))).alias("s"))
+    return packed.select("recording_id", "channel", "block", F.flatten(F.transform("s", lambda x: x["samples"])).alias("samples"))
 
 
 def blocks_to_frames(blocks: DataFrame, size: int) -> DataFrame:
-    rows = blocks.select("recording_id", "channel", "block", F.posexplode("samples").alias("i", "v"))
-    rows = rows.select("recording_id", (F.col("block") * size + F.col("i")).alias("tick"), "channel", "v")
-    packed = rows.groupBy("recording_id", "tick").agg(F.array_sort(F.collect_list(F.struct("channel", "v"))).alias("s"))
-    return packed.select("recording_id", "tick", F.transform("s", lambda x: x["v"]).alias("uv"))
+    """Frames of blocks: a block's channels meet as they are, a row each, and are turned in the task."""
+
+    def turned(batches):
+        for b in batches:
+            for name, block, s in zip(b["recording_id"], b["block"], b["s"], strict=True):
+                x = np.stack([np.asarray(c["samples"]) for c in s]).T
+                yield pd.DataFrame({"recording_id": name, "tick": block * size + np.arange(len(x)), "uv": list(x)})
+
+    met = blocks.groupBy("recording_id", "block").agg(F.array_sort(F.collect_list(F.struct("channel", "samples"))).alias("s"))
+    return met.mapInPandas(turned, "recording_id string, tick long, uv array<double>")

@@ -753,3 +753,27 @@ def test_wrong_frames_are_an_error_of_the_fit(spark):
         spatial.fit_whitening(spark.createDataFrame([("r", 0, [1, 2])], "recording_id string, tick long, uv array<int>"), [0], pad=0)
     with pytest.raises(ValueError):
         spatial.fit_whitening(spark.createDataFrame([], kind), [0], pad=0)
+
+
+def test_basis_options_are_checked_as_one(spark):
+    o = series.BasisOptions(6, 2, n_leads=2, n_lead_cols=2, lead=1.0)
+    assert sorted(o.rows(spark).collect()) == sorted(series.basis(spark, 6, 2, "raised_cosine", 2, 2, 1.0).collect())
+    assert o.centres(0.5) == series.knot_centres(6, 2, 0.5, 2, 1.0) == [-1.0, -0.5, 0.0, 3.0]
+    for wrong in (dict(n_lags=0), dict(n_cols=0), dict(kind="foo"), dict(n_leads=2), dict(n_lead_cols=1), dict(n_leads=2, n_lead_cols=1), dict(offset=float("nan")), dict(n_leads=-1)):
+        with pytest.raises(ValueError):
+            series.BasisOptions(**(dict(n_lags=6, n_cols=2) | wrong))
+    with pytest.raises(TypeError):
+        series.BasisOptions(6.0, 2)
+
+
+def test_frames_turned_to_blocks_and_back(spark):
+    """In any order and partitioning, with gaps and several recordings; what is shuffled are runs."""
+    rng = np.random.default_rng(8)
+    rows = [(f"r{k}", t, [float(v) for v in rng.standard_normal(3)]) for k in range(2) for t in range(250)]
+    f = spark.createDataFrame(rows, "recording_id string, tick long, uv array<double>")
+    for some in (f, f.repartition(5), f.orderBy(F.rand(1))):
+        blocks = signal.frames_to_blocks(some, 100)
+        got = {(r["recording_id"], r["channel"], r["block"]): r["samples"] for r in blocks.collect()}
+        assert len(got) == 18 and len(got["r1", 2, 2]) == 50
+        assert got["r0", 1, 1] == [uv[1] for k, t, uv in rows if k == "r0" and 100 <= t < 200]
+        assert sorted((r["recording_id"], r["tick"], r["uv"]) for r in signal.blocks_to_frames(blocks, 100).collect()) == sorted(rows)
