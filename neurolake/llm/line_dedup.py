@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from neurolake.functions.columns import once
 from neurolake.llm.common import Scratch, ascii_lowered
 
 #: Stripped at both ends of a line before it is compared.
@@ -23,9 +24,12 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 def _without(lines: Column, positions: Column) -> Column:
     """An array without the elements at rising ``positions``: what lies between two of them in a row is one slice, so the work is linear."""
-    before = F.concat(F.array(F.lit(-1)), positions)
-    after = F.concat(positions, F.array(F.size(lines)))
-    return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(lines, a + 2, b - a - 1)))
+
+    def kept(all_: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), positions), F.concat(positions, F.array(F.size(all_)))
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(all_, a + 2, b - a - 1)))
+
+    return once(lines, kept)  # split once, not once a position
 
 
 def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -65,7 +65,7 @@ def test_shared_lines_against_a_plain_version(spark):
 
 def test_a_document_of_very_many_lines(spark):
     """Work in proportion to lines, with every second one dropped."""
-    text = "\n".join(f"{'a line that others hold too' if i % 2 else 'a line of its own'} {i}" for i in range(100_000))
+    text = "\n".join(f"{'a line that others hold too' if i % 2 else 'a line of its own'} {i}" for i in range(20_000))
     rows = [(1, text), (2, text.replace("of its own", "of the second")), (3, text.replace("of its own", "of the third"))]
     assert cleaned(line_dedup.drop_shared_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == plain_lines(rows)
 
