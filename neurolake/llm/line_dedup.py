@@ -60,9 +60,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     same = F.col("row.doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_hash"))
     lines = F.split("text", "\n")
     text = F.when(F.col("places").isNull(), F.col("text")).otherwise(F.array_join(_without(lines, F.col("places")), "\n"))
-    return rows.join(lost, same, "left").select(
-        "row.*", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped")
+    out = rows.join(lost, same, "left").select(
+        "row", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped")
     )
+    return out.select("row.*", "text", "n_lines", "n_dropped")
 
 
 SQL = """
