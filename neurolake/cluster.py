@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,3 +43,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed and kept in the shared folder: it is used several times, and lost executors cost their tasks only."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, in any order: for tables that are made of one another in rounds.
+
+    A checkpoint goes on with its plan's estimated size, and a join's estimate is the product of its sides': it would be squared each round, to numbers
+    that fill the driver's memory. A file's size is what it is.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

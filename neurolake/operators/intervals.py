@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neurolake.cluster import checkpointed
+from neurolake.cluster import stored
 
 
 def range_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: float, keys: list[str] = (), closed: str = "left") -> DataFrame:
@@ -212,21 +212,21 @@ def thinned(events: DataFrame, at: str, half_window: int, keys: list[str], block
     if block is None and not busy:
         alone = cut.withColumn("_entry", F.col(at) == F.min(at).over(Window.partitionBy(*keys, "_block")))
         return alone.groupBy(*keys, "_block").applyInPandas(_walk(gap, at), kinds)
-    each = checkpointed(cut.groupBy(*keys, "_block").applyInPandas(_tails(gap, at), f"{kinds}, _block long, _tail {times.schema[at].dataType.simpleString()}"))
+    each = stored(cut.groupBy(*keys, "_block").applyInPandas(_tails(gap, at), f"{kinds}, _block long, _tail {times.schema[at].dataType.simpleString()}"))
     begin = each.groupBy(*keys).agg(F.min(at).alias(at))
     back = lambda rows, c, name: rows.withColumn(name, -F.col(c))
     tails = back(each.select(*keys, "_tail", (F.col("_tail") + gap).alias("_goal")).distinct(), "_goal", "_from")
     follow = as_of(tails, back(each.select(*keys, F.col(at).alias("_next"), F.col(at).alias("_at0")), "_at0", "_place").drop("_at0"), "_from", "_place", "_next", keys, block=None)
-    follow = checkpointed(follow.where("_next is not null").select(*keys, "_tail", "_next"))
+    follow = stored(follow.where("_next is not null").select(*keys, "_tail", "_next"))
     some = begin.unionByName(follow.select(*keys, F.col("_next").alias(at))).distinct()
-    jump = checkpointed(some.join(each, [*keys, at]).join(follow, [*keys, "_tail"]).select(*keys, at, "_next"))
+    jump = stored(some.join(each, [*keys, at]).join(follow, [*keys, "_tail"]).select(*keys, at, "_next"))
     reached = begin
     while True:
-        more = checkpointed(reached.join(jump, [*keys, at]).select(*keys, F.col("_next").alias(at)).join(reached, [*keys, at], "left_anti"))
+        more = stored(reached.join(jump, [*keys, at]).select(*keys, F.col("_next").alias(at)).join(reached, [*keys, at], "left_anti"))
         if not more.limit(1).count():
             break
-        reached = checkpointed(reached.unionByName(more).distinct())
+        reached = stored(reached.unionByName(more).distinct())
         on = jump.select(*keys, F.col(at).alias("_next"), F.col("_next").alias("_after"))
-        jump = checkpointed(jump.join(on, [*keys, "_next"]).select(*keys, at, F.col("_after").alias("_next")))
+        jump = stored(jump.join(on, [*keys, "_next"]).select(*keys, at, F.col("_after").alias("_next")))
     entered = each.drop("_tail").join(reached.withColumn("_in", F.lit(True)), [*keys, at], "left").withColumn("_entry", F.coalesce("_in", F.lit(False))).drop("_in")
     return entered.groupBy(*keys, "_block").applyInPandas(_walk(gap, at), kinds)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neurolake.cluster import checkpointed
+from neurolake.cluster import stored
 
 
 def _bessel_poles(order: int) -> np.ndarray:
@@ -45,15 +46,9 @@ def bandpass_sections(low: float = 300.0, high: float = 5000.0, fs: float = 3000
     return sos
 
 
-def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """One section along the rows' last axis, ``step`` samples at once: two matrix products a step instead of a loop over samples.
-
-    ``state``: the two values of the transposed direct form, of each row; those after the last sample come back too.
-    """
-    b0, b1, b2, _, a1, a2 = section
-    n = x.shape[1]
-    if n < step:
-        step = max(n, 1)
+@lru_cache(maxsize=512)
+def _step_matrices(b0: float, b1: float, b2: float, _: float, a1: float, a2: float, step: int) -> tuple[np.ndarray, ...]:
+    """Of a section and ``step`` samples: what they make of a state, what a state adds to each output, what each sample leaves, and what samples add to outputs. Not to be written to."""
     turn, feed = np.array([[-a1, 1.0], [-a2, 0.0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = [np.eye(2)]
     for _k in range(step):
@@ -62,13 +57,24 @@ def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int =
     pushed = np.array([m @ feed for m in powers[:step]])  # what a sample leaves in the state so many samples later
     response = np.concatenate([[b0], pushed[:-1, 0]])
     lag = np.arange(step)[:, None] - np.arange(step)
-    near = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+    return powers[step], seen, pushed, np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
+
+
+def _section(section: np.ndarray, x: np.ndarray, state: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """One section along the rows' last axis, ``step`` samples at once: two matrix products a step instead of a loop over samples.
+
+    ``state``: the two values of the transposed direct form, of each row; those after the last sample come back too.
+    """
+    n = x.shape[1]
+    if n < step:
+        step = max(n, 1)
+    turn, seen, pushed, near = _step_matrices(*map(float, section), step)
     parts = x[:, : n // step * step].reshape(len(x), -1, step)
     y, left = parts @ near.T, parts @ pushed[::-1]
     z = state.T
     for j in range(parts.shape[1]):
         y[:, j] += z @ seen.T
-        z = z @ powers[step].T + left[:, j]
+        z = z @ turn.T + left[:, j]
     y = y.reshape(len(x), -1)
     if y.shape[1] < n:
         rest, last = _section(section, x[:, y.shape[1] :], z.T, n - y.shape[1])
@@ -156,34 +162,60 @@ def _turn(sos: np.ndarray) -> np.ndarray:
     return _run(sos, np.zeros((k, 1)), np.eye(k).reshape(len(sos), 2, k))[1].reshape(k, k)
 
 
-def _starts(ends: DataFrame, sos: np.ndarray, forward: bool) -> DataFrame:
+#: Blocks that one row of the scan holds; as many such rows make one of the next level.
+FAN = 512
+
+
+def _starts(ends: DataFrame, sos: np.ndarray, forward: bool, fan: int | None = None) -> DataFrame:
     """``recording_id, channel, block, state``: each block's exact state at its start, of blocks' ``n`` samples and the state ``left`` that they end with from nothing.
 
-    A block maps the state that comes in affinely: a power of one matrix, and what its own samples leave. Such maps compose, so a
-    recording's blocks are doubled over: after k rounds a block's row holds the map of the 2^k blocks up to it, by one join a round, of rows of
-    one block each. The first block's state is known (``left`` of its row begins with it).
+    A block maps the state that comes in affinely: a power of one matrix, and what its own samples leave. Such maps compose: those of ``fan`` successive
+    blocks to one map of them all, and so on until one row holds a recording's. Back down, each row takes the state that comes in through its blocks.
+    Every level is a ``fan``-th of the one below, so the work grows as the number of blocks. The first block's state is known (``left`` of its row begins with it).
     """
-    k = 2 * len(sos)
-    turn = _turn(sos)
-    kinds = "recording_id string, channel int, block long, n long, left array<double>"
+    fan, k, turn = fan or FAN, 2 * len(sos), _turn(sos)
+    key, kinds = ["recording_id", "channel", "block"], "recording_id string, channel int, block long"
+    powers: dict[int, np.ndarray] = {}
+
+    def power(n: int) -> np.ndarray:
+        if n not in powers:
+            powers[n] = np.linalg.matrix_power(turn, n)
+        return powers[n]
 
-    def compose(batches):
+    def composed(batches):
+        for b in batches:
+            total, left = [], []
+            for parts in b["parts"]:
+                z = np.zeros(k)
+                for p in parts if forward else parts[::-1]:
+                    z = power(int(p["n"])) @ z + np.asarray(p["left"])
+                left.append(z)
+                total.append(sum(int(p["n"]) for p in parts))
+            yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "n": total, "left": left})
+
+    def passed(batches):
         for b in batches:
             out = []
-            for n, left, before in zip(b["n"], b["left"], b["before"], strict=True):
-                known = before is not None and len(before) == k
-                out.append(np.linalg.matrix_power(turn, int(n)) @ np.array(before) + np.array(left) if known else np.array(left))
-            total = b["n"] + b["n_before"].fillna(0).astype("int64")
-            yield pd.DataFrame({"recording_id": b["recording_id"], "channel": b["channel"], "block": b["block"], "n": total, "left": out})
-
-    sign = 1 if forward else -1
-    most = ends.agg(F.max("block") - F.min("block")).first()[0] or 0
-    span, have = 1, checkpointed(ends.select("recording_id", "channel", "block", "n", "left"))
-    while span <= most:
-        earlier = have.select("recording_id", "channel", (F.col("block") + sign * span).alias("block"), F.col("left").alias("before"), F.col("n").alias("n_before"))
-        have = checkpointed(have.join(earlier, ["recording_id", "channel", "block"], "left").mapInPandas(compose, kinds))
-        span *= 2
-    return have.select("recording_id", "channel", (F.col("block") + sign).alias("block"), F.col("left").alias("state"))
+            for name, channel, parts, state in zip(b["recording_id"], b["channel"], b["parts"], b["state"], strict=True):
+                z = np.zeros(k) if state is None else np.asarray(state)
+                for p in parts if forward else parts[::-1]:
+                    out.append((name, channel, p["block"], z))
+                    z = power(int(p["n"])) @ z + np.asarray(p["left"])
+            yield pd.DataFrame(out, columns=[*key, "state"])
+
+    levels, most = [], ends.agg(F.max("block")).first()[0] or 0
+    while True:
+        parts = ends.groupBy("recording_id", "channel", F.floor(F.col("block") / fan).alias("up")).agg(F.array_sort(F.collect_list(F.struct("block", "n", "left"))).alias("parts"))
+        levels.append(stored(parts.withColumnRenamed("up", "block")))
+        most //= fan
+        if not most:
+            break
+        ends = levels[-1].mapInPandas(composed, f"{kinds}, n long, left array<double>")
+    states = None
+    for rows in reversed(levels):
+        rows = rows.withColumn("state", F.lit(None).cast("array<double>")) if states is None else rows.join(states, key, "left")
+        states = stored(rows.mapInPandas(passed, f"{kinds}, state array<double>"))
+    return states
 
 
 def filtered_exactly(blocks: DataFrame, sos: np.ndarray) -> DataFrame:
@@ -198,7 +230,7 @@ def filtered_exactly(blocks: DataFrame, sos: np.ndarray) -> DataFrame:
     settled = _settled(sos)
     wide = _with_halo(blocks.withColumn("samples", F.col("samples").cast("array<double>")), pad + 1)
     last = blocks.groupBy("recording_id", "channel").agg(F.max("block").alias("last"))
-    wide = checkpointed(wide.join(last, ["recording_id", "channel"]))
+    wide = stored(wide.join(F.broadcast(last), ["recording_id", "channel"]))  # a row a channel
 
     def extended(r) -> tuple[np.ndarray, int]:
         """A block's samples with a recording's extension, where it is the first or last; and how many were put in front."""

@@ -725,6 +725,24 @@ def test_filters_with_low_corners_over_short_blocks(spark, sizes):
         assert np.abs(y - want[c]).max() < 1e-6 * max(1.0, np.abs(want).max())
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_states_of_blocks_are_scanned_in_levels(spark, monkeypatch, forward):
+    """Several levels of the scan, against states passed from block to block; and no round squares the size that the driver plans with."""
+    monkeypatch.setattr(signal, "FAN", 3, raising=False)
+    sos, rng = signal.bandpass_sections(), np.random.default_rng(8)
+    n, left = rng.integers(1, 9, 41), rng.standard_normal((41, 6))
+    rows = [("r", c, b, int(n[b]), [float(v) * (c + 1) for v in left[b]]) for c in range(2) for b in range(41)]
+    ends = spark.createDataFrame(rows, "recording_id string, channel int, block long, n long, left array<double>").repartition(3)
+    states = signal._starts(ends, sos, forward)
+    assert states._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+    got = {(r["channel"], r["block"]): r["state"] for r in states.collect()}
+    turn, z = signal._turn(sos), np.zeros(6)
+    for b in range(41) if forward else range(40, -1, -1):
+        if z.any():
+            assert got[0, b] == pytest.approx(list(z)) and got[1, b] == pytest.approx(list(2 * z))
+        z = np.linalg.matrix_power(turn, int(n[b])) @ z + left[b]
+
+
 def test_medians_by_radix(spark):
     """Equal to exact percentiles: even and odd numbers, ties, negative and equal values, zeros of both signs, infinities; any partitioning."""
     rng = np.random.default_rng(6)
