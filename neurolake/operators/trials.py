@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -97,45 +98,159 @@ def spike_rate(histograms: DataFrame, bin_rows: DataFrame, cutoffs: DataFrame |
 
 #: Units with more trials than this draw row by row: a unit's trials by bins are a matrix in a task, some hundred bytes a trial.
 MOST_TRIALS = 100_000
-#: Replicates that a task draws at once.
-CHUNK = 250
+#: Draws that are made at once, and those that a job of a unit's replicates has at most, but for one replicate of a unit with more trials.
+AT_ONCE, JOB = 1 << 17, 1 << 21
+
+_MD5_ADDED = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+_MD5_TURNS = [(np.uint32(s), np.uint32(32 - s)) for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in row * 4]
+_MD5_START = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+
+
+def _md5_words(words: list) -> list[np.ndarray]:
+    """The four words of the MD5 digests of messages of one block, whose 16 words are arrays of a word a message, or one number for all."""
+    n = next(len(w) for w in words if isinstance(w, np.ndarray))
+    a, b, c, d = (np.full(n, v) for v in _MD5_START)
+    f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for i in range(64):
+        x, y, z, g = ((c, d, b, i), (b, c, d, 5 * i + 1), (b, c, d, 3 * i + 5), (d, b, c, 7 * i))[i // 16]
+        if i < 32:
+            np.bitwise_xor(x, y, out=f)
+            np.bitwise_and(f, z, out=f)
+            np.bitwise_xor(f, y, out=f)
+        elif i < 48:
+            np.bitwise_xor(x, y, out=f)
+            np.bitwise_xor(f, z, out=f)
+        else:
+            np.invert(x, out=f)
+            np.bitwise_or(f, y, out=f)
+            np.bitwise_xor(f, z, out=f)
+        f += a
+        w, k, (up, down) = words[g % 16], _MD5_ADDED[i], _MD5_TURNS[i]
+        if isinstance(w, np.ndarray):
+            f += w
+            f += np.uint32(k)
+        else:
+            f += np.uint32((k + int(w)) & 0xFFFFFFFF)
+        np.right_shift(f, down, out=t)
+        np.left_shift(f, up, out=f)
+        f |= t
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return [x + v for x, v in zip((a, b, c, d), _MD5_START, strict=True)]
+
+
+def _written(numbers: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in decimal from a message's byte ``at`` on: a row of 16 words each; and where each ends."""
+    digits = np.ones(len(numbers), dtype=np.int64)
+    for k in range(1, len(str(int(numbers.max())))):
+        digits += numbers >= 10**k
+    out = np.zeros((len(numbers), 64), dtype=np.uint8)
+    rest, rows = numbers.copy(), np.arange(len(numbers))
+    for k in range(int(digits.max())):
+        some = digits > k
+        out[rows[some], at + digits[some] - 1 - k] = 48 + rest[some] % 10
+        rest //= 10
+    return out.view("<u4"), at + digits
+
+
+def _digest_words(start: bytes, replicates: range, n: int) -> np.ndarray:
+    """A row a replicate: as many words as ``n`` draws take, of the MD5 digests of ``start``, the replicate, a colon and a counter from 0."""
+    groups = -(-n // 4)
+    if len(start) + len(str(replicates[-1])) + 1 + len(str(groups - 1)) > 55:  # more than a block of MD5
+        words = []
+        for replicate in replicates:
+            base = hashlib.md5(start + f"{replicate}:".encode(), usedforsecurity=False)
+            for g in range(groups):
+                m = base.copy()
+                m.update(str(g).encode())
+                words.append(m.digest())
+        return np.frombuffer(b"".join(words), dtype=">u4").reshape(len(replicates), -1)
+    head = np.frombuffer(start.ljust(64, b"\0"), dtype="<u4")
+    reps, ends = _written(np.arange(replicates[0], replicates[-1] + 1), len(start))
+    out = np.empty((len(replicates), groups, 4), dtype=np.uint32)
+    vary = {*range(len(start) // 4, (int(ends.max()) + 1 + len(str(groups - 1))) // 4 + 1), 14}  # the words that aren't the same in all messages
+    words: list = [np.empty((len(reps), groups), np.uint32) if j in vary else int(head[j]) for j in range(16)]
+    for end in np.unique(ends):
+        rows = np.nonzero(ends == end)[0]
+        rows = slice(rows[0], rows[-1] + 1)  # replicates rise, so those of one length follow one another
+        counters, stops = _written(np.arange(groups), int(end) + 1)
+        tail = np.zeros((groups, 64), dtype=np.uint8)
+        tail[:, end] = ord(":")
+        tail[np.arange(groups), stops] = 0x80
+        tail = tail.view("<u4") | counters
+        tail[:, 14] |= (stops * 8).astype(np.uint32)
+        for j in vary:
+            words[j][rows] = (head[j] | reps[rows, j])[:, None] | tail[:, j]
+    for k, w in enumerate(_md5_words([w.ravel() if j in vary else w for j, w in enumerate(words)])):
+        out[:, :, k] = w.byteswap().reshape(len(replicates), groups)
+    return out.reshape(len(replicates), -1)
 
 
 def _times_drawn(seed: int, unit, replicates: range, n: int) -> np.ndarray:
     """How often each replicate draws each of n trials: words of 32 bits of MD5 digests of seed, unit, replicate and a counter, modulo n."""
-    words, blocks = [], [str(g).encode() for g in range(-(-n // 4))]
-    for replicate in replicates:
-        base = hashlib.md5(f"{seed}:{unit}:{replicate}:".encode(), usedforsecurity=False)
-        for g in blocks:
-            m = base.copy()
-            m.update(g)
-            words.append(m.digest())
-    drawn = np.frombuffer(b"".join(words), dtype=">u4").reshape(len(replicates), -1)[:, :n].astype(np.int64) % n
+    drawn = _digest_words(f"{seed}:{unit}:".encode(), replicates, n)[:, :n] % np.uint32(n)
     return np.bincount((drawn + np.arange(len(replicates))[:, None] * n).ravel(), minlength=len(replicates) * n).reshape(len(replicates), n)
 
 
-def _drawn_sums(cells: DataFrame, sizes: DataFrame, replicates: int, seed: int, chunk: int) -> DataFrame:
+def _came_up(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Column, value and number of times of the whole numbers that columns hold."""
+    rows, columns = sums.shape
+    span = int(sums.max()) + 1
+    if span > 4 * rows + 64:
+        each = [np.unique(sums[:, k], return_counts=True) for k in range(columns)]
+        return np.repeat(np.arange(columns), [len(v) for v, _ in each]), np.concatenate([v for v, _ in each]), np.concatenate([c for _, c in each])
+    times = np.bincount((sums + np.arange(columns) * span).ravel(), minlength=span * columns)
+    at = np.nonzero(times)[0]
+    return at // span, at % span, times[at]
+
+
+def _drawn_sums(cells: DataFrame, sizes: DataFrame, replicates: int, seed: int, chunk: int | None) -> DataFrame:
     """``unit_id, n, rep, bin, total`` counted to ``unit_id, n, bin, total, times``: a chunk of replicates is a matrix of how often each trial was drawn, times the unit's
-    trials by bins."""
+    trials by bins. Bins that no trial has a spike in sum to 0 in every replicate, whatever is drawn."""
     matrices = cells.groupBy("unit_id").agg(F.collect_list(F.struct("i", "bin", "count")).alias("cells"))
-    jobs = sizes.join(matrices, "unit_id", "left").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.lit(chunk))))
+    step = F.lit(chunk) if chunk else F.greatest(F.lit(1), F.least(F.lit(replicates), F.floor(F.lit(JOB) / F.col("n")))).cast("int")
+    jobs = sizes.join(matrices, "unit_id", "left").withColumn("step", F.when(F.col("cells").isNull(), replicates).otherwise(step))
+    jobs = jobs.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1), F.col("step"))))
+    kind = sizes.schema["unit_id"].dataType.simpleString()
 
     def draw(batches):
         for b in batches:
-            out = []
-            for unit, n, bins_, some, first in zip(b["unit_id"], b["n"], b["bins"], b["cells"], b["first"], strict=True):
-                h = np.zeros((n, bins_), dtype=np.float64)
-                for c in some if some is not None else ():
-                    h[c["i"], c["bin"]] += c["count"]
-                times = _times_drawn(seed, unit, range(first, min(first + chunk, replicates)), n)
-                sums = np.rint(times.astype(np.float64) @ h).astype(np.int64)
-                for k in range(bins_):
-                    total, seen = np.unique(sums[:, k], return_counts=True)
-                    out += zip([unit] * len(total), [n] * len(total), [k] * len(total), total.tolist(), seen.tolist(), strict=True)
-            yield pd.DataFrame(out, columns=["unit_id", "n", "bin", "total", "times"])
-
-    kind = sizes.schema["unit_id"].dataType.simpleString()
-    return jobs.repartition("unit_id", "first").mapInPandas(draw, f"unit_id {kind}, n long, bin int, total long, times long")
+            out: list[tuple] = []
+            held = 0
+
+            def frame(out=out):
+                cols = [np.concatenate([o[k] for o in out]) for k in (2, 3, 4)]
+                size = [len(o[2]) for o in out]
+                unit = pd.Series([o[0] for o in out], dtype=b["unit_id"].dtype).repeat(size).reset_index(drop=True)
+                return pd.DataFrame({"unit_id": unit, "n": np.repeat([o[1] for o in out], size), "bin": cols[0], "total": cols[1], "times": cols[2]})
+
+            for unit, n, bins_, some, first, step in zip(b["unit_id"], b["n"], b["bins"], b["cells"], b["first"], b["step"], strict=True):
+                last, some = min(first + step, replicates), some if some is not None else ()
+                full = np.array(sorted({c["bin"] for c in some}), dtype=np.int64)
+                empty = np.setdiff1d(np.arange(bins_), full)
+                out.append((unit, n, empty, np.zeros(len(empty), np.int64), np.full(len(empty), last - first)))
+                held += len(empty)
+                if len(full):
+                    h = np.zeros((n, bins_), dtype=np.float64)
+                    for c in some:
+                        h[c["i"], c["bin"]] += c["count"]
+                    h = h[:, full]
+                    per = max(1, AT_ONCE // n)
+                    for at in range(first, last, per):
+                        times = _times_drawn(seed, unit, range(at, min(at + per, last)), n)
+                        k, total, seen = _came_up(np.rint(times.astype(np.float64) @ h).astype(np.int64))
+                        out.append((unit, n, full[k], total, seen))
+                        held += len(k)
+                if held > 100_000:
+                    yield frame()
+                    out.clear()
+                    held = 0
+            if held:
+                yield frame()
+
+    spark = sizes.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)  # a job is few bytes and much work: as many tasks, however small
+    return jobs.repartition(tasks, "unit_id", "first").mapInPandas(draw, f"unit_id {kind}, n long, bin int, total long, times long")
 
 
 def _drawn_rows(cells: DataFrame, sizes: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -150,11 +265,11 @@ def _drawn_rows(cells: DataFrame, sizes: DataFrame, replicates: int, seed: int)
     return sums.groupBy("unit_id", "n", "bin", "total").agg(F.count("*").alias("times"))
 
 
-def bootstrap_interval(histograms: DataFrame, trials: DataFrame, width: float, replicates: int = 10_000, percent: float = 95.0, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
+def bootstrap_interval(histograms: DataFrame, trials: DataFrame, width: float, replicates: int = 10_000, percent: float = 95.0, seed: int = 0, chunk: int | None = None) -> DataFrame:
     """Percentile interval of a unit's mean rate in each bin, over trials drawn with replacement.
 
     Draws come from a counter: the words of an MD5 of seed, unit, replicate and position, so they are the same on every run, in any chunks and however they are made.
-    A replicate's sum in a bin is a whole number, so what is shuffled is how often each sum came up, and percentiles are taken over these.
+    ``chunk``: replicates of a job; if it isn't given, as many as make JOB draws. A replicate's sum in a bin is a whole number, so what is shuffled is how often each sum came up, and percentiles are taken over these.
     """
     numbers = numbered(trials.select(*TRIAL), "trial_id", ["unit_id"], name="i").withColumn("i", F.col("i") - 1)
     sizes = trials.groupBy("unit_id").agg(F.count("*").alias("n"))

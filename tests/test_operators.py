@@ -193,6 +193,24 @@ def test_bootstrap_draws_don_t_depend_on_how_they_are_made(spark, monkeypatch, m
             assert got[u, b] == pytest.approx((low[b], high[b]))
 
 
+@pytest.mark.parametrize("start", ["7:1:", "7:-123456789012:", "0:a unit's name \u00e9:", "7:" + "u" * 48 + ":", "7:" + "long" * 30 + ":"])
+def test_words_of_draws_are_those_of_md5(start):
+    """Counters of one to three digits, replicates of one to five, messages about and beyond a block."""
+    for replicates, n in ((range(0, 120), 1), (range(98, 102), 450), (range(9_995, 10_003), 43), (range(5, 6), 5)):
+        want = [np.frombuffer(b"".join(hashlib.md5(f"{start}{r}:{g}".encode()).digest() for g in range(-(-n // 4))), ">u4") for r in replicates]
+        assert (trials._digest_words(start.encode(), replicates, n) == np.stack(want)).all()
+
+
+def test_bootstrap_jobs_are_spread_over_tasks(spark):
+    """Little data, much work: few bytes of jobs aren't put together into one task."""
+    h = spark.range(400).selectExpr("id % 40 as unit_id", "id as trial_id", "0 as bin", "id % 3 as count")
+    cells = h.select("unit_id", F.floor(F.col("trial_id") / 40).alias("i"), "bin", "count")
+    sizes = h.groupBy("unit_id").agg(F.count("*").alias("n")).withColumn("bins", F.lit(2))
+    sums = trials._drawn_sums(cells, sizes, 50, 3, 25)
+    assert sums.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    assert {(r["unit_id"], r["bin"], r["times"]) for r in sums.groupBy("unit_id", "bin").agg(F.sum("times").alias("times")).collect()} == {(u, b, 50) for u in range(40) for b in range(2)}
+
+
 def test_smoothing_keeps_the_sum_and_mirrors(spark):
     h = spark.createDataFrame([(0, b, 8 if b == 0 else 0) for b in range(6)], "k int, bin int, count long")
     got = {r["bin"]: r["smooth"] for r in trials.smoothed(h, ["k"], "count", 6, 1.0).collect()}
