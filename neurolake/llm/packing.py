@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ GAP, STRETCH = 24, 512
 BLOCK = 1 << 20
 #: Words whose ids a worker remembers.
 MEMO = 500_000
+#: Characters of texts whose words are looked up together.
+AT_ONCE = 1 << 21
 
 # The tokenizer composes characters (NFC), folds white space and lower-cases, then splits into pieces that never hold white
 # space and encodes each on its own; so equal stretches between white space have equal ids, and remembering them is exact. For
@@ -75,7 +79,7 @@ class WordIds:
             self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype="<u4", count=total)
             self.size[where] = size
             self.begin[where] = self.used + np.cumsum(size) - size
-            self.stop[where] = [not w[-1].isalnum() and ("." in w or "!" in w or "?" in w) for w in some]
+            self.stop[where] = [not w[-1:].isalnum() and ("." in w or "!" in w or "?" in w) for w in some]
             self.used += total
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -83,26 +87,40 @@ class WordIds:
         ends = [i + 1 for i, (a, b) in enumerate(got.offsets) if any(x in text[a:b] for x in ".!?")]
         return np.array(got.ids, dtype="<u4"), np.array(ends, dtype=np.int64)
 
-    def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def _plain(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Texts of plain characters in lower case: words are numbered within them first, and each different one is looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        k = np.fromiter(map(self.places.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()), dtype=np.int64, count=len(words.dictionary))
+        self._learn()
+        k = k[words.indices.to_numpy()]
+        size = self.size[k]
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self.ids[np.repeat(self.begin[k] - total[:-1], size) + np.arange(total[-1])]
+        stops = np.nonzero(self.stop[k])[0]
+        border = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        held = np.searchsorted(stops, border)
+        for i, j, m, n in zip(border[:-1], border[1:], held[:-1], held[1:], strict=True):
+            yield ids[total[i] : total[j]], total[stops[m:n] + 1] - total[i]
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, and after how many of them sentences end."""
         if len(self.places) > MEMO:
             self._forget()
-        place = self.places.__getitem__
-        plain = [not ("<|" in t or _OTHER.search(t)) for t in texts]
-        found = [np.fromiter(map(place, w), dtype=np.int64, count=len(w)) if (w := t.lower().split()) and ok else None for t, ok in zip(texts, plain, strict=True)]
-        self._learn()
-        out = []
-        for t, ok, k in zip(texts, plain, found, strict=True):
-            if not ok:
-                out.append(self._whole(t))
-            elif k is None:
-                out.append((np.zeros(0, "<u4"), np.zeros(0, np.int64)))
+        some: list[str] = []
+        size = 0
+        for t in texts:
+            plain = not ("<|" in t or _OTHER.search(t))
+            if some and (not plain or size + len(t) > AT_ONCE):
+                yield from self._plain(some)
+                some, size = [], 0
+            if plain:
+                some.append(t.lower())
+                size += len(t)
             else:
-                size = self.size[k]
-                total = np.cumsum(size)
-                at = np.repeat(self.begin[k] - total + size, size) + np.arange(total[-1])
-                out.append((self.ids[at], total[self.stop[k]]))
-        return out
+                yield self._whole(t)
+        if some:
+            yield from self._plain(some)
 
 
 _encoders: dict[str, WordIds] = {}
@@ -142,11 +160,16 @@ def plan(at: list[int], cost: list[int], capacity: int = CAPACITY) -> list[int]:
     window whose length is a power of two needs no padding: those few predecessors are looked up by position.
     """
     p = [0, *at]
-    where = {x: i for i, x in enumerate(p)}
-    powers = [1 << k for k in range(5, capacity.bit_length()) if 1 << k < capacity]
+    places, powers = np.array(p, dtype=np.int64), [1 << k for k in range(5, capacity.bit_length()) if 1 << k < capacity]
+    whole: dict[int, list[int]] = {}  # those that a window of a power of two leads back to
+    for q in powers:
+        k = np.maximum(np.searchsorted(places, places - q, side="right") - 1, 0)
+        hit = np.nonzero(places[k] == places - q)[0]
+        for j, i in zip(hit.tolist(), k[hit].tolist(), strict=True):
+            whole.setdefault(j, []).append(i)
     best, prev = [0.0] * len(p), [0] * len(p)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])
-    get, pop, left = where.get, queue.pop, queue.popleft
+    get, pop, left = whole.get, queue.pop, queue.popleft
     for j in range(1, len(p)):
         x = p[j]
         low = x - capacity
@@ -154,9 +177,8 @@ def plan(at: list[int], cost: list[int], capacity: int = CAPACITY) -> list[int]:
             left()
         v, _, i = queue[0]
         v += capacity - x
-        for q in powers:
-            k = get(x - q)
-            if k is not None and best[k] < v:
+        for k in get(j, ()):
+            if best[k] < v:
                 v, i = best[k], k
         v += cost[j - 1] + WINDOW
         best[j], prev[j] = v, i

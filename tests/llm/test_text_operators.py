@@ -147,6 +147,30 @@ def test_packing_is_whole(spark, odd):
     assert check_packing(docs, packing.pack_documents(docs, path), path) < 0.03
 
 
+def test_words_of_texts_are_looked_up_once(monkeypatch):
+    """A word that comes a thousand times costs one lookup; white space at ends, empty and odd texts between, several groups of texts."""
+    import public_tokenizers
+
+    from neurolake.llm import packing
+
+    monkeypatch.setattr(packing, "AT_ONCE", 9000, raising=False)
+    looked: list[str] = []
+
+    class Counted(packing._Places):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    e = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    e.places = Counted()
+    texts = [" One two. " * 700, "", "  \n\t ", "odd \u4e2d two.", "two. three!\r\n" * 600, "\u00e9t\u00e9? x" * 3]
+    got = list(e(texts))
+    assert len(looked) < 40
+    for t, (ids, ends) in zip(texts, got, strict=True):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(ends) == sum(w[-1] in ".!?" for w in t.split())
+
+
 def test_word_ids_are_the_tokenizers():
     import public_tokenizers
 
