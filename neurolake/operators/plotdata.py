@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from neurolake.cluster import stored
 from neurolake.functions.columns import finite, log2_ratio, positive_finite
 
 
@@ -13,14 +14,50 @@ def linspace(low: float, high: float, n: int) -> list[float]:
     return [low + (high - low) * k / n for k in range(n)] + [high]
 
 
+def percentiles(rows: DataFrame, value: str, keys: list[str], shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """``*keys, q``: exact percentiles of each group's values, in the order of ``shares``, interpolated as Spark's ``percentile`` does; nulls don't count.
+
+    A sketch brackets each percentile; then what lies below a bracket is only counted, the next values beside it are kept, and the few ten-thousandths of a group within it are
+    counted by value and summed up to the wanted ranks. So no task holds a group's values. A bracket that misses its rank (a sketch doesn't) would be taken whole.
+    """
+    same = [f"_g{i}" for i in range(len(keys))]
+    each = rows.select(*[F.col(k).alias(g) for k, g in zip(keys, same, strict=True)], F.col(value).cast("double").alias("_v")).where("_v is not null")
+    near = [min(max(s + d / accuracy, 0.0), 1.0) for s in shares for d in (-3, 3)]
+    marks = stored(each.groupBy(*same).agg(F.percentile_approx("_v", F.array(*[F.lit(x) for x in near]), F.lit(accuracy)).alias("_m"), F.count("*").alias("_n")))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        named = right.withColumnsRenamed({g: f"{g}r" for g in same})  # a row a group
+        return left.join(F.broadcast(named), [left[g].eqNullSafe(named[f"{g}r"]) for g in same]).drop(*[f"{g}r" for g in same])
+
+    met, places = beside(each, marks), range(len(shares))
+    low, high = (lambda i: F.get("_m", F.lit(2 * i))), (lambda i: F.get("_m", F.lit(2 * i + 1)))
+    below = stored(met.groupBy(*same).agg(F.array(*[F.count_if(F.col("_v") < low(i)) for i in places]).alias("_below"), F.array(*[F.min(F.when(F.col("_v") > high(i), F.col("_v"))) for i in places]).alias("_above"), F.array(*[F.max(F.when(F.col("_v") < low(i), F.col("_v"))) for i in places]).alias("_under"), F.first("_n").alias("_n")))
+    inside = F.filter(F.array(*[F.when((F.col("_v") >= low(i)) & (F.col("_v") <= high(i)), i) for i in places]), lambda i: i.isNotNull())
+    counts = beside(met.drop("_n").select(*same, "_v", F.explode(inside).alias("_i")).groupBy(*same, "_i", "_v").agg(F.count("*").alias("_c")), below)
+    ahead = F.get("_below", F.col("_i"))
+    upto = ahead + F.sum("_c").over(Window.partitionBy(*same, "_i").orderBy("_v"))
+    at = (F.col("_n") - 1) * F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("_i"))
+    first, last = F.floor("_at"), F.ceil("_at")
+    picked = counts.withColumn("_upto", upto).withColumn("_at", at).groupBy(*same, "_i", "_at", ahead.alias("_ahead"), F.get("_above", F.col("_i")).alias("_next"), F.get("_under", F.col("_i")).alias("_prior")).agg(
+        F.min(F.when(F.col("_upto") > first, F.col("_v"))).alias("_a"), F.coalesce(F.min(F.when(F.col("_upto") > last, F.col("_v"))), F.when(F.max("_upto") == last, F.col("_next"))).alias("_b"),
+    )
+    picked = picked.withColumn("_a", F.when(F.col("_ahead") == first + 1, F.col("_prior")).otherwise(F.col("_a")))
+    between = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((last - F.col("_at")) * F.col("_a") + (F.col("_at") - first) * F.col("_b"))
+    picked = picked.where((F.col("_ahead") <= first + 1) & (F.col("_ahead") <= last) & F.col("_a").isNotNull() & F.col("_b").isNotNull()).groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("_i", between.alias("_q")))).alias("_s"))
+    done = stored(picked.where(F.size("_s") == len(shares)).select(*same, F.transform("_s", lambda x: x["_q"]).alias("q")))
+    if done.count() < marks.count():
+        missed = each.join(F.broadcast(done.drop("q").withColumnsRenamed({g: f"{g}r" for g in same})), [F.col(g).eqNullSafe(F.col(f"{g}r")) for g in same], "left_anti")
+        done = done.unionByName(missed.groupBy(*same).agg(F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias("q")))
+    return done.withColumnsRenamed(dict(zip(same, keys, strict=True)))
+
+
 def forest(draws: DataFrame, value: str, keys: list[str], percent: float = 95.0) -> DataFrame:
     """Median and central interval of each group's draws without NaN, and ``place`` (from 0) by the median, ties by the keys.
 
     A row a group is numbered in one task: a figure has as many rows as groups."""
     tail = (100.0 - percent) / 200.0
     v = F.when(~F.isnan(value), F.col(value))
-    q = F.percentile(v, F.array(F.lit(tail), F.lit(0.5), F.lit(1.0 - tail)))
-    out = draws.where(v.isNotNull()).groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
+    out = percentiles(draws.select(*keys, v.alias("_draw")), "_draw", keys, [tail, 0.5, 1.0 - tail]).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("median", *keys)) - 1)
 
 

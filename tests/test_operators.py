@@ -761,6 +761,21 @@ def test_states_of_blocks_are_scanned_in_levels(spark, monkeypatch, forward):
         z = np.linalg.matrix_power(turn, int(n[b])) @ z + left[b]
 
 
+def test_percentiles_without_a_group_in_one_task(spark):
+    """Exact, with ties, a null key, groups of one and of nothing; a group's values are no aggregation buffer."""
+    from neurolake.operators import plotdata
+
+    rng = np.random.default_rng(9)
+    values = {"a": rng.standard_normal(3001), "b": rng.integers(0, 4, 500) * 1.0, None: np.array([5.0]), "d": np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for accuracy in (10_000, 40):
+        got = {r["k"]: r["q"] for r in plotdata.percentiles(df, "v", ["k"], [0.025, 0.5, 0.975, 1.0], accuracy).collect()}
+        assert got == {r["k"]: r["q"] for r in df.where("v is not null").groupBy("k").agg(F.expr("percentile(v, array(0.025d, 0.5d, 0.975d, 1.0d))").alias("q")).collect()}
+    plan = plotdata.forest(df, "v", ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
 def test_medians_by_radix(spark):
     """Equal to exact percentiles: even and odd numbers, ties, negative and equal values, zeros of both signs, infinities; any partitioning."""
     rng = np.random.default_rng(6)
