@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,81 +26,121 @@ SENTENCE_CUT, HARD_CUT, WINDOW = 8, 64, 4
 GAP, STRETCH = 24, 512
 #: Tokens that are planned at once; the last window of a block is planned again with the next block.
 BLOCK = 1 << 20
-#: Words whose ids a worker remembers.
+#: Pieces of words whose ids a worker remembers.
 MEMO = 500_000
 #: Characters of texts whose words are looked up together.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 22
 
 # The tokenizer composes characters (NFC), folds white space and lower-cases, then splits into pieces that never hold white
-# space and encodes each on its own; so equal stretches between white space have equal ids, and remembering them is exact. For
+# space and encodes the bytes of each on its own; so equal pieces have equal ids, and remembering them is exact. For
 # characters beyond these (combining marks, other scripts, odd spaces, letters with special case rules) the tokenizer gets
 # the text itself.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u0148\u014a-\u017e]")
+_PLAIN = [chr(c) for c in range(0x21, 0x17F) if not _OTHER.match(chr(c))]
+_LETTERS, _DIGITS = (re.escape("".join(c for c in _PLAIN if unicodedata.category(c)[0] == kind)) for kind in "LN")
+#: What the tokenizer splits plain words into.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+#: Words that end a sentence: a stop, and no letter or digit at the end.
+_STOP = r"[.!?]([^\x00]*[^\p{L}\p{N}])?$"
+#: The steps before its model that the above holds for.
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# byte-level models spell a byte that is no visible character of Latin-1 by one from 256 on
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELT = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 class _Places(dict):
-    """Numbers words as they come; ``new`` has those without ids yet."""
+    """Numbers pieces as they come; ``new`` has those without ids yet."""
 
     def __init__(self):
         self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
         return n
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of ranges, one range after the other, and how many items come before each range (and in all)."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    return np.repeat(begin - total[:-1], size) + np.arange(total[-1]), total
+
+
 class WordIds:
-    """Ids of texts, by remembered words; exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
+    """Ids of texts, by remembered pieces of words; exactly those of ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        steps = json.loads(self.tokenizer.to_str())
+        special = [t["content"] for t in steps["added_tokens"]]
+        self.known = all(steps[k] == v for k, v in _STEPS.items()) and steps["model"]["type"] == "BPE" and all(t.startswith("<|") for t in special)
         self._forget()
 
     def _forget(self) -> None:
         self.places = _Places()
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.begin, self.size, self.stop = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, bool)
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
     def _learn(self) -> None:
-        """Give ids to the new words."""
-        words, self.places.new = self.places.new, []
-        for at in range(0, len(words), 1 << 14):
-            some = words[at : at + (1 << 14)]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            total, first = int(size.sum()), self.places[some[0]]
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while first + len(some) > len(self.begin):
-                self.begin, self.size, self.stop = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.stop))
-            where = slice(first, first + len(some))
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in got for i in x), dtype="<u4", count=total)
-            self.size[where] = size
-            self.begin[where] = self.used + np.cumsum(size) - size
-            self.stop[where] = [not w[-1:].isalnum() and ("." in w or "!" in w or "?" in w) for w in some]
-            self.used += total
+        """Give ids to the new pieces."""
+        pieces, self.places.new = self.places.new, []
+        if not pieces:
+            return
+        tokenize = self.model.tokenize
+        spelt = (p if p.isascii() else p.encode("utf-8").decode("latin-1").translate(_SPELT) for p in pieces)
+        got = [[t.id for t in tokenize(p)] for p in spelt]
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        total, first = int(size.sum()), self.places[pieces[0]]
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(pieces) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        where = slice(first, first + len(pieces))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), dtype="<u4", count=total)
+        self.size[where] = size
+        self.begin[where] = self.used + np.cumsum(size) - size
+        self.used += total
 
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         got = self.tokenizer.encode(text, add_special_tokens=False)
         ends = [i + 1 for i, (a, b) in enumerate(got.offsets) if any(x in text[a:b] for x in ".!?")]
         return np.array(got.ids, dtype="<u4"), np.array(ends, dtype=np.int64)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, one word after the other, where each begins, and how many it has."""
+        known = self.places  # a piece that stands alone is one again
+        pieces = [(w,) if w in known else _PIECE.findall(w) for w in words]
+        n = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        k = np.fromiter(map(self.places.__getitem__, chain.from_iterable(pieces)), dtype=np.int64, count=int(n.sum()))
+        self._learn()
+        where, total = _spread(self.begin[k], self.size[k])
+        border = total[np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])]
+        return self.ids[where], border[:-1], np.diff(border)
+
     def _plain(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Texts of plain characters in lower case: words are numbered within them first, and each different one is looked up once."""
+        """Texts of plain characters in lower case: words are numbered within them first, and each different one is taken apart once."""
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words = lists.flatten().dictionary_encode()
-        k = np.fromiter(map(self.places.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()), dtype=np.int64, count=len(words.dictionary))
-        self._learn()
-        k = k[words.indices.to_numpy()]
-        size = self.size[k]
-        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
-        ids = self.ids[np.repeat(self.begin[k] - total[:-1], size) + np.arange(total[-1])]
-        stops = np.nonzero(self.stop[k])[0]
+        word = words.indices.to_numpy()
+        ids, begin, size = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        where, total = _spread(begin[word], size[word])
+        ids = ids[where]
+        stops = np.nonzero(pc.match_substring_regex(words.dictionary, _STOP).to_numpy(zero_copy_only=False)[word])[0]
         border = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         held = np.searchsorted(stops, border)
         for i, j, m, n in zip(border[:-1], border[1:], held[:-1], held[1:], strict=True):
@@ -105,12 +148,10 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids, and after how many of them sentences end."""
-        if len(self.places) > MEMO:
-            self._forget()
         some: list[str] = []
         size = 0
         for t in texts:
-            plain = not ("<|" in t or _OTHER.search(t))
+            plain = self.known and not ("<|" in t or _OTHER.search(t))
             if some and (not plain or size + len(t) > AT_ONCE):
                 yield from self._plain(some)
                 some, size = [], 0
@@ -121,6 +162,8 @@ class WordIds:
                 yield self._whole(t)
         if some:
             yield from self._plain(some)
+        if len(self.places) > MEMO:
+            self._forget()
 
 
 _encoders: dict[str, WordIds] = {}
@@ -227,7 +270,7 @@ def _packer(path: str, capacity: int):
 
         for b in batches:
             texts = ["" if t is None else t for t in b["text"]]
-            for doc, (ids, ends) in zip(b["doc_id"], (x for at in range(0, len(texts), 512) for x in encode(texts[at : at + 512])), strict=True):
+            for doc, (ids, ends) in zip(b["doc_id"], (x for at in range(0, len(texts), 1024) for x in encode(texts[at : at + 1024])), strict=True):
                 held.append((None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(END_ID)).astype("<u4"), ends, 0))
                 size += len(ids) + 1
                 if size >= BLOCK:

@@ -180,6 +180,37 @@ def test_word_ids_are_the_tokenizers():
         assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_pieces_of_words_are_encoded_once():
+    """A word costs no more for the marks beside it: what is encoded are pieces, and ids stay the tokenizer's for any mix of plain characters."""
+    import public_tokenizers
+
+    e = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words, marks = ["".join(x) for x in itertools.product("aéo", "lst", "nñe", "rke")], [".", ",", "!!", "?)", "...", "'s", "'", "#1"]
+    texts = [" ".join(w + m for w in words for m in marks), " ".join(m + w for w in words for m in marks)]
+    rng = np.random.default_rng(3)
+    plain = [c for c in map(chr, range(0x20, 0x17F)) if not packing._OTHER.match(c)]
+    texts += ["".join(rng.choice([*plain, *("'" * 5 + "srtvmldSRE 12.,!? ")], 400)) for _ in range(60)]
+    for t, (ids, ends) in zip(texts, e(texts), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(ends) == sum(not w[-1].isalnum() and any(x in w for x in ".!?") for w in t.lower().split())
+    e._forget()
+    list(e(texts[:2]))
+    assert len(e.places) <= len(words) + 2 * len(marks) + 8
+
+
+def test_other_tokenizers_get_the_text(tmp_path):
+    """What is remembered holds for one way of splitting; a tokenizer with other steps encodes whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    t.save(str(tmp_path / "t.json"))
+    e, texts = packing.WordIds(str(tmp_path / "t.json")), ["Two words. And 123 more", "", "x y"]
+    assert [ids.tolist() for ids, _ in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+
 # WARC
 
 
