@@ -13,19 +13,27 @@ from neurolake.llm.vectors import inner, one_per_id, stacked, valid
 K = 20
 #: Standard errors that the bound allows for; at 1.9 a true neighbour is missed with a probability of a few per cent at most.
 EPSILON = 2.2
-#: Bits of a rotated query's components.
-QUERY_BITS = 4
+#: Bits of a code: one a component, and no fewer than these. Vectors with fewer components get zeros as further ones before they are
+#: turned; the errors shrink with the root of the bits.
+LEAST_BITS = 256
+#: Components of the vectors of a block, about.
+BLOCK = 1 << 21
+#: Queries that meet a block at once.
+AT_ONCE = 128
 #: Vectors that give every query its first threshold: a bounded sample, those with the smallest hashes.
 SAMPLE = 4096
 #: Vectors are searched in levels, each this many times the one before; a level's k-th best score is the next one's threshold,
 #: so that a query's blocks return about k * WIDEN rows a level, however many blocks there are.
 WIDEN = 16
+#: What single precision may take from a bound, in units of the lengths.
+ROUNDING = 1e-5
 SEED = 11
 
 
-def rotation(d: int) -> np.ndarray:
-    """A random orthogonal matrix, the same everywhere for one ``d``."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((d, d)))
+def rotation(d: int, bits: int | None = None) -> np.ndarray:
+    """``bits`` rows (``d``, if none) and ``d`` orthonormal columns, random but the same everywhere: turns vectors that have zeros behind their components."""
+    bits = bits or d
+    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((bits, d)))
     return q * np.sign(np.diag(r))
 
 
@@ -41,49 +49,72 @@ def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndar
     r = x - centre
     length = np.linalg.norm(r, axis=1)
     u = (r / np.where(length > 0, length, 1)[:, None]) @ turn.T
-    return _words((u > 0).astype(np.uint8)), length, np.abs(u).sum(axis=1) / np.sqrt(x.shape[1])
+    return _words((u > 0).astype(np.uint8)), length, np.abs(u).sum(axis=1) / np.sqrt(len(turn))
+
+
+def decoded(codes: np.ndarray, lengths: np.ndarray, fits: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose inner products with rotated queries estimate those of the residuals, and the bounds of their errors for queries of length one."""
+    signs = np.unpackbits(np.ascontiguousarray(codes).view(np.uint8), axis=1)[:, :bits].astype(np.float32)
+    fit = np.maximum(fits, 1e-12)
+    errors = EPSILON * lengths * np.sqrt(np.maximum(1 - fits**2, 0)) / fit / np.sqrt(max(bits - 1, 1))
+    return (2 * signs - 1) * (lengths / fit / np.sqrt(bits)).astype(np.float32)[:, None], errors
 
 
 def estimates(q, codes, lengths, fits, centre, turn) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products of each query with each coded vector, and the bounds of their errors."""
-    d = q.shape[1]
-    t = q @ turn.T
-    low = t.min(axis=1, keepdims=True)
-    step = np.maximum((t.max(axis=1, keepdims=True) - low) / ((1 << QUERY_BITS) - 1), 1e-300)
-    level = np.rint((t - low) / step).astype(np.uint8)
-    dot = np.zeros((len(q), len(codes)), dtype=np.float32)
-    for j in range(QUERY_BITS):
-        plane = _words((level >> j) & 1)
-        for w in range(codes.shape[1]):
-            dot += np.bitwise_count(plane[:, w, None] & codes[None, :, w]) * np.float32(1 << j)
-    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
-    # sum over components of sign * (low + step * level), the sign being 2 * bit - 1
-    signed = 2 * step * dot + 2 * low * ones - step * level.sum(axis=1, dtype=np.int64)[:, None] - low * d
-    fit = np.maximum(fits, 1e-12)
-    size = np.linalg.norm(q, axis=1)[:, None]
-    est = (q @ centre)[:, None] + lengths * (signed / np.sqrt(d) / fit)
-    spread = np.sqrt(np.maximum(1 - fits**2, 0)) / fit / np.sqrt(max(d - 1, 1)) * size + step / np.sqrt(12) / fit
-    return est, EPSILON * lengths * spread
+    rows, errors = decoded(codes, lengths, fits, len(turn))
+    return (q @ centre)[:, None] + (q @ turn.T).astype(np.float32) @ rows.T, np.linalg.norm(q, axis=1)[:, None] * errors
 
 
 def search_block(qid, q, floor, vid, x, code, length, fit, centre, turn, k: int) -> tuple[np.ndarray, ...]:
-    """The ``k`` best of a block for each query: rows (query, vector, score)."""
-    given = floor
-    est, err = estimates(q, code, length, fit, centre, turn)
-    own = qid[:, None] == vid[None, :]
-    sure = np.where(own, -np.inf, est - err)
-    if sure.shape[1] > k:
-        floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
-    rows, cols = np.nonzero((est + err >= floor[:, None]) & ~own)
-    score = np.empty(len(rows))
-    for at in range(0, len(rows), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        score[s] = inner(q[rows[s]], x[cols[s]])
-    order = np.lexsort((vid[cols], -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    best = (rank < k) & (score >= given[rows])
-    return qid[rows[best]], vid[cols[best]], score[best]
+    """The ``k`` best of a block for each query, none below the query's floor: rows (query, vector, score).
+
+    Estimates and their bounds come from one matrix product, in units of the query's length and of the longest vector, so that
+    single precision does for vectors of any length; only vectors whose upper bound reaches the floor get a true product.
+    """
+    unit = max(length.max(), np.linalg.norm(centre))
+    rows, errors = decoded(code, length / unit, fit, len(turn))
+    block = np.concatenate([rows, errors[:, None], np.ones((len(rows), 1))], axis=1, dtype=np.float32).T
+    parts = []
+    for at in range(0, len(q), AT_ONCE):
+        some = slice(at, at + AT_ONCE)
+        size = np.linalg.norm(q[some], axis=1)
+        turned = q[some] / size[:, None]
+        upper = np.concatenate([turned @ turn.T, np.ones((len(size), 1)), (turned @ (centre / unit))[:, None]], axis=1, dtype=np.float32) @ block
+        least = floor[some] / size / unit - ROUNDING
+        rows, cols = np.nonzero(~(upper < least[:, None].astype(np.float32)))
+        other = qid[some][rows] != vid[cols]
+        rows, cols = rows[other] + at, cols[other]
+        score = np.empty(len(rows))
+        for i in range(0, len(rows), 1 << 12):
+            s = slice(i, i + (1 << 12))
+            score[s] = inner(q[rows[s]], x[cols[s]])
+        good = score >= floor[rows]
+        rows, cols, score = rows[good], cols[good], score[good]
+        order = np.lexsort((vid[cols], -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        parts.append((qid[rows[best]], vid[cols[best]], score[best]))
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def best_of(qid, q, ids, x, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every query's floor on a sample, and the sample's ids and scores that set it: the exact ``k`` best, the floor being the last of ``k``."""
+    floor, near, scores = np.full(len(q), -np.inf), np.empty(len(q), object), np.empty(len(q), object)
+    longest = np.linalg.norm(x, axis=1).max()
+    for at in range(0, len(q), AT_ONCE):
+        product = q[at : at + AT_ONCE] @ x.T
+        product[qid[at : at + AT_ONCE, None] == ids] = -np.inf
+        for i, s in enumerate(product, at):
+            # rounding may differ from one way of summing to another
+            low = np.partition(s, -k)[-k] - 1e-9 * longest * np.linalg.norm(q[i]) if len(s) > k else -np.inf
+            top = np.nonzero((s >= low) & (s > -np.inf))[0]
+            true = inner(np.broadcast_to(q[i], (len(top), q.shape[1])), x[top])
+            order = np.lexsort((ids[top], -true))[:k]
+            near[i], scores[i] = ids[top[order]], true[order]
+            if len(order) == k:
+                floor[i] = scores[i][-1]
+    return floor, near, scores
 
 
 def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
@@ -94,8 +125,8 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
 
     Every vector gets a code: the signs of its randomly rotated residual from the mean, packed in 64-bit words, its
     residual's length, and how well the code fits. From these each inner product is estimated with a bound on its error;
-    vectors whose upper bound reaches the k-th best lower bound of their block, and the k-th best score on a bounded sample,
-    are ranked by their true inner products. All queries meet all vectors, in blocks of both, so a block's task is bounded
+    vectors whose upper bound reaches the k-th best score known (first on a bounded sample) are ranked by their true inner
+    products. All queries meet all vectors, in blocks of both, so a block's task is bounded
     and the number of blocks grows with the tables.
 
     Vectors that are null, zero, hold null or non-finite components, or differ in length from most, take no part. Rows
@@ -108,7 +139,7 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     if not head:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d = len(head[0]["embedding"])
-    turn = rotation(d)
+    turn = rotation(d, max(d, LEAST_BITS))
 
     def sums(batches):
         for b in batches:
@@ -120,8 +151,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     n_queries = rows.where(F.col("vec_id") % every == 0).count()
     few = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()  # bounded: SAMPLE vectors
     sample = spark.sparkContext.broadcast((few["vec_id"].to_numpy(), stacked(few["embedding"])))
-    c_blocks = max(1, -(-n // int(np.clip(n // 64, 1024, 16384))))
-    q_blocks = max(1, -(-n_queries // int(np.clip(n_queries // 16, 256, 4096))))
+    # each vector is sent to all blocks of queries, each query to all blocks of vectors: few blocks, but enough tasks
+    c_blocks = max(1, -(-n // int(np.clip(n // 64, 1024, max(1024, BLOCK // d)))))
+    q_blocks = max(1, -(-n_queries // max(1024, BLOCK // d)))
 
     def coded(batches):
         for b in batches:
@@ -131,17 +163,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     def floors(batches):
         ids, x = sample.value
         for b in batches:
-            q, own = stacked(b["embedding"]), b["vec_id"].to_numpy()
-            floor, near, scores = np.full(len(q), -np.inf), [], []
-            for i in range(len(q)):
-                s = np.where(ids == own[i], -np.inf, np.einsum("j,ij->i", q[i], x))
-                top = np.lexsort((ids, -s))[: min(k, int(np.isfinite(s).sum()))]
-                near.append(ids[top])
-                scores.append(inner(q[i][None, :], x[top]))
-                if len(top) == k:
-                    # rounding may differ from one way of summing to another
-                    floor[i] = s[top[-1]] - 1e-9 * (1 + abs(s[top[-1]]))
-            yield b.assign(floor=floor, near=near, scores=scores)
+            if len(b):
+                floor, near, scores = best_of(b["vec_id"].to_numpy(), stacked(b["embedding"]), ids, x, k)
+                yield b.assign(floor=floor, near=near, scores=scores)
 
     kind = rows.schema["embedding"].dataType.simpleString()
     block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
@@ -156,12 +180,9 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         code = np.frombuffer(b"".join(x["code"]), dtype=np.uint64).reshape(len(x), -1)
-        vid, xs, length, fit = x["vec_id"].to_numpy(), stacked(x["embedding"]), x["length"].to_numpy(), x["fit"].to_numpy()
-        parts = []
-        for at in range(0, len(q), 128):
-            some = q.iloc[at : at + 128]
-            parts.append(search_block(some["vec_id"].to_numpy(), stacked(some["embedding"]), some["floor"].to_numpy(), vid, xs, code, length, fit, centre, turn, k))
-        a, b, s = (np.concatenate(p) for p in zip(*parts, strict=True))
+        a, b, s = search_block(
+            q["vec_id"].to_numpy(), stacked(q["embedding"]), q["floor"].to_numpy(), x["vec_id"].to_numpy(), stacked(x["embedding"]), code, x["length"].to_numpy(), x["fit"].to_numpy(), centre, turn, k,
+        )
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,5 +1,8 @@
 """Operators on embeddings against brute force, and on odd rows."""
 
+import functools
+import operator
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +118,34 @@ def test_codes_estimate_within_their_bounds():
     assert (gap <= err).mean() > 0.95 and np.corrcoef(est.ravel(), (q @ x.T).ravel())[0, 1] > 0.7
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e60, 1e-60])
+def test_few_vectors_get_true_products(monkeypatch, scale):
+    """Vectors without any structure, of any length: the codes leave a few of a hundred pairs, and what reaches the floor is found."""
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(5000, 64)), rng.normal(size=(300, 64))
+    x, q = x / np.linalg.norm(x, axis=1, keepdims=True) * scale, q / np.linalg.norm(q, axis=1, keepdims=True)
+    true, ids, qid = q @ x.T, np.arange(5000), 10_000 + np.arange(300)
+    floor, near, scores = ann.best_of(qid, q, ids[:500], x[:500], 20)
+    assert all(set(near[i]) == set(np.argsort(-true[i, :500])[:20]) and floor[i] == scores[i][-1] for i in range(300))
+    floor, products = np.sort(true, axis=1)[:, -20] - 1e-9 * scale, []
+    monkeypatch.setattr(ann, "inner", lambda a, b: products.append(len(a)) or np.einsum("ij,ij->i", a, b))
+    turn, centre = ann.rotation(64, ann.LEAST_BITS), x.mean(axis=0)
+    rows, cols, score = ann.search_block(qid, q, floor, ids, x, *ann.encode(x, centre, turn), centre, turn, 20)
+    assert sum(products) < 0.08 * true.size  # a bit a component leaves a fifth
+    want = {(10_000 + i, j) for i in range(300) for j in np.argsort(-true[i])[:20]}
+    assert len(want & set(zip(rows.tolist(), cols.tolist(), strict=True))) >= 0.98 * len(want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 1024, 1025, 3000])
+def test_inner_products_are_summed_in_order(n):
+    from neurolake.llm.vectors import inner
+
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(size=(n, 70)) * 10.0 ** rng.integers(-8, 8, (n, 70)), rng.normal(size=(n, 70))
+    want = [functools.reduce(operator.add, (u * v for u, v in zip(x, y, strict=True))) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert inner(a, b).tolist() == want
+
+
 def test_components_of_a_long_chain(spark, rows):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(rows(common.connected_components(edges)))
